@@ -1,0 +1,31 @@
+"""Connected components of a distributed graph; only a count of changes reaches the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .store import materialize
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``(node, label)`` for every node of ``edges(u, v)``; the label is the component's least node.
+
+    Each round takes the least label among a node's neighbours (combined before the shuffle, so
+    that a hub costs one row a task), then lets every node take its label's own label, which
+    halves the remaining paths. Rounds are written to the shared folder.
+    """
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    arcs = materialize(both.where("u <> v").distinct(), "arcs")
+    labels = materialize(arcs.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
+    while True:
+        least = arcs.join(labels, arcs.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
+        stepped = labels.join(least, labels.node == least.u).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        stepped = materialize(stepped, "stepped")
+        up = stepped.select(F.col("node").alias("up"), F.col("label").alias("upper"))
+        jumped = stepped.join(up, stepped.label == up.up, "left").select("node", "was", F.least("label", "upper").alias("label"))
+        jumped = materialize(jumped, "jumped")
+        changed = jumped.where("label <> was").limit(1).count()
+        labels = jumped.select("node", "label")
+        if not changed:
+            return labels
