@@ -80,16 +80,17 @@ class Chunk:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each word, and the index of the first word of each row (n + 1 entries)."""
-        black = ~_IS_SPACE[self.raw]
-        edge = np.empty(self.raw.size, bool)
+        return self.spans(~_IS_SPACE[self.raw])
+
+    def spans(self, black: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each run of marked bytes within a row, and the index of each row's first."""
         if not self.raw.size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(self.n + 1, np.int64)
         before = np.empty_like(black)
         before[0], before[1:] = False, black[:-1]
         inner = self.row[:-1][self.row[:-1] < self.raw.size]
         before[inner] = False
-        edge = black & ~before
-        start = np.flatnonzero(edge)
+        start = np.flatnonzero(black & ~before)
         after = np.empty_like(black)
         after[-1], after[:-1] = False, black[1:]
         last = self.row[1:] - 1
