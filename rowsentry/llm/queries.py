@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .quality_fm import score_quality
 from .quality_rules import quality_rules
 from .store import table
+from .substring_dedup import report as repeats
 from .toxicity import score_toxicity
 from .url_filter import filter_urls
 from .url_filter import oracle as url_oracle
@@ -47,6 +48,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("pattern")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
