@@ -1,14 +1,71 @@
-"""A corpus pipeline of five stages: clean, deduplicate and pack documents."""
+"""A corpus pipeline of five stages: drop poor documents, keep one of each group of near copies,
+remove repeated passages and pack what is left into sequences.
+
+Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``.
+Each is written as Parquet to the shared folder and read again, so that a lost executor never
+sends the work back further than one stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowsentry.llm import quality_fm, quality_rules
+from rowsentry.llm.jaccard_join import jaccard_groups
+from rowsentry.llm.packing import pack_documents
+from rowsentry.llm.store import materialize, table
+from rowsentry.llm.substring_dedup import remove_repeats
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.5 or more."""
+    return quality_fm.keep_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id.
+
+    A row without an id can't be named, so it stays. Of rows that share the kept id one stays.
+    """
+    groups = jaccard_groups(docs)
+    first = materialize(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows")), "kept-ids")
+    named = docs.join(first.select("kept"), docs.doc_id == first.kept, "left_semi")
+    if first.where("rows > 1").limit(1).count():
+        named = named.dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL"))
+
+
+def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one holds."""
+    return remove_repeats(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece with its place in a sequence of at most 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
-#: SQL can express neither the trained stages nor the packing.
+STAGES = [
+    ("quality rules", rules_stage),
+    ("quality classifier", classifier_stage),
+    ("n-gram Jaccard join", near_copies_stage),
+    ("substring dedup", passages_stage),
+    ("best-fit packing", packing_stage),
+]
+#: SQL can express neither the trained stages nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
-    raise NotImplementedError
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs

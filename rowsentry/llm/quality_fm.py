@@ -132,3 +132,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns; nothing is shuffled."""
+    machine = fit(docs, labels, max_rows)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            z = [machine.logits(chunk.n, *features(chunk))[0] for chunk in K.chunks(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate([*z, np.zeros(0)]) >= 0))
+
+    return docs.mapInArrow(keep, docs.schema)
