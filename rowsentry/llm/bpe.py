@@ -11,8 +11,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 #: The white space and the word pattern of byte-level pre-tokenisation.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _SPACES = regex.compile(rf"[{SPACE}][{SPACE}]")
 #: Cached words and pieces of a worker; a full cache is emptied.
-CACHED = 400_000
+CACHED = 700_000
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: The white space beyond ASCII as its UTF-8 bytes, and the bytes that these begin with.
+_WIDE = np.array([int.from_bytes(c.encode().ljust(3, b"\0")) for c in map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))])
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Texts encoded together.
-STEP = 512
+STEP = 1024
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,9 +77,10 @@ class SpeculativeBpe:
         self._key, self._merged = key[by], np.array(list(self.pairs.values()), np.int64)[by]
         self.longest = max(map(len, self.order))
         self.bytes_of = {int(i): t for i, t in zip(self.id_of, self.order, strict=True)} | {i: s.encode() for s, i in self.specials.items()}
-        self.decimal = {i: str(i) for i in self.bytes_of}
+        self.decimals = Spelling({i: b",%d" % i for i in self.bytes_of})
+        self.spellings = Spelling(self.bytes_of)
+        self._forget()
         self._words: dict[str, tuple[int, ...]] = {}
-        self._pieces: dict[str, tuple[int, ...]] = {}
         self._whole: dict[int, bool] = {}
         self.failed = self.proposed = 0
 
@@ -208,18 +218,11 @@ class SpeculativeBpe:
             for p in own:
                 if isinstance(p, list):
                     pieces.update(p)
-        local = {p: self._pieces[p] for p in pieces if p in self._pieces}
-        new = [p for p in pieces if p not in local]
-        cut = [WORD.findall(p) for p in new]
-        words = {w for c in cut for w in c}
+        cut = {p: WORD.findall(p) for p in pieces}
         if len(self._words) > CACHED:
             self._words.clear()
-        self.learn(words - self._words.keys())
-        for p, c in zip(new, cut, strict=True):
-            local[p] = tuple(chain.from_iterable(map(self._words.__getitem__, c)))
-        if len(self._pieces) > CACHED:
-            self._pieces.clear()
-        self._pieces.update(local)
+        self.learn({w for c in cut.values() for w in c} - self._words.keys())
+        local = {p: tuple(chain.from_iterable(map(self._words.__getitem__, c))) for p, c in cut.items()}
         out = []
         for own in parts:
             ids: list[int] = []
@@ -234,6 +237,107 @@ class SpeculativeBpe:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.start, self.end = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+
+    def _odd(self, chunk: K.Chunk) -> np.ndarray:
+        """Rows that can't be cut at their spaces: with white space next to white space, or beyond ASCII, or a special token."""
+        raw = chunk.raw
+        blank = _IS_BLANK[raw]
+        at = [np.flatnonzero(blank[1:] & blank[:-1])]
+        lead = np.flatnonzero(_LEADS[raw])
+        if lead.size:
+            tail = [np.append(raw, np.zeros(2, np.uint8))[lead + k] for k in (1, 2)]
+            code = raw[lead].astype(np.int32) << 16 | tail[0].astype(np.int32) << 8 | np.where(raw[lead] == 0xC2, 0, tail[1])
+            at.append(lead[np.isin(code, _WIDE)])
+        for special in self.specials:
+            begin = special.encode()
+            hit = np.zeros(0, np.int64)
+            if raw.size >= len(begin):
+                hit = np.flatnonzero(raw[: raw.size - len(begin) + 1] == begin[0])
+                for k in range(1, len(begin)):
+                    hit = hit[raw[hit + k] == begin[k]]
+            at.append(hit)
+        odd = np.zeros(chunk.n + 1, bool)
+        odd[np.searchsorted(chunk.row, np.concatenate(at), side="right") - 1] = True
+        return odd[:-1]
+
+    def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column; null counts as empty.
+
+        Texts are cut before each space; a distinct piece is encoded once and its ids are gathered
+        for all its places at once.
+        """
+        for chunk in K.chunks(column):
+            odd = self._odd(chunk)
+            space = np.flatnonzero(chunk.raw == 32)
+            mark = np.zeros(chunk.raw.size, bool)
+            mark[space] = True
+            rows = chunk.row[:-1]
+            mark[rows[rows < chunk.row[1:]]] = True
+            begin = np.flatnonzero(mark)
+            first = np.searchsorted(begin, chunk.row)
+            keep = np.repeat(~odd, np.diff(first))
+            stop = np.append(begin[1:], chunk.raw.size)[keep]
+            begin = begin[keep]
+            first = np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(first)))])
+            kind, where, back = np.unique(chunk.hashes(begin, stop), return_index=True, return_inverse=True)
+            keys = kind.tolist()
+            place = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+            new = np.flatnonzero(place < 0)
+            if new.size and len(self.known) + new.size > CACHED:
+                self._forget()
+                new = np.arange(len(keys))
+            if new.size:
+                place[new] = len(self.known) + np.arange(new.size)
+                raw = chunk.raw.tobytes()
+                self._store([keys[k] for k in new], [raw[begin[where[k]] : stop[where[k]]].decode("utf-8", "replace") for k in new])
+            piece = place[back]
+            at, size = self.start[piece], self.start[piece + 1] - self.start[piece]
+            total = np.concatenate([[0], np.cumsum(size)])
+            ids = self.flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+            slow = iter(self.encode_batch([chunk.text(k) for k in np.flatnonzero(odd)]))
+            for k in range(chunk.n):
+                yield np.array(next(slow), np.int32) if odd[k] else ids[total[first[k]] : total[first[k + 1]]]
+
+    def _store(self, keys: list[int], pieces: list[str]) -> None:
+        cut = [WORD.findall(p) for p in pieces]
+        if len(self._words) > CACHED:
+            self._words.clear()
+        self.learn({w for c in cut for w in c} - self._words.keys())
+        sizes, ids = [], []
+        for c in cut:
+            before = len(ids)
+            for w in c:
+                ids.extend(self._words[w])
+            sizes.append(len(ids) - before)
+        while self.end + len(ids) > self.flat.size:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.known) + len(keys) + 1 > self.start.size:
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.end : self.end + len(ids)] = ids
+        at = len(self.known)
+        self.start[at : at + len(keys) + 1] = self.end + np.concatenate([[0], np.cumsum(sizes)])
+        self.end += len(ids)
+        self.known.update(zip(keys, range(at, at + len(keys)), strict=True))
+
+
+class Spelling:
+    """What each id stands for, laid out flat: joins the spellings of many ids at once."""
+
+    def __init__(self, spellings: dict[int, bytes]):
+        self.size = np.zeros(max(spellings) + 1, np.int64)
+        for i, s in spellings.items():
+            self.size[i] = len(s)
+        self.at = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(spellings[i] for i in sorted(spellings)), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        total = np.cumsum(size)
+        return self.flat[np.repeat(self.at[ids] - (total - size), size) + np.arange(total[-1] if ids.size else 0)].tobytes()
+
 
 @lru_cache(maxsize=2)
 def loaded(path: str) -> SpeculativeBpe:
@@ -246,15 +350,23 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     A null text counts as empty. Special tokens written in a text are taken as such. Repeated rows
     and null ids each get their row; other columns are ignored.
     """
-    return _mapped(docs, path, lambda codec, ids: (ids, codec.decode(ids)), "doc_id long, ids array<int>, decoded string")
+
+    def whole(codec, ids):
+        return ids.tolist(), codec.spellings.join(ids).decode("utf-8", "replace")
+
+    return _mapped(docs, path, whole, "doc_id long, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """As ``encode_documents``, with digests in place of the ids and the text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
 
     def digests(codec, ids):
-        listed = ",".join(map(codec.decimal.__getitem__, ids))
-        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+        listed, decoded = codec.decimals.join(ids)[1:], codec.spellings.join(ids)
+        try:
+            decoded.decode()
+        except UnicodeDecodeError:
+            decoded = decoded.decode("utf-8", "replace").encode()
+        return ids.size, hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     return _mapped(docs, path, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -269,8 +381,7 @@ def _mapped(docs: DataFrame, path: str, result, schema: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, STEP):
                 some = batch.slice(k, STEP)
-                texts = [x or "" for x in some.column(1).to_pylist()]
-                columns = zip(*(result(codec, ids) for ids in codec.encode_batch(texts)), strict=True)
+                columns = zip(*(result(codec, ids) for ids in codec.encode_column(some.column(1))), strict=True)
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
