@@ -1,15 +1,387 @@
-"""Every query of the rule engine, with its DuckDB SQL."""
+"""Every query of the rule engine over the driver's tables, with DuckDB SQL for the same rows.
+
+The tables hold no nulls, so blanks are derived, alike on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity as sim
+from ..functions.normalize import merge_operations, normalize, phone_shape, structure_mask
+from ..operators import anomaly, executors, findings, profile
+from ..operators.graph import connected_components
+from ..sources.dataset import ROW, Dataset
+from ..sources.export import csv_cells
+from .model import Check, CompiledRule, Interpretation, Matcher, Plan, Predicate, When, severity_of
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rule(plan: Plan, name: str = "rule-1", priority: str | None = None, action: str | None = None) -> CompiledRule:
+    it = Interpretation(name, name, plan.kind, "valid", priority=priority, action=action, severity=severity_of(priority))
+    return CompiledRule(it, plan)
+
+
+def business(check: Check, name: str = "rule-1", **kw) -> CompiledRule:
+    return rule(Plan("business", check=check, fields={t: t for t in check.tokens()}), name, **kw)
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows_of(found: DataFrame) -> DataFrame:
+    """A line for each row of each finding."""
+    return found.select(F.explode("rows").alias("row_id"), "rule_id", "type", "severity", F.array_join(F.array_sort("fields"), ",").alias("field_names"))
+
+
+def groups_of(found: DataFrame) -> DataFrame:
+    rows = F.array_sort("rows")
+    return found.select(F.size(rows).cast("long").alias("n_rows"), F.array_min(rows).alias("first_row"), F.array_max(rows).alias("last_row"), F.aggregate(rows, F.lit(0).cast("long"), lambda a, b: a + b).alias("row_sum"), "type", "severity")
+
+
+GROUP_SQL = "count(*) AS n_rows, min({0}) AS first_row, max({0}) AS last_row, sum({0})::BIGINT AS row_sum"
+
+
+def parts(spark, sf_dir):
+    return Dataset.from_df(load(spark, sf_dir, "part"), row="p_partkey")
+
+
+def orders(spark, sf_dir):
+    df = load(spark, sf_dir, "orders").withColumn("priority", F.expr("nullif(o_orderpriority, '5-LOW')")).withColumn("customer", F.expr("CASE WHEN o_custkey % 7 = 0 THEN '  ' ELSE cast(o_custkey AS string) END"))
+    return Dataset.from_df(df, row="o_orderkey")
+
+
+ORDERS_SQL = "(SELECT *, nullif(o_orderpriority, '5-LOW') AS priority, CASE WHEN o_custkey % 7 = 0 THEN '  ' ELSE o_custkey::VARCHAR END AS customer FROM orders)"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the same normalized name and brand, as findings."""
+    return executors.run_rules(parts(spark, sf_dir), [business(Check("duplicate_fields", ("p_name", "p_brand")), priority="high")])
+
+
+CLEAN = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+
+
+@query(f"SELECT {GROUP_SQL.format('p_partkey')}, 'DUPLICATE' AS type, 'error' AS severity FROM part GROUP BY {CLEAN.format('p_name')}, {CLEAN.format('p_brand')} HAVING count(*) > 1")
+def duplicate_composite(spark, sf_dir):
+    return groups_of(flagship(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS row_id, 'rule-1' AS rule_id, 'MISSING' AS type, 'warning' AS severity, 'priority' AS field_names FROM orders WHERE o_orderpriority = '5-LOW'")
+def missing_required(spark, sf_dir):
+    return rows_of(executors.run_rules(orders(spark, sf_dir), [rule(Plan("missing", ("priority",)))]))
+
+
+@query(f"""SELECT o_orderkey AS row_id, 'rule-1' AS rule_id, 'MISSING' AS type, 'warning' AS severity,
+CASE WHEN priority IS NULL AND trim(customer) = '' THEN 'customer,priority' WHEN priority IS NULL THEN 'priority' ELSE 'customer' END AS field_names
+FROM {ORDERS_SQL} WHERE priority IS NULL OR trim(customer) = ''""")
+def required_any(spark, sf_dir):
+    return rows_of(executors.run_rules(orders(spark, sf_dir), [business(Check("required", ("priority", "customer")))]))
+
+
+@query(f"SELECT o_orderkey AS row_id, 'rule-1' AS rule_id, 'MISSING' AS type, 'error' AS severity, 'customer,priority' AS field_names FROM {ORDERS_SQL} WHERE o_orderstatus = 'F' AND priority IS NULL AND trim(customer) = ''")
+def required_all_scoped(spark, sf_dir):
+    check = Check("required", ("priority", "customer"), When((("o_orderstatus", (" f ",)),)), mode="all")
+    return rows_of(executors.run_rules(orders(spark, sf_dir), [business(check, priority="high")]))
+
+
+def _value(name: str, source: str, key: str, target: str, predicate: Predicate, condition: str):
+    sql = f"SELECT {key} AS row_id, 'rule-1' AS rule_id, 'INVALID' AS type, 'warning' AS severity, '{target}' AS field_names FROM {source} WHERE NOT ({condition})"
+
+    def run(spark, sf_dir):
+        ds = Dataset.from_df(load(spark, sf_dir, source), row=key)
+        return rows_of(executors.run_rules(ds, [business(Check("value_check", (target,), predicate=predicate))]))
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_value("value_contains", "part", "p_partkey", "p_name", Predicate("contains", ("a",), case_sensitive=False), "contains(lower(p_name), 'a')")
+_value("value_starts_with_forbidden", "part", "p_partkey", "p_brand", Predicate("starts_with", ("Brand#1",), forbidden=True), "NOT starts_with(p_brand, 'Brand#1')")
+_value("value_ends_with", "part", "p_partkey", "p_type", Predicate("ends_with", ("ARD", "OMO")), "ends_with(p_type, 'ARD') OR ends_with(p_type, 'OMO')")
+_value("value_one_of", "customer", "c_custkey", "c_mktsegment", Predicate("one_of", ("BUILDING", "machinery"), case_sensitive=False), "lower(c_mktsegment) IN ('building', 'machinery')")
+_value("number_range", "customer", "c_custkey", "c_acctbal", Predicate("number_range", low=0.0, high=5000.0), "c_acctbal BETWEEN 0 AND 5000")
+
+
+@query("SELECT l_returnflag, count_if(l_quantity NOT BETWEEN 1 AND 45) AS bad_quantity, count_if(l_discount > 0.08) AS bad_discount, count_if(l_returnflag <> l_linestatus) AS differs FROM lineitem GROUP BY 1")
+def fused_scan(spark, sf_dir):
+    """Three rules of single rows over lineitem in one scan."""
+    ds = Dataset.from_df(load(spark, sf_dir, "lineitem"), row=F.col("l_orderkey"))
+    rules = [
+        business(Check("value_check", ("l_quantity",), predicate=Predicate("number_range", low=1, high=45)), "quantity"),
+        business(Check("value_check", ("l_discount",), predicate=Predicate("number_range", high=0.08)), "discount"),
+        business(Check("same_fields", ("l_returnflag", "l_linestatus")), "flags"),
+    ]
+    bad = F.array(*[executors._row_local(ds, r).isNotNull().cast("int") for r in rules])
+    return ds.df.select("l_returnflag", bad.alias("b")).groupBy("l_returnflag").agg(*[F.sum(F.col("b")[i]).cast("long").alias(n) for i, n in enumerate(("bad_quantity", "bad_discount", "differs"))])
+
+
+@query("SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem WHERE l_returnflag <> l_linestatus GROUP BY 1, 2")
+def same_fields(spark, sf_dir):
+    ds = Dataset.from_df(load(spark, sf_dir, "lineitem"), row=F.col("l_orderkey"))
+    found = executors.run_rules(ds, [business(Check("same_fields", ("l_returnflag", "l_linestatus")))])
+    value = lambda k: F.filter("evidence", lambda e: e["column_key"] == k)[0]["original"]
+    return found.groupBy(value("l_returnflag").alias("flag"), value("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _derived(name: str, expression: str, check: CompiledRule, condition: str, table: str = "customer", key: str = "c_custkey"):
+    """A validator or format over a text derived from a key; ``condition``: SQL for what fails."""
+    QUERIES[name] = lambda spark, sf_dir: rows_of(executors.run_rules(Dataset.from_df(load(spark, sf_dir, table).select(key, F.expr(expression).alias("v")), row=key), [check]))
+    ORACLES[name] = f"SELECT row_id, 'rule-1' AS rule_id, 'INVALID' AS type, 'warning' AS severity, 'v' AS field_names FROM (SELECT {key} AS row_id, {expression} AS v FROM {table}) WHERE {condition}"
+
+
+def _validation(name: str) -> CompiledRule:
+    return rule(Plan("validation", ("v",), validator=name))
+
+
+def _format(name: str) -> CompiledRule:
+    return business(Check("format", ("v",), format=name))
+
+
+_derived("email_format", "concat('user', c_custkey, CASE c_custkey % 4 WHEN 0 THEN '@example.com' WHEN 1 THEN '@example.c' WHEN 2 THEN ' @example.com' ELSE 'example.com' END)", _validation("email"), "NOT regexp_full_match(lower(trim(v)), '[^\\s@]+@[^\\s@]+\\.[^\\s@]{2,}')")
+_derived("zip_format", "CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN lpad(cast(c_custkey AS varchar(9)), 5, '0') WHEN 2 THEN concat(lpad(cast(c_custkey AS varchar(9)), 5, '0'), '-1234') WHEN 3 THEN cast(c_custkey AS varchar(9)) ELSE concat(' ', lpad(cast(c_custkey AS varchar(9)), 5, '0'), ' ') END", _format("zip"), "NOT regexp_full_match(trim(v), '\\d{5}')")
+_derived("zip_or_zip4_format", "CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN lpad(cast(c_custkey AS varchar(9)), 5, '0') WHEN 2 THEN concat(lpad(cast(c_custkey AS varchar(9)), 5, '0'), '-1234') WHEN 3 THEN cast(c_custkey AS varchar(9)) ELSE '12345-67' END", _format("zip_or_zip4"), "NOT regexp_full_match(trim(v), '\\d{5}(-\\d{4})?')")
+_derived("us_state_format", "CASE c_custkey % 6 WHEN 0 THEN 'NY' WHEN 1 THEN ' new   york' WHEN 2 THEN 'ZZ' WHEN 3 THEN '' WHEN 4 THEN 'District of Columbia' ELSE 'Ontario' END", _format("us_state"), "lower(trim(regexp_replace(v, '\\s+', ' ', 'g'))) NOT IN ('ny', 'new york', 'district of columbia')")
+_derived("numeric_valid", "CASE c_custkey % 8 WHEN 0 THEN '1d' WHEN 1 THEN '0x10' WHEN 2 THEN 'NaN' WHEN 3 THEN '1,5' WHEN 4 THEN ' -2.5e3 ' WHEN 5 THEN '1,000,0' WHEN 6 THEN '' ELSE cast(c_custkey AS varchar(9)) END", _validation("number"), "v IN ('1d', 'NaN', '1,000,0')")
+_derived("date_valid", "CASE c_custkey % 5 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '2024-02-29' WHEN 2 THEN 'tomorrow' WHEN 3 THEN '' ELSE '12/31/2023' END", _validation("date"), "v IN ('2024-02-30', 'tomorrow')")
+_CPF = "lpad(cast(c_custkey * 7919 % 1000000000 AS varchar(12)), 9, '0')"
+_SUM = lambda s, ws: "(" + " + ".join(f"cast(substr({s}, {i + 1}, 1) AS int) * {w}" for i, w in enumerate(ws)) + ")"
+_D1 = f"(({_SUM(_CPF, range(10, 1, -1))} * 10) % 11) % 10"
+_derived("cpf_checksum", f"concat({_CPF}, cast({_D1} AS varchar(2)), cast(c_custkey % 10 AS varchar(1)))", _validation("cpf"), f"length(regexp_replace(v, '[^0-9]', '', 'g')) <> 11 OR regexp_matches(v, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$') OR (({_SUM('v', range(10, 1, -1))} * 10) % 11) % 10 <> substr(v, 10, 1)::INT OR (({_SUM('v', range(11, 1, -1))} * 10) % 11) % 10 <> substr(v, 11, 1)::INT")
+_W12, _W13 = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2], [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+_CNPJ = "lpad(cast(c_custkey * 104729 % 1000000000000 AS varchar(14)), 12, '0')"
+_mod = lambda s, ws: f"(CASE WHEN {_SUM(s, ws)} % 11 < 2 THEN 0 ELSE 11 - {_SUM(s, ws)} % 11 END)"
+_derived("cnpj_checksum", f"concat({_CNPJ}, cast({_mod(_CNPJ, _W12)} AS varchar(2)), cast(c_custkey % 10 AS varchar(1)))", _validation("cnpj"), f"regexp_matches(v, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$') OR {_mod('v', _W12)} <> substr(v, 13, 1)::INT OR {_mod('v', _W13)} <> substr(v, 14, 1)::INT")
+_derived("phone_br", "concat(CASE c_custkey % 3 WHEN 0 THEN '+55 ' WHEN 1 THEN '0' ELSE '' END, '(', cast(10 + c_custkey % 90 AS varchar(2)), ') ', CASE c_custkey % 4 WHEN 0 THEN '9' WHEN 1 THEN '' WHEN 2 THEN '8' ELSE '' END, lpad(cast(c_custkey * 37 % 100000000 AS varchar(8)), 8, CASE c_custkey % 2 WHEN 0 THEN '3' ELSE '7' END))", _validation("phone_br"), """NOT coalesce(regexp_full_match(
+  CASE WHEN length(d2) IN (11, 12) AND starts_with(d2, '0') THEN substr(d2, 2) ELSE d2 END, '(1[1-9]|2[12478]|3[1-578]|4[1-9]|5[1345]|6[1-9]|7[134579]|8[1-9]|9[1-9])(9\\d{8}|[2-5]\\d{7})'), false)""")
+ORACLES["phone_br"] = ORACLES["phone_br"].replace("FROM (SELECT c_custkey AS row_id,", "FROM (SELECT *, CASE WHEN length(d) IN (12, 13) AND starts_with(d, '55') THEN substr(d, 3) ELSE d END AS d2 FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM (SELECT c_custkey AS row_id,").replace("AS v FROM customer)", "AS v FROM customer)))")
+
+
+@query(f"SELECT {GROUP_SQL.format('doc_id')}, 'UNIQUENESS_VIOLATION' AS type, 'warning' AS severity FROM documents GROUP BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) HAVING count(*) > 1")
+def uniqueness_normalized(spark, sf_dir):
+    ds = Dataset.from_df(load(spark, sf_dir, "documents"), row="doc_id")
+    return groups_of(executors.run_rules(ds, [rule(Plan("uniqueness", ("text",), (("lowercase", "normalize_whitespace"),)))], evidence_limit=1))
+
+
+@query(f"""SELECT {GROUP_SQL.format('p_partkey')}, 'UNIQUENESS_VIOLATION' AS type, 'warning' AS severity FROM
+(SELECT p_partkey, 'p_name' AS token, trim(p_name) AS v FROM part UNION ALL SELECT p_partkey, 'p_type', trim(p_type) FROM part) GROUP BY token, v HAVING count(*) > 1""")
+def unique_any(spark, sf_dir):
+    return groups_of(executors.run_rules(parts(spark, sf_dir), [business(Check("unique_any", ("p_name", "p_type")))], evidence_limit=1))
+
+
+@query(f"SELECT {GROUP_SQL.format('p_partkey')}, 'INCONSISTENT' AS type, 'warning' AS severity FROM part GROUP BY lower(trim(p_name)) HAVING count(DISTINCT p_brand) > 1")
+def consistency_fd(spark, sf_dir):
+    ops = (("trim", "lowercase"), ("trim",))
+    return groups_of(executors.run_rules(parts(spark, sf_dir), [rule(Plan("consistency", ("p_name", "p_brand"), ops))]))
+
+
+COMPONENTS_SQL = """, e AS (SELECT u, v FROM pairs UNION SELECT v, u FROM pairs),
+walk(node, label) AS (SELECT u, u FROM e UNION SELECT e.v, walk.label FROM walk JOIN e ON walk.node = e.u WHERE walk.label < e.v OR true),
+comp AS (SELECT node, min(label) AS label FROM walk GROUP BY node)"""
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS id, 'n' || (s_suppkey % 40) AS a, 'k' || (s_suppkey * 7 % 30) AS b FROM supplier WHERE s_suppkey <= 60),
+pairs AS (SELECT x.id AS u, y.id AS v FROM s x JOIN s y ON x.id < y.id AND (x.a = y.a OR x.b = y.b))""" + COMPONENTS_SQL + f"\nSELECT {GROUP_SQL.format('node')}, 'DUPLICATE' AS type, 'warning' AS severity FROM comp GROUP BY label")
+def duplicate_or(spark, sf_dir):
+    """Rows that share either of two keys, closed transitively."""
+    df = load(spark, sf_dir, "supplier").where("s_suppkey <= 60").select("s_suppkey", F.expr("concat('n', s_suppkey % 40)").alias("a"), F.expr("concat('k', s_suppkey * 7 % 30)").alias("b"))
+    plan = Plan("duplicate", matchers=(Matcher("a"), Matcher("b")), any_of=True)
+    return groups_of(executors.run_rules(Dataset.from_df(df, row="s_suppkey"), [rule(plan)]))
+
+
+def _fuzzy(spark, sf_dir, algorithm: str, threshold: float, exact: str) -> DataFrame:
+    plan = Plan("duplicate", matchers=(Matcher("p_name", ("trim", "lowercase"), algorithm, threshold), Matcher(exact)))
+    edges, _ = executors.duplicate_edges(parts(spark, sf_dir), plan, None)
+    return edges.groupBy("u").agg(F.count(F.lit(1)).alias("links"), F.min("v").alias("first_v"), F.max("v").alias("last_v"))
+
+
+@query("""SELECT x.p_partkey AS u, count(*) AS links, min(y.p_partkey) AS first_v, max(y.p_partkey) AS last_v FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_partkey < y.p_partkey
+WHERE 1 - levenshtein(lower(trim(x.p_name)), lower(trim(y.p_name))) / greatest(length(trim(x.p_name)), length(trim(y.p_name)))::DOUBLE >= 0.6 GROUP BY 1""")
+def fuzzy_levenshtein(spark, sf_dir):
+    return _fuzzy(spark, sf_dir, "levenshtein", 0.6, "p_type")
+
+
+_TOK = "list_distinct(list_filter(regexp_split_to_array(lower(trim({})), '\\s+'), lambda t: t <> ''))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_type, {_TOK.format('p_name')} AS w FROM part)
+SELECT x.p_partkey AS u, count(*) AS links, min(y.p_partkey) AS first_v, max(y.p_partkey) AS last_v FROM t x JOIN t y ON x.p_type = y.p_type AND x.p_partkey < y.p_partkey
+WHERE length(list_intersect(x.w, y.w)) / length(list_distinct(list_concat(x.w, y.w)))::DOUBLE >= 0.3 GROUP BY 1""")
+def fuzzy_token_jaccard(spark, sf_dir):
+    return _fuzzy(spark, sf_dir, "token_jaccard", 0.3, "p_type")
+
+
+@query()
+def fuzzy_jaro_winkler(spark, sf_dir):
+    """DuckDB's Jaro-Winkler gives the prefix bonus above 0.7 only, so tests hold this against brute force."""
+    return _fuzzy(spark, sf_dir, "jaro_winkler", 0.85, "p_type")
+
+
+@query()
+def weighted_duplicate(spark, sf_dir):
+    ds = Dataset.from_df(load(spark, sf_dir, "supplier").withColumn("zone", F.expr("concat('z', s_nationkey)")), row="s_suppkey")
+    check = Check("weighted_duplicate", (), exact_fields=("s_name", "zone"), weights=(("s_name", 0.6), ("zone", 0.4)), threshold=0.95)
+    return executors.weighted_edges(ds, check, {t: t for t in check.tokens()}, None).groupBy("u").agg(F.count(F.lit(1)).alias("links"), F.round(F.max("score"), 9).alias("best"))
+
+
+@query("""SELECT column_name, non_empty, missing, unique_values FROM (
+SELECT 'c_custkey' AS column_name, count(*) AS non_empty, 0::BIGINT AS missing, count(DISTINCT c_custkey) AS unique_values FROM customer UNION ALL
+SELECT 'c_name', count(*), 0, count(DISTINCT c_name) FROM customer UNION ALL SELECT 'c_nationkey', count(*), 0, count(DISTINCT c_nationkey) FROM customer UNION ALL
+SELECT 'c_acctbal', count(*), 0, count(DISTINCT c_acctbal) FROM customer UNION ALL SELECT 'c_mktsegment', count(*), 0, count(DISTINCT c_mktsegment) FROM customer)""")
+def column_profile(spark, sf_dir):
+    return profile.column_counts(Dataset.from_df(load(spark, sf_dir, "customer"), row="c_custkey")).select(F.col("column").alias("column_name"), "non_empty", "missing", "unique_values")
+
+
+@query("""SELECT regexp_replace(regexp_replace(c_name, '[A-Za-z]', 'A', 'g'), '[0-9]', '9', 'g') AS shape, count(*) AS n, min(c_custkey) AS first_row FROM customer GROUP BY 1""")
+def format_variants(spark, sf_dir):
+    return profile.format_variants(Dataset.from_df(load(spark, sf_dir, "customer"), row="c_custkey"), "c_name")
+
+
+@query("""WITH m AS (SELECT median(value) AS med FROM events), s AS (SELECT med, (SELECT median(abs(value - med)) FROM events, m) AS mad FROM m)
+SELECT event_id AS row_id, CASE WHEN z > 8 THEN 'critical' WHEN z > 5 THEN 'error' ELSE 'warning' END AS severity, floor((med - 3.5 * mad / 0.6745) * 100 + 0.5) / 100 AS low
+FROM (SELECT event_id, 0.6745 * abs(value - med) / mad AS z, med, mad FROM events, s WHERE mad > 0) WHERE z >= 3.5""")
+def mad_outliers(spark, sf_dir):
+    found = anomaly.mad_outliers(Dataset.from_df(load(spark, sf_dir, "events"), row="event_id"), "value")
+    return found.select(F.col("row").alias("row_id"), "severity", F.col("baseline.low").alias("low"))
+
+
+_ODD = "CASE WHEN c_custkey % 97 = 0 THEN concat('c-', c_custkey) WHEN c_custkey % 101 = 0 THEN 'X 1' ELSE c_name END"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, {_ODD} AS v FROM customer), m AS (SELECT c_custkey, v, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '[a-z]', '~', 'g'), '[A-Z]', 'U', 'g'), '[0-9]', 'D', 'g'), '~', 'L', 'g') AS mask FROM t),
+c AS (SELECT mask, count(*) AS n FROM m GROUP BY 1), w AS (SELECT sum(n) AS total, count(*) AS kinds, max(n) AS top FROM c)
+SELECT c_custkey AS row_id, v AS value, mask FROM m JOIN c USING (mask), w WHERE total >= 10 AND kinds / total <= 0.3 AND top / total >= 0.85 AND n < top AND n / total <= 0.1""")
+def mask_clustering(spark, sf_dir):
+    df = load(spark, sf_dir, "customer").select("c_custkey", F.expr(_ODD).alias("v"))
+    found = anomaly.format_deviations(Dataset.from_df(df, row="c_custkey"), "v")
+    return found.select(F.col("row").alias("row_id"), "value", structure_mask(F.col("value")).alias("mask"))
+
+
+def _with_gaps(spark, sf_dir):
+    df = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.expr("CASE WHEN o_orderkey % 977 = 0 THEN '' ELSE o_orderpriority END").alias("priority"), F.expr("CASE WHEN o_orderkey % 3001 = 0 THEN ' ' ELSE cast(o_custkey AS string) END").alias("customer"))
+    return Dataset.from_df(df, row="o_orderkey")
+
+
+_GAPS = "(SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderkey % 977 = 0 THEN '' ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 3001 = 0 THEN ' ' ELSE o_custkey::VARCHAR END AS customer FROM orders)"
+
+
+@query(f"""WITH l AS (SELECT o_orderkey, 'priority' AS k, trim(priority) = '' AS gone FROM {_GAPS} UNION ALL SELECT o_orderkey, 'customer', trim(customer) = '' FROM {_GAPS}),
+r AS (SELECT k, count(*) AS n, count_if(gone) AS blank FROM l GROUP BY k HAVING count(*) >= 10 AND count_if(gone) BETWEEN 1 AND 25 AND (count(*) - count_if(gone)) / count(*) >= 0.95)
+SELECT o_orderkey AS row_id, k AS column_name FROM l JOIN r USING (k) WHERE gone""")
+def atypical_null_rate(spark, sf_dir):
+    return anomaly.atypical_blanks(_with_gaps(spark, sf_dir)).select(F.col("row").alias("row_id"), F.col("column").alias("column_name"))
+
+
+@query(f"""WITH l AS (SELECT o_orderkey, status, 'priority' AS k, trim(priority) = '' AS gone FROM {_GAPS} UNION ALL SELECT o_orderkey, status, 'customer', trim(customer) = '' FROM {_GAPS}),
+r AS (SELECT status, k, count(*) AS n, count_if(gone) AS blank FROM l GROUP BY 1, 2 HAVING count(*) >= 5 AND count_if(gone) BETWEEN 1 AND 5 AND (count(*) - count_if(gone)) / count(*) >= 0.85)
+SELECT o_orderkey AS row_id, k AS column_name, status AS condition FROM l JOIN r USING (status, k) WHERE gone""")
+def status_dependency(spark, sf_dir):
+    return anomaly.status_dependencies(_with_gaps(spark, sf_dir)).select(F.col("row").alias("row_id"), F.col("column").alias("column_name"), F.col("baseline.condition").alias("condition"))
+
+
+@query("SELECT 'order id' AS column_name, count(*) AS n FROM orders HAVING count(*) >= 10 AND count(*) = count(DISTINCT o_orderkey)")
+def primary_key_discovery(spark, sf_dir):
+    df = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
+    ds = Dataset.from_df(df, row="o_orderkey", headers={"order_id": "order id", "customer_id": "customer id", "o_orderkey": "o_orderkey"})
+    return anomaly.primary_keys(ds).select(F.regexp_replace("column", "_", " ").alias("column_name"), "n")
+
+
+def _suite(spark, sf_dir) -> DataFrame:
+    rules = [
+        rule(Plan("missing", ("priority",)), "r1", "high", "Ask the sales desk."),
+        business(Check("required", ("customer",), When((("o_orderstatus", ("F",)),))), "r2", priority="low", action="Ask the sales desk."),
+        business(Check("value_check", ("o_totalprice",), predicate=Predicate("number_range", high=400000)), "r3"),
+    ]
+    return executors.run_rules(orders(spark, sf_dir), rules)
+
+
+_HITS = f"""hits AS (SELECT o_orderkey AS row_id, 'r1' AS rule_id, 'MISSING' AS type, 'error' AS severity, 'Ask the sales desk.' AS action, 1 AS rank FROM {ORDERS_SQL} WHERE priority IS NULL
+UNION ALL SELECT o_orderkey, 'r2', 'MISSING', 'info', 'Ask the sales desk.', 5 FROM {ORDERS_SQL} WHERE o_orderstatus = 'F' AND trim(customer) = ''
+UNION ALL SELECT o_orderkey, 'r3', 'INVALID', 'warning', 'Review the flagged values with the accountable data owner.', 3 FROM orders WHERE NOT o_totalprice <= 400000)"""
+
+
+@query(f"WITH {_HITS} SELECT type, count(*) AS findings, count(*) AS affected FROM hits GROUP BY 1")
+def finding_summary(spark, sf_dir):
+    return findings.summary(_suite(spark, sf_dir))
+
+
+@query(f"WITH {_HITS} SELECT row_id, count(*) AS n_items, string_agg(rule_id, ',' ORDER BY rank, rule_id) AS rules FROM hits GROUP BY 1")
+def action_items(spark, sf_dir):
+    return findings.action_items(_suite(spark, sf_dir)).select(F.col("row").alias("row_id"), F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda i: i["rule_id"]), ",").alias("rules"))
+
+
+@query(f"WITH {_HITS} SELECT min(row_id) AS first_row, count(*) AS n_findings, count(DISTINCT row_id) AS n_rows FROM hits GROUP BY row_id")
+def consolidation(spark, sf_dir):
+    """Findings of single rows that share them: a group for each row."""
+    found = findings.consolidate(_suite(spark, sf_dir))
+    return found.select(F.array_min("rows").alias("first_row"), F.size("ids").cast("long").alias("n_findings"), F.size("rows").cast("long").alias("n_rows"))
+
+
+@query(f"WITH {_HITS} SELECT type, rule_id, count(*) AS findings, count(DISTINCT row_id) AS affected_rows, CASE rule_id WHEN 'r1' THEN 300 + 20 + 3 WHEN 'r2' THEN 100 + 0 + 3 ELSE 200 + 10 + 3 END AS rank FROM hits GROUP BY 1, 2")
+def grouped_findings(spark, sf_dir):
+    return findings.grouped(_suite(spark, sf_dir)).select("type", "rule_id", "findings", "affected_rows", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {_HITS} SELECT state, count(*) AS rows FROM (SELECT CASE WHEN h.row_id IS NULL THEN 'clean' WHEN o_orderkey % 3 = 0 THEN 'accepted' WHEN o_orderkey % 3 = 1 THEN 'excluded' ELSE 'unreviewed' END AS state FROM orders LEFT JOIN (SELECT DISTINCT row_id FROM hits) h ON h.row_id = o_orderkey) GROUP BY 1")
+def review_summary(spark, sf_dir):
+    ds = orders(spark, sf_dir)
+    decisions = ds.df.where("o_orderkey % 3 < 2").select(ROW, F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'accept' ELSE 'delete' END").alias("decision"))
+    return findings.review_summary(ds, _suite(spark, sf_dir), decisions)
+
+
+@query(f"WITH {_HITS} SELECT row_id, rule_id FROM hits WHERE severity = 'error' AND contains(lower(action), 'sales') ORDER BY 1")
+def filtered_findings(spark, sf_dir):
+    return findings.filter_findings(_suite(spark, sf_dir), severities=["error"], text="SALES").select(F.col("rows")[0].alias("row_id"), "rule_id")
+
+
+@query("""SELECT s_suppkey AS row_id, CASE WHEN regexp_matches(v, '^\\s*[=+@-]') THEN '''' || v WHEN regexp_matches(v, '[",]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS cell
+FROM (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '=1+1' WHEN 1 THEN 'a,"b"' WHEN 2 THEN '  @cmd' WHEN 3 THEN '-x' ELSE s_name END AS v FROM supplier)""")
+def csv_cell_guard(spark, sf_dir):
+    df = load(spark, sf_dir, "supplier").select("s_suppkey", F.expr("CASE s_suppkey % 5 WHEN 0 THEN '=1+1' WHEN 1 THEN 'a,\"b\"' WHEN 2 THEN '  @cmd' WHEN 3 THEN '-x' ELSE s_name END").alias("v"))
+    ds = Dataset.from_df(df, row="s_suppkey")
+    return ds.df.select(F.col("s_suppkey").alias("row_id"), csv_cells(ds)["v"].alias("cell"))
+
+
+@query("""SELECT c_custkey AS row_id, lower(c_name) AS as_name, regexp_replace(c_name, '[^0-9]', '', 'g') AS as_identifier, regexp_replace(regexp_replace(c_name, '[A-Za-z]', 'A', 'g'), '[0-9]', '9', 'g') AS shape,
+trim(regexp_replace(regexp_replace(c_name, '[#]+', ' ', 'g'), '\\s+', ' ', 'g')) AS no_punctuation FROM customer""")
+def normalization_scalars(spark, sf_dir):
+    df = load(spark, sf_dir, "customer")
+    name = F.col("c_name")
+    return df.select(F.col("c_custkey").alias("row_id"), normalize(name, merge_operations("name")).alias("as_name"), normalize(name, merge_operations("identifier")).alias("as_identifier"), phone_shape(name).alias("shape"), normalize(name, ("remove_punctuation",)).alias("no_punctuation"))
+
+
+@query("SELECT x.s_suppkey AS u, y.s_suppkey AS v, levenshtein(x.s_name, y.s_name) AS distance FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey")
+def levenshtein_pairs(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier")
+    x, y = (s.select(*[F.col(c).alias(f"{p}_{c}") for c in s.columns]) for p in "xy")
+    pairs = x.join(y, (F.col("x_s_nationkey") == F.col("y_s_nationkey")) & (F.col("x_s_suppkey") < F.col("y_s_suppkey")))
+    a, b = F.col("x_s_name"), F.col("y_s_name")
+    distance = F.round((1 - sim.levenshtein_similarity(a, b)) * F.greatest(F.length(a), F.length(b))).cast("long")
+    return pairs.select(F.col("x_s_suppkey").alias("u"), F.col("y_s_suppkey").alias("v"), distance.alias("distance"))
+
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+@query("""WITH RECURSIVE pairs AS (SELECT s_suppkey AS u, s_suppkey * 2 % 50 AS v FROM supplier WHERE s_suppkey < 50 AND s_suppkey * 2 % 50 <> s_suppkey)""" + COMPONENTS_SQL + " SELECT node, label FROM comp")
+def components(spark, sf_dir):
+    edges = load(spark, sf_dir, "supplier").where("s_suppkey < 50").select(F.col("s_suppkey").alias("u"), F.expr("s_suppkey * 2 % 50").alias("v"))
+    return connected_components(edges)
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
