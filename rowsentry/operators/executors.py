@@ -50,7 +50,7 @@ def _struct(ds: Dataset, rule: CompiledRule, kind: str, flagged: Column, cells:
     ))
 
 
-def _row_local(ds: Dataset, rule: CompiledRule) -> Column:
+def row_finding(ds: Dataset, rule: CompiledRule) -> Column:
     plan = rule.plan
     if plan.kind == "validation":
         key = plan.keys[0]
@@ -89,7 +89,7 @@ def run_row_local(ds: Dataset, rules: Sequence[CompiledRule]) -> DataFrame:
     """All row-local rules in one scan, with only the columns that they name. Works on a stream as well."""
     from .findings import DEFAULT_ACTION, finding_id
 
-    each = F.filter(F.array(*[_row_local(ds, r) for r in rules]), lambda f: f.isNotNull())
+    each = F.filter(F.array(*[row_finding(ds, r) for r in rules]), lambda f: f.isNotNull())
     found = ds.df.select(ROW, F.explode(each).alias("f")).select(ROW, "f.*")
     found = found.withColumn("rows", F.array(ROW)).withColumn("fields", F.transform("evidence", lambda e: e["column_header"]))
     return found.select(

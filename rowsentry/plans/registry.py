@@ -125,7 +125,7 @@ def fused_scan(spark, sf_dir):
         business(Check("value_check", ("l_discount",), predicate=Predicate("number_range", high=0.08)), "discount"),
         business(Check("same_fields", ("l_returnflag", "l_linestatus")), "flags"),
     ]
-    bad = F.array(*[executors._row_local(ds, r).isNotNull().cast("int") for r in rules])
+    bad = F.array(*[executors.row_finding(ds, r).isNotNull().cast("int") for r in rules])
     return ds.df.select("l_returnflag", bad.alias("b")).groupBy("l_returnflag").agg(*[F.sum(F.col("b")[i]).cast("long").alias(n) for i, n in enumerate(("bad_quantity", "bad_discount", "differs"))])
 
 

@@ -68,7 +68,7 @@ def reviewed_rows(ds: Dataset, findings: DataFrame, accepted: DataFrame) -> Data
     actions, priority, issues, source = review_columns(list(ds.headers.values()))
     per_row = action_items(findings).select(
         F.col("row").alias(ROW), F.array_join(F.array_distinct(F.transform("items", lambda i: i["action"])), "\n").alias(actions),
-        F.element_at(F.array(*map(F.lit, ("high", "medium_high", "medium", "low_medium", "low"))), F.array_min(F.transform("items", lambda i: i["rank"]))).alias(priority),
+        F.element_at(F.array(*map(F.lit, ("high", "medium_high", "medium", "low_medium", "low"))), F.array_min(F.transform("items", lambda i: i["rank"])).cast("int")).alias(priority),
         F.array_join(F.transform("items", lambda i: i["explanation"]), "\n").alias(issues),
     )
     flags = findings.select(F.explode("rows").alias(ROW), "fields", "evidence")
