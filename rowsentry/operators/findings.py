@@ -69,7 +69,7 @@ def summary(findings: DataFrame) -> DataFrame:
 
 def grouped(findings: DataFrame) -> DataFrame:
     """By type and rule: how many, the highest rank, and how many distinct rows."""
-    ranked = impact(findings).withColumn("rank", F.col("impact_rank") * 100 + (4 - severity_rank()) * 10 + F.when(F.col("confidence") == "HIGH", 3).when(F.col("confidence") == "MEDIUM", 2).otherwise(1))
+    ranked = triage_rank(findings)
     heads = ranked.groupBy("type", "rule_id").agg(F.count(F.lit(1)).alias("findings"), F.max("rank").alias("rank"))
     rows = findings.select("type", "rule_id", F.explode("rows").alias("row")).distinct().groupBy("type", "rule_id").agg(F.count(F.lit(1)).alias("affected_rows"))
     return heads.join(rows, ["type", "rule_id"], "left").fillna(0, ["affected_rows"]).orderBy(F.desc("rank"), F.desc("findings"), "type", "rule_id")
@@ -132,7 +132,8 @@ def location(rows: Column) -> Column:
 
 
 def triage_rank(findings: DataFrame) -> DataFrame:
-    return impact(findings).withColumn("rank", F.col("impact_rank") * 100 + (4 - severity_rank()) * 10 + F.when(F.col("confidence") == "HIGH", 3).when(F.col("confidence") == "MEDIUM", 2).otherwise(1))
+    """``rank``: impact in the hundreds, severity in the tens, confidence in the ones."""
+    return impact(findings).withColumn("rank", F.col("impact_rank") * 100 + (5 - severity_rank()) * 10 + F.when(F.col("confidence") == "HIGH", 3).when(F.col("confidence") == "MEDIUM", 2).otherwise(1))
 
 
 def review_summary(ds: Dataset, findings: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.normalize import merge_operations, normalize, phone_shape, structure_mask
-from ..operators import anomaly, executors, findings, profile
+from ..operators import anomaly, executors, findings, profile, review
 from ..operators.graph import connected_components
 from ..sources.dataset import ROW, Dataset
 from ..sources.export import csv_cells
@@ -330,11 +330,18 @@ def consolidation(spark, sf_dir):
     return found.select(F.array_min("rows").alias("first_row"), F.size("ids").cast("long").alias("n_findings"), F.size("rows").cast("long").alias("n_rows"))
 
 
-@query(f"WITH {_HITS} SELECT type, rule_id, count(*) AS findings, count(DISTINCT row_id) AS affected_rows, CASE rule_id WHEN 'r1' THEN 300 + 20 + 3 WHEN 'r2' THEN 100 + 0 + 3 ELSE 200 + 10 + 3 END AS rank FROM hits GROUP BY 1, 2")
+@query(f"WITH {_HITS} SELECT type, rule_id, count(*) AS findings, count(DISTINCT row_id) AS affected_rows, CASE rule_id WHEN 'r1' THEN 300 + 30 + 3 WHEN 'r2' THEN 100 + 10 + 3 ELSE 200 + 20 + 3 END AS rank FROM hits GROUP BY 1, 2")
 def grouped_findings(spark, sf_dir):
     return findings.grouped(_suite(spark, sf_dir)).select("type", "rule_id", "findings", "affected_rows", F.col("rank").cast("int").alias("rank"))
 
 
+@query(f"""WITH {_HITS} SELECT row_id, rule_id, CASE WHEN type = 'MISSING' THEN 'complete_attribute' ELSE 'verify_source' END AS route,
+CASE WHEN type IN ('MISSING', 'INVALID') THEN 'Record owner, with data steward review' ELSE 'Data steward' END AS owner FROM hits""")
+def guidance_routes(spark, sf_dir):
+    found = review.guided(_suite(spark, sf_dir))
+    return found.select(F.col("rows")[0].alias("row_id"), "rule_id", "route", "owner")
+
+
 @query(f"WITH {_HITS} SELECT state, count(*) AS rows FROM (SELECT CASE WHEN h.row_id IS NULL THEN 'clean' WHEN o_orderkey % 3 = 0 THEN 'accepted' WHEN o_orderkey % 3 = 1 THEN 'excluded' ELSE 'unreviewed' END AS state FROM orders LEFT JOIN (SELECT DISTINCT row_id FROM hits) h ON h.row_id = o_orderkey) GROUP BY 1")
 def review_summary(spark, sf_dir):
     ds = orders(spark, sf_dir)

@@ -247,3 +247,34 @@ def test_partitioning_does_not_matter(spark):
     base = {(f.id, tuple(f.rows)) for f in executors.run_rules(ds, rules).collect()}
     other = Dataset(ds.df.repartition(7).orderBy(F.rand(3)), ds.headers)
     assert {(f.id, tuple(f.rows)) for f in executors.run_rules(other, rules).collect()} == base
+
+
+def test_review_helpers(spark, tmp_path):
+    from rowsentry.operators import review
+    from rowsentry.sources.projects import Project, ProjectStore
+
+    ds = table(spark, ["Name", "Fax"], [["Ana", None], ["ana ", "1"], ["Bo", None]])
+    profiles = profile(ds)
+    comp = api.compile_rules(ds, "Name is required\n\nGreen must be blue")
+    kinds = [c.kind for c in review.coverage(profiles, comp)]
+    assert kinds == ["unresolved_rule", "unruled_missing"]
+    assert review.chosen_candidate(review.coverage(profiles, comp), "rule-0", 0.8) == "rule-0"
+    assert review.chosen_candidate(review.coverage(profiles, comp), "rule-0", 0.79) is None
+    assert review.allowed_routes("POSSIBLE_DUPLICATE", differing=True) == ["review_duplicate", "check_relationship", "human_review"]
+    assert review.chosen_route("verify_source", 0.9, review.allowed_routes("DUPLICATE")) == "verify_source"
+    assert {r.column: r.equal for r in review.comparison_signals(ds, [2, 3], ["name", "fax"]).collect()} == {"name": True}
+    assert review.context_rows(ds, [2, 3], ["name"]).count() == 2
+    assert review.equal_weights(["a", "b"]) == {"a": 0.5, "b": 0.5} and review.condition_values("a; b\na,") == ["a", "b"]
+    found = executors.run_rules(ds, [business(Check("required", ("fax",)))])
+    first = found.orderBy("id").first()
+    assert review.current_finding(found, first.id, "x", "x").id == first.id
+    with pytest.raises(LookupError):
+        review.current_finding(found, first.id, "x", "y")
+    store = ProjectStore(str(tmp_path))
+    p = Project("one", rules="a\nb")
+    store.save(p)
+    store.keep_analysis(p, found, full=True)
+    again = store.load(p.id)
+    assert again.rules == "a\nb" and again.history[0]["findings"] == 2 and store.list() == [p.id]
+    with pytest.raises(ValueError):
+        store.load("../x")
