@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from . import kernels as K
-from .components import connected_components
 from .store import materialize, text_volume
 
 U = np.uint64
@@ -312,3 +312,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
     )
+
+
+#: DuckDB SQL for the query's rows; its join grows with the square of a shingle's documents.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * both_have >= 80 * (x.n + y.n - both_have)),
+walk(node, label) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, walk.label FROM walk JOIN e ON walk.node = e.u),
+k AS (SELECT node, min(label) AS label FROM walk GROUP BY 1), d AS (SELECT u, count(*) AS links FROM e GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.label, doc_id) AS component_id, coalesce(d.links, 0) AS n_links
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.node = doc_id LEFT JOIN d ON d.u = doc_id"""

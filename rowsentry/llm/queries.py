@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digest_documents
 from .imatch import fingerprint_documents
+from .jaccard_join import ORACLE as JACCARD_ORACLE
 from .jaccard_join import jaccard_groups
 from .packing import pack_documents
 from .quality_fm import score_quality
@@ -65,4 +66,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": WARC_ORACLE, "op7_url_filter": url_oracle()}
+    return {"op1_ngram_jaccard": JACCARD_ORACLE, "op6_warc": WARC_ORACLE, "op7_url_filter": url_oracle()}

@@ -1,35 +1,18 @@
-"""Tables that cut lineage: written as Parquet to the folder that the whole cluster shares.
-
-A lost executor costs nothing that was materialised; ``localCheckpoint`` is never used.
-"""
+"""What the operators share: tables, small batches, and Parquet in the cluster's shared folder to cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is configured (tests), a folder of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="rowsentry-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/rowsentry/{tag}-{uuid.uuid4().hex}"
+__all__ = ["fresh_path", "materialize", "shared_dir", "small_batches", "table", "text_volume"]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write and reread ``df``; the result has no lineage beyond the files."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python workers at most so many rows at once, so that a batch of texts stays small beside them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def text_volume(df: DataFrame, col: str = "text") -> int:
