@@ -15,9 +15,9 @@ from .plans.gate import IntentGate, admit
 from .plans.language import interpret, parse_rules
 from .plans.model import Compilation
 from .sources.dataset import Dataset
-from .sources.export import corrected_csv, reviewed_rows
+from .sources.export import corrected_csv, reviewed_rows, reviewed_workbook
 
-__all__ = ["Analysis", "Dataset", "analyze", "compile_rules", "corrected_csv", "finding_rows", "profile", "reviewed_rows", "scan_anomalies"]
+__all__ = ["Analysis", "Dataset", "analyze", "compile_rules", "corrected_csv", "finding_rows", "profile", "reviewed_rows", "reviewed_workbook", "scan_anomalies"]
 
 
 class RuleError(ValueError):

@@ -139,6 +139,27 @@ class Draft:
     executable: bool = True
 
 
+def adjudicate(found: DataFrame, drafts: Sequence[Draft], keep_draft=None, doubt=None) -> tuple[DataFrame, list[Draft]]:
+    """Let callbacks drop drafts that fit the sample too closely, and lower up to five grave anomalies that they doubt to info.
+
+    Without callbacks, or where one fails, all stay as they are.
+    """
+    def ask(f, x, default):
+        try:
+            return default if f is None else bool(f(x))
+        except Exception:  # a failing model never decides
+            return default
+
+    drafts = [d for d in drafts if ask(keep_draft, d, True)]
+    if doubt is None:
+        return found, drafts
+    grave = found.where(F.col("severity").isin("critical", "error")).orderBy("category", "column", "row").limit(5).collect()
+    lowered = [(r.category, r.column, r.row) for r in grave if ask(doubt, r, False)]
+    for category, column, row in lowered:
+        found = found.withColumn("severity", F.when((F.col("category") == category) & (F.col("column") == column) & (F.col("row") == row), "info").otherwise(F.col("severity")))
+    return found, drafts
+
+
 def scan(ds: Dataset, profiles: Sequence[ColumnProfile] = ()) -> tuple[DataFrame, list[Draft]]:
     """All anomalies, and rules drafted from invariants and baselines (the first of each text)."""
     parts = []

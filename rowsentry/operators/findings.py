@@ -142,3 +142,21 @@ def review_summary(ds: Dataset, findings: DataFrame, decisions: DataFrame) -> Da
     each = ds.df.select(ROW).join(flagged, ROW, "left").join(decisions, ROW, "left")
     state = F.when(F.col("flagged").isNull(), "clean").when(F.col("decision") == "accept", "accepted").when(F.col("decision") == "delete", "excluded").otherwise("unreviewed")
     return each.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def decided_rows(decisions: DataFrame, analysis: str, decision: str) -> DataFrame:
+    """Rows with a decision of one analysis; ``decisions``: ``(analysis, _row, decision)``."""
+    return decisions.where((F.col("analysis") == analysis) & (F.col("decision") == decision)).select(ROW).distinct()
+
+
+def filter_groups(groups: DataFrame, findings: DataFrame, **filters) -> DataFrame:
+    """Review groups with a finding that passes; such a group stays whole."""
+    hit = filter_findings(findings, **filters).select(F.col("id").alias("hit"))
+    keep = groups.select("group_id", F.explode("ids").alias("hit")).join(hit, "hit", "left_semi").select("group_id").distinct()
+    return groups.join(keep, "group_id", "left_semi")
+
+
+def evidence_by_row(findings: DataFrame) -> DataFrame:
+    """A line for each piece of evidence; the normalized text only where it differs."""
+    each = findings.select("id", F.explode("evidence").alias("e")).select("id", "e.*")
+    return each.withColumn("normalized", F.when(F.col("normalized") != F.col("original"), F.col("normalized")))

@@ -58,3 +58,14 @@ def admit(interpretations: list[Interpretation], gate: IntentGate) -> list[Inter
             it.status = "unsupported"
             it.warnings.append(it.gate.reason or "The rule was not approved.")
     return interpretations
+
+
+def self_test(gate: IntentGate) -> tuple[Decision, float]:
+    """A gate's answer to a plain rule, and how many seconds it took."""
+    import time
+
+    from .language import SourceRule, interpret
+
+    began = time.monotonic()
+    decision = gate.review(interpret(SourceRule("self-test", "Email is required"), {"email": "Email"}))
+    return decision, time.monotonic() - began

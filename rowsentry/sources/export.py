@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,3 +89,41 @@ def too_long_for_excel(ds: Dataset) -> DataFrame:
     """Cells beyond the text limit of a spreadsheet."""
     each = F.array(*[F.struct(F.lit(k).alias("column"), F.length(ds.text(k)).alias("n")) for k in ds.keys])
     return ds.df.select(ROW, F.explode(each).alias("c")).select(ROW, "c.*").where(F.col("n") > EXCEL_TEXT)
+
+
+def check_export(ds: Dataset, findings: DataFrame, rows: DataFrame, source: str | None, path: str) -> None:
+    """Refuse an export over its own source, of rows named twice, or of rows that no finding names."""
+    if source and os.path.abspath(source) == os.path.abspath(path):
+        raise ValueError("The export would overwrite its source.")
+    named = rows.groupBy(ROW).agg(F.count(F.lit(1)).alias("n"))
+    if named.where("n > 1").limit(1).count():
+        raise ValueError("A row is named twice.")
+    flagged = findings.select(F.explode("rows").alias(ROW)).distinct()
+    if named.join(flagged, ROW, "left_anti").limit(1).count():
+        raise ValueError("A row is not part of any finding.")
+
+
+def reviewed_workbook(ds: Dataset, findings: DataFrame, accepted: DataFrame, path: str, warnings: Sequence[str] = (), source: str | None = None) -> str:
+    """The reviewed rows as a workbook, affected cells marked; with sheets for worksheet issues and notes."""
+    from .xlsx import WorkbookError, write_workbook
+
+    check_export(ds, findings, accepted, source, path)
+    if too_long_for_excel(ds).limit(1).count():
+        raise WorkbookError("A text is longer than a cell can hold.")
+    rows = reviewed_rows(ds, findings, accepted)
+    out = rows.select(*[ds.text(k).alias(k) for k in ds.keys], *rows.columns[len(ds.keys) :]).orderBy(rows.columns[-2])
+    marked: set[tuple[int, int]] = set()
+
+    def lines():
+        for i, r in enumerate(out.toLocalIterator()):
+            marked.update((i, ds.keys.index(k)) for k in r.affected_columns)
+            yield list(r)[:-1]
+
+    body = list(lines())
+    sheets = {"Reviewed": ([*ds.headers.values(), *out.columns[len(ds.keys) : -1]], body)}
+    issues = [list(r) for r in worksheet_issues(findings).collect()]
+    if issues:
+        sheets["Worksheet issues"] = (["Type", "Severity", "Columns", "Issue", "Action"], issues)
+    if warnings:
+        sheets["Analysis notes"] = (["Note"], [[w] for w in dict.fromkeys(warnings)])
+    return write_workbook(path, sheets, {"Reviewed": marked})

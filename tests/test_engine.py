@@ -184,6 +184,8 @@ def test_anomalies(spark):
     found, drafts = api.scan_anomalies(ds)
     assert [(g.row, g.baseline.condition) for g in found.where("category = 'ATYPICAL_MISSING'").collect()] == [(2, "Shipped")]
     assert any(d.text == 'If Order Status is "Shipped", Tracking must not be empty' for d in drafts)
+    lowered, kept = anomaly.adjudicate(found, drafts, keep_draft=lambda d: d.pillar == "status_dependency", doubt=lambda r: True)
+    assert lowered.where("severity = 'info'").count() == found.where("severity IN ('error', 'critical')").count() and len(kept) == 1
     ds = table(spark, ["CustomerID"], [[i] for i in range(15)])
     assert [r.column for r in anomaly.primary_keys(ds).collect()] == ["customerid"]
 
@@ -210,6 +212,19 @@ def test_xlsx_and_review(spark, tmp_path):
     first = result.findings.where("type = 'MISSING'").first()
     assert first.priority == "high" and first.action == "Call."
     assert api.finding_rows(result, first.id).count() == 1
+    accepted = spark.createDataFrame([(3,)], f"{ROW} long")
+    target = api.reviewed_workbook(ds, result.findings, accepted, str(tmp_path / "out.xlsx"), ["note", "note"], source=path)
+    again = read_dataset(spark, target)
+    assert again.df.count() == 2 and list(again.headers.values())[2:] == ["Action items", "Priority", "Detected issues", "Source row"]
+    with pytest.raises(ValueError):
+        api.reviewed_workbook(ds, result.findings, accepted, path, source=path)
+    with pytest.raises(ValueError):
+        api.reviewed_workbook(ds, result.findings, spark.createDataFrame([(5,)], f"{ROW} long"), target)
+    groups = findings.consolidate(result.findings)
+    assert findings.filter_groups(groups, result.findings, types=["MISSING"]).count() == 1
+    assert findings.evidence_by_row(result.findings).count() == 3
+    decisions = spark.createDataFrame([("x", 2, "accept"), ("y", 3, "accept")], f"analysis string, {ROW} long, decision string")
+    assert findings.decided_rows(decisions, "x", "accept").count() == 1
     with pytest.raises(api.RuleError):
         api.analyze(ds, "Fax is required", DeterministicGate())
     with pytest.raises(WorkbookError):

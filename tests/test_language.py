@@ -95,3 +95,9 @@ def test_gate():
     its = [read("Fax is required", ["Fax"])]
     assert admit(its, DeterministicGate())[0].status == "valid"
     assert admit(its, PredictorGate(lambda text, question: (True, 0.79, False)))[0].status == "unsupported"
+
+
+def test_self_test():
+    from rowsentry.plans.gate import self_test
+
+    assert self_test(DeterministicGate())[0].approved
