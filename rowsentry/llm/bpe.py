@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import small_batches
 
 #: The white space and the word pattern of byte-level pre-tokenisation.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -376,6 +377,8 @@ def _mapped(docs: DataFrame, path: str, result, schema: str) -> DataFrame:
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     types = [kinds[c.split()[1]] for c in schema.split(", ")][1:]
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         codec = loaded(path)
         for batch in batches:
@@ -384,4 +387,4 @@ def _mapped(docs: DataFrame, path: str, result, schema: str) -> DataFrame:
                 columns = zip(*(result(codec, ids) for ids in codec.encode_column(some.column(1))), strict=True)
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.tidy(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import kernels as K
-from .store import materialize, text_volume
+from .store import materialize, small_batches, text_volume
 
 U = np.uint64
 #: Signatures of more sets than this are hot: their sets are not paired by them.
@@ -258,16 +258,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text but never names a component unless all its ids are null, when the component is null.
     Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    info = materialize(docs.mapInArrow(_info, "doc_id long, node long, n long"), "shingle-info")
+    info = materialize(docs.mapInArrow(K.tidy(_info), "doc_id long, node long, n long"), "shingle-info")
     nodes = materialize(info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.max("n").alias("n")), "nodes")
     largest = nodes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     every = bands(percent, largest)
     volume = text_volume(docs)
     parts = max(1, math.ceil(volume * 1.4 / BUCKET_BYTES))
     rows = (
-        docs.select("text").mapInArrow(_emit(percent, largest, parts), "bucket int, entries binary")
-        .groupBy("bucket").applyInArrow(_bucket_rows, "sig long, a long, b long, band int, units long")
+        docs.select("text").mapInArrow(K.tidy(_emit(percent, largest, parts)), "bucket int, entries binary")
+        .groupBy("bucket").applyInArrow(K.tidy_group(_bucket_rows), "sig long, a long, b long, band int, units long")
     )
     rows = materialize(rows, "pigeonhole")
     slack = F.element_at(F.array(*[F.lit(b.slack) for b in every] or [F.lit(0)]), F.col("band") + 1)
@@ -287,7 +288,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comps = comps.join(sizes, "label").join(nodes, "node").select("node", F.col("label").alias("comp"), "members", "weight", "least")
     members = materialize(comps, "candidates")
     chosen = members.select(F.col("least").alias("chosen")).distinct()
-    sets = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.chosen), "left_semi").select("text").mapInArrow(_sets, "node long, tokens binary")
+    sets = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.chosen), "left_semi").select("text").mapInArrow(K.tidy(_sets), "node long, tokens binary")
     cells = max(1, math.ceil(volume / CELL_BYTES))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -298,7 +299,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         .withColumn("cell", F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("comp"), F.lit(cells))).otherwise(F.xxhash64("comp", "i", "j")))
     )
-    links = materialize(placed.select("cell", "node", "comp", "weight", "block", "i", "j", "tokens").groupBy("cell").applyInArrow(_verify(percent), "u long, v long, links long"), "links")
+    links = materialize(placed.select("cell", "node", "comp", "weight", "block", "i", "j", "tokens").groupBy("cell").applyInArrow(K.tidy_group(_verify(percent)), "u long, v long, links long"), "links")
     linked = connected_components(links.select("u", "v"))
     degree = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     final = linked.join(nodes, "node").groupBy("label").agg(F.min("least").alias("component"))

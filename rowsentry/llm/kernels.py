@@ -7,6 +7,7 @@ probability near 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +41,39 @@ def mix_one(x: int) -> int:
     return int(mix(np.array([x & 0xFFFFFFFFFFFFFFFF], dtype=U))[0])
 
 
+def release() -> None:
+    """Give freed memory back to the system; a reused worker would keep it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function over batches that gives its memory back when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """A function over the rows of a group that gives its memory back."""
+
+    def wrapped(key, table):
+        try:
+            return run(key, table)
+        finally:
+            release()
+
+    return wrapped
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 

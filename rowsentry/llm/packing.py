@@ -26,12 +26,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .store import materialize
+from .store import materialize, small_batches
 
 CAPACITY = 2048
 ROUNDS = 400
 #: Cached words of a worker; a full cache is emptied.
-CACHED = 1_000_000
+CACHED = 800_000
 
 
 @dataclass
@@ -252,7 +252,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
                 schema += [("ids", pa.list_(pa.int64()))] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<long>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.tidy(run), PIECES + ", ids array<long>" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
@@ -282,7 +282,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, own)], names=[*batch.schema.names, *placed])
 
     schema = T.StructType([*ranked.schema.fields, *(T.StructField(n, T.LongType()) for n in placed)])
-    return ranked.mapInArrow(place, schema).drop("rank")
+    return ranked.mapInArrow(K.tidy(place), schema).drop("rank")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
@@ -292,4 +292,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, rounds:
     rows of their own; other columns are ignored; an empty table gives no rows. A sequence holds
     its pieces without gaps from 0.
     """
+    small_batches(docs.sparkSession)
     return pack(materialize(tokenized_pieces(docs, path, capacity), "pieces"), capacity, rounds)

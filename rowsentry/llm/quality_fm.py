@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import docstats
 from . import kernels as K
 from .labelled import MAX_ROWS, fold, sample
+from .store import small_batches
 
 WORDS, BINS, RANK = 1 << 14, 16, 6
 SIZE = WORDS + BINS * len(docstats.RATES)
@@ -91,6 +92,8 @@ class FactorisationMachine:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> FactorisationMachine:
     """A machine fitted on at most ``max_rows`` labelled rows, none of them held out."""
 
+    small_batches(docs.sparkSession)
+
     def gather(batches):
         for batch in batches:
             f, v = [], []
@@ -103,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Factori
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary()), batch.column(1), batch.column(2)], names=["f", "v", "label", "doc_id"])
 
     train = sample(docs, labels, "quality", where=fold("doc_id", 3) != 1, max_rows=max_rows)
-    rows = train.select("text", "label", "doc_id").mapInArrow(gather, "f binary, v binary, label int, doc_id long").collect()
+    rows = train.select("text", "label", "doc_id").mapInArrow(K.tidy(gather), "f binary, v binary, label int, doc_id long").collect()
     rows.sort(key=lambda r: (r.doc_id, r.f))
     machine = FactorisationMachine.new()
     y = np.array([r.label for r in rows], np.float64)
@@ -131,7 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(K.tidy(judge), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -144,4 +147,4 @@ def keep_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
             z = [machine.logits(chunk.n, *features(chunk))[0] for chunk in K.chunks(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate([*z, np.zeros(0)]) >= 0))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(K.tidy(keep), docs.schema)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .labelled import MAX_ROWS, fold, sample
+from .store import small_batches
 
 BUCKETS, WIDTH, GRAMS = 1 << 17, 12, (3, 4, 5, 6)
 #: Words of a toxic document that stand for it.
@@ -165,12 +166,14 @@ class SubwordSoftmax:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> SubwordSoftmax | None:
     """A model fitted on at most ``max_rows`` labelled rows, none of them held out; None without labels of both kinds."""
 
+    small_batches(docs.sparkSession)
+
     def gather(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([clean_words(x or "") for x in batch.column(0).to_pylist()], pa.string()), batch.column(1), batch.column(2)], names=["words", "label", "doc_id"])
 
     train = sample(docs, labels, "toxic", where=fold("doc_id", 5) != 0, max_rows=max_rows)
-    rows = train.select("text", "label", "doc_id").mapInArrow(gather, "words string, label int, doc_id long").collect()
+    rows = train.select("text", "label", "doc_id").mapInArrow(K.tidy(gather), "words string, label int, doc_id long").collect()
     rows.sort(key=lambda r: (r.doc_id, r.words))
     y = np.array([r.label for r in rows])
     if not len(rows) or y.min() == y.max():
@@ -218,4 +221,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(K.tidy(judge), "doc_id long, held_out boolean, score double, predicted int")

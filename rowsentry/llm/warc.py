@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .store import fresh_path, materialize
 
 END = "\r\n\r\n"
@@ -175,7 +176,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                     yield _rows(run[k : k + 10_000])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
-    return files.mapInArrow(parse, CAPTURES)
+    return files.mapInArrow(K.tidy(parse), CAPTURES)
 
 
 def merge_captures(captures: DataFrame) -> DataFrame:
@@ -199,7 +200,7 @@ def merge_captures(captures: DataFrame) -> DataFrame:
 
     captures = materialize(captures, "runs")
     ranges = max(1, -(-captures.count() // RANGE_ROWS))
-    return captures.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(merge, CAPTURES)
+    return captures.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(K.tidy(merge), CAPTURES)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
