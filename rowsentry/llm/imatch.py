@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import materialize, text_volume
+from .store import materialize, small_batches, text_volume
 
 U = np.uint64
 #: The band: terms in at least this and at most that share of the documents, and in two at least.
@@ -30,7 +30,8 @@ MOST_TERMS = 1_000_000
 #: Densities of the random subsets, and subsets of each.
 DENSITIES, EACH = (1.0, 1 / 16, 1 / 64, 1 / 256, 1 / 1024), (1, 4, 12, 16, 12)
 BUCKET_BYTES = 4 << 20
-FLUSH = 1_000_000
+#: Terms that a task holds before it counts them.
+FLUSH = 2_000_000
 
 
 @dataclass
@@ -104,7 +105,7 @@ def _count(batches):
                 size += terms.size
                 total += terms.size
                 docs += 1
-        while size > FLUSH * 8:
+        if size > FLUSH:
             yield flush()
             held, size = [], 0
     if held:
@@ -114,7 +115,7 @@ def _count(batches):
 
 def build_lexicon(docs: DataFrame) -> Lexicon:
     """The terms within the band, counted over all documents. At most ``MOST_TERMS`` come to the driver."""
-    counts = materialize(docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    counts = materialize(docs.select("text").mapInArrow(K.tidy(_count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
     whole = {r.term: r.n for r in counts.where(F.col("term").isin(0, 1)).collect()}
     n = whole.get(0, 0)
     if not n:
@@ -134,6 +135,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     hashes. A text without a lexicon term has a fingerprint of its own text, like nothing but
     itself. Other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lexicon = build_lexicon(docs)
     want = max(1, math.ceil(text_volume(docs) / BUCKET_BYTES))
@@ -178,7 +180,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             "near_next": pa.array([likeness(prints[k], prints[k + 1]) for k in n], pa.float64()),
         })
 
-    return both.groupBy("bucket").applyInArrow(run, _SCHEMA)
+    return both.groupBy("bucket").applyInArrow(K.tidy_group(run), _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
