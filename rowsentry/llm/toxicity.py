@@ -85,7 +85,8 @@ class SubwordSoftmax:
         toxic, top = y[order] == 1, top[order]
         gain = np.cumsum(toxic) / toxic.sum() - cost * np.cumsum(~toxic) / (~toxic).sum()
         best = int(np.argmax(gain))
-        cut = (top[best] + (top[best + 1] if best + 1 < len(top) else top[best] - 1)) / 2
+        after = top[best + 1] if best + 1 < len(top) else top[best] - 1
+        cut = after + 0.3 * (top[best] - after)  # nearer to the clean side: misspellings score lower than what they misspell
         self.bias[1] -= np.float32(cut)
 
     def step(self, at: np.ndarray, bucket: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray, rate: float, seen: np.ndarray) -> None:
@@ -111,7 +112,7 @@ class SubwordSoftmax:
         self.weights -= scale * (mean.T @ d)
         self.bias -= scale * d.sum(0)
 
-    def fit(self, docs: list[list[str]], y: np.ndarray, rounds: int = 6, rate: float = 0.05, seed: int = 13, most: int = 150_000) -> None:
+    def fit(self, docs: list[list[str]], y: np.ndarray, rounds: int = 12, rate: float = 0.1, seed: int = 13, most: int = 150_000) -> None:
         """Fit on the distinct words of documents with their labels; each round ranks the toxic documents' words anew."""
         rng = np.random.default_rng(seed)
         clean: dict[str, int] = {}
