@@ -161,40 +161,24 @@ def _stars(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(first, list(keys)).select(F.col(ROW).alias("u"), "v").where("u <> v")
 
 
-def duplicate_edges(ds: Dataset, plan: Plan, pair_limit: int | None = PAIR_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Edges between rows that a duplicate plan matches, and whether the pair ceiling cut it short (one row)."""
-    fuzzy = [m for m in plan.matchers if m.algorithm]
-    spark = ds.df.sparkSession
-    cols = [normalize(ds.text(m.key), m.operations).alias(f"m{i}") for i, m in enumerate(plan.matchers)]
-    df = ds.df.select(ROW, *cols)
+def _blocked(ds: Dataset, plan: Plan) -> tuple[DataFrame, list[str]]:
+    """Rows with their matchers' values and the block within which they are compared: equal exact values, or one block for
+    few rows, or the first letter and a quarter of the length of the first fuzzy value."""
     names = [f"m{i}" for i in range(len(plan.matchers))]
-    none_cut = spark.range(1).select(F.lit(False).alias("cut"))
-    if not fuzzy:
-        if plan.any_of:
-            parts = [_stars(df.where(F.length(n) > 0).select(ROW, n), [n]) for n in names]
-            return reduce(DataFrame.union, parts), none_cut
-        return _stars(df.where(reduce(lambda a, b: a & b, [F.length(n) > 0 for n in names])), names), none_cut
+    df = materialize(ds.df.select(ROW, *[normalize(ds.text(m.key), m.operations).alias(n) for n, m in zip(names, plan.matchers, strict=True)]), "fuzzy")
     exact = [n for n, m in zip(names, plan.matchers, strict=True) if not m.algorithm]
-    lead = names[next(i for i, m in enumerate(plan.matchers) if m.algorithm)]
-    df = materialize(df, "fuzzy")
     if exact:
-        block = F.concat_ws("\u0000", *exact)
-        df = df.where(reduce(lambda a, b: a & b, [F.length(n) > 0 for n in exact]))
-    elif df.count() <= ONE_BLOCK:
-        block = F.lit("all")
-    else:
-        block = F.concat_ws(":", F.lower(F.substring(lead, 1, 1)), F.floor(F.length(lead) / 4).cast("string"))
-    df = df.withColumn("block", block)
-    if pair_limit is not None:
-        stats = df.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
-        before = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2).over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        stats = materialize(stats.withColumn("before", before.cast("long")), "blocks")
-        cut = stats.agg((F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)) > pair_limit).alias("cut"))
-        df = df.join(stats.select("block", "n", "before"), "block").withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy(ROW)) - 1)
+        return df.where(reduce(lambda a, b: a & b, [F.length(n) > 0 for n in exact])).withColumn("block", F.concat_ws("\u0000", *exact)), names
+    lead = names[next(i for i, m in enumerate(plan.matchers) if m.algorithm)]
+    few = df.count() <= ONE_BLOCK
+    return df.withColumn("block", F.lit("all") if few else F.concat_ws(":", F.lower(F.substring(lead, 1, 1)), F.floor(F.length(lead) / 4).cast("string"))), names
+
+
+def _matching(df: DataFrame, plan: Plan, names: list[str], pair_limit: int | None) -> DataFrame:
+    """Pairs of rows of ``df`` within a block that match, the columns of both sides under ``l_`` and ``r_``."""
     # words are split once a row, not once a pair
     df = df.withColumns({f"w_{n}": sim.word_set(F.col(n)) for n, m in zip(names, plan.matchers, strict=True) if m.algorithm == "token_jaccard"})
-    left = df.select(*[F.col(c).alias(f"l_{c}") for c in df.columns])
-    right = df.select(*[F.col(c).alias(f"r_{c}") for c in df.columns])
+    left, right = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side in "lr")
     pairs = left.join(right, (F.col("l_block") == F.col("r_block")) & (F.col(f"l_{ROW}") < F.col(f"r_{ROW}")))
     if pair_limit is not None:
         i, j, n = F.col("l_at").cast("long"), F.col("r_at").cast("long"), F.col("l_n")
@@ -212,8 +196,49 @@ def duplicate_edges(ds: Dataset, plan: Plan, pair_limit: int | None = PAIR_LIMIT
         tests.append(filled & test)
         bounds.append(filled & bound)
     join = (lambda a, b: a | b) if plan.any_of else (lambda a, b: a & b)
-    edges = pairs.where(reduce(join, bounds)).where(reduce(join, tests)).select(F.col(f"l_{ROW}").alias("u"), F.col(f"r_{ROW}").alias("v"))
-    return edges, cut if pair_limit is not None else none_cut
+    return pairs.where(reduce(join, bounds)).where(reduce(join, tests))
+
+
+def duplicate_classes(ds: Dataset, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """A fuzzy plan over classes of rows with the same values, so that each pair of values is compared once.
+
+    Returns the rows with the first row of their class, ``(_row, first)``, and the pairs of classes that match,
+    ``(u, v, rows_u, rows_v)``. Rows of one class match each other.
+    """
+    df, names = _blocked(ds, plan)
+    filled = reduce((lambda a, b: a | b) if plan.any_of else (lambda a, b: a & b), [F.length(n) > 0 for n in names])
+    df = df.where(filled)
+    classes = materialize(df.groupBy("block", *names).agg(F.min(ROW).alias(ROW), F.count(F.lit(1)).alias("rows")), "classes")
+    pairs = _matching(classes, plan, names, None)
+    pairs = pairs.select(F.col(f"l_{ROW}").alias("u"), F.col(f"r_{ROW}").alias("v"), F.col("l_rows").alias("rows_u"), F.col("r_rows").alias("rows_v"))
+    members = df.join(classes.select("block", *names, F.col(ROW).alias("first")), ["block", *names]).select(ROW, "first")
+    return members, pairs
+
+
+def duplicate_edges(ds: Dataset, plan: Plan, pair_limit: int | None = PAIR_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Edges that close a duplicate plan's groups, and whether the pair ceiling cut them short (one row).
+
+    With a ceiling, fuzzy edges are the matching pairs of rows in the order of their blocks; without one, they are stars
+    within classes of equal values and the matching pairs of classes.
+    """
+    none_cut = ds.df.sparkSession.range(1).select(F.lit(False).alias("cut"))
+    if not any(m.algorithm for m in plan.matchers):
+        names = [f"m{i}" for i in range(len(plan.matchers))]
+        df = ds.df.select(ROW, *[normalize(ds.text(m.key), m.operations).alias(n) for n, m in zip(names, plan.matchers, strict=True)])
+        if plan.any_of:
+            return reduce(DataFrame.union, [_stars(df.where(F.length(n) > 0).select(ROW, n), [n]) for n in names]), none_cut
+        return _stars(df.where(reduce(lambda a, b: a & b, [F.length(n) > 0 for n in names])), names), none_cut
+    if pair_limit is None:
+        members, pairs = duplicate_classes(ds, plan)
+        return pairs.select("u", "v").union(members.where(F.col(ROW) != F.col("first")).select(F.col(ROW), "first")), none_cut
+    df, names = _blocked(ds, plan)
+    stats = df.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
+    before = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2).over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    stats = materialize(stats.withColumn("before", before.cast("long")), "blocks")
+    cut = stats.agg((F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)) > pair_limit).alias("cut"))
+    df = df.join(stats.select("block", "n", "before"), "block").withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy(ROW)) - 1)
+    edges = _matching(df, plan, names, pair_limit).select(F.col(f"l_{ROW}").alias("u"), F.col(f"r_{ROW}").alias("v"))
+    return edges, cut
 
 
 def duplicate(ds: Dataset, rule: CompiledRule, limit=None, pair_limit: int | None = PAIR_LIMIT) -> DataFrame:

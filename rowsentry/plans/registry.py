@@ -203,23 +203,26 @@ def duplicate_or(spark, sf_dir):
 
 
 def _fuzzy(spark, sf_dir, algorithm: str, threshold: float, exact: str) -> DataFrame:
+    """Matching classes of parts with the same name, by their first rows and sizes."""
     plan = Plan("duplicate", matchers=(Matcher("p_name", ("trim", "lowercase"), algorithm, threshold), Matcher(exact)))
-    edges, _ = executors.duplicate_edges(parts(spark, sf_dir), plan, None)
-    return edges.groupBy("u").agg(F.count(F.lit(1)).alias("links"), F.min("v").alias("first_v"), F.max("v").alias("last_v"))
+    return executors.duplicate_classes(parts(spark, sf_dir), plan)[1]
 
 
-@query("""SELECT x.p_partkey AS u, count(*) AS links, min(y.p_partkey) AS first_v, max(y.p_partkey) AS last_v FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_partkey < y.p_partkey
-WHERE 1 - levenshtein(lower(trim(x.p_name)), lower(trim(y.p_name))) / greatest(length(trim(x.p_name)), length(trim(y.p_name)))::DOUBLE >= 0.6 GROUP BY 1""")
+_CLASSES = "SELECT p_type, lower(trim(p_name)) AS name, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1, 2"
+
+
+@query(f"""WITH c AS ({_CLASSES}) SELECT x.id AS u, y.id AS v, x.n AS rows_u, y.n AS rows_v FROM c x JOIN c y ON x.p_type = y.p_type AND x.id < y.id
+WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.6""")
 def fuzzy_levenshtein(spark, sf_dir):
     return _fuzzy(spark, sf_dir, "levenshtein", 0.6, "p_type")
 
 
-_TOK = "list_distinct(list_filter(regexp_split_to_array(lower(trim({})), '\\s+'), lambda t: t <> ''))"
+_TOK = "list_distinct(list_filter(regexp_split_to_array({}, '\\s+'), lambda t: t <> ''))"
 
 
-@query(f"""WITH t AS (SELECT p_partkey, p_type, {_TOK.format('p_name')} AS w FROM part)
-SELECT x.p_partkey AS u, count(*) AS links, min(y.p_partkey) AS first_v, max(y.p_partkey) AS last_v FROM t x JOIN t y ON x.p_type = y.p_type AND x.p_partkey < y.p_partkey
-WHERE length(list_intersect(x.w, y.w)) / length(list_distinct(list_concat(x.w, y.w)))::DOUBLE >= 0.3 GROUP BY 1""")
+@query(f"""WITH c AS ({_CLASSES}), t AS (SELECT *, {_TOK.format('name')} AS w FROM c)
+SELECT x.id AS u, y.id AS v, x.n AS rows_u, y.n AS rows_v FROM t x JOIN t y ON x.p_type = y.p_type AND x.id < y.id
+WHERE length(list_intersect(x.w, y.w)) / length(list_distinct(list_concat(x.w, y.w)))::DOUBLE >= 0.3""")
 def fuzzy_token_jaccard(spark, sf_dir):
     return _fuzzy(spark, sf_dir, "token_jaccard", 0.3, "p_type")
 
