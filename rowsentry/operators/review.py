@@ -16,6 +16,7 @@ from ..plans.model import Compilation, Interpretation, priority_of
 from ..sources.dataset import ROW, Dataset
 from .profile import ColumnProfile
 
+#: Fixed value: the confidence from which a model's choice counts.
 SURE = 0.8
 NEXT_STEPS = {
     "review_duplicate": "Compare the records with an authorized source before treating them as one.",
