@@ -36,7 +36,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = jaccard_groups(docs)
     first = materialize(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows")), "kept-ids")
-    named = docs.join(first.select("kept"), docs.doc_id == first.kept, "left_semi")
+    named = docs.join(first.select("kept").hint("merge"), docs.doc_id == first.kept, "left_semi")
     if first.where("rows > 1").limit(1).count():
         named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))

@@ -288,7 +288,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comps = comps.join(sizes, "label").join(nodes, "node").select("node", F.col("label").alias("comp"), "members", "weight", "least")
     members = materialize(comps, "candidates")
     chosen = members.select(F.col("least").alias("chosen")).distinct()
-    sets = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.chosen), "left_semi").select("text").mapInArrow(K.tidy(_sets), "node long, tokens binary")
+    sets = docs.join(chosen.hint("merge"), docs.doc_id.eqNullSafe(chosen.chosen), "left_semi").select("text").mapInArrow(K.tidy(_sets), "node long, tokens binary")
     cells = max(1, math.ceil(volume / CELL_BYTES))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
