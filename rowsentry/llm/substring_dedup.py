@@ -4,8 +4,8 @@ A document's paragraphs are its lines of ``LINE_WORDS`` words or more, and passa
 ``PASSAGE`` words that begin at content-defined anchors (the least word hash of each ``PASSAGE``
 consecutive words), so that a repeated passage is met wherever it stands within other text: any
 51 words hold such a passage whole. Shingles of five words are min-hashed and banded, paragraphs
-that share a band are joined to the band's first, exact Jaccard similarity decides, and of each
-connected component only the first paragraph, by document id and place, stays.
+that share a band are compared, in blocks where they are many, exact Jaccard similarity decides, and
+of each connected component only the first paragraph, by document id and place, stays.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import kernels as K
+from .jaccard_join import overlaps
 from .store import materialize, small_batches, text_volume
 
 U = np.uint64
@@ -27,8 +28,10 @@ LINE_WORDS, PASSAGE = 25, 24
 #: Hash functions and the recall at the threshold to which the bands are tuned.
 LINE_HASHES, PASSAGE_HASHES, LINE_RECALL, PASSAGE_RECALL = 24, 6, 0.99, 0.95
 BUCKET_BYTES = 4 << 20
-#: In a band with this many different contents or fewer, all pairs of contents are joined.
+#: In a band with this many different contents or fewer, pairs of contents are joined; more are compared in blocks.
 PAIRED = 16
+#: Contents in a block, and bytes of their shingles in a block or a cell of small bands.
+BLOCK, CELL_BYTES = 512, 1 << 20
 REMEMBERED = 500_000
 _ENTRY = np.dtype([("sig", "<u4"), ("content", "<i8"), ("node", "<i8"), ("at", "<u4"), ("length", "<u2")])
 _WIDE = np.dtype([("sig64", "<u8"), *[(n, _ENTRY[n]) for n in ("content", "node", "at", "length")]])
@@ -192,8 +195,8 @@ def _join_bucket(key, table):
     """What a bucket's bands bring together.
 
     Paragraphs whose content another text shares come as members (``content_b`` null), once, from
-    the first band. Different contents in a band come as pairs of their first paragraphs: all
-    pairs where they are few, else each with the least and with its neighbour.
+    the first band. Different contents in a band come as pairs of their first paragraphs where they
+    are few; else each comes once with the band in ``hot``, to be compared in blocks.
     """
     e = np.unique(np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()]))
     new_sig = np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]])[: e.size]
@@ -207,14 +210,11 @@ def _join_bucket(key, table):
     member = np.flatnonzero(other[group] & (e["at"] >= _FIRST_BAND))
     begin = np.flatnonzero(new_sig[head])
     many = np.diff(np.append(begin, head.size))
-    left, right = [member], []
-    for n in np.unique(many[many > 1]):
+    hot = head[np.repeat(many > PAIRED, many)]
+    left, right = [member, hot], []
+    for n in np.unique(many[(many > 1) & (many <= PAIRED)]):
         at = begin[many == n]
-        if n <= PAIRED:
-            i, j = np.triu_indices(n, 1)
-        else:
-            i = np.concatenate([np.zeros(n - 1, np.int64), np.arange(1, n - 1)])
-            j = np.concatenate([np.arange(1, n), np.arange(2, n)])
+        i, j = np.triu_indices(n, 1)
         x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
         a, b = head[x], head[y]
         # passages that overlap in one text, and passages that are both shared as they are, need no comparison
@@ -224,8 +224,9 @@ def _join_bucket(key, table):
         left.append(a)
         right.append(b)
     a, b = e[np.concatenate(left)], e[np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64)]
-    gap = pa.nulls(member.size, pa.int64())
-    columns = {}
+    gap = pa.nulls(member.size + hot.size, pa.int64())
+    sig = (int(key[0].as_py()) << 32) + e["sig"][hot].astype(np.int64)
+    columns = {"hot": pa.chunked_array([pa.nulls(member.size, pa.int64()), pa.array(sig), pa.nulls(a.size - member.size - hot.size, pa.int64())]).combine_chunks()}
     for n, x in (("a", a), ("b", b)):
         for f in ("content", "node", "at", "length"):
             value = (x[f] & (_FIRST_BAND - 1) if f == "at" else x[f]).astype(np.int64)
@@ -233,7 +234,7 @@ def _join_bucket(key, table):
     return pa.table(columns)
 
 
-PAIRS = ", ".join(f"{f}_{n} long" for n in "ab" for f in ("content", "node", "at", "length"))
+PAIRS = "hot long, " + ", ".join(f"{f}_{n} long" for n in "ab" for f in ("content", "node", "at", "length"))
 
 
 def _tokens(batches):
@@ -269,6 +270,47 @@ def _similar(percent: int):
     return run
 
 
+def _block_links(percent: int):
+    """Within a cell: for contents of different texts that similar ones connect, a star that connects them too."""
+
+    def run(key, table):
+        content, node, hot, i, j, block = (table.column(c).to_numpy() for c in ("content", "node", "hot", "i", "j", "block"))
+        tokens = table.column("tokens").to_pylist()
+        order = np.lexsort((block, j, i, hot))
+        cuts = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (hot, i, j)], axis=0)) + 1
+        out: list[tuple[int, int]] = []
+        for group in np.split(order, cuts):
+            one = i[group[0]] == j[group[0]]
+            left = group if one else group[block[group] == i[group[0]]]
+            right = group if one else group[block[group] == j[group[0]]]
+            if not left.size or not right.size:
+                continue
+            ls, rs = ([np.frombuffer(tokens[k], np.uint32) for k in side] for side in (left, right))
+            ln, rn = (np.array([x.size for x in side]) for side in (ls, rs))
+            if one:  # a shingle of one content is in no intersection of two
+                value, times = np.unique(np.concatenate(ls), return_counts=True)
+                value = value[times > 1]
+                ls = rs = [np.intersect1d(x, value, assume_unique=True) for x in ls]
+            common = overlaps(ls, rs)
+            link = (100 * common >= percent * (ln[:, None] + rn[None, :] - common)) & (node[left][:, None] != node[right][None, :])
+            u, v = content[left], content[right]
+            free_u, free_v = link.any(1), link.any(0)
+            for p in range(left.size):
+                if not free_u[p]:
+                    continue
+                rows, free_u[p] = np.array([p]), False
+                while rows.size:
+                    cols = np.flatnonzero(link[rows].any(0) & free_v)
+                    free_v[cols] = False
+                    out += [(u[p], x) for x in v[cols]]
+                    rows = np.flatnonzero(link[:, cols].any(1) & free_u)
+                    free_u[rows] = False
+                    out += [(u[p], x) for x in u[rows]]
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs``: ``(doc_id, node, n_words, least)``; per text with repeats: its repeated paragraphs.
 
@@ -283,7 +325,8 @@ def repeated_spans(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     met = materialize(docs.select("text").mapInArrow(K.tidy(_emit(buckets)), "bucket int, entries binary").groupBy("bucket").applyInArrow(K.tidy_group(_join_bucket), PAIRS), "bands")
     pairs = materialize(met.where("content_b IS NOT NULL").groupBy("content_a", "content_b").agg(*[F.min(F.struct(f"node_{n}", f"at_{n}", f"length_{n}")).alias(n) for n in "ab"]), "pairs")
     side = lambda n: pairs.select(F.col(f"content_{n}").alias("content"), F.col(f"{n}.node_{n}").alias("node"), F.col(f"{n}.at_{n}").alias("at"), F.col(f"{n}.length_{n}").alias("length"))
-    heads = side("a").union(side("b")).groupBy("content").agg(F.min(F.struct("node", "at", "length")).alias("h")).select("content", "h.*")
+    hot = met.where("hot IS NOT NULL").select("hot", F.col("content_a").alias("content"), F.col("node_a").alias("node"), F.col("at_a").alias("at"), F.col("length_a").alias("length"))
+    heads = side("a").union(side("b")).union(hot.drop("hot")).groupBy("content").agg(F.min(F.struct("node", "at", "length")).alias("h")).select("content", "h.*")
     heads = materialize(heads, "heads")
     need = heads.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "length", "content"))).alias("units")).join(nodes, "node")
     need = materialize(need, "wanted").withColumnRenamed("least", "of")
@@ -293,8 +336,18 @@ def repeated_spans(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     right = tokens.select(F.col("content").alias("v"), F.col("tokens").alias("right"))
     halves = materialize(pairs.select(F.col("content_a").alias("u"), F.col("content_b").alias("v")).join(left, "u"), "halves")
     links = halves.join(right, "v").select("u", "v", "left", "right").mapInArrow(K.tidy(_similar(percent)), "u long, v long")
-    labels = connected_components(links).withColumnRenamed("node", "of")
-    shared = met.where("content_b IS NULL").select(F.col("content_a").alias("content"), F.col("node_a").alias("node"), F.col("at_a").alias("at"), F.col("length_a").alias("length"))
+    cells = max(1, math.ceil(hot.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] * 4 / CELL_BYTES))
+    blocks = hot.groupBy("hot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("length") * 4 / CELL_BYTES)).cast("int").alias("blocks"))
+    placed = (
+        hot.select("hot", "content", "node").join(blocks, "hot").join(tokens, "content")
+        .withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        .withColumn("cell", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hot"), F.lit(cells))).otherwise(F.xxhash64("hot", "i", "j")))
+    )
+    within = placed.select("cell", "hot", "content", "node", "block", "i", "j", "tokens").groupBy("cell").applyInArrow(K.tidy_group(_block_links(percent)), "u long, v long")
+    labels = connected_components(materialize(links.union(within), "similar")).withColumnRenamed("node", "of")
+    shared = met.where("content_b IS NULL AND hot IS NULL").select(F.col("content_a").alias("content"), F.col("node_a").alias("node"), F.col("at_a").alias("at"), F.col("length_a").alias("length"))
     alone = heads.join(labels.select(F.col("of").alias("content")), "content", "left_semi").select("content", "node", "at", "length")
     member = shared.union(alone).distinct().join(labels, F.col("content") == F.col("of"), "left").select("node", "at", "length", F.coalesce("label", "content").alias("label"))
     member = materialize(member.join(nodes, "node"), "members")

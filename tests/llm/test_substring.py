@@ -68,3 +68,17 @@ def test_bands_reach_their_recall():
     for hashes, recall in ((24, 0.99), (6, 0.95)):
         bands, rows = D.tune(hashes, recall)
         assert 1 - (1 - 0.8**rows) ** bands >= recall and bands * rows <= hashes
+
+
+def test_many_edited_copies_of_a_line(spark):
+    r = random.Random(8)
+    base = r.choices([f"w{k}" for k in range(5000)], k=50)
+    lines = [base] + [[*base[:k], f"edit{i}", *base[k + 1 :]] for i in range(300) for k in [r.randrange(20, 30)]]
+    grams = [{tuple(x[k : k + 5]) for k in range(46)} for x in lines]
+    for g in grams[1:]:
+        assert 100 * len(g & grams[0]) >= 80 * len(g | grams[0])
+    # the original comes last, so that no order of ids brings it to the others first
+    rows = [(1000 - i, " ".join(x)) for i, x in enumerate(lines)]
+    got = {x.doc_id: x for x in D.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {x.component_id for x in got.values()} == {700}
+    assert [i for i, x in got.items() if x.removed_words == 0] == [700]
