@@ -25,8 +25,11 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.5 or more."""
-    return quality_fm.keep_documents(docs, table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier scores 0.5 or more.
+
+    It is fitted on the whole table: the rules leave hardly a poor document among the labelled ones.
+    """
+    return quality_fm.keep_documents(docs, table(spark, sf_dir, "labels"), fit_on=table(spark, sf_dir, "documents"))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

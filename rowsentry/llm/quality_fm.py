@@ -137,9 +137,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(K.tidy(judge), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score 0.5 or more, with all their columns; nothing is shuffled."""
-    machine = fit(docs, labels, max_rows)
+def keep_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, fit_on: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns; nothing is shuffled.
+
+    The machine is fitted on the labelled rows of ``fit_on``, or of ``docs`` if there is none.
+    """
+    machine = fit(docs if fit_on is None else fit_on, labels, max_rows)
     at = docs.columns.index("text")
 
     def keep(batches):

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from rowsentry.llm.jaccard_join import jaccard_groups
+from rowsentry.llm.quality_fm import score_quality
 
 
 def test_stages(spark):
@@ -30,3 +31,16 @@ def test_stages_take_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
         stage(spark, docs, "/root/testdata/sf0.001").collect()
+
+
+def test_classifier_stage_is_fitted_on_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    poor = {r.doc_id for r in score_quality(docs, labels).where("predicted = 0").select("doc_id").collect()}
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    # what the rules leave: no labelled poor document, poor ones without a label among the rest
+    left = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    ids = {r.doc_id for r in left.select("doc_id").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.classifier_stage(spark, left, sf_dir).select("doc_id").collect()}
+    assert ids & poor and kept == ids - poor
+    assert any(i not in quality for i in ids - kept)
