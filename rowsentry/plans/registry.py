@@ -202,6 +202,14 @@ def duplicate_or(spark, sf_dir):
     return groups_of(executors.run_rules(Dataset.from_df(df, row="s_suppkey"), [rule(plan)]))
 
 
+@query()
+def duplicate_or_all(spark, sf_dir):
+    """``duplicate_or`` over every supplier; the recursive SQL is too slow there, so tests hold this against brute force."""
+    df = load(spark, sf_dir, "supplier").select("s_suppkey", F.expr("concat('n', s_suppkey % 40)").alias("a"), F.expr("concat('k', s_suppkey * 7 % 30)").alias("b"))
+    plan = Plan("duplicate", matchers=(Matcher("a"), Matcher("b")), any_of=True)
+    return groups_of(executors.run_rules(Dataset.from_df(df, row="s_suppkey"), [rule(plan)]))
+
+
 def _fuzzy(spark, sf_dir, algorithm: str, threshold: float, exact: str) -> DataFrame:
     """Matching classes of parts with the same name, by their first rows and sizes."""
     plan = Plan("duplicate", matchers=(Matcher("p_name", ("trim", "lowercase"), algorithm, threshold), Matcher(exact)))
@@ -389,6 +397,12 @@ def components(spark, sf_dir):
     return connected_components(edges)
 
 
+@query()
+def components_all(spark, sf_dir):
+    """``components`` over every supplier; tests hold this against brute force."""
+    return connected_components(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), F.expr("s_suppkey * 2 % 50").alias("v")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
