@@ -5,7 +5,8 @@ A document's paragraphs are its lines of ``LINE_WORDS`` words or more, and passa
 consecutive words), so that a repeated passage is met wherever it stands within other text: any
 51 words hold such a passage whole. Shingles of five words are min-hashed and banded, paragraphs
 that share a band are compared, in blocks where they are many, exact Jaccard similarity decides, and
-of each connected component only the first paragraph, by document id and place, stays.
+of each connected component only the first paragraph, by document id and place, stays. What goes is
+extended word by word as far as an earlier text with a paragraph of the component reads the same.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ REMEMBERED = 500_000
 _ENTRY = np.dtype([("sig", "<u4"), ("content", "<i8"), ("node", "<i8"), ("at", "<u4"), ("length", "<u2")])
 _WIDE = np.dtype([("sig64", "<u8"), *[(n, _ENTRY[n]) for n in ("content", "node", "at", "length")]])
 _FIRST_BAND = 1 << 31
+#: Repeated words beside a paragraph that hold no whole passage of their own are fewer.
+BESIDE = 2 * PASSAGE - 1
 #: A longer line is cut into paragraphs of so many words.
 MOST_WORDS = 60_000
 
@@ -311,11 +314,76 @@ def _block_links(percent: int):
     return run
 
 
+def _ends(batches):
+    """The sides (0 left, 1 right) of removed spans that lie within BESIDE words of the end of their run.
+
+    The outermost span may be aligned with a similar passage some words off, so the others count too.
+    """
+    for batch in batches:
+        out: list[tuple] = []
+        for node, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, end = (np.array(x, np.int64) for x in zip(*[(x["at"], x["at"] + x["length"]) for x in spans], strict=True))
+            for side, begin, stop in ((0, at, end), (1, -end, -at)):
+                order = np.argsort(begin, kind="stable")
+                reach = np.append(-(1 << 62), np.maximum.accumulate(stop[order])[:-1])
+                run = np.maximum.accumulate(np.where(begin[order] > reach, begin[order], -(1 << 62)))
+                out += [(node, spans[k]["at"], spans[k]["length"], spans[k]["label"], side) for k in order[begin[order] - run < BESIDE]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((*[pa.int64()] * 4, pa.int32()))], names=["node", "at", "length", "label", "side"])
+
+
+def _contexts(batches):
+    """For each wanted side of a paragraph, the hashes of its label with the next 1 to BESIDE words there."""
+    for batch in batches:
+        wanted, node, least = (batch.column(k).to_pylist() for k in (1, 2, 3))
+        for chunk in K.chunks(batch.column(0)):
+            own, low = _node(chunk), chunk.lower()
+            start, end, first = low.words()
+            word = low.hashes(start, end)
+            units = [(i, w) for i in range(chunk.n) if own[i] == node[chunk.first + i] for w in wanted[chunk.first + i]]
+            if not units:
+                continue
+            row = np.array([i for i, _ in units])
+            at, length, label, side = (np.array([w[n] for _, w in units], np.int64) for n in ("at", "length", "label", "side"))
+            need = np.array([w["need"] for _, w in units])
+            place, step = first[row] + np.where(side == 1, at + length, at - 1), np.where(side == 1, 1, -1)
+            h, live = K.mix(label.astype(U) * U(2) + side.astype(U)), np.arange(row.size)
+            for k in range(BESIDE):
+                x = place[live] + k * step[live]
+                inside = (x >= first[row[live]]) & (x < first[row[live] + 1])
+                live, x = live[inside], x[inside]
+                if not live.size:
+                    break
+                h[live] = K.mix(h[live] * U(0x9E3779B97F4A7C15) + word[x])
+                r = chunk.first + row[live]
+                columns = [(h[live] >> U(1)).astype(np.int64), np.array([node[i] for i in r], np.int64), at[live], length[live], side[live], np.full(live.size, k + 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(need[live]), pa.array([least[i] for i in r], pa.int64())], names=["key", "node", "at", "length", "side", "words", "need", "least"])
+
+
+def _extended(docs: DataFrame, nodes: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` with ``left`` and ``right``: words beside a removed one that an earlier text has beside its own, and the ids of the first such texts."""
+    runs = spans.where(~F.col("kept")).groupBy("node").agg(F.collect_list(F.struct("at", "length", "label")).alias("spans"))
+    ends = materialize(runs.mapInArrow(K.tidy(_ends), "node long, at long, length long, label long, side int"), "ends")
+    sides = spans.select("node", "at", "length", "label", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).join(ends.select("label", "side").distinct(), ["label", "side"], "left_semi")
+    units = sides.join(ends.withColumn("need", F.lit(True)), ["node", "at", "length", "label", "side"], "left").withColumn("need", F.coalesce("need", F.lit(False)))
+    units = units.groupBy("node").agg(F.collect_list(F.struct("at", "length", "label", "side", "need")).alias("units")).join(nodes, "node")
+    units = materialize(units, "beside").withColumnRenamed("least", "of")
+    keys = docs.join(units.hint("merge"), docs.doc_id.eqNullSafe(units.of)).select("text", "units", "node", "of").mapInArrow(K.tidy(_contexts), "key long, node long, at long, length long, side long, words long, need boolean, least long")
+    keys = materialize(keys, "contexts")
+    first = keys.groupBy("key").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "node")).alias("first"), F.max("need").alias("need")).where("need").select("key", "first")
+    found = keys.where("need").join(first, "key").where(F.col("first.node") != F.col("node")).groupBy("node", "at", "length")
+    of = lambda side: F.when(F.col("side") == side, F.struct("words", F.col("first.least").alias("doc")))
+    found = materialize(found.agg(F.max(of(0)).alias("to_left"), F.max(of(1)).alias("to_right")), "extended")
+    return spans.join(found, ["node", "at", "length"], "left").select(
+        *spans.columns, *[F.coalesce(f"to_{n}.words", F.lit(0)).alias(n) for n in ("left", "right")], F.array_compact(F.array("to_left.doc", "to_right.doc")).alias("others")
+    )
+
+
 def repeated_spans(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs``: ``(doc_id, node, n_words, least)``; per text with repeats: its repeated paragraphs.
 
     The second table holds ``node``, ``spans`` (word offset, words, the id of the document that keeps
-    the paragraph, whether this text keeps it) and ``class`` (texts linked by paragraphs).
+    the paragraph, whether this text keeps it, the repeated words beside it and the documents that
+    keep those) and ``class`` (texts linked by paragraphs).
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -353,21 +421,18 @@ def repeated_spans(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     member = materialize(member.join(nodes, "node"), "members")
     order = F.struct(F.col("least").isNull().alias("last"), "least", "node", "at")
     keeper = materialize(member.groupBy("label").agg(F.min(order).alias("first")).select(F.col("label").alias("of"), F.col("first.node").alias("first_node"), F.col("first.least").alias("first_doc")), "keepers")
-    spans = member.join(keeper, member.label == keeper.of).select("node", "at", "length", "first_doc", "first_node", (F.col("first_node") == F.col("node")).alias("kept"))
+    spans = member.join(keeper, member.label == keeper.of).select("node", "at", "length", "label", "first_doc", "first_node", (F.col("first_node") == F.col("node")).alias("kept"))
     spans = materialize(spans, "spans")
     classes = connected_components(spans.where(~F.col("kept")).select(F.col("node").alias("u"), F.col("first_node").alias("v")).distinct())
     least = classes.join(nodes, "node").groupBy("label").agg(F.min("least").alias("class"))
     classes = classes.join(least, "label").select("node", "class")
-    per_text = spans.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "length", "first_doc", "kept"))).alias("spans")).join(classes, "node", "left")
+    per_text = _extended(docs, nodes, spans).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "length", "first_doc", "kept", "left", "right", "others"))).alias("spans")).join(classes, "node", "left")
     return info.join(nodes, "node", "left"), materialize(per_text, "per-text")
 
 
 def _merged(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s in spans:
-        if s["kept"]:
-            continue
-        a, b = s["at"], s["at"] + s["length"]
+    for a, b in sorted((s["at"] - s["left"], s["at"] + s["length"] + s["right"]) for s in spans if not s["kept"]):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -395,7 +460,7 @@ def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 doc, n, least, spans = (rows[k][i] for k in ("doc_id", "n_words", "least", "spans"))
                 spans, copy = spans or [], n >= PASSAGE and doc is not None and least is not None and doc != least
                 runs = [(0, n)] if copy else _merged(spans)
-                by = {least} if copy else {s["first_doc"] for s in spans if not s["kept"]}
+                by = {least} if copy else {x for s in spans if not s["kept"] for x in (s["first_doc"], *s["others"])}
                 cls = rows["class"][i]
                 ids = [x for x in (cls, least if n >= PASSAGE else doc, doc) if x is not None]
                 out.append((doc, n, len(spans) + copy, len(runs), sum(b - a for a, b in runs), sorted(x for x in by if x is not None), min(ids, default=None)))

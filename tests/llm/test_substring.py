@@ -82,3 +82,29 @@ def test_many_edited_copies_of_a_line(spark):
     got = {x.doc_id: x for x in D.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert {x.component_id for x in got.values()} == {700}
     assert [i for i, x in got.items() if x.removed_words == 0] == [700]
+
+
+def test_whole_planted_passages_go(spark):
+    r = random.Random(6)
+    rows, own, sizes = [], {}, {}
+    for i in range(60):
+        words = [f"d{i}x{k}" for k in range(r.randrange(40, 200))]
+        p, k = i % 12, r.randrange(len(words) + 1)
+        passage = [f"p{p}x{j}" for j in range(51 + 5 * p)]
+        rows.append((i, " ".join(words[:k] + passage + words[k:])))
+        own[i], sizes[i] = words, len(passage)
+    # the first text has only the middle of a passage that the second and the third have whole
+    long = [f"q{j}" for j in range(90)]
+    for i, (part, name) in enumerate(((long[12:78], "e"), (long, "f"), (long, "g"))):
+        own[100 + i] = [f"{name}{k}" for k in range(60)]
+        rows.append((100 + i, " ".join(own[100 + i][:30] + part + own[100 + i][30:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x for x in D.report(df).collect()}
+    out = {x.doc_id: x.text.split() for x in D.remove_repeats(df).collect()}
+    # a passage that reaches two words beyond the repeat at one end is still similar at 0.8
+    for i in range(12, 60):
+        assert set(out[i]) <= set(own[i]) and len(own[i]) - len(out[i]) <= 4 and i % 12 in got[i].kept_by
+        assert got[i].removed_words == len(own[i]) + sizes[i] - len(out[i])
+    assert not set(out[101]) & set(long[12:78]) and set(long[:10] + long[80:]) <= set(out[101]) and 100 in got[101].kept_by
+    assert set(out[102]) <= set(own[102]) and len(out[102]) >= 56 and {100, 101} <= set(got[102].kept_by)
+    assert all(got[i].removed_words == 0 for i in [*range(12), 100])
