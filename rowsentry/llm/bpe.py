@@ -13,7 +13,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .spans import SpanNumbers
 from .store import small_batches
 
 #: The white space and the word pattern of byte-level pre-tokenisation.
@@ -80,6 +81,7 @@ class SpeculativeBpe:
         self.bytes_of = {int(i): t for i, t in zip(self.id_of, self.order, strict=True)} | {i: s.encode() for s, i in self.specials.items()}
         self.decimals = Spelling({i: b",%d" % i for i in self.bytes_of})
         self.spellings = Spelling(self.bytes_of)
+        self.numbers = SpanNumbers(CACHED)
         self._forget()
         self._words: dict[str, tuple[int, ...]] = {}
         self._whole: dict[int, bool] = {}
@@ -239,8 +241,8 @@ class SpeculativeBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.start, self.end = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+        self.flat, self.start = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.count = self.end = 0
 
     def _odd(self, chunk: K.Chunk) -> np.ndarray:
         """Rows that can't be cut at their spaces: with white space next to white space, or beyond ASCII, or a special token."""
@@ -283,18 +285,11 @@ class SpeculativeBpe:
             stop = np.append(begin[1:], chunk.raw.size)[keep]
             begin = begin[keep]
             first = np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(first)))])
-            kind, where, back = np.unique(chunk.hashes(begin, stop), return_index=True, return_inverse=True)
-            keys = kind.tolist()
-            place = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-            new = np.flatnonzero(place < 0)
-            if new.size and len(self.known) + new.size > CACHED:
+            piece, fresh, new = self.numbers.numbers(chunk, begin, stop)
+            if fresh < self.count:  # the numbers began anew
                 self._forget()
-                new = np.arange(len(keys))
-            if new.size:
-                place[new] = len(self.known) + np.arange(new.size)
-                raw = chunk.raw.tobytes()
-                self._store([keys[k] for k in new], [raw[begin[where[k]] : stop[where[k]]].decode("utf-8", "replace") for k in new])
-            piece = place[back]
+            if new:
+                self._store([w.decode("utf-8", "replace") for w in new])
             at, size = self.start[piece], self.start[piece + 1] - self.start[piece]
             total = np.concatenate([[0], np.cumsum(size)])
             ids = self.flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
@@ -302,7 +297,8 @@ class SpeculativeBpe:
             for k in range(chunk.n):
                 yield np.array(next(slow), np.int32) if odd[k] else ids[total[first[k]] : total[first[k + 1]]]
 
-    def _store(self, keys: list[int], pieces: list[str]) -> None:
+    def _store(self, pieces: list[str]) -> None:
+        """Encode pieces and keep their ids under the next numbers."""
         cut = [WORD.findall(p) for p in pieces]
         if len(self._words) > CACHED:
             self._words.clear()
@@ -315,13 +311,13 @@ class SpeculativeBpe:
             sizes.append(len(ids) - before)
         while self.end + len(ids) > self.flat.size:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.known) + len(keys) + 1 > self.start.size:
+        while self.count + len(pieces) + 1 > self.start.size:
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.flat[self.end : self.end + len(ids)] = ids
-        at = len(self.known)
-        self.start[at : at + len(keys) + 1] = self.end + np.concatenate([[0], np.cumsum(sizes)])
+        at = self.count
+        self.start[at : at + len(pieces) + 1] = self.end + np.concatenate([[0], np.cumsum(sizes)])
         self.end += len(ids)
-        self.known.update(zip(keys, range(at, at + len(keys)), strict=True))
+        self.count += len(pieces)
 
 
 class Spelling:

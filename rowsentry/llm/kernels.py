@@ -1,13 +1,16 @@
 """Vectorised text kernels over Arrow batches: words, lines, shingles and their 64-bit hashes.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. In UTF-8 those bytes never occur
-inside a longer character, so the work is done on bytes. Two different words share a hash with a
-probability near 2**-64.
+inside a longer character, so the work is done on bytes. A span's bytes go through a non-linear
+mix eight at a time (longer spans through BLAKE2b), so no structure of a text makes two words
+collide: different spans share a hash with a probability near 2**-64. Where a wrong answer would
+follow, ``equal_spans`` compares the bytes themselves.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes handled at once; a longer single text is a chunk of its own.
 CHUNK = 1 << 20
 SHINGLE = 5
@@ -74,17 +75,49 @@ def tidy_group(run):
     return wrapped
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POWERS.get("n", np.zeros(0)).size < n:
-        size = max(n, CHUNK + (1 << 16))
-        for name, base in (("n", _BASE), ("inverse", _INVERSE)):
-            x = np.full(size, base, dtype=U)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["n"][:n], _POWERS["inverse"][:n]
+#: Spans of more bytes are hashed and compared whole.
+LONG = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+
+
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the last byte."""
+    padded = np.zeros(raw.size + 16, np.uint8)
+    padded[: raw.size] = raw
+    return np.ndarray((raw.size + 8,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, view: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; ``view`` is ``lanes(raw)``."""
+    size = (end - start).astype(np.int64)
+    h = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while live.size:
+        rest = size[live] - at
+        h[live] = mix(h[live] ^ (view[start[live] + at] & _MASK[np.minimum(rest, 8)]))
+        live, at = live[rest > 8], at + 8
+    whole = memoryview(raw)
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(whole[int(start[k]) : int(end[k])], digest_size=8).digest(), "little")
+    return h
+
+
+def equal_spans(view: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each span of one run of bytes equals its span of another, byte by byte."""
+    same = size == length
+    live, at = np.flatnonzero(same & (size > 0) & (size <= 4096)), 0
+    while live.size:
+        rest = size[live] - at
+        mask = _MASK[np.minimum(rest, 8)]
+        equal = (view[start[live] + at] & mask) == (other[begin[live] + at] & mask)
+        same[live[~equal]] = False
+        live, at = live[equal & (rest > 8)], at + 8
+    for k in np.flatnonzero(same & (size > 4096)).tolist():
+        n = int(size[k]) // 8
+        a, b = view[int(start[k]) :: 8][:n], other[int(begin[k]) :: 8][:n]
+        tail = int(size[k]) - 8
+        same[k] = bool((a == b).all() and view[int(start[k]) + tail] == other[int(begin[k]) + tail])
+    return same
 
 
 @dataclass
@@ -94,7 +127,7 @@ class Chunk:
     first: int
     raw: np.ndarray
     row: np.ndarray
-    _prefix: np.ndarray | None = None
+    _lanes: np.ndarray | None = None
 
     @property
     def n(self) -> int:
@@ -106,11 +139,13 @@ class Chunk:
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of each span of bytes."""
-        power, inverse = _powers(self.raw.size + 1)
-        if self._prefix is None:
-            self._prefix = np.zeros(self.raw.size + 1, dtype=U)
-            np.cumsum((self.raw.astype(U) + U(1)) * power[:-1], out=self._prefix[1:])
-        return mix((self._prefix[end] - self._prefix[start]) * inverse[start] + (end - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
+        return span_hashes(self.raw, self.lanes, start, end)
+
+    @property
+    def lanes(self) -> np.ndarray:
+        if self._lanes is None:
+            self._lanes = lanes(self.raw)
+        return self._lanes
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each word, and the index of the first word of each row (n + 1 entries)."""

@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import kernels as K
+from .spans import SpanNumbers
 from .store import materialize, small_batches
 
 CAPACITY = 2048
@@ -164,14 +164,15 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.numbers = SpanNumbers(CACHED)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
         self.flat, self.start = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
-        self.end = 0
+        self.count = self.end = 0
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
+        """Encode words and keep their ids under the next numbers."""
         plain = [k for k, w in enumerate(words) if self.MARK not in w] if self.mark is not None else []
         odd = sorted(set(range(len(words))) - set(plain))
         found: list[np.ndarray] = [np.zeros(0, "<u4")] * len(words)
@@ -188,31 +189,24 @@ class WordEncoder:
         size = sum(x.size for x in found)
         while self.end + size > self.flat.size:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.known) + len(words) + 1 > self.start.size:
+        while self.count + len(words) + 1 > self.start.size:
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         if size:
             self.flat[self.end : self.end + size] = np.concatenate(found)
-        at = len(self.known)
+        at = self.count
         self.start[at : at + len(words) + 1] = self.end + np.concatenate([[0], np.cumsum([x.size for x in found])])
         self.end += size
-        self.known.update(zip(hashes, range(at, at + len(words)), strict=True))
+        self.count += len(words)
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a string column; null counts as empty."""
         for chunk in K.chunks(column):
             start, end, first = chunk.spans((chunk.raw != 32) & (chunk.raw != 10))
-            kind, where, back = np.unique(chunk.hashes(start, end), return_index=True, return_inverse=True)
-            keys = kind.tolist()
-            place = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-            new = np.flatnonzero(place < 0)
-            if new.size and len(self.known) + new.size > CACHED:
+            word, fresh, new = self.numbers.numbers(chunk, start, end)
+            if fresh < self.count:  # the numbers began anew
                 self.clear()
-                new = np.arange(len(keys))
-            if new.size:
-                raw = chunk.raw.tobytes()
-                place[new] = len(self.known) + np.arange(new.size)
-                self.learn([keys[i] for i in new], [raw[start[where[i]] : end[where[i]]].decode("utf-8", "replace") for i in new])
-            word = place[back]
+            if new:
+                self.learn([w.decode("utf-8", "replace") for w in new])
             begin, size = self.start[word], self.start[word + 1] - self.start[word]
             total = np.concatenate([[0], np.cumsum(size)])
             ids = self.flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]

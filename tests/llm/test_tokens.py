@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from rowsentry.llm import bpe, packing
+from rowsentry.llm import kernels as K
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", "  ", " a", "a  b   c\n\n d", "x<|endoftext|> y <|endoftext|><|endoftext|>z", "\x1c a\x1d\x85b\xa0 c", "日本語 テスト 123 ½", "it's 's 'S don't", "a\t b \n", "é" * 50, "a" * 5000, "　 x y", "ΑΣ ΟΔΟΣ.", "İstanbul ǅ", "\x01 a \x01", "a ́x"]
@@ -48,12 +49,32 @@ def _library():
 
 def test_bpe_on_odd_texts_and_cache_limits(codec, library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED", 8)
+    monkeypatch.setattr(codec.numbers, "limit", 8)
     r = random.Random(1)
     texts = ODD + ["".join(r.choices("abcdefg \n'é1", k=60)) for _ in range(300)]
     got = [x.tolist() for x in codec.encode_column(pa.array(texts))]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] == codec.encode_batch(texts)
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_words_that_share_a_hash(codec, library, monkeypatch, bits):
+    whole = K.span_hashes
+    monkeypatch.setattr(K, "span_hashes", lambda *a: whole(*a) & K.U(2**bits - 1))
+    codec.numbers.clear()
+    codec._forget()
+    r = random.Random(7)
+    texts = ODD + [" ".join("".join(r.choices("abcé", k=r.randrange(1, 12))) for _ in range(80)) for _ in range(40)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in codec.encode_column(pa.array(texts))] == want
+    words, other = packing.WordEncoder(WORD), Tokenizer.from_file(WORD)
+    for _ in range(2):
+        assert [x.tolist() for x in words.encode(pa.array(texts))] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.undo()
+    codec.numbers.clear()
+    codec._forget()
+
+
 def test_pair_check_against_merging(codec):
     import numpy as np
 
