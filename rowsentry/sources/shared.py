@@ -5,17 +5,18 @@ A lost executor costs nothing that was materialised; ``localCheckpoint`` is neve
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is configured (tests), a folder of our own."""
+    """The folder that the whole cluster shares. On one machine without one, a folder beside the warehouse."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="rowsentry-shared-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -28,4 +29,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write and reread ``df``; the result has no lineage beyond the files."""
     path = fresh_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these; nothing that is still to be computed may read them."""
+    for df in tables:
+        path = getattr(df, "_written_to", None) if "_written_to" in vars(df) else None
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
