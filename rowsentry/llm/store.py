@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import fresh_path, materialize, shared_dir
+from ..sources.shared import discard, fresh_path, materialize, shared_dir
 
-__all__ = ["fresh_path", "materialize", "shared_dir", "small_batches", "table", "text_volume"]
+__all__ = ["discard", "fresh_path", "materialize", "shared_dir", "small_batches", "table", "text_volume"]
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

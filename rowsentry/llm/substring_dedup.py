@@ -1,17 +1,22 @@
 """Removal of passages that repeat across documents: paragraph MinHash banding.
 
-A document's paragraphs are its lines of ``LINE_WORDS`` words or more, and passages of
-``PASSAGE`` words that begin at content-defined anchors (the least word hash of each ``PASSAGE``
-consecutive words), so that a repeated passage is met wherever it stands within other text: any
-51 words hold such a passage whole. Shingles of five words are min-hashed and banded, paragraphs
-that share a band are compared, in blocks where they are many, exact Jaccard similarity decides, and
-of each connected component only the first paragraph, by document id and place, stays. What goes is
-extended word by word as far as an earlier text with a paragraph of the component reads the same.
+A document's paragraphs are its lines of ``least_words`` words or more and, of lines longer than
+``CUT_FROM`` words, the pieces between content-defined words, so that an insertion moves no other
+cut. Their five-word shingles are min-hashed and banded; paragraphs that share a band are compared
+by exact Jaccard similarity, in blocks where they are many, and similar ones form components.
+
+A repeat may also stand anywhere within other text. So passages of half of ``least_words`` words
+begin at content-defined anchors (the least word hash of as many consecutive words): any
+``least_words`` repeated words hold one whole, and equal passages are one component.
+
+Of each component the first paragraph, by document id and place, stays. What goes is extended word
+by word as far as the text that keeps it reads the same, and goes if at least ``least_words`` words
+in a row repeat one text.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +26,26 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from . import kernels as K
 from .jaccard_join import overlaps
-from .store import materialize, small_batches, text_volume
+from .store import discard, materialize, small_batches
 
 U = np.uint64
 PERCENT = 80
-LINE_WORDS, PASSAGE = 25, 24
+#: The shortest run of repeated words that counts.
+LEAST_WORDS = 25
+#: Lines of more words are also cut, at words of the least hash among ``CUT`` on either side.
+CUT_FROM, CUT = 64, 24
+#: Lines of more words are compared by their pieces alone.
+WHOLE_LINE = 4096
 #: Hash functions and the recall at the threshold to which the bands are tuned.
-LINE_HASHES, PASSAGE_HASHES, LINE_RECALL, PASSAGE_RECALL = 24, 6, 0.99, 0.95
-BUCKET_BYTES = 4 << 20
+HASHES, RECALL = 24, 0.99
 #: In a band with this many different contents or fewer, pairs of contents are joined; more are compared in blocks.
 PAIRED = 16
 #: Contents in a block, and bytes of their shingles in a block or a cell of small bands.
 BLOCK, CELL_BYTES = 512, 1 << 20
 REMEMBERED = 500_000
-_ENTRY = np.dtype([("sig", "<u4"), ("content", "<i8"), ("node", "<i8"), ("at", "<u4"), ("length", "<u2")])
-_WIDE = np.dtype([("sig64", "<u8"), *[(n, _ENTRY[n]) for n in ("content", "node", "at", "length")]])
-_FIRST_BAND = 1 << 31
-#: Repeated words beside a paragraph that hold no whole passage of their own are fewer.
-BESIDE = 2 * PASSAGE - 1
-#: A longer line is cut into paragraphs of so many words.
-MOST_WORDS = 60_000
+#: Kinds of rows that the pass over the texts emits.
+ROW, PASSAGE, LINE, PIECE, SIGNATURE = range(5)
+EMITTED = "kind int, a long, b long, at long, length long"
 
 
 def tune(hashes: int, recall: float, similarity: float = PERCENT / 100) -> tuple[int, int]:
@@ -53,208 +58,161 @@ def tune(hashes: int, recall: float, similarity: float = PERCENT / 100) -> tuple
     return best
 
 
-LINE_BANDS, PASSAGE_BANDS = tune(LINE_HASHES, LINE_RECALL), tune(PASSAGE_HASHES, PASSAGE_RECALL)
-_SALTS = np.random.default_rng(29).integers(1, 2**63, size=LINE_HASHES, dtype=np.int64).astype(U)
+_SALTS = np.random.default_rng(29).integers(1, 2**63, size=HASHES, dtype=np.int64).astype(U)
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values."""
+    n, size = x.size - width + 1, 1
+    if n <= 0:
+        return np.zeros(0, x.dtype)
+    while size * 2 <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[:n], x[width - size : width - size + n])
 
 
 class Paragraphs:
-    """The paragraphs of a chunk of texts: their rows, first words and lengths."""
+    """The words of a chunk of texts, its paragraphs and its passages (their rows, first words and lengths)."""
 
-    def __init__(self, chunk: K.Chunk):
+    def __init__(self, chunk: K.Chunk, least: int = LEAST_WORDS):
         low = chunk.lower()
         self.start, self.end, self.first = low.words()
         self.word = low.hashes(self.start, self.end)
+        self.least, self.span = least, passage_words(least)
         n = self.word.size - K.SHINGLE + 1
         self.shingle = np.zeros(max(n, 0), U)
         if n > 0:
             for k in range(K.SHINGLE):
                 self.shingle += self.word[k : k + n] * K._SLOT[k]
             self.shingle = K.mix(self.shingle)
-        ls, le, lf = low.lines()
-        a, b = np.searchsorted(self.start, ls), np.searchsorted(self.start, le)
-        owner = np.repeat(np.arange(chunk.n), np.diff(lf))
-        if b.size and (b - a).max() > MOST_WORDS:
-            cut = [np.arange(x, y, MOST_WORDS) for x, y in zip(a, b, strict=True)]
-            many = [max(c.size, 1) for c in cut]
-            owner, a, b = np.repeat(owner, many), np.concatenate([c if c.size else [x] for c, x in zip(cut, a, strict=True)]), np.repeat(b, many)
-            b = np.minimum(b, a + MOST_WORDS)
-        keep = b - a >= LINE_WORDS
-        line = np.stack([owner[keep], a[keep], (b - a)[keep]])
-        at = self._anchors()
-        owner = np.searchsorted(self.first, at, side="right") - 1
-        keep = at + PASSAGE <= self.first[owner + 1] if at.size else np.zeros(0, bool)
-        at, owner = at[keep], owner[keep]
-        passage = np.stack([owner, at, np.full(at.size, PASSAGE)])
-        self.owner, self.at, self.length = np.concatenate([line, passage], axis=1)
-        self.is_line = np.concatenate([np.ones(line.shape[1], bool), np.zeros(at.size, bool)])
-
-    def _anchors(self) -> np.ndarray:
-        """Positions of the least hash in any PASSAGE consecutive words of a text (the leftmost of equals)."""
-        n = self.word.size - PASSAGE + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
         # the place in the low bits picks one of equal hashes
-        key = (K.mix(self.word) & ~U(0xFFFFFFFF)) | np.arange(self.word.size, dtype=U)
-        least = (sliding_min(key, PASSAGE) & U(0xFFFFFFFF)).astype(np.int64)
+        self.key = (K.mix(self.word) & ~U(0xFFFFFFFF)) | np.arange(self.word.size, dtype=U)
+        ls, le, _ = low.lines()
+        self.lines, self.is_piece = self._lines(np.searchsorted(self.start, ls), np.searchsorted(self.start, le))
+
+    def _lines(self, a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Rows, first words and lengths of lines and pieces, and which are pieces."""
+        whole = (b - a >= self.least) & (b - a <= WHOLE_LINE)
+        long = b - a > CUT_FROM
+        begin, end = [a[whole]], [b[whole]]
+        if long.any():
+            at = np.flatnonzero(sliding_min(self.key, 2 * CUT + 1) == self.key[CUT : self.key.size - CUT]) + CUT
+            x, y = a[long], b[long]
+            own = np.searchsorted(x, at, side="right") - 1
+            inside = (own >= 0) & (at - CUT >= x[own]) & (at + CUT < y[own])
+            cut = np.sort(np.concatenate([x, at[inside]]))
+            stop = np.minimum(np.append(cut[1:], self.word.size), y[np.searchsorted(x, cut, side="right") - 1])
+            piece = (stop - cut >= self.least) & ~(np.isin(cut, x) & np.isin(stop, y) & (stop - cut <= WHOLE_LINE))
+            begin.append(cut[piece])
+            end.append(stop[piece])
+        at, end = np.concatenate(begin), np.concatenate(end)
+        return (np.searchsorted(self.first, at, side="right") - 1, at, end - at), np.arange(at.size) >= whole.sum()
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and first words of the passages: at the least hash in any ``span`` consecutive words of a text."""
+        n = self.word.size - self.span + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        least = (sliding_min(self.key, self.span) & U(0xFFFFFFFF)).astype(np.int64)
         begin = np.arange(n)
-        return np.unique(least[begin + PASSAGE <= self.first[np.searchsorted(self.first, begin, side="right")]])
-
-    def entries(self, nodes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Band signatures of the paragraphs of the chosen rows."""
-        out = []
-        for lines, (bands, rows) in ((True, LINE_BANDS), (False, PASSAGE_BANDS)):
-            some = np.flatnonzero((self.is_line == lines) & chosen[self.owner])
-            if not some.size:
-                continue
-            at, length = self.at[some], self.length[some]
-            least = []
-            for k in range(bands * rows):
-                h = K.mix(self.shingle ^ _SALTS[k])
-                if lines:  # pairs of begin and end, of which every other range counts
-                    cut = np.stack([at, at + length - K.SHINGLE + 1], axis=1).ravel()
-                    least.append(np.minimum.reduceat(np.append(h, U(2**64 - 1)), cut)[::2])
-                else:
-                    least.append(sliding_min(h, PASSAGE - K.SHINGLE + 1)[at])
-            content = self.contents(some)
-            for b in range(bands):
-                sig = np.full(some.size, 2 * b + lines + 1, dtype=U)
-                for r in range(rows):
-                    sig = K.mix(sig * U(0x9E3779B97F4A7C15) + least[b * rows + r])
-                e = np.empty(some.size, _WIDE)
-                e["sig64"], e["content"], e["node"], e["length"] = sig, content, nodes[self.owner[some]], length
-                e["at"] = (at - self.first[self.owner[some]]).astype(np.uint32) | np.uint32(_FIRST_BAND if b == 0 else 0)
-                out.append(e)
-        return np.concatenate(out) if out else np.zeros(0, _WIDE)
-
-    def contents(self, some: np.ndarray) -> np.ndarray:
-        """A hash of the whole word sequence of paragraphs."""
-        total = np.concatenate([np.zeros(1, U), np.cumsum(self.shingle * (np.arange(self.shingle.size, dtype=U) * U(2) + U(1)), dtype=U)])
-        plain = np.concatenate([np.zeros(1, U), np.cumsum(self.shingle, dtype=U)])
-        a, b = self.at[some], self.at[some] + self.length[some] - K.SHINGLE + 1
-        # sum of shingle * (2 (place in the paragraph) + 1)
-        value = (total[b] - total[a]) - (plain[b] - plain[a]) * (a.astype(U) * U(2))
-        return (K.mix(value + self.length[some].astype(U)) >> U(1)).astype(np.int64)
-
-
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` consecutive values."""
-    n, size = x.size - width + 1, 1
-    if n <= 0:
-        return np.zeros(0, x.dtype)
-    while size * 2 <= width:
-        x = np.minimum(x[:-size], x[size:])
-        size *= 2
-    return np.minimum(x[:n], x[width - size : width - size + n])
-
+        stop = self.first[np.searchsorted(self.first, begin, side="right")]
+        at = np.unique(least[begin + self.span <= stop])
+        row = np.searchsorted(self.first, at, side="right") - 1
+        keep = at + self.span <= self.first[row + 1]
+        return row[keep], at[keep]
+
+    def passage_contents(self, at: np.ndarray) -> np.ndarray:
+        """A hash of the word sequence of each passage."""
+        h = np.full(at.size, self.span, dtype=U)
+        for k in range(self.span):
+            h = K.mix(h ^ self.word[at + k])
+        return h.view(np.int64)
+
+    def line_contents(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """A hash of the word sequence of each paragraph."""
+        raw = memoryview(self.word.tobytes())
+        found = [hashlib.blake2b(raw[8 * a : 8 * (a + n)], digest_size=8).digest() for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+        return np.frombuffer(b"".join(found), np.int64)
+
+    def signatures(self, at: np.ndarray, length: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """The band signatures of paragraphs, a row for each."""
+        out = np.empty((at.size, bands), dtype=U)
+        cut = np.stack([at, at + length - K.SHINGLE + 1], axis=1).ravel()
+        for b in range(bands):
+            sig = np.full(at.size, b + 1, dtype=U)
+            for r in range(rows):
+                h = np.append(K.mix(self.shingle ^ _SALTS[b * rows + r]), U(2**64 - 1))
+                # of the ranges between the begins and ends every other one counts; they may overlap
+                sig = K.mix(sig ^ np.minimum.reduceat(h, cut)[::2])
+            out[:, b] = sig
+        return out.view(np.int64)
+
+    def tokens(self, at: int, length: int) -> np.ndarray:
+        """The shingles of a paragraph in order."""
+        return self.shingle[at : at + length - K.SHINGLE + 1]
+
+
+def passage_words(least: int) -> int:
+    """So long that any ``least`` consecutive words hold a whole passage."""
+    return max(2, (least + 1) // 2)
+
+
+def _emit(least: int, bands: int, rows: int):
+    """A row for each text; each paragraph and passage as (content, node, place, words); and the paragraphs' signatures."""
+
+    def table(kind, a, b, at, length):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), *(pa.array(x.astype(np.int64)) for x in (b, at, length))], names=["kind", "a", "b", "at", "length"])
 
-def _node(chunk: K.Chunk) -> np.ndarray:
-    """A 63-bit id of each whole text."""
-    return (chunk.hashes(chunk.row[:-1], chunk.row[1:]) >> U(1)).astype(np.int64)
-
-
-def _info(batches):
-    for batch in batches:
-        nodes, words = [], []
-        for chunk in K.chunks(batch.column(1)):
-            nodes.append(_node(chunk))
-            words.append(np.diff(chunk.words()[2]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (nodes, words))], names=["doc_id", "node", "n_words"])
-
-
-def _emit(buckets: int):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            found = []
-            for chunk in K.chunks(batch.column(0)):
-                nodes, chosen = _node(chunk), np.zeros(chunk.n, bool)
+            every = batch.column(1).to_numpy()
+            for chunk in K.chunks(batch.column(2)):
+                node = every[chunk.first : chunk.first + chunk.n]
+                p = Paragraphs(chunk, least)
+                n_words = np.diff(p.first)
+                yield table(ROW, batch.column(0).slice(chunk.first, chunk.n), node, n_words, n_words)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                for i, node in enumerate(nodes.tolist()):  # a copy in the same task adds nothing
-                    if node not in seen:
-                        seen.add(node)
+                chosen = np.zeros(chunk.n, bool)
+                for i in np.flatnonzero(n_words >= least).tolist():  # a copy in the same task adds nothing
+                    if node[i] not in seen:
+                        seen.add(int(node[i]))
                         chosen[i] = True
-                if chosen.any():
-                    found.append(Paragraphs(chunk).entries(nodes, chosen))
-            if not found:
-                continue
-            e = np.concatenate(found)
-            bucket = ((e["sig64"] >> U(32)) % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entry = np.empty(e.size, _ENTRY)
-            entry["sig"] = e["sig64"][order] & U(0xFFFFFFFF)
-            for n in ("content", "node", "at", "length"):
-                entry[n] = e[n][order]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cut))
-            for k in range(0, full.size, 64):
-                some = full[k : k + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([entry[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "entries"])
+                row, at = p.passages()
+                row, at = row[chosen[row]], at[chosen[row]]
+                yield table(PASSAGE, p.passage_contents(at), node[row], at - p.first[row], np.full(at.size, p.span))
+                row, at, length = p.lines
+                some = chosen[row]
+                row, at, length = row[some], at[some], length[some]
+                content = p.line_contents(at, length)
+                for kind, these in ((LINE, ~p.is_piece[some]), (PIECE, p.is_piece[some])):
+                    yield table(kind, content[these], node[row[these]], (at - p.first[row])[these], length[these])
+                content, one = np.unique(content, return_index=True)
+                if content.size:
+                    sig = p.signatures(at[one], length[one], bands, rows)
+                    zero = np.zeros(sig.size, np.int64)
+                    yield table(SIGNATURE, np.repeat(content, bands), sig.ravel(), zero, zero)
 
     return run
 
 
-def _join_bucket(key, table):
-    """What a bucket's bands bring together.
+def _tokens(least: int):
+    """The shingles of the wanted paragraphs of each text, in order."""
 
-    Paragraphs whose content another text shares come as members (``content_b`` null), once, from
-    the first band. Different contents in a band come as pairs of their first paragraphs where they
-    are few; else each comes once with the band in ``hot``, to be compared in blocks.
-    """
-    e = np.unique(np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()]))
-    new_sig = np.concatenate([[True], e["sig"][1:] != e["sig"][:-1]])[: e.size]
-    new = new_sig | np.concatenate([[True], e["content"][1:] != e["content"][:-1]])[: e.size]
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, e.size))
-    group = np.repeat(np.arange(head.size), size)
-    # one text alone may repeat a content; it takes two to share it
-    other = np.zeros(head.size, bool)
-    np.logical_or.at(other, group, e["node"] != e["node"][head][group])
-    member = np.flatnonzero(other[group] & (e["at"] >= _FIRST_BAND))
-    begin = np.flatnonzero(new_sig[head])
-    many = np.diff(np.append(begin, head.size))
-    hot = head[np.repeat(many > PAIRED, many)]
-    left, right = [member, hot], []
-    for n in np.unique(many[(many > 1) & (many <= PAIRED)]):
-        at = begin[many == n]
-        i, j = np.triu_indices(n, 1)
-        x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        a, b = head[x], head[y]
-        # passages that overlap in one text, and passages that are both shared as they are, need no comparison
-        apart = (e["node"][a] != e["node"][b]) & ~(other[x] & other[y] & (e["length"][a] == PASSAGE) & (e["length"][b] == PASSAGE))
-        a, b = a[apart], b[apart]
-        a, b = np.where(e["content"][a] < e["content"][b], a, b), np.where(e["content"][a] < e["content"][b], b, a)
-        left.append(a)
-        right.append(b)
-    a, b = e[np.concatenate(left)], e[np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64)]
-    gap = pa.nulls(member.size + hot.size, pa.int64())
-    sig = (int(key[0].as_py()) << 32) + e["sig"][hot].astype(np.int64)
-    columns = {"hot": pa.chunked_array([pa.nulls(member.size, pa.int64()), pa.array(sig), pa.nulls(a.size - member.size - hot.size, pa.int64())]).combine_chunks()}
-    for n, x in (("a", a), ("b", b)):
-        for f in ("content", "node", "at", "length"):
-            value = (x[f] & (_FIRST_BAND - 1) if f == "at" else x[f]).astype(np.int64)
-            columns[f"{f}_{n}"] = pa.array(value) if n == "a" else pa.chunked_array([gap, pa.array(value)]).combine_chunks()
-    return pa.table(columns)
-
-
-PAIRS = "hot long, " + ", ".join(f"{f}_{n} long" for n in "ab" for f in ("content", "node", "at", "length"))
-
-
-def _tokens(batches):
-    """The shingles (the low 32 bits, sorted) of the wanted paragraphs of each text."""
-    for batch in batches:
-        out: list[tuple] = []
-        wanted, node = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for chunk in K.chunks(batch.column(0)):
-            own, p = _node(chunk), Paragraphs(chunk)
-            for i in range(chunk.n):
-                if own[i] != node[chunk.first + i]:
-                    continue  # another text under the same id
-                for w in wanted[chunk.first + i]:
-                    a = int(p.first[i]) + w["at"]
-                    tokens = np.unique((p.shingle[a : a + w["length"] - K.SHINGLE + 1] & U(0xFFFFFFFF)).astype(np.uint32))
-                    out.append((w["content"], tokens.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["content", "tokens"])
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            wanted = batch.column(1).to_pylist()
+            for chunk in K.chunks(batch.column(0)):
+                p = Paragraphs(chunk, least)
+                for i in range(chunk.n):
+                    for w in wanted[chunk.first + i]:
+                        out.append((w["content"], p.tokens(int(p.first[i]) + w["at"], w["length"]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["content", "tokens"])
+
+    return run
 
 
 def _similar(percent: int):
@@ -265,7 +223,7 @@ def _similar(percent: int):
                 if a == b:
                     keep[i] = True
                     continue
-                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                x, y = np.unique(np.frombuffer(a, U)), np.unique(np.frombuffer(b, U))
                 both = np.intersect1d(x, y, assume_unique=True).size
                 keep[i] = 100 * both >= percent * (x.size + y.size - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
@@ -274,10 +232,10 @@ def _similar(percent: int):
 
 
 def _block_links(percent: int):
-    """Within a cell: for contents of different texts that similar ones connect, a star that connects them too."""
+    """Within a cell: for contents that similar ones connect, a star that connects them too."""
 
     def run(key, table):
-        content, node, hot, i, j, block = (table.column(c).to_numpy() for c in ("content", "node", "hot", "i", "j", "block"))
+        content, hot, i, j, block = (table.column(c).to_numpy() for c in ("content", "sig", "i", "j", "block"))
         tokens = table.column("tokens").to_pylist()
         order = np.lexsort((block, j, i, hot))
         cuts = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (hot, i, j)], axis=0)) + 1
@@ -288,14 +246,16 @@ def _block_links(percent: int):
             right = group if one else group[block[group] == j[group[0]]]
             if not left.size or not right.size:
                 continue
-            ls, rs = ([np.frombuffer(tokens[k], np.uint32) for k in side] for side in (left, right))
+            ls, rs = ([np.unique(np.frombuffer(tokens[k], U)) for k in side] for side in (left, right))
             ln, rn = (np.array([x.size for x in side]) for side in (ls, rs))
             if one:  # a shingle of one content is in no intersection of two
                 value, times = np.unique(np.concatenate(ls), return_counts=True)
                 value = value[times > 1]
                 ls = rs = [np.intersect1d(x, value, assume_unique=True) for x in ls]
             common = overlaps(ls, rs)
-            link = (100 * common >= percent * (ln[:, None] + rn[None, :] - common)) & (node[left][:, None] != node[right][None, :])
+            link = 100 * common >= percent * (ln[:, None] + rn[None, :] - common)
+            if one:
+                np.fill_diagonal(link, False)
             u, v = content[left], content[right]
             free_u, free_v = link.any(1), link.any(0)
             for p in range(left.size):
@@ -314,161 +274,324 @@ def _block_links(percent: int):
     return run
 
 
-def _ends(batches):
-    """The sides (0 left, 1 right) of removed spans that lie within BESIDE words of the end of their run.
-
-    The outermost span may be aligned with a similar passage some words off, so the others count too.
-    """
-    for batch in batches:
-        out: list[tuple] = []
-        for node, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, end = (np.array(x, np.int64) for x in zip(*[(x["at"], x["at"] + x["length"]) for x in spans], strict=True))
-            for side, begin, stop in ((0, at, end), (1, -end, -at)):
-                order = np.argsort(begin, kind="stable")
-                reach = np.append(-(1 << 62), np.maximum.accumulate(stop[order])[:-1])
-                run = np.maximum.accumulate(np.where(begin[order] > reach, begin[order], -(1 << 62)))
-                out += [(node, spans[k]["at"], spans[k]["length"], spans[k]["label"], side) for k in order[begin[order] - run < BESIDE]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((*[pa.int64()] * 4, pa.int32()))], names=["node", "at", "length", "label", "side"])
-
-
-def _contexts(batches):
-    """For each wanted side of a paragraph, the hashes of its label with the next 1 to BESIDE words there."""
-    for batch in batches:
-        wanted, node, least = (batch.column(k).to_pylist() for k in (1, 2, 3))
-        for chunk in K.chunks(batch.column(0)):
-            own, low = _node(chunk), chunk.lower()
-            start, end, first = low.words()
-            word = low.hashes(start, end)
-            units = [(i, w) for i in range(chunk.n) if own[i] == node[chunk.first + i] for w in wanted[chunk.first + i]]
-            if not units:
-                continue
-            row = np.array([i for i, _ in units])
-            at, length, label, side = (np.array([w[n] for _, w in units], np.int64) for n in ("at", "length", "label", "side"))
-            need = np.array([w["need"] for _, w in units])
-            place, step = first[row] + np.where(side == 1, at + length, at - 1), np.where(side == 1, 1, -1)
-            h, live = K.mix(label.astype(U) * U(2) + side.astype(U)), np.arange(row.size)
-            for k in range(BESIDE):
-                x = place[live] + k * step[live]
-                inside = (x >= first[row[live]]) & (x < first[row[live] + 1])
-                live, x = live[inside], x[inside]
-                if not live.size:
-                    break
-                h[live] = K.mix(h[live] * U(0x9E3779B97F4A7C15) + word[x])
-                r = chunk.first + row[live]
-                columns = [(h[live] >> U(1)).astype(np.int64), np.array([node[i] for i in r], np.int64), at[live], length[live], side[live], np.full(live.size, k + 1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(need[live]), pa.array([least[i] for i in r], pa.int64())], names=["key", "node", "at", "length", "side", "words", "need", "least"])
-
-
-def _extended(docs: DataFrame, nodes: DataFrame, spans: DataFrame) -> DataFrame:
-    """``spans`` with ``left`` and ``right``: words beside a removed one that an earlier text has beside its own, and the ids of the first such texts."""
-    runs = spans.where(~F.col("kept")).groupBy("node").agg(F.collect_list(F.struct("at", "length", "label")).alias("spans"))
-    ends = materialize(runs.mapInArrow(K.tidy(_ends), "node long, at long, length long, label long, side int"), "ends")
-    sides = spans.select("node", "at", "length", "label", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).join(ends.select("label", "side").distinct(), ["label", "side"], "left_semi")
-    units = sides.join(ends.withColumn("need", F.lit(True)), ["node", "at", "length", "label", "side"], "left").withColumn("need", F.coalesce("need", F.lit(False)))
-    units = units.groupBy("node").agg(F.collect_list(F.struct("at", "length", "label", "side", "need")).alias("units")).join(nodes, "node")
-    units = materialize(units, "beside").withColumnRenamed("least", "of")
-    keys = docs.join(units.hint("merge"), docs.doc_id.eqNullSafe(units.of)).select("text", "units", "node", "of").mapInArrow(K.tidy(_contexts), "key long, node long, at long, length long, side long, words long, need boolean, least long")
-    keys = materialize(keys, "contexts")
-    first = keys.groupBy("key").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "node")).alias("first"), F.max("need").alias("need")).where("need").select("key", "first")
-    found = keys.where("need").join(first, "key").where(F.col("first.node") != F.col("node")).groupBy("node", "at", "length")
-    of = lambda side: F.when(F.col("side") == side, F.struct("words", F.col("first.least").alias("doc")))
-    found = materialize(found.agg(F.max(of(0)).alias("to_left"), F.max(of(1)).alias("to_right")), "extended")
-    return spans.join(found, ["node", "at", "length"], "left").select(
-        *spans.columns, *[F.coalesce(f"to_{n}.words", F.lit(0)).alias(n) for n in ("left", "right")], F.array_compact(F.array("to_left.doc", "to_right.doc")).alias("others")
-    )
-
-
-def repeated_spans(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Per row of ``docs``: ``(doc_id, node, n_words, least)``; per text with repeats: its repeated paragraphs.
-
-    The second table holds ``node``, ``spans`` (word offset, words, the id of the document that keeps
-    the paragraph, whether this text keeps it, the repeated words beside it and the documents that
-    keep those) and ``class`` (texts linked by paragraphs).
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    info = materialize(docs.mapInArrow(K.tidy(_info), "doc_id long, node long, n_words long"), "texts")
-    nodes = materialize(info.where(F.col("n_words") >= PASSAGE).groupBy("node").agg(F.min("doc_id").alias("least")), "text-nodes")
-    buckets = max(1, math.ceil(text_volume(docs) * 2 / BUCKET_BYTES))
-    met = materialize(docs.select("text").mapInArrow(K.tidy(_emit(buckets)), "bucket int, entries binary").groupBy("bucket").applyInArrow(K.tidy_group(_join_bucket), PAIRS), "bands")
-    pairs = materialize(met.where("content_b IS NOT NULL").groupBy("content_a", "content_b").agg(*[F.min(F.struct(f"node_{n}", f"at_{n}", f"length_{n}")).alias(n) for n in "ab"]), "pairs")
-    side = lambda n: pairs.select(F.col(f"content_{n}").alias("content"), F.col(f"{n}.node_{n}").alias("node"), F.col(f"{n}.at_{n}").alias("at"), F.col(f"{n}.length_{n}").alias("length"))
-    hot = met.where("hot IS NOT NULL").select("hot", F.col("content_a").alias("content"), F.col("node_a").alias("node"), F.col("at_a").alias("at"), F.col("length_a").alias("length"))
-    heads = side("a").union(side("b")).union(hot.drop("hot")).groupBy("content").agg(F.min(F.struct("node", "at", "length")).alias("h")).select("content", "h.*")
-    heads = materialize(heads, "heads")
-    need = heads.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "length", "content"))).alias("units")).join(nodes, "node")
-    need = materialize(need, "wanted").withColumnRenamed("least", "of")
-    tokens = docs.join(need.hint("merge"), docs.doc_id.eqNullSafe(need.of)).select("text", "units", "node").mapInArrow(K.tidy(_tokens), "content long, tokens binary")
+def similar_contents(docs: DataFrame, nodes: DataFrame, emitted: DataFrame, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``content, label`` of the contents of paragraphs that are similar to another one, the label their component's; and ``content, tokens``."""
+    signed = emitted.where(F.col("kind") == SIGNATURE).select(F.col("b").alias("sig"), F.col("a").alias("content"))
+    several = signed.groupBy("sig").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low < high").select("sig")
+    met = materialize(signed.join(several, "sig", "left_semi").distinct(), "bands")
+    sizes = materialize(met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "band-sizes")
+    few = met.join(sizes.where(F.col("n") <= PAIRED).select("sig"), "sig", "left_semi")
+    other = few.select("sig", F.col("content").alias("v"))
+    pairs = materialize(few.withColumnRenamed("content", "u").join(other, "sig").where("u < v").select("u", "v").distinct(), "pairs")
+    place = F.struct(F.col("b").alias("node"), "at", "length")
+    lines = emitted.where(F.col("kind").isin(LINE, PIECE))
+    heads = lines.join(met.select(F.col("content").alias("a")).distinct(), "a", "left_semi").groupBy(F.col("a").alias("content")).agg(F.min(place).alias("h")).select("content", "h.*")
+    need = heads.groupBy("node").agg(F.collect_list(F.struct("at", "length", "content")).alias("units")).join(nodes, "node")
+    need = materialize(need, "wanted")
+    tokens = _texts_of(docs, need).select("text", "units").mapInArrow(K.tidy(_tokens(least)), "content long, tokens binary")
     tokens = materialize(tokens.dropDuplicates(["content"]), "tokens")
     left = tokens.select(F.col("content").alias("u"), F.col("tokens").alias("left"))
     right = tokens.select(F.col("content").alias("v"), F.col("tokens").alias("right"))
-    halves = materialize(pairs.select(F.col("content_a").alias("u"), F.col("content_b").alias("v")).join(left, "u"), "halves")
-    links = halves.join(right, "v").select("u", "v", "left", "right").mapInArrow(K.tidy(_similar(percent)), "u long, v long")
-    cells = max(1, math.ceil(hot.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] * 4 / CELL_BYTES))
-    blocks = hot.groupBy("hot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("length") * 4 / CELL_BYTES)).cast("int").alias("blocks"))
+    links = pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(K.tidy(_similar(percent)), "u long, v long")
+    many = met.join(sizes.where(F.col("n") > PAIRED), "sig")
+    width = F.octet_length("tokens")
+    held = materialize(many.join(tokens, "content"), "hot-bands")
+    volume = held.groupBy("sig").agg(F.sum(width).alias("volume"))
+    cells = max(1, held.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] // CELL_BYTES)
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("volume") / CELL_BYTES)).cast("int")
     placed = (
-        hot.select("hot", "content", "node").join(blocks, "hot").join(tokens, "content")
+        held.join(volume, "sig").withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        .withColumn("cell", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hot"), F.lit(cells))).otherwise(F.xxhash64("hot", "i", "j")))
+        .withColumn("cell", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("sig"), F.lit(cells))).otherwise(F.xxhash64("sig", "i", "j")))
     )
-    within = placed.select("cell", "hot", "content", "node", "block", "i", "j", "tokens").groupBy("cell").applyInArrow(K.tidy_group(_block_links(percent)), "u long, v long")
-    labels = connected_components(materialize(links.union(within), "similar")).withColumnRenamed("node", "of")
-    shared = met.where("content_b IS NULL AND hot IS NULL").select(F.col("content_a").alias("content"), F.col("node_a").alias("node"), F.col("at_a").alias("at"), F.col("length_a").alias("length"))
-    alone = heads.join(labels.select(F.col("of").alias("content")), "content", "left_semi").select("content", "node", "at", "length")
-    member = shared.union(alone).distinct().join(labels, F.col("content") == F.col("of"), "left").select("node", "at", "length", F.coalesce("label", "content").alias("label"))
-    member = materialize(member.join(nodes, "node"), "members")
-    order = F.struct(F.col("least").isNull().alias("last"), "least", "node", "at")
-    keeper = materialize(member.groupBy("label").agg(F.min(order).alias("first")).select(F.col("label").alias("of"), F.col("first.node").alias("first_node"), F.col("first.least").alias("first_doc")), "keepers")
-    spans = member.join(keeper, member.label == keeper.of).select("node", "at", "length", "label", "first_doc", "first_node", (F.col("first_node") == F.col("node")).alias("kept"))
-    spans = materialize(spans, "spans")
-    classes = connected_components(spans.where(~F.col("kept")).select(F.col("node").alias("u"), F.col("first_node").alias("v")).distinct())
-    least = classes.join(nodes, "node").groupBy("label").agg(F.min("least").alias("class"))
-    classes = classes.join(least, "label").select("node", "class")
-    per_text = _extended(docs, nodes, spans).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "length", "first_doc", "kept", "left", "right", "others"))).alias("spans")).join(classes, "node", "left")
-    return info.join(nodes, "node", "left"), materialize(per_text, "per-text")
-
-
-def _merged(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((s["at"] - s["left"], s["at"] + s["length"] + s["right"]) for s in spans if not s["kept"]):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of ``docs``: what repeats across documents and what is removed from it.
+    within = placed.select("cell", "sig", "content", "block", "i", "j", "tokens").groupBy("cell").applyInArrow(K.tidy_group(_block_links(percent)), "u long, v long")
+    similar = materialize(links.union(within), "similar")
+    labels = connected_components(similar).withColumnRenamed("node", "content")
+    discard(met, sizes, pairs, need, held, similar)
+    return labels, tokens
 
-    ``n_repeats``: its paragraphs that also stand in other documents; ``removed_words`` and
-    ``n_removed``: words and passages (runs of them) that go, because an earlier document keeps
-    them; ``kept_by``: the ids of those documents; ``component_id``: the smallest id among the
-    documents linked by such passages. A whole copy of a text of ``PASSAGE`` words or more goes
-    whole; shorter texts are left alone, as are null and empty ones. Repeats within one document
-    alone stay. Null ids come last, so a document with an id keeps a passage before them.
+
+def _trim(batches):
+    """Words at both ends of a paragraph and of the one that keeps it that the two don't share; none where they share no shingle."""
+    for batch in batches:
+        out = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+            both = [np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))]
+            out.append([n for z, at in zip((x, y), both, strict=True) for n in ((int(at[0]), int(z.size - 1 - at[-1])) if at.size else (0, 0))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in out], pa.int64()) for k in range(4))], names=["content", "first_content", "lead", "trail", "first_lead", "first_trail"])
+
+
+def trimmed(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``spans`` whose pieces that are similar to what keeps them, but not equal, begin and end with words that both share."""
+    apart = (F.col("kind") == PIECE) & (F.col("content") != F.col("first_content"))
+    pairs = spans.where(apart).select("content", "first_content").distinct().join(tokens.withColumnRenamed("tokens", "own"), "content")
+    pairs = pairs.join(tokens.select(F.col("content").alias("first_content"), F.col("tokens").alias("theirs")), "first_content")
+    trims = pairs.select("content", "first_content", "own", "theirs").mapInArrow(K.tidy(_trim), "content long, first_content long, lead long, trail long, first_lead long, first_trail long")
+    out = spans.join(materialize(trims, "trims"), ["content", "first_content"], "left")
+    off = lambda n: F.when(apart, F.coalesce(n, F.lit(0))).otherwise(F.lit(0))
+    own = [x for x in spans.columns if x not in ("at", "length", "first_at", "first_length", "content", "first_content", "kind")]
+    moved = [y for p in ("", "first_") for y in ((F.col(f"{p}at") + off(f"{p}lead")).alias(f"{p}at"), (F.col(f"{p}length") - off(f"{p}lead") - off(f"{p}trail")).alias(f"{p}length"))]
+    return out.select(*own, *moved)
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted(node, least, ..)`` with the text of each node, from one of its rows; null ids meet null ids."""
+    by = docs.select(F.col("doc_id").alias("row_id"), F.col("node").alias("row_node"), "text")
+    found = by.join(wanted.hint("merge"), by.row_id.eqNullSafe(wanted.least) & (by.row_node == wanted.node))
+    return found.drop("row_id", "row_node")
+
+
+#: A paragraph of a text, and of whom it repeats: the first one of its component.
+SPAN = ("at", "length", "first_doc", "first_node", "first_at", "first_length")
+
+
+class Repeats:
+    """The repeated spans of a batch of texts, as arrays, with runs and segments.
+
+    A segment is a stretch that goes, aligned with one text that keeps it; a run is a stretch of
+    overlapping or adjoining segments.
     """
-    info, per_text = repeated_spans(docs, percent)
 
-    def digest(batches):
+    def __init__(self, spans: pa.ListArray):
+        offsets = spans.offsets.to_numpy() - spans.offsets[0].as_py() if len(spans) else np.zeros(1, np.int64)
+        flat = spans.flatten()
+        row = np.repeat(np.arange(len(spans)), np.diff(offsets))
+        at, length, node, first_at, first_length = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("at", "length", "first_node", "first_at", "first_length"))
+        kept = flat.field("kept").to_numpy(zero_copy_only=False).astype(bool)
+        self.doc = flat.field("first_doc")
+        self.kept = _union(row[kept], at[kept], at[kept] + length[kept])
+        gone = np.flatnonzero(~kept)
+        gone = gone[np.lexsort((at[gone], (length - first_length)[gone], (at - first_at)[gone], node[gone], row[gone]))]
+        row, at, length, node, first_at, first_length = (x[gone] for x in (row, at, length, node, first_at, first_length))
+        self.span, end, n = gone, at + length, at.size
+        new = np.ones(n, bool)
+        if n:
+            # both ends are aligned: a similar paragraph of another length is a segment of its own
+            new[1:] = np.any([np.diff(x) != 0 for x in (row, node, at - first_at, length - first_length)], axis=0)
+            # a segment ends where no earlier span of its alignment reaches the next one
+            lift = (np.cumsum(new) - 1) * (end.max() + 1)
+            new[1:] |= at[1:] > np.maximum.accumulate(end + lift)[:-1] - lift[1:]
+        head = np.flatnonzero(new)
+        last = np.maximum.reduceat(end * n + np.arange(n), head) % n if n else head
+        self.row, self.node, self.a, self.b = row[head], node[head], at[head], end[last]
+        self.key = {0: first_at[head], 1: first_at[last] + first_length[last]}
+        self.head = head
+        self.runs = _union(self.row, self.a, self.b)
+
+    def run_of(self) -> np.ndarray:
+        """The run of each segment."""
+        row, a, _ = self.runs
+        width = int(max(a.max(initial=0), self.a.max(initial=0))) + 1
+        return np.searchsorted(row * width + a, self.row * width + self.a, side="right") - 1
+
+    def wanted(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Segments and sides (0 left, 1 right) whose neighbourhood matters: those that end within a passage of their run's end, and all in runs without a long segment.
+
+        The outermost one may belong to a similar paragraph that ends some words off.
+        """
+        run = self.run_of()
+        short = np.ones(self.runs[0].size, bool)
+        short[run[self.b - self.a >= least]] = False
+        out = []
+        for side, edge, of in ((0, self.a, self.runs[1]), (1, self.b, self.runs[2])):
+            some = np.flatnonzero((abs(edge - of[run]) < passage_words(least)) | short[run])
+            out.append((some, np.full(some.size, side)))
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _union(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and adjoining intervals of each row, joined."""
+    if not row.size:
+        return row, a, b
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    lift = row * (int(b.max()) + 2)
+    reach = np.maximum.accumulate(b + lift)
+    new = np.append(True, (a + lift)[1:] > reach[:-1])
+    head = np.flatnonzero(new)
+    return row[head], a[head], np.append(reach[head[1:] - 1], reach[-1]) - lift[head]
+
+
+def _ends(least: int):
+    """Where the neighbouring words of a segment and of the paragraph that keeps it are to be compared."""
+
+    def run(batches):
+        for batch in batches:
+            r = Repeats(batch.column(1))
+            some, side = r.wanted(least)
+            place = np.where(side == 0, r.a[some], r.b[some])
+            key = np.where(side == 0, r.key[0][some], r.key[1][some])
+            own = pa.array(r.row[some])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(own), batch.column(2).take(own), pa.array(place), pa.array(side.astype(np.int32)), r.doc.take(pa.array(r.span[r.head[some]])), pa.array(r.node[some]), pa.array(key)],
+                names=["node", "least", "place", "side", "key_doc", "key_node", "key_place"],
+            )
+
+    return run
+
+
+def _beside(words: int):
+    """The hashes (32 bits) of the next ``words`` words on a side of each wanted place."""
+
+    def run(batches):
         for batch in batches:
-            rows = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            out = []
-            for i in range(batch.num_rows):
-                doc, n, least, spans = (rows[k][i] for k in ("doc_id", "n_words", "least", "spans"))
-                spans, copy = spans or [], n >= PASSAGE and doc is not None and least is not None and doc != least
-                runs = [(0, n)] if copy else _merged(spans)
-                by = {least} if copy else {x for s in spans if not s["kept"] for x in (s["first_doc"], *s["others"])}
-                cls = rows["class"][i]
-                ids = [x for x in (cls, least if n >= PASSAGE else doc, doc) if x is not None]
-                out.append((doc, n, len(spans) + copy, len(runs), sum(b - a for a, b in runs), sorted(x for x in by if x is not None), min(ids, default=None)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
-            names = ["doc_id", "n_words", "n_repeats", "n_removed", "removed_words", "kept_by", "component_id"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
-
-    return info.join(per_text, "node", "left").mapInArrow(K.tidy(digest), "doc_id long, n_words long, n_repeats long, n_removed long, removed_words long, kept_by array<long>, component_id long")
+            units, node, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+            for chunk in K.chunks(batch.column(0)):
+                low = chunk.lower()
+                start, end, first = low.words()
+                word = (low.hashes(start, end) >> U(32)).astype("<u4")
+                for i in range(chunk.n):
+                    own = word[first[i] : first[i + 1]]
+                    for u in units[chunk.first + i]:
+                        k = u["place"]
+                        near = own[k : k + words] if u["side"] else own[max(k - words, 0) : k][::-1]
+                        out.append((node[chunk.first + i], k, u["side"], near.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["node", "place", "side", "beside"])
+
+    return run
+
+
+def _reach(words: int):
+    """How many words beside a segment equal those beside the paragraph that keeps it."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.zeros((batch.num_rows, words), "<u4") for _ in range(2))
+            n = np.full(batch.num_rows, words)
+            for x, column in ((a, batch.column(5)), (b, batch.column(6))):
+                for i, raw in enumerate(column.to_pylist()):
+                    got = np.frombuffer(raw, "<u4")
+                    x[i, : got.size] = got
+                    n[i] = min(n[i], got.size)
+            same = np.where((a != b).any(1), (a != b).argmax(1), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.minimum(same, n).astype(np.int64))], names=["node", "place", "side", "key_node", "key_place", "reach"])
+
+    return run
+
+
+def _decide(least: int):
+    """The runs that go from each text, by which documents and texts they are kept, and how many repeated passages it keeps."""
+
+    def run(batches):
+        for batch in batches:
+            r = Repeats(batch.column(1))
+            reach: dict[tuple, int] = {}
+            for i, found in enumerate(batch.column(2).to_pylist()):
+                for x in found or ():
+                    reach[i, x["side"], x["place"], x["key_node"], x["key_place"]] = x["reach"]
+            a, b = r.a.copy(), r.b.copy()
+            if reach:
+                for k, (i, node, left, right) in enumerate(zip(r.row.tolist(), r.node.tolist(), r.key[0].tolist(), r.key[1].tolist(), strict=True)):
+                    a[k] -= reach.get((i, 0, int(r.a[k]), node, left), 0)
+                    b[k] += reach.get((i, 1, int(r.b[k]), node, right), 0)
+            run = r.run_of()
+            long = np.zeros(r.runs[0].size, bool)
+            long[run[b - a >= least]] = True
+            some = np.flatnonzero(long[run])
+            row, x, y = _union(r.row[some], a[some], b[some])
+            doc = r.doc.take(pa.array(r.span[r.head[some]])).to_pylist()
+            by: list[set] = [set() for _ in range(batch.num_rows)]
+            nodes: list[set] = [set() for _ in range(batch.num_rows)]
+            for i, d, n in zip(r.row[some].tolist(), doc, r.node[some].tolist(), strict=True):
+                nodes[i].add(n)
+                if d is not None:
+                    by[i].add(d)
+            runs: list[list] = [[] for _ in range(batch.num_rows)]
+            for i, p, q in zip(row.tolist(), x.tolist(), y.tolist(), strict=True):
+                runs[i].append({"a": p, "b": q})
+            held = np.bincount(r.kept[0][r.kept[2] - r.kept[1] >= least], minlength=batch.num_rows)
+            kinds = (pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(z) if isinstance(z, set) else z for z in c], t) for c, t in zip((runs, by, nodes), kinds, strict=True)), pa.array(held.astype(np.int64))], names=["node", "runs", "by", "by_nodes", "held"])
+
+    return run
+
+
+def repeated_runs(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Per row of ``docs(doc_id, text, node)``: ``(doc_id, node, n_words, least)``; per text with repeats: what goes.
+
+    The second table holds ``node``, ``runs`` (first word and the word after the last), ``by`` (the
+    documents that keep them), ``by_nodes`` (their texts) and ``held`` (its own passages that others repeat).
+    """
+    if least < K.SHINGLE:
+        raise ValueError(f"least_words must be {K.SHINGLE} or more")
+    bands, rows = tune(HASHES, RECALL, percent / 100)
+    emitted = materialize(docs.select("doc_id", "node", "text").mapInArrow(K.tidy(_emit(least, bands, rows)), EMITTED), "paragraphs")
+    info = emitted.where(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("at").alias("n_words"))
+    nodes = materialize(info.where(F.col("n_words") >= least).groupBy("node").agg(F.min("doc_id").alias("least")), "text-nodes")
+    labels, tokens = similar_contents(docs, nodes, emitted, least, percent)
+    every = emitted.where(F.col("kind").isin(PASSAGE, LINE, PIECE)).select("kind", F.col("a").alias("content"), F.col("b").alias("node"), "at", "length")
+    shared = every.groupBy("content").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("content")
+    chosen = materialize(shared.join(labels, "content", "full").select("content", F.coalesce("label", "content").alias("label")), "chosen")
+    member = materialize(every.join(chosen, "content").distinct().join(nodes, "node"), "members")
+    order = F.struct(F.col("least").isNull().alias("last"), F.col("least").alias("doc"), "node", "at", "length", "content")
+    keeper = member.groupBy("label").agg(F.min(order).alias("first")).select("label", *[F.col(f"first.{x}").alias(f"first_{x}") for x in ("doc", "node", "at", "length", "content")])
+    keeper = materialize(keeper, "keepers")
+    spans = trimmed(member.join(keeper, "label"), tokens).withColumn("kept", F.col("first_node") == F.col("node"))
+    per_text = spans.groupBy("node").agg(F.collect_list(F.struct(*SPAN, "kept")).alias("spans"), F.min("least").alias("least"))
+    per_text = materialize(per_text.select("node", "spans", "least"), "per-text")
+    words = passage_words(least) - 1
+    ends = per_text.mapInArrow(K.tidy(_ends(least)), "node long, least long, place long, side int, key_doc long, key_node long, key_place long")
+    ends = materialize(ends, "ends")
+    sides = ends.select("node", "least", "place", "side").union(ends.select("key_node", "key_doc", "key_place", "side")).distinct()
+    units = materialize(sides.groupBy("node", "least").agg(F.collect_list(F.struct("place", "side")).alias("units")), "sides")
+    beside = materialize(_texts_of(docs, units).select("text", "units", "node").mapInArrow(K.tidy(_beside(words)), "node long, place long, side int, beside binary"), "beside")
+    theirs = beside.select(F.col("node").alias("key_node"), F.col("place").alias("key_place"), "side", F.col("beside").alias("theirs"))
+    both = ends.join(theirs, ["key_node", "key_place", "side"]).join(beside, ["node", "place", "side"])
+    reach = both.select("node", "place", "side", "key_node", "key_place", "beside", "theirs").mapInArrow(K.tidy(_reach(words)), "node long, place long, side int, key_node long, key_place long, reach long").where("reach > 0")
+    reach = reach.groupBy("node").agg(F.collect_list(F.struct("place", "side", "key_node", "key_place", "reach")).alias("found"))
+    result = per_text.join(reach, "node", "left").select("node", "spans", "found").mapInArrow(K.tidy(_decide(least)), "node long, runs array<struct<a:long,b:long>>, by array<long>, by_nodes array<long>, held long")
+    result = materialize(result.where("size(runs) > 0 OR held > 0"), "repeats")
+    discard(chosen, member, keeper, tokens, per_text, ends, units, beside)
+    return info.join(nodes, "node", "left"), result
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, node``: a null text is empty, and a node is a text's hash, so copies are one node."""
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"))
+
+
+def _copy(least: int):
+    """Whether a row's whole text stands under a smaller id."""
+    return (F.col("n_words") >= least) & F.col("least").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("least"))
+
+
+def report(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
+    """A row for each row of ``docs``: what repeats across documents and what is removed from it.
+
+    ``n_repeats``: its passages of ``least_words`` words or more that also stand in other documents;
+    ``removed_words`` and ``n_removed``: words and passages that go, because an earlier document
+    keeps them; ``kept_by``: the ids of those documents; ``component_id``: the smallest id among the
+    documents linked by such passages. A whole copy of a text of ``least_words`` words or more goes
+    whole; rows that share id and text are one document. Shorter texts and passages are left alone,
+    as are null and empty ones and repeats within one document. Null ids come last: a document with
+    an id keeps a passage before them. Of equal ids with unlike texts the smaller hash of the text
+    comes first. Texts of any length are taken whole. Other columns are ignored; an empty table
+    gives an empty result.
+    """
+    info, result = repeated_runs(_rows(docs), percent, least_words)
+    edges = result.select(F.col("node").alias("u"), F.explode("by_nodes").alias("v"))
+    classes = connected_components(edges)
+    ids = info.select("node", "least").distinct()
+    least = classes.join(ids, "node").groupBy("label").agg(F.min("least").alias("class"))
+    classes = classes.join(materialize(least, "class-ids"), "label").select("node", "class")
+    known = materialize(result.drop("by_nodes").join(classes, "node", "left"), "known")
+    out = info.join(known, "node", "left").withColumn("copy", _copy(least_words))
+    size = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+    none = F.array().cast("array<long>")
+    own = F.when(F.col("n_words") >= least_words, F.col("least")).otherwise(F.col("doc_id"))
+    return out.select(
+        "doc_id", "n_words",
+        (F.coalesce(F.size("runs"), F.lit(0)) + F.coalesce("held", F.lit(0)) + F.col("copy").cast("int")).cast("long").alias("n_repeats"),
+        F.when(F.col("copy"), F.lit(1)).otherwise(F.coalesce(F.size("runs"), F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce(size, F.lit(0))).cast("long").alias("removed_words"),
+        F.when(F.col("copy"), F.array("least")).otherwise(F.coalesce("by", none)).alias("kept_by"),
+        F.least("class", own, "doc_id").alias("component_id"),
+    )
 
 
 def cut_words(chunk: K.Chunk, i: int, runs: list[tuple[int, int]], words) -> str:
@@ -484,41 +607,43 @@ def cut_words(chunk: K.Chunk, i: int, runs: list[tuple[int, int]], words) -> str
     return b"".join(out).decode("utf-8", "replace").rstrip() if runs else chunk.text(i)
 
 
-def remove_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def remove_repeats(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the passages that an earlier document keeps; documents left without a word go.
 
-    All columns stay; ``n_chars``, where there is one, is counted anew for texts that changed.
+    All columns stay, whatever their names; ``n_chars``, where there is one, is counted anew for
+    texts that changed. Nulls, ties, repeated rows and long texts are taken as by ``report``.
     """
-    info, per_text = repeated_spans(docs, percent)
-    changes = info.where(F.col("n_words") >= PASSAGE).join(per_text.select("node", "spans"), "node", "left")
-    copy = F.col("doc_id") != F.col("least")
-    changes = changes.where(copy | F.exists("spans", lambda s: ~s["kept"])).select(F.col("doc_id").alias("of"), F.col("node").alias("of_node"), copy.alias("of_copy"), F.col("spans").alias("of_spans"))
-    changes = materialize(changes.dropDuplicates(["of", "of_node"]).groupBy("of").agg(F.collect_list(F.struct("of_node", "of_copy", "of_spans")).alias("of_changes")), "changes")
+    info, result = repeated_runs(_rows(docs), percent, least_words)
+    changes = info.join(result.select("node", "runs"), "node", "left").withColumn("copy", _copy(least_words)).where("copy OR size(runs) > 0")
+    changes = materialize(changes.select("doc_id", "node", F.when(~F.col("copy"), F.col("runs")).alias("runs"), "copy").dropDuplicates(["doc_id", "node"]), "changes")
     names, has_chars = docs.columns, "n_chars" in docs.columns
-    joined = docs.join(changes.hint("merge"), F.col("doc_id").cast("long") == changes.of, "left").select(*names, "of_changes")
+    # positions instead of names, so that no column of the caller's can clash
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    of = {n: f"c{k}" for k, n in enumerate(names)}
+    changes = changes.toDF("x_id", "x_node", "x_runs", "x_copy").hint("merge")
+    same = F.col(of["doc_id"]).cast("long").eqNullSafe(F.col("x_id")) & (F.xxhash64(F.coalesce(F.col(of["text"]), F.lit(""))) == F.col("x_node"))
+    joined = plain.join(changes, same, "left").drop("x_id", "x_node")
 
     def cut(batches):
         for batch in batches:
-            text, change = batch.column("text"), batch.column("of_changes").to_pylist()
+            text, change, copies = batch.column(of["text"]), batch.column("x_runs").to_pylist(), batch.column("x_copy").to_pylist()
             new, keep = text.to_pylist(), [True] * batch.num_rows
-            if any(change):
+            if any(c is not None for c in copies):
                 for chunk in K.chunks(text):
-                    words, nodes = chunk.words(), None
+                    words = chunk.words()
                     for i in range(chunk.n):
-                        if (c := change[chunk.first + i]) is None:
-                            continue
-                        nodes = _node(chunk) if nodes is None else nodes
-                        mine = next((x for x in c if x["of_node"] == nodes[i]), None)
-                        if mine is None:
-                            continue
-                        n = int(words[2][i + 1] - words[2][i])
-                        left = cut_words(chunk, i, [(0, n)] if mine["of_copy"] else _merged(mine["of_spans"] or []), words)
-                        new[chunk.first + i], keep[chunk.first + i] = left, bool(left.strip())
-            columns = {n: batch.column(n) for n in names}
-            columns["text"] = pa.array(new, pa.string())
+                        k = chunk.first + i
+                        if copies[k]:
+                            keep[k] = False
+                        elif copies[k] is not None:
+                            new[k] = cut_words(chunk, i, [(r["a"], r["b"]) for r in change[k]], words)
+                            keep[k] = bool(new[k].strip())
+            columns = [batch.column(k) for k in range(len(names))]
             if has_chars:
-                old, was = columns["n_chars"].to_pylist(), text.to_pylist()
-                columns["n_chars"] = pa.array([len(b or "") if a != b else o for a, b, o in zip(was, new, old, strict=True)], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.array(keep))
+                at = names.index("n_chars")
+                old, was = columns[at].to_pylist(), text.to_pylist()
+                columns[at] = pa.array([len(b or "") if a != b else o for a, b, o in zip(was, new, old, strict=True)], columns[at].type)
+            columns[names.index("text")] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     return joined.mapInArrow(K.tidy(cut), docs.schema)
