@@ -35,10 +35,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for these; nothing that is still to be computed may read them."""
+    """Delete what ``materialize`` wrote for these; nothing that is still to be computed may read them.
+
+    Shuffle files of finished jobs go when the driver collects its garbage, so it is asked to.
+    """
     for df in tables:
-        path = getattr(df, "_written_to", None) if "_written_to" in vars(df) else None
-        if path:
+        if path := vars(df).get("_written_to"):
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
