@@ -5,13 +5,17 @@ A document's paragraphs are its lines of ``least_words`` words or more and, of l
 cut. Their five-word shingles are min-hashed and banded; paragraphs that share a band are compared
 by exact Jaccard similarity, in blocks where they are many, and similar ones form components.
 
-A repeat may also stand anywhere within other text. So passages of half of ``least_words`` words
-begin at content-defined anchors (the least word hash of as many consecutive words): any
-``least_words`` repeated words hold one whole, and equal passages are one component.
+A repeat may also stand anywhere within other text. So passages of ``PASSAGE_WORDS`` words begin at
+content-defined anchors (the least word hash of as many consecutive words): any 47 repeated words
+hold one whole, and equal passages are one component.
 
 Of each component the first paragraph, by document id and place, stays. What goes is extended word
 by word as far as the text that keeps it reads the same, and goes if at least ``least_words`` words
 in a row repeat one text.
+
+Paragraphs are sorted by content and by band signature, and what belongs together is met in one
+pass over the sorted rows, in constant memory. A content that many texts of one chunk hold doesn't
+go through that shuffle: two of its rows stand for it, the others are known to be shared.
 """
 
 from __future__ import annotations
@@ -30,22 +34,26 @@ from .store import discard, materialize, small_batches
 
 U = np.uint64
 PERCENT = 80
-#: The shortest run of repeated words that counts.
-LEAST_WORDS = 25
+#: The shortest run of repeated words that counts, and the words of a passage.
+LEAST_WORDS, PASSAGE_WORDS = 25, 24
 #: Lines of more words are also cut, at words of the least hash among ``CUT`` on either side.
 CUT_FROM, CUT = 64, 24
 #: Lines of more words are compared by their pieces alone.
 WHOLE_LINE = 4096
 #: Hash functions and the recall at the threshold to which the bands are tuned.
-HASHES, RECALL = 24, 0.99
+HASHES, RECALL = 24, 0.95
 #: In a band with this many different contents or fewer, pairs of contents are joined; more are compared in blocks.
 PAIRED = 16
 #: Contents in a block, and bytes of their shingles in a block or a cell of small bands.
 BLOCK, CELL_BYTES = 512, 1 << 20
+#: Texts of a chunk that make their content common.
+COMMON = 16
 REMEMBERED = 500_000
-#: Kinds of rows that the pass over the texts emits.
+#: Kinds of rows that the pass over the texts emits; ``SHARED`` is added to paragraphs of common contents.
 ROW, PASSAGE, LINE, PIECE, SIGNATURE = range(5)
+SHARED = 8
 EMITTED = "kind int, a long, b long, at long, length long"
+PARAGRAPH = "kind int, content long, node long, at long, length long"
 
 
 def tune(hashes: int, recall: float, similarity: float = PERCENT / 100) -> tuple[int, int]:
@@ -79,7 +87,7 @@ class Paragraphs:
         low = chunk.lower()
         self.start, self.end, self.first = low.words()
         self.word = low.hashes(self.start, self.end)
-        self.least, self.span = least, passage_words(least)
+        self.least, self.span = least, min(PASSAGE_WORDS, least)
         n = self.word.size - K.SHINGLE + 1
         self.shingle = np.zeros(max(n, 0), U)
         if n > 0:
@@ -148,21 +156,35 @@ class Paragraphs:
             out[:, b] = sig
         return out.view(np.int64)
 
+    def distinct(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How many different shingles each paragraph has."""
+        return np.array([np.unique(self.shingle[a : a + n - K.SHINGLE + 1]).size for a, n in zip(at.tolist(), length.tolist(), strict=True)], np.int64)
+
     def tokens(self, at: int, length: int) -> np.ndarray:
         """The shingles of a paragraph in order."""
         return self.shingle[at : at + length - K.SHINGLE + 1]
 
 
-def passage_words(least: int) -> int:
-    """So long that any ``least`` consecutive words hold a whole passage."""
-    return max(2, (least + 1) // 2)
-
-
 def _emit(least: int, bands: int, rows: int):
-    """A row for each text; each paragraph and passage as (content, node, place, words); and the paragraphs' signatures."""
+    """A row for each text; each paragraph and passage as (content, node, place, words); and the paragraphs' signatures with their sizes."""
 
     def table(kind, a, b, at, length):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), *(pa.array(x.astype(np.int64)) for x in (b, at, length))], names=["kind", "a", "b", "at", "length"])
+        kind = pa.array(kind if isinstance(kind, np.ndarray) else np.full(len(b), kind), pa.int32())
+        return pa.RecordBatch.from_arrays([kind, a if isinstance(a, pa.Array) else pa.array(a), *(pa.array(x.astype(np.int64)) for x in (b, at, length))], names=["kind", "a", "b", "at", "length"])
+
+    def common(kind, content, node):
+        """The kinds of paragraphs, ``SHARED`` added to those of common contents but for one in each of two texts."""
+        first, code = np.unique(content, return_inverse=True)
+        order = np.lexsort((node, code))
+        c, n = code[order], node[order]
+        new_text = np.append(True, (np.diff(c) != 0) | (np.diff(n) != 0))
+        texts = np.bincount(c[new_text], minlength=first.size)
+        # the place of each text among those of its content
+        place = np.cumsum(new_text) - 1
+        place -= place[np.searchsorted(c, np.arange(first.size))][c]
+        out = kind.copy()
+        out[order] += np.where((texts[c] >= COMMON) & ~(new_text & (place < 2)), SHARED, 0)
+        return out
 
     def run(batches):
         seen: set[int] = set()
@@ -182,35 +204,124 @@ def _emit(least: int, bands: int, rows: int):
                         chosen[i] = True
                 row, at = p.passages()
                 row, at = row[chosen[row]], at[chosen[row]]
-                yield table(PASSAGE, p.passage_contents(at), node[row], at - p.first[row], np.full(at.size, p.span))
-                row, at, length = p.lines
-                some = chosen[row]
-                row, at, length = row[some], at[some], length[some]
-                content = p.line_contents(at, length)
-                for kind, these in ((LINE, ~p.is_piece[some]), (PIECE, p.is_piece[some])):
-                    yield table(kind, content[these], node[row[these]], (at - p.first[row])[these], length[these])
+                line, begin, length = p.lines
+                some = chosen[line]
+                line, begin, length = line[some], begin[some], length[some]
+                content = p.line_contents(begin, length)
+                if not at.size + begin.size:
+                    continue
+                kind = np.concatenate([np.full(at.size, PASSAGE), np.where(p.is_piece[some], PIECE, LINE)])
+                whole = np.concatenate([p.passage_contents(at), content])
+                owner, place = np.concatenate([row, line]), np.concatenate([at, begin])
+                yield table(common(kind, whole, node[owner]), whole, node[owner], place - p.first[owner], np.concatenate([np.full(at.size, p.span), length]))
                 content, one = np.unique(content, return_index=True)
                 if content.size:
-                    sig = p.signatures(at[one], length[one], bands, rows)
-                    zero = np.zeros(sig.size, np.int64)
-                    yield table(SIGNATURE, np.repeat(content, bands), sig.ravel(), zero, zero)
+                    sig, n = p.signatures(begin[one], length[one], bands, rows), p.distinct(begin[one], length[one])
+                    yield table(SIGNATURE, sig.ravel(), np.repeat(content, bands), np.repeat(n, bands), np.zeros(sig.size))
+
+    return run
+
+
+def _groups(batches, column: int, hold):
+    """Sorted batches cut so that all rows of a value of ``column`` come together, unless ``hold`` lets a part of them go.
+
+    ``hold(rows)`` gets what has come of the last value and says whether it must wait for the rest.
+    Yields the rows as arrays, and whether their first value goes on from what has been let go.
+    """
+    rest: list[np.ndarray] | None = None
+    gone = None
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if rest is not None:
+            rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+        key = rows[column]
+        if not key.size:
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        tail = [x[cut:] for x in rows]
+        if gone is not None and key[-1] == gone or not hold(tail):
+            yield rows, gone is not None and key[0] == gone
+            rest, gone = None, key[-1]
+        else:
+            if cut:
+                yield [x[:cut] for x in rows], gone is not None and key[0] == gone
+            rest = tail
+    if rest is not None:
+        yield rest, gone is not None and rest[column][0] == gone
+
+
+def _shared(batches):
+    """Of rows sorted by content and node: those of contents that two texts hold; equal rows come once."""
+    names = [x.split()[0] for x in PARAGRAPH.split(", ")]
+    for (kind, content, node, at, length), goes_on in _groups(batches, 1, lambda r: r[2][0] == r[2][-1]):
+        head = np.flatnonzero(np.append(True, np.diff(content) != 0))
+        last = np.append(head[1:], content.size) - 1
+        two = node[head] != node[last]
+        two[0] |= goes_on
+        keep = np.repeat(two, last - head + 1)
+        keep[1:] &= ~np.all([np.diff(x) == 0 for x in (kind, content, node, at)], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, content, node, at, length)], names=names)
+
+
+MET = "sig long, u long, v long"
+
+
+def _meet(percent: int):
+    """Of rows sorted by signature and content: pairs of contents whose sizes let them be similar, where few share a signature; else each content with the signature."""
+
+    def run(batches):
+        for (sig, content, n), goes_on in _groups(batches, 0, lambda r: np.unique(r[1]).size <= PAIRED):
+            new = np.append(True, (np.diff(sig) != 0) | (np.diff(content) != 0))
+            sig, content, n = sig[new], content[new], n[new]
+            head = np.flatnonzero(np.append(True, np.diff(sig) != 0))
+            size = np.diff(np.append(head, sig.size))
+            many = size > PAIRED
+            many[0] |= goes_on
+            hot = np.repeat(many, size)
+            left, right = [], []
+            for k in np.unique(size[~many & (size > 1)]):
+                i, j = np.triu_indices(k, 1)
+                at = head[(size == k) & ~many][:, None]
+                left.append((at + i).ravel())
+                right.append((at + j).ravel())
+            a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+            near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = a[near], b[near]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([sig[hot], np.zeros(a.size, np.int64)]), mask=np.arange(hot.sum() + a.size) >= hot.sum()), pa.array(np.concatenate([content[hot], content[a]])), pa.array(np.concatenate([content[hot], content[b]]))],
+                names=["sig", "u", "v"],
+            )
 
     return run
 
 
-def _tokens(least: int):
-    """The shingles of the wanted paragraphs of each text, in order."""
+FETCHED = "of long, place long, side int, raw binary"
+
+
+def _fetch(least: int, words: int):
+    """Of each text: the shingles of wanted paragraphs, in order (``side`` -1); and the hashes (32 bits) of the next ``words`` words on a side of wanted places."""
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            wanted = batch.column(1).to_pylist()
+            wanted, places, nodes = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            before = None
             for chunk in K.chunks(batch.column(0)):
-                p = Paragraphs(chunk, least)
+                p = None
                 for i in range(chunk.n):
-                    for w in wanted[chunk.first + i]:
-                        out.append((w["content"], p.tokens(int(p.first[i]) + w["at"], w["length"]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["content", "tokens"])
+                    k = chunk.first + i
+                    if nodes[k] == before:  # a repeated row
+                        continue
+                    before = nodes[k]
+                    p = p or Paragraphs(chunk, least)
+                    for w in wanted[k] or ():
+                        out.append((w["content"], 0, -1, p.tokens(int(p.first[i]) + w["at"], w["length"]).tobytes()))
+                    own = p.word[p.first[i] : p.first[i + 1]]
+                    for w in places[k] or ():
+                        at = w["place"]
+                        near = own[at : at + words] if w["side"] else own[max(at - words, 0) : at][::-1]
+                        out.append((nodes[k], at, w["side"], (near >> U(32)).astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["of", "place", "side", "raw"])
 
     return run
 
@@ -274,33 +385,20 @@ def _block_links(percent: int):
     return run
 
 
-def similar_contents(docs: DataFrame, nodes: DataFrame, emitted: DataFrame, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``content, label`` of the contents of paragraphs that are similar to another one, the label their component's; and ``content, tokens``."""
-    signed = emitted.where(F.col("kind") == SIGNATURE).select(F.col("b").alias("sig"), F.col("a").alias("content"))
-    several = signed.groupBy("sig").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low < high").select("sig")
-    met = materialize(signed.join(several, "sig", "left_semi").distinct(), "bands")
-    sizes = materialize(met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "band-sizes")
-    few = met.join(sizes.where(F.col("n") <= PAIRED).select("sig"), "sig", "left_semi")
-    other = few.select("sig", F.col("content").alias("v"))
-    pairs = materialize(few.withColumnRenamed("content", "u").join(other, "sig").where("u < v").select("u", "v").distinct(), "pairs")
-    place = F.struct(F.col("b").alias("node"), "at", "length")
-    lines = emitted.where(F.col("kind").isin(LINE, PIECE))
-    heads = lines.join(met.select(F.col("content").alias("a")).distinct(), "a", "left_semi").groupBy(F.col("a").alias("content")).agg(F.min(place).alias("h")).select("content", "h.*")
-    need = heads.groupBy("node").agg(F.collect_list(F.struct("at", "length", "content")).alias("units")).join(nodes, "node")
-    need = materialize(need, "wanted")
-    tokens = _texts_of(docs, need).select("text", "units").mapInArrow(K.tidy(_tokens(least)), "content long, tokens binary")
-    tokens = materialize(tokens.dropDuplicates(["content"]), "tokens")
+def similar_contents(met: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """``content, label`` of the contents of paragraphs that are similar to another one; the label is their component's."""
     left = tokens.select(F.col("content").alias("u"), F.col("tokens").alias("left"))
     right = tokens.select(F.col("content").alias("v"), F.col("tokens").alias("right"))
+    pairs = materialize(met.where("sig IS NULL").select("u", "v").distinct(), "pairs")
     links = pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(K.tidy(_similar(percent)), "u long, v long")
-    many = met.join(sizes.where(F.col("n") > PAIRED), "sig")
+    many = met.where("sig IS NOT NULL").select("sig", F.col("u").alias("content"))
     width = F.octet_length("tokens")
     held = materialize(many.join(tokens, "content"), "hot-bands")
-    volume = held.groupBy("sig").agg(F.sum(width).alias("volume"))
+    sizes = held.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("volume"))
     cells = max(1, held.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] // CELL_BYTES)
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("volume") / CELL_BYTES)).cast("int")
     placed = (
-        held.join(volume, "sig").withColumn("blocks", blocks)
+        held.join(materialize(sizes, "hot-sizes"), "sig").withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -309,8 +407,8 @@ def similar_contents(docs: DataFrame, nodes: DataFrame, emitted: DataFrame, leas
     within = placed.select("cell", "sig", "content", "block", "i", "j", "tokens").groupBy("cell").applyInArrow(K.tidy_group(_block_links(percent)), "u long, v long")
     similar = materialize(links.union(within), "similar")
     labels = connected_components(similar).withColumnRenamed("node", "content")
-    discard(met, sizes, pairs, need, held, similar)
-    return labels, tokens
+    discard(pairs, held, similar)
+    return labels
 
 
 def _trim(batches):
@@ -360,17 +458,16 @@ class Repeats:
         flat = spans.flatten()
         row = np.repeat(np.arange(len(spans)), np.diff(offsets))
         at, length, node, first_at, first_length = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("at", "length", "first_node", "first_at", "first_length"))
-        kept = flat.field("kept").to_numpy(zero_copy_only=False).astype(bool)
+        kept, exact = (flat.field(n).to_numpy(zero_copy_only=False).astype(bool) for n in ("kept", "exact"))
         self.doc = flat.field("first_doc")
         self.kept = _union(row[kept], at[kept], at[kept] + length[kept])
         gone = np.flatnonzero(~kept)
-        gone = gone[np.lexsort((at[gone], (length - first_length)[gone], (at - first_at)[gone], node[gone], row[gone]))]
-        row, at, length, node, first_at, first_length = (x[gone] for x in (row, at, length, node, first_at, first_length))
+        gone = gone[np.lexsort((at[gone], exact[gone], (at - first_at)[gone], node[gone], row[gone]))]
+        row, at, length, node, first_at, first_length, exact = (x[gone] for x in (row, at, length, node, first_at, first_length, exact))
         self.span, end, n = gone, at + length, at.size
         new = np.ones(n, bool)
         if n:
-            # both ends are aligned: a similar paragraph of another length is a segment of its own
-            new[1:] = np.any([np.diff(x) != 0 for x in (row, node, at - first_at, length - first_length)], axis=0)
+            new[1:] = np.any([np.diff(x) != 0 for x in (row, node, at - first_at, exact.astype(np.int8))], axis=0)
             # a segment ends where no earlier span of its alignment reaches the next one
             lift = (np.cumsum(new) - 1) * (end.max() + 1)
             new[1:] |= at[1:] > np.maximum.accumulate(end + lift)[:-1] - lift[1:]
@@ -397,7 +494,7 @@ class Repeats:
         short[run[self.b - self.a >= least]] = False
         out = []
         for side, edge, of in ((0, self.a, self.runs[1]), (1, self.b, self.runs[2])):
-            some = np.flatnonzero((abs(edge - of[run]) < passage_words(least)) | short[run])
+            some = np.flatnonzero((abs(edge - of[run]) < PASSAGE_WORDS) | short[run])
             out.append((some, np.full(some.size, side)))
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
@@ -433,27 +530,6 @@ def _ends(least: int):
     return run
 
 
-def _beside(words: int):
-    """The hashes (32 bits) of the next ``words`` words on a side of each wanted place."""
-
-    def run(batches):
-        for batch in batches:
-            units, node, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
-            for chunk in K.chunks(batch.column(0)):
-                low = chunk.lower()
-                start, end, first = low.words()
-                word = (low.hashes(start, end) >> U(32)).astype("<u4")
-                for i in range(chunk.n):
-                    own = word[first[i] : first[i + 1]]
-                    for u in units[chunk.first + i]:
-                        k = u["place"]
-                        near = own[k : k + words] if u["side"] else own[max(k - words, 0) : k][::-1]
-                        out.append((node[chunk.first + i], k, u["side"], near.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["node", "place", "side", "beside"])
-
-    return run
-
-
 def _reach(words: int):
     """How many words beside a segment equal those beside the paragraph that keeps it."""
 
@@ -518,33 +594,53 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WO
     if least < K.SHINGLE:
         raise ValueError(f"least_words must be {K.SHINGLE} or more")
     bands, rows = tune(HASHES, RECALL, percent / 100)
-    emitted = materialize(docs.select("doc_id", "node", "text").mapInArrow(K.tidy(_emit(least, bands, rows)), EMITTED), "paragraphs")
-    info = emitted.where(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("at").alias("n_words"))
+    emitted = materialize(docs.select("doc_id", "node", "text").mapInArrow(K.tidy(_emit(least, bands, rows)), EMITTED), "emitted")
+    info = materialize(emitted.where(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("at").alias("n_words")), "texts")
     nodes = materialize(info.where(F.col("n_words") >= least).groupBy("node").agg(F.min("doc_id").alias("least")), "text-nodes")
-    labels, tokens = similar_contents(docs, nodes, emitted, least, percent)
-    every = emitted.where(F.col("kind").isin(PASSAGE, LINE, PIECE)).select("kind", F.col("a").alias("content"), F.col("b").alias("node"), "at", "length")
-    shared = every.groupBy("content").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("content")
-    chosen = materialize(shared.join(labels, "content", "full").select("content", F.coalesce("label", "content").alias("label")), "chosen")
-    member = materialize(every.join(chosen, "content").distinct().join(nodes, "node"), "members")
+    kinds = lambda *some: emitted.where(F.col("kind").isin(*some)).select(F.pmod("kind", F.lit(SHARED)).alias("kind"), F.col("a").alias("content"), F.col("b").alias("node"), "at", "length")
+    plain = kinds(PASSAGE, LINE, PIECE).repartition("content").sortWithinPartitions("content", "node", "at", "kind")
+    both = plain.mapInArrow(K.tidy(_shared), PARAGRAPH).union(kinds(*(k + SHARED for k in (PASSAGE, LINE, PIECE))))
+    members = materialize(both.join(nodes, "node"), "members")
+    signed = emitted.where(F.col("kind") == SIGNATURE).select(F.col("a").alias("sig"), F.col("b").alias("content"), F.col("at").alias("n"))
+    met = materialize(signed.repartition("sig").sortWithinPartitions("sig", "content").mapInArrow(K.tidy(_meet(percent)), MET), "met")
+    # exact repeats: what keeps them, and the words beside the ends of what goes
     order = F.struct(F.col("least").isNull().alias("last"), F.col("least").alias("doc"), "node", "at", "length", "content")
-    keeper = member.groupBy("label").agg(F.min(order).alias("first")).select("label", *[F.col(f"first.{x}").alias(f"first_{x}") for x in ("doc", "node", "at", "length", "content")])
-    keeper = materialize(keeper, "keepers")
-    spans = trimmed(member.join(keeper, "label"), tokens).withColumn("kept", F.col("first_node") == F.col("node"))
-    per_text = spans.groupBy("node").agg(F.collect_list(F.struct(*SPAN, "kept")).alias("spans"), F.min("least").alias("least"))
-    per_text = materialize(per_text.select("node", "spans", "least"), "per-text")
-    words = passage_words(least) - 1
-    ends = per_text.mapInArrow(K.tidy(_ends(least)), "node long, least long, place long, side int, key_doc long, key_node long, key_place long")
+    firsts = [F.col(f"first.{x}").alias(f"first_{x}") for x in ("doc", "node", "at", "length", "content")]
+    keeper = materialize(members.groupBy("content").agg(F.min(order).alias("first")).select("content", *firsts[:-1]), "keepers")
+    kept = (F.col("first_node") == F.col("node")).alias("kept")
+    exact = members.join(keeper, "content").groupBy("node").agg(F.collect_list(F.struct(*SPAN, kept, F.lit(True).alias("exact"))).alias("spans"), F.min("least").alias("least"))
+    exact = materialize(exact.select("node", "spans", "least"), "exact")
+    ends = exact.mapInArrow(K.tidy(_ends(least)), "node long, least long, place long, side int, key_doc long, key_node long, key_place long")
     ends = materialize(ends, "ends")
     sides = ends.select("node", "least", "place", "side").union(ends.select("key_node", "key_doc", "key_place", "side")).distinct()
-    units = materialize(sides.groupBy("node", "least").agg(F.collect_list(F.struct("place", "side")).alias("units")), "sides")
-    beside = materialize(_texts_of(docs, units).select("text", "units", "node").mapInArrow(K.tidy(_beside(words)), "node long, place long, side int, beside binary"), "beside")
-    theirs = beside.select(F.col("node").alias("key_node"), F.col("place").alias("key_place"), "side", F.col("beside").alias("theirs"))
-    both = ends.join(theirs, ["key_node", "key_place", "side"]).join(beside, ["node", "place", "side"])
-    reach = both.select("node", "place", "side", "key_node", "key_place", "beside", "theirs").mapInArrow(K.tidy(_reach(words)), "node long, place long, side int, key_node long, key_place long, reach long").where("reach > 0")
+    # near repeats: one text of each content that meets others
+    contents = met.select("u").union(met.select("v")).distinct().withColumnRenamed("u", "content")
+    some = kinds(LINE, PIECE).join(contents, "content", "left_semi").groupBy("content").agg(F.min(F.struct("node", "at", "length", "kind")).alias("h"))
+    heads = materialize(some.select("content", "h.*").join(nodes, "node"), "heads")
+    # one look at the texts for both
+    no_unit, no_place = F.lit(None).cast("struct<at:long,length:long,content:long>"), F.lit(None).cast("struct<place:long,side:int>")
+    wanted = heads.select("node", "least", F.struct("at", "length", "content").alias("unit"), no_place.alias("place")).union(sides.select("node", "least", no_unit, F.struct("place", "side")))
+    wanted = materialize(wanted.groupBy("node", "least").agg(F.collect_list("unit").alias("units"), F.collect_list("place").alias("places")), "wanted")
+    fetched = materialize(_texts_of(docs, wanted).select("text", "units", "places", "node").mapInArrow(K.tidy(_fetch(least, PASSAGE_WORDS - 1)), FETCHED), "fetched")
+    discard(emitted, keeper, wanted)
+    tokens = fetched.where("side < 0").select(F.col("of").alias("content"), F.col("raw").alias("tokens"))
+    beside = fetched.where("side >= 0").select(F.col("of").alias("node"), "place", "side", F.col("raw").alias("beside"))
+    theirs = beside.toDF("key_node", "key_place", "side", "theirs")
+    reach = ends.join(theirs, ["key_node", "key_place", "side"]).join(beside, ["node", "place", "side"])
+    reach = reach.select("node", "place", "side", "key_node", "key_place", "beside", "theirs").mapInArrow(K.tidy(_reach(PASSAGE_WORDS - 1)), "node long, place long, side int, key_node long, key_place long, reach long").where("reach > 0")
     reach = reach.groupBy("node").agg(F.collect_list(F.struct("place", "side", "key_node", "key_place", "reach")).alias("found"))
-    result = per_text.join(reach, "node", "left").select("node", "spans", "found").mapInArrow(K.tidy(_decide(least)), "node long, runs array<struct<a:long,b:long>>, by array<long>, by_nodes array<long>, held long")
+    labels = similar_contents(met, tokens, percent)
+    columns = ["kind", "content", "node", "at", "length", "least"]
+    near = members.where(F.col("kind") != PASSAGE).select(columns).union(heads.select(columns)).distinct().join(labels, "content")
+    near = materialize(near, "near")
+    first = materialize(near.groupBy("label").agg(F.min(order).alias("first")).select("label", *firsts), "near-keepers")
+    spans = trimmed(near.join(first, "label").where("content <> first_content"), tokens)
+    spans = materialize(spans.groupBy("node").agg(F.collect_list(F.struct(*SPAN, kept, F.lit(False).alias("exact"))).alias("near")), "near-spans")
+    none = F.array().cast(exact.schema["spans"].dataType)
+    both = exact.select("node", "spans").join(spans, "node", "full").select("node", F.concat(F.coalesce("spans", none), F.coalesce("near", none)).alias("spans"))
+    result = both.join(reach, "node", "left").select("node", "spans", "found").mapInArrow(K.tidy(_decide(least)), "node long, runs array<struct<a:long,b:long>>, by array<long>, by_nodes array<long>, held long")
     result = materialize(result.where("size(runs) > 0 OR held > 0"), "repeats")
-    discard(chosen, member, keeper, tokens, per_text, ends, units, beside)
+    discard(members, met, exact, ends, heads, fetched, near, first, spans)
     return info.join(nodes, "node", "left"), result
 
 
