@@ -14,13 +14,14 @@ by word as far as the text that keeps it reads the same, and goes if at least ``
 in a row repeat one text.
 
 Paragraphs are sorted by content and by band signature, and what belongs together is met in one
-pass over the sorted rows, in constant memory. A content that many texts of one chunk hold doesn't
-go through that shuffle: two of its rows stand for it, the others are known to be shared.
+pass over the sorted rows, in constant memory. Where texts of one chunk share a content, two rows
+stand for it in that shuffle; the others are known to be shared and go past it.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +38,17 @@ PERCENT = 80
 #: The shortest run of repeated words that counts, and the words of a passage.
 LEAST_WORDS, PASSAGE_WORDS = 25, 24
 #: Lines of more words are also cut, at words of the least hash among ``CUT`` on either side.
-CUT_FROM, CUT = 64, 24
+CUT_FROM, CUT = 96, 24
 #: Lines of more words are compared by their pieces alone.
 WHOLE_LINE = 4096
 #: Hash functions and the recall at the threshold to which the bands are tuned.
-HASHES, RECALL = 24, 0.95
+HASHES, RECALL = 36, 0.99
 #: In a band with this many different contents or fewer, pairs of contents are joined; more are compared in blocks.
 PAIRED = 16
 #: Contents in a block, and bytes of their shingles in a block or a cell of small bands.
 BLOCK, CELL_BYTES = 512, 1 << 20
-#: Texts of a chunk that make their content common.
-COMMON = 16
 REMEMBERED = 500_000
-#: Kinds of rows that the pass over the texts emits; ``SHARED`` is added to paragraphs of common contents.
+#: Kinds of rows that the pass over the texts emits; ``SHARED`` is added to paragraphs whose content is known to be shared.
 ROW, PASSAGE, LINE, PIECE, SIGNATURE = range(5)
 SHARED = 8
 EMITTED = "kind int, a long, b long, at long, length long"
@@ -66,7 +65,8 @@ def tune(hashes: int, recall: float, similarity: float = PERCENT / 100) -> tuple
     return best
 
 
-_SALTS = np.random.default_rng(29).integers(1, 2**63, size=HASHES, dtype=np.int64).astype(U)
+_SALTS, _ODD = np.random.default_rng(29).integers(1, 2**63, size=(2, HASHES), dtype=np.int64).astype(U)
+_ODD |= U(1)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -88,24 +88,31 @@ class Paragraphs:
         self.start, self.end, self.first = low.words()
         self.word = low.hashes(self.start, self.end)
         self.least, self.span = least, min(PASSAGE_WORDS, least)
+        self.low = low
         n = self.word.size - K.SHINGLE + 1
         self.shingle = np.zeros(max(n, 0), U)
         if n > 0:
             for k in range(K.SHINGLE):
                 self.shingle += self.word[k : k + n] * K._SLOT[k]
             self.shingle = K.mix(self.shingle)
-        # the place in the low bits picks one of equal hashes
-        self.key = (K.mix(self.word) & ~U(0xFFFFFFFF)) | np.arange(self.word.size, dtype=U)
-        ls, le, _ = low.lines()
-        self.lines, self.is_piece = self._lines(np.searchsorted(self.start, ls), np.searchsorted(self.start, le))
 
-    def _lines(self, a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    @cached_property
+    def key(self) -> np.ndarray:
+        """Hashes of words; the place in the low bits picks one of equal ones."""
+        return (K.mix(self.word) & ~U(0xFFFFFFFF)) | np.arange(self.word.size, dtype=U)
+
+    def lines(self) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
         """Rows, first words and lengths of lines and pieces, and which are pieces."""
+        ls, le, _ = self.low.lines()
+        return self._lines(np.searchsorted(self.start, ls), np.searchsorted(self.start, le))
+
+    def _lines(self, a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
         whole = (b - a >= self.least) & (b - a <= WHOLE_LINE)
         long = b - a > CUT_FROM
         begin, end = [a[whole]], [b[whole]]
         if long.any():
-            at = np.flatnonzero(sliding_min(self.key, 2 * CUT + 1) == self.key[CUT : self.key.size - CUT]) + CUT
+            key = self.key
+            at = np.flatnonzero(sliding_min(key, 2 * CUT + 1) == key[CUT : key.size - CUT]) + CUT
             x, y = a[long], b[long]
             own = np.searchsorted(x, at, side="right") - 1
             inside = (own >= 0) & (at - CUT >= x[own]) & (at + CUT < y[own])
@@ -125,7 +132,8 @@ class Paragraphs:
         least = (sliding_min(self.key, self.span) & U(0xFFFFFFFF)).astype(np.int64)
         begin = np.arange(n)
         stop = self.first[np.searchsorted(self.first, begin, side="right")]
-        at = np.unique(least[begin + self.span <= stop])
+        at = least[begin + self.span <= stop]
+        at = at[np.append(True, np.diff(at) != 0)[: at.size]]  # they never go back
         row = np.searchsorted(self.first, at, side="right") - 1
         keep = at + self.span <= self.first[row + 1]
         return row[keep], at[keep]
@@ -146,19 +154,34 @@ class Paragraphs:
     def signatures(self, at: np.ndarray, length: np.ndarray, bands: int, rows: int) -> np.ndarray:
         """The band signatures of paragraphs, a row for each."""
         out = np.empty((at.size, bands), dtype=U)
-        cut = np.stack([at, at + length - K.SHINGLE + 1], axis=1).ravel()
+        count = length - K.SHINGLE + 1
+        # the least of a paragraph is that of runs of ``width`` shingles that cover it
+        width = 1 << min(4, int(count.min()).bit_length() - 1)
+        runs = -(-count // width)
+        first = np.cumsum(runs) - runs
+        within = np.arange(runs.sum()) - np.repeat(first, runs)
+        cover = np.minimum(np.repeat(at, runs) + within * width, np.repeat(at + count - width, runs))
         for b in range(bands):
             sig = np.full(at.size, b + 1, dtype=U)
             for r in range(rows):
-                h = np.append(K.mix(self.shingle ^ _SALTS[b * rows + r]), U(2**64 - 1))
-                # of the ranges between the begins and ends every other one counts; they may overlap
-                sig = K.mix(sig ^ np.minimum.reduceat(h, cut)[::2])
+                h = sliding_min((self.shingle ^ _SALTS[b * rows + r]) * _ODD[b * rows + r], width)
+                sig = K.mix(sig ^ np.minimum.reduceat(h[cover], first))
             out[:, b] = sig
         return out.view(np.int64)
 
     def distinct(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """How many different shingles each paragraph has."""
-        return np.array([np.unique(self.shingle[a : a + n - K.SHINGLE + 1]).size for a, n in zip(at.tolist(), length.tolist(), strict=True)], np.int64)
+        value = np.sort(self.shingle)
+        twice = np.unique(value[1:][value[1:] == value[:-1]])
+        count = length - K.SHINGLE + 1
+        if twice.size:
+            near = np.minimum(np.searchsorted(twice, self.shingle), twice.size - 1)
+            places = np.flatnonzero(twice[near] == self.shingle)
+            a, b = np.searchsorted(places, at), np.searchsorted(places, at + count)
+            for k in np.flatnonzero(b - a > 1).tolist():
+                own = self.shingle[places[a[k] : b[k]]]
+                count[k] -= own.size - np.unique(own).size
+        return count
 
     def tokens(self, at: int, length: int) -> np.ndarray:
         """The shingles of a paragraph in order."""
@@ -173,17 +196,18 @@ def _emit(least: int, bands: int, rows: int):
         return pa.RecordBatch.from_arrays([kind, a if isinstance(a, pa.Array) else pa.array(a), *(pa.array(x.astype(np.int64)) for x in (b, at, length))], names=["kind", "a", "b", "at", "length"])
 
     def common(kind, content, node):
-        """The kinds of paragraphs, ``SHARED`` added to those of common contents but for one in each of two texts."""
-        first, code = np.unique(content, return_inverse=True)
-        order = np.lexsort((node, code))
-        c, n = code[order], node[order]
-        new_text = np.append(True, (np.diff(c) != 0) | (np.diff(n) != 0))
-        texts = np.bincount(c[new_text], minlength=first.size)
-        # the place of each text among those of its content
-        place = np.cumsum(new_text) - 1
-        place -= place[np.searchsorted(c, np.arange(first.size))][c]
+        """The kinds of paragraphs; where texts share a content, ``SHARED`` is added to all but one row for each of two texts."""
+        order = np.lexsort((node, content))
+        c, n = content[order], node[order]
+        new = np.append(True, c[1:] != c[:-1])
+        head = np.flatnonzero(new)
+        new_text = new | np.append(True, n[1:] != n[:-1])
+        place = np.cumsum(new_text)
+        size = np.diff(np.append(head, c.size))
+        place -= np.repeat(place[head], size)
+        shared = np.repeat(np.maximum.reduceat(place, head) > 0, size)
         out = kind.copy()
-        out[order] += np.where((texts[c] >= COMMON) & ~(new_text & (place < 2)), SHARED, 0)
+        out[order] += np.where(shared & ~(new_text & (place < 2)), SHARED, 0)
         return out
 
     def run(batches):
@@ -204,13 +228,13 @@ def _emit(least: int, bands: int, rows: int):
                         chosen[i] = True
                 row, at = p.passages()
                 row, at = row[chosen[row]], at[chosen[row]]
-                line, begin, length = p.lines
+                (line, begin, length), is_piece = p.lines()
                 some = chosen[line]
                 line, begin, length = line[some], begin[some], length[some]
                 content = p.line_contents(begin, length)
                 if not at.size + begin.size:
                     continue
-                kind = np.concatenate([np.full(at.size, PASSAGE), np.where(p.is_piece[some], PIECE, LINE)])
+                kind = np.concatenate([np.full(at.size, PASSAGE), np.where(is_piece[some], PIECE, LINE)])
                 whole = np.concatenate([p.passage_contents(at), content])
                 owner, place = np.concatenate([row, line]), np.concatenate([at, begin])
                 yield table(common(kind, whole, node[owner]), whole, node[owner], place - p.first[owner], np.concatenate([np.full(at.size, p.span), length]))
@@ -251,32 +275,38 @@ def _groups(batches, column: int, hold):
 
 
 def _shared(batches):
-    """Of rows sorted by content and node: those of contents that two texts hold; equal rows come once."""
+    """Of rows sorted by content: those of contents that two texts hold."""
     names = [x.split()[0] for x in PARAGRAPH.split(", ")]
-    for (kind, content, node, at, length), goes_on in _groups(batches, 1, lambda r: r[2][0] == r[2][-1]):
-        head = np.flatnonzero(np.append(True, np.diff(content) != 0))
-        last = np.append(head[1:], content.size) - 1
-        two = node[head] != node[last]
+    for rows, goes_on in _groups(batches, 1, lambda r: r[2].min() == r[2].max()):
+        content, node = rows[1:3]
+        head = np.flatnonzero(np.append(True, content[1:] != content[:-1]))
+        two = np.minimum.reduceat(node, head) != np.maximum.reduceat(node, head)
         two[0] |= goes_on
-        keep = np.repeat(two, last - head + 1)
-        keep[1:] &= ~np.all([np.diff(x) == 0 for x in (kind, content, node, at)], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, content, node, at, length)], names=names)
+        keep = np.repeat(two, np.diff(np.append(head, content.size)))
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], names=names)
 
 
 MET = "sig long, u long, v long"
 
 
 def _meet(percent: int):
-    """Of rows sorted by signature and content: pairs of contents whose sizes let them be similar, where few share a signature; else each content with the signature."""
+    """Of rows sorted by signature: pairs of contents whose sizes let them be similar, where few share a signature; else each content with the signature."""
 
     def run(batches):
         for (sig, content, n), goes_on in _groups(batches, 0, lambda r: np.unique(r[1]).size <= PAIRED):
-            new = np.append(True, (np.diff(sig) != 0) | (np.diff(content) != 0))
+            # most signatures are of one paragraph
+            same = np.append(False, sig[1:] == sig[:-1])
+            some = np.flatnonzero(same | np.append(same[1:], False) | (goes_on & (sig == sig[0])))
+            some = some[np.lexsort((content[some], sig[some]))]
+            sig, content, n = sig[some], content[some], n[some]
+            new = np.append(True, (sig[1:] != sig[:-1]) | (content[1:] != content[:-1]))[: sig.size]
             sig, content, n = sig[new], content[new], n[new]
-            head = np.flatnonzero(np.append(True, np.diff(sig) != 0))
+            if not sig.size:
+                continue
+            head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             size = np.diff(np.append(head, sig.size))
             many = size > PAIRED
-            many[0] |= goes_on
+            many[0] |= goes_on  # the first rows are those that go on: a signature's order is kept
             hot = np.repeat(many, size)
             left, right = [], []
             for k in np.unique(size[~many & (size > 1)]):
@@ -598,11 +628,11 @@ def repeated_runs(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WO
     info = materialize(emitted.where(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("at").alias("n_words")), "texts")
     nodes = materialize(info.where(F.col("n_words") >= least).groupBy("node").agg(F.min("doc_id").alias("least")), "text-nodes")
     kinds = lambda *some: emitted.where(F.col("kind").isin(*some)).select(F.pmod("kind", F.lit(SHARED)).alias("kind"), F.col("a").alias("content"), F.col("b").alias("node"), "at", "length")
-    plain = kinds(PASSAGE, LINE, PIECE).repartition("content").sortWithinPartitions("content", "node", "at", "kind")
+    plain = kinds(PASSAGE, LINE, PIECE).repartition("content").sortWithinPartitions("content")
     both = plain.mapInArrow(K.tidy(_shared), PARAGRAPH).union(kinds(*(k + SHARED for k in (PASSAGE, LINE, PIECE))))
     members = materialize(both.join(nodes, "node"), "members")
     signed = emitted.where(F.col("kind") == SIGNATURE).select(F.col("a").alias("sig"), F.col("b").alias("content"), F.col("at").alias("n"))
-    met = materialize(signed.repartition("sig").sortWithinPartitions("sig", "content").mapInArrow(K.tidy(_meet(percent)), MET), "met")
+    met = materialize(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(K.tidy(_meet(percent)), MET), "met")
     # exact repeats: what keeps them, and the words beside the ends of what goes
     order = F.struct(F.col("least").isNull().alias("last"), F.col("least").alias("doc"), "node", "at", "length", "content")
     firsts = [F.col(f"first.{x}").alias(f"first_{x}") for x in ("doc", "node", "at", "length", "content")]
