@@ -13,8 +13,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +23,13 @@ from .store import materialize, small_batches, text_volume
 
 U = np.uint64
 #: The band: terms in at least this and at most that share of the documents, and in two at least.
+#: So the lexicon has at most 1 / LEAST_SHARE terms for each distinct term of a mean document,
+#: however many documents there are; it goes to the driver and into the tasks.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
-#: Terms of the lexicon at most: the least share rises to (terms of a document) / MOST_TERMS, and
-#: no more terms than that can reach it.
-MOST_TERMS = 1_000_000
 #: Densities of the random subsets, and subsets of each.
 DENSITIES, EACH = (1.0, 1 / 16, 1 / 64, 1 / 256, 1 / 1024), (1, 4, 12, 16, 12)
-BUCKET_BYTES = 4 << 20
+#: Bytes of text in a range of neighbours, at least, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 200_000
 #: Terms that a task holds before it counts them.
 FLUSH = 2_000_000
 
@@ -90,9 +90,9 @@ def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
 
 
 def _count(batches):
-    """Documents that hold each term, combined within the task; term 0 counts the documents, 1 their terms."""
+    """Documents that hold each term, combined within the task; term 0 counts the documents."""
     held: list[np.ndarray] = []
-    size = docs = total = 0
+    size = docs = 0
 
     def flush():
         term, n = np.unique(np.concatenate(held), return_counts=True)
@@ -103,25 +103,23 @@ def _count(batches):
             for terms in terms_of(chunk):
                 held.append(terms)
                 size += terms.size
-                total += terms.size
                 docs += 1
         if size > FLUSH:
             yield flush()
             held, size = [], 0
     if held:
         yield flush()
-    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array([docs, total], pa.int64())], names=["term", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([docs], pa.int64())], names=["term", "n"])
 
 
 def build_lexicon(docs: DataFrame) -> Lexicon:
-    """The terms within the band, counted over all documents. At most ``MOST_TERMS`` come to the driver."""
+    """The terms within the band, counted over all documents."""
     counts = materialize(docs.select("text").mapInArrow(K.tidy(_count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
-    whole = {r.term: r.n for r in counts.where(F.col("term").isin(0, 1)).collect()}
-    n = whole.get(0, 0)
-    if not n:
+    n = counts.where("term = 0").first()
+    if n is None or not n.n:
         return Lexicon.of(np.zeros(0, U))
-    least = max(2, math.ceil(n * max(LEAST_SHARE, whole[1] / n / MOST_TERMS)))
-    band = counts.where(~F.col("term").isin(0, 1) & F.col("n").between(least, max(least, math.floor(n * MOST_SHARE)))).select("term")
+    least = max(2, math.ceil(n.n * LEAST_SHARE))
+    band = counts.where((F.col("term") != 0) & F.col("n").between(least, max(least, math.floor(n.n * MOST_SHARE)))).select("term")
     return Lexicon.of(band.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -132,55 +130,81 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     code points of the next document, in descending order of ``doc_id``; the first follows the last.
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``. A null text is empty. Null ids come last; equal ids are ordered by their texts'
-    hashes. A text without a lexicon term has a fingerprint of its own text, like nothing but
-    itself. Other columns are ignored; an empty table gives no rows.
+    hashes, and rows that share both may stand for each other. A text without a lexicon term has a
+    fingerprint of its own text, like nothing but itself. Texts of any length are taken whole. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
+
+    The documents are dealt to ranges of neighbours in that order and each range is read as a
+    stream; only the first and the last document of a range meet across ranges.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lexicon = build_lexicon(docs)
-    want = max(1, math.ceil(text_volume(docs) / BUCKET_BYTES))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))  # null ids are the least
-    found = docs.agg(F.max(key).alias("top"), F.percentile_approx(key, [k / want for k in range(1, want)] or [0.5], min(10 * want, 2**31 - 1)).alias("cuts")).first()
-    if found.top is None:
-        return docs.sparkSession.createDataFrame([], _SCHEMA)
-    # bucket k holds the ids above the k-th cut and up to the next; cuts are ids, so none is empty
-    cuts = np.array(sorted({c for c in found.cuts if c < found.top}) if want > 1 else [], np.int64)
-    buckets = len(cuts) + 1
-
-    @F.pandas_udf("long")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64)))
-
-    keyed = docs.withColumn("bucket", bucket(key)).withColumn("tie", F.xxhash64("text"))
-    tops = materialize(keyed.select("bucket", F.struct(key.alias("id"), "tie").alias("row")).groupBy("bucket").agg(F.max("row").alias("top")), "tops")
-    tops = tops.select(F.col("bucket").alias("of"), F.col("top.id").alias("top_id"), F.col("top.tie").alias("top_tie"))
-    # the first row of a bucket in the descending order also closes the bucket before it
-    first = keyed.join(tops, (keyed.bucket == tops.of) & (key == tops.top_id) & (keyed.tie == tops.top_tie)).dropDuplicates(["bucket"])
-    closing = first.select("doc_id", "text", F.lit(True).alias("closing"), F.pmod(F.col("bucket") + 1, F.lit(buckets)).alias("bucket"), "tie")
-    both = keyed.select("doc_id", "text", F.lit(False).alias("closing"), "bucket", "tie").union(closing)
-
-    def run(key, table):
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        closes, ties = table.column("closing").to_pylist(), table.column("tie").to_pylist()
-        place = lambda i: (ids[i] is None, -(ids[i] or 0), -ties[i])
-        own = sorted((i for i in range(len(ids)) if not closes[i]), key=place)
-        rows = [*own, *[i for i in range(len(ids)) if closes[i]][:1]]
-        text = [texts[i] for i in rows]
-        prints = fingerprints(text, lexicon)
-        edited = [t[: len(t) - len(t) // 3] + f[: len(t) // 3] for t, f in zip(text, text[1:], strict=False)]
-        changed = fingerprints(edited, lexicon)
-        n = range(len(own))
-        return pa.table({
-            "doc_id": pa.array([ids[i] for i in own], pa.int64()),
-            "n_chars": pa.array([len(text[k]) for k in n], pa.int64()),
-            "edited_sha256": pa.array([hashlib.sha256(edited[k].encode("utf-8", "replace")).hexdigest() for k in n], pa.string()),
-            "fingerprint": pa.array([prints[k][0] for k in n], pa.string()),
-            "edited_fingerprint": pa.array([changed[k][0] for k in n], pa.string()),
-            "near_edited": pa.array([likeness(prints[k], changed[k]) for k in n], pa.float64()),
-            "near_next": pa.array([likeness(prints[k], prints[k + 1]) for k in n], pa.float64()),
-        })
-
-    return both.groupBy("bucket").applyInArrow(K.tidy_group(run), _SCHEMA)
+    volume = text_volume(docs)
+    ranges = max(1, math.ceil(volume / max(RANGE_BYTES, volume / MOST_RANGES)))
+    # equal rows are spread by their number; they may stand for each other
+    keyed = docs.withColumn("tie", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("n")]
+    dealt = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+    def run(batches):
+        """Neighbours within a range; the first and the last document of a range come with their texts."""
+        part, pending = TaskContext.get().partitionId(), None
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if not ids:
+                continue
+            prints = fingerprints(texts, lexicon)
+            rows = list(zip(ids, texts, prints, strict=True))
+            if pending is None:
+                yield _edge(part, 1, ids[0], texts[0])
+            else:
+                rows = [pending, *rows]
+            pending = rows[-1]
+            yield _results(rows, lexicon)
+        if pending is not None:
+            yield _edge(part, 2, pending[0], pending[1])
+
+    found = materialize(dealt.mapInArrow(K.tidy(run), _SCHEMA + ", part int, edge int, text string"), "neighbours")
+    edges = found.where("edge > 0").select("part", "edge", "doc_id", "text")
+    # a row for each range at the driver, of its number
+    full = sorted(r.part for r in edges.where("edge = 1").select("part").collect())
+    after = spark.createDataFrame(list(zip(full, full[1:] + full[:1], strict=True)), "part int, following int")
+    lead = edges.where("edge = 1").select(F.col("part").alias("following"), F.col("text").alias("follower"))
+    pairs = edges.where("edge = 2").join(after, "part").join(lead, "following").select("doc_id", "text", "follower")
+
+    def close(batches):
+        for batch in batches:
+            for doc, text, follower in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                prints = fingerprints([text, follower], lexicon)
+                yield _results([(doc, text, prints[0]), (None, follower, prints[1])], lexicon).select(range(7))
+
+    return found.where("edge = 0").drop("part", "edge", "text").union(pairs.mapInArrow(K.tidy(close), _SCHEMA))
+
+
+def _results(rows: list[tuple], lexicon: Lexicon) -> pa.RecordBatch:
+    """The results of all but the last of some neighbours (id, text, fingerprint)."""
+    own, n = rows[:-1], range(len(rows) - 1)
+    edited = [t[: len(t) - len(t) // 3] + rows[k + 1][1][: len(t) // 3] for k, (_, t, _) in enumerate(own)]
+    changed = fingerprints(edited, lexicon)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([r[0] for r in own], pa.int64()), pa.array([len(r[1]) for r in own], pa.int64()),
+            pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in edited], pa.string()),
+            pa.array([r[2][0] for r in own], pa.string()), pa.array([c[0] for c in changed], pa.string()),
+            pa.array([likeness(own[k][2], changed[k]) for k in n], pa.float64()), pa.array([likeness(rows[k][2], rows[k + 1][2]) for k in n], pa.float64()),
+            pa.nulls(len(own), pa.int32()), pa.array([0] * len(own), pa.int32()), pa.nulls(len(own), pa.string()),
+        ],
+        names=_NAMES,
+    )
+
+
+def _edge(part: int, edge: int, doc, text: str) -> pa.RecordBatch:
+    values = [[doc], [None], [None], [None], [None], [None], [None], [part], [edge], [text]]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=_NAMES)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [f.split()[0] for f in _SCHEMA.split(", ")] + ["part", "edge", "text"]

@@ -102,12 +102,12 @@ _ENTRY = np.dtype([("sig", "<u4"), ("node", "<i8"), ("tag", "u1")])
 
 def _info(batches):
     for batch in batches:
-        ids, n, rows = [], [], batch.column(0)
-        for chunk in K.chunks(batch.column(1)):
+        ids, n = [], []
+        for chunk in K.chunks(batch.column(0)):
             sets, nodes = K.shingle_sets(chunk)
             ids.append(nodes)
             n += [s.size for s in sets]
-        yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "node", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "key", "node", "n"])
 
 
 def _emit(percent: int, largest: int, buckets: int):
@@ -256,12 +256,42 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with, copies counted). Null and empty texts and texts without words have an empty set, link
     with nothing and keep their own id. Repeated rows each get a row. A null id is linked by its
     text but never names a component unless all its ids are null, when the component is null.
-    Other columns are ignored; an empty table gives an empty result.
+    Rows of one id with unlike texts are documents of their own. Texts of any length are taken
+    whole. Other columns are ignored; an empty table gives an empty result.
+    """
+    return _groups(docs, id_col, text_col, percent).drop("key", "label")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all their columns, that stand for their group: those with its smallest id.
+
+    Texts without words stand for themselves, as do rows without an id, which can't be named. Rows
+    that share id and text are one document, of which one row stays; of unlike texts under one id
+    each is kept or goes with its own group, and of near copies under the kept id one stays.
     """
+    groups = _groups(docs, id_col, text_col, percent).where("doc_id = component_id")
+    rows = materialize(groups.groupBy("doc_id", "key").agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("rows")), "firsts")
+    first = rows.where("label IS NOT NULL").groupBy("doc_id", "label").agg(F.min("key").alias("key")).drop("label").union(rows.where("label IS NULL").select("doc_id", "key"))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # positions, so that no column can clash
+    of = {n: F.col(f"c{k}") for k, n in enumerate(names)}
+    plain = plain.withColumn("x_key", F.xxhash64(F.coalesce(of[text_col], F.lit(""))))
+    kept = materialize(first, "kept").select(F.col("doc_id").alias("y_id"), F.col("key").alias("y_key")).hint("merge")
+    named = plain.join(kept, (of[id_col].cast("long") == F.col("y_id")) & (F.col("x_key") == F.col("y_key")), "left_semi")
+    if rows.where("rows > 1").limit(1).count():
+        named = named.dropDuplicates([f"c{names.index(id_col)}", "x_key"])
+    return named.union(plain.where(of[id_col].isNull())).drop("x_key").toDF(*names)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """``jaccard_groups`` with ``key``, a hash of each row's text, and ``label``, which tells groups apart that the same id names."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    info = materialize(docs.mapInArrow(K.tidy(_info), "doc_id long, node long, n long"), "shingle-info")
-    nodes = materialize(info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.max("n").alias("n")), "nodes")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    info = materialize(docs.select("text", "doc_id", "key").mapInArrow(K.tidy(_info), "doc_id long, key long, node long, n long"), "shingle-info")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("row")
+    nodes = info.where("n > 0").groupBy("node").agg(first_row, F.count(F.lit(1)).alias("weight"), F.max("n").alias("n"))
+    nodes = materialize(nodes.select("node", F.col("row.doc_id").alias("least"), F.col("row.key").alias("least_key"), "weight", "n"), "nodes")
     largest = nodes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     every = bands(percent, largest)
     volume = text_volume(docs)
@@ -285,10 +315,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comps = connected_components(pairs.union(star).distinct())
 
     sizes = materialize(comps.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "sizes")
-    comps = comps.join(sizes, "label").join(nodes, "node").select("node", F.col("label").alias("comp"), "members", "weight", "least")
+    comps = comps.join(sizes, "label").join(nodes, "node").select("node", F.col("label").alias("comp"), "members", "weight", "least", "least_key")
     members = materialize(comps, "candidates")
-    chosen = members.select(F.col("least").alias("chosen")).distinct()
-    sets = docs.join(chosen.hint("merge"), docs.doc_id.eqNullSafe(chosen.chosen), "left_semi").select("text").mapInArrow(K.tidy(_sets), "node long, tokens binary")
+    chosen = members.select(F.col("least").alias("chosen"), F.col("least_key").alias("chosen_key")).distinct()
+    sets = docs.join(chosen.hint("merge"), docs.doc_id.eqNullSafe(chosen.chosen) & (docs.key == chosen.chosen_key), "left_semi").select("text").mapInArrow(K.tidy(_sets), "node long, tokens binary")
     cells = max(1, math.ceil(volume / CELL_BYTES))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -303,13 +333,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = connected_components(links.select("u", "v"))
     degree = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     final = linked.join(nodes, "node").groupBy("label").agg(F.min("least").alias("component"))
-    final = linked.join(final, "label").join(degree, "node", "left").select("node", "component", "links")
-    known = nodes.join(final, "node", "left").select(F.col("node").alias("of"), F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    final = linked.join(final, "label").join(degree, "node", "left").select("node", "component", "label", "links")
+    known = nodes.join(final, "node", "left").select(F.col("node").alias("of"), F.coalesce("label", "node").alias("label"), F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     known = materialize(known, "classes")
     out = info.join(known, info.node == known.of, "left")
     empty = F.col("n") == 0
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "key", "label", F.col("n").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
     )

@@ -15,15 +15,21 @@ def fold(id_col: str, modulus: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, where: Column | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``(doc_id, text, label)`` of at most ``max_rows`` labelled ids, chosen by a hash of the id.
+    """``(doc_id, text, label)`` of at most ``max_rows`` rows with a labelled id, chosen by a hash of the id.
 
     An id with two different labels is left out; a label other than 0 and 1 doesn't count. Where
-    ``docs`` repeats an id, each row counts.
+    ``docs`` repeats an id all its rows come, or none if there are too many of them.
     """
     ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if where is not None:
         ids = ids.where(where)
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(ids, "doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    ids = held.join(ids, "doc_id").where(F.col("rows") <= max_rows)
+    chosen, total = [], 0
+    for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect():
+        if total + r["rows"] <= max_rows:
+            chosen.append((r.doc_id, r.label))
+            total += r["rows"]
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")

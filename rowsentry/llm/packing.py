@@ -1,15 +1,19 @@
 """Best-fit packing by the configuration linear program over the length histogram.
 
-A configuration is a multiset of lengths that fits a sequence. Multiplicative weights solve the
-covering program: each round prices lengths by how little of them is covered, a knapsack dynamic
-program finds the configuration worth most, and the weights of its lengths fall. The fractional
-answer is rounded down to whole sequences; best fit places the rest, in groups of equal
-sequences. The plan depends on the histogram alone (at most ``capacity`` rows), never on the
-number of documents, and says for each length which ranks go where.
+A configuration is a multiset of lengths that fits a sequence; the program covers the histogram
+with as few as it can. It is solved by multiplicative weights: each round's weights are prices, a
+knapsack dynamic program finds the best value at them, which gives a lower bound by duality, and
+for every length the best configuration that holds it; those near the best value are used a
+little, and the weights of what they cover fall. The fractional answer, or a share of it, is
+rounded down to whole sequences and best fit places the rest, in groups of equal sequences; the
+fewest sequences win, so the answer is never worse than best fit alone. The plan depends on the
+histogram alone (at most ``capacity`` rows), never on the number of documents, and says for each
+length which ranks go where.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,7 +33,8 @@ from .spans import SpanNumbers
 from .store import materialize, small_batches
 
 CAPACITY = 2048
-ROUNDS = 400
+#: Rounds of the multiplicative weights, and shares of the fractional answer that are tried.
+ROUNDS, SHARES = 160, (1.0, 0.98, 0.95, 0.9, 0.8, 0.6, 0.3, 0.0)
 #: Cached words of a worker; a full cache is emptied.
 CACHED = 800_000
 
@@ -42,6 +47,9 @@ class Plan:
     runs: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)
     used: dict[int, int] = field(default_factory=dict)
     bins: int = 0
+    #: No packing needs fewer sequences; and the share of the fractional answer that was rounded.
+    bound: int = 0
+    share: float = 0.0
 
     def place(self, length: int, count: int, bin_: int, per: int, offset: int) -> None:
         at = self.used.get(length, 0)
@@ -49,8 +57,8 @@ class Plan:
         self.used[length] = at + count
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths (by index) of the largest value that fits, each any number of times."""
+def best_values(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest value of a multiset of lengths that fits each room up to ``capacity``, and the last length put in (-1: none, a unit stays free)."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -60,44 +68,69 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int
             k = int(np.argmax(worth))
             if worth[k] > best[c]:
                 best[c], pick[c] = worth[k], k
+    return best, pick
+
+
+def traced(lengths: np.ndarray, pick: np.ndarray, room: int) -> dict[int, int]:
+    """The multiset that ``best_values`` found for a room, by index of length."""
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
+    while room > 0:
+        k = int(pick[room])
+        if k < 0:
+            room -= 1
         else:
-            out[int(pick[c])] = out.get(int(pick[c]), 0) + 1
-            c -= int(lengths[pick[c]])
+            out[k] = out.get(k, 0) + 1
+            room -= int(lengths[k])
     return out
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.25) -> list[tuple[dict[int, int], float]]:
-    """A fractional cover of the histogram: configurations and how many sequences of each."""
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths (by index) of the largest value that fits, each any number of times."""
+    return traced(lengths, best_values(lengths, values, capacity)[1], capacity)
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.1, near: float = 0.005) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """A fractional cover of the histogram, configurations and how many sequences of each; and a lower bound of any cover."""
     n = counts.astype(np.float64)
-    covered = np.zeros(len(n))
-    found: dict[tuple, float] = {}
+    weight = n * lengths  # the first prices are by volume
+    covered, found, bound = np.zeros(n.size), {}, 0.0
     for _ in range(rounds):
-        # what is fully covered is worth nothing; the rest falls by the share covered
-        prices = np.where(covered < 1, lengths / capacity * np.exp(-1.5 * covered), 0.0)
-        if not prices.any():
-            break
-        config = knapsack(lengths, prices, capacity)
-        k, a = np.array(list(config)), np.array(list(config.values()))
-        times = float(np.min(np.maximum(step, 1 / n[k]) * n[k] / a))
-        times = min(times, float(np.max((1 - covered[k]) * n[k] / a)))
-        if times <= 0:
-            break
-        covered[k] += a * times / n[k]
-        key = tuple(sorted(config.items()))
-        found[key] = found.get(key, 0.0) + times
-    return [(dict(key), x) for key, x in found.items()]
+        price = weight / n
+        best, pick = best_values(lengths, price, capacity)
+        # prices over the best value are a dual solution
+        bound = max(bound, float(weight.sum() / best[capacity]))
+        value = price + best[capacity - lengths]
+        gain = np.zeros(n.size)
+        some = np.flatnonzero(value >= (1 - near) * best[capacity])
+        for i in some[np.argsort(covered[some], kind="stable")].tolist():
+            if gain[i] >= step:
+                continue  # covered by the others of this round
+            config = traced(lengths, pick, capacity - int(lengths[i]))
+            config[i] = config.get(i, 0) + 1
+            k, a = np.array(list(config)), np.array(list(config.values()))
+            times = step * float(np.min(n[k] / a))
+            gain[k] += a * times / n[k]
+            key = tuple(sorted(config.items()))
+            found[key] = found.get(key, 0.0) + times
+        covered += gain
+        weight *= np.exp(-gain)
+        weight = np.maximum(weight, weight.max() * 1e-12)
+    # of the volume that the cover holds, as much as there is
+    volume = sum(x * sum(int(lengths[k]) * a for k, a in key) for key, x in found.items())
+    scale = float((n * lengths).sum()) / volume if volume else 0.0
+    return [(dict(key), x * scale) for key, x in found.items()], bound
 
 
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """The best of a few roundings of the fractional answer: all of it, or a share that leaves best fit more to place."""
+    """The best rounding of the fractional answer: of all of it, or of a share that leaves best fit more to place."""
     lengths = np.array(sorted(n for n, c in histogram.items() if c > 0 and n < capacity), np.int64)
-    cover = configurations(lengths, np.array([histogram[n] for n in lengths.tolist()]), capacity, rounds) if len(lengths) else []
-    return min((_rounded(histogram, capacity, lengths, cover, share) for share in (1.0, 0.9, 0.7, 0.5)), key=lambda p: p.bins)
+    cover, bound = configurations(lengths, np.array([histogram[n] for n in lengths.tolist()]), capacity, rounds) if len(lengths) else ([], 0.0)
+    plans = []
+    for share in SHARES:
+        plans.append(_rounded(histogram, capacity, lengths, cover, share))
+        plans[-1].bound = math.ceil(bound - 1e-6) + histogram.get(capacity, 0)
+        plans[-1].share = share
+    return min(plans, key=lambda p: p.bins)
 
 
 def _rounded(histogram: dict[int, int], capacity: int, lengths: np.ndarray, cover: list[tuple[dict[int, int], float]], share: float) -> Plan:
@@ -250,7 +283,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """Give each row of ``pieces`` its ``sequence_id`` and ``offset``.
+    """Give each row of ``pieces`` its ``sequence_id`` and ``offset``; ``sequences`` and ``least_sequences`` tell how many there are, and how few any packing needs.
 
     ``pieces`` must be a written table: the ranks of a length are its tasks' counts, summed in the
     order of the tasks, plus the number within the task. So no length is gathered in one place.
@@ -259,7 +292,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = materialize(counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")), "shifts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    runs = np.array(sorted(make_plan(histogram, capacity, rounds).runs), np.int64).reshape(-1, 6)
+    plan = make_plan(histogram, capacity, rounds)
+    runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 6)
     span = (max(histogram.values(), default=0) + 1) if histogram else 1
     key = runs[:, 0] * span + runs[:, 1]
 
@@ -276,15 +310,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, own)], names=[*batch.schema.names, *placed])
 
     schema = T.StructType([*ranked.schema.fields, *(T.StructField(n, T.LongType()) for n in placed)])
-    return ranked.mapInArrow(K.tidy(place), schema).drop("rank")
+    return ranked.mapInArrow(K.tidy(place), schema).drop("rank").withColumns({"sequences": F.lit(plan.bins).cast("long"), "least_sequences": F.lit(plan.bound).cast("long")})
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """Tokenise and pack all rows of ``docs``: a row for each piece with its sequence and offset.
 
     A null or empty text is one piece, its end id alone. Repeated rows and null ids are packed as
-    rows of their own; other columns are ignored; an empty table gives no rows. A sequence holds
-    its pieces without gaps from 0.
+    rows of their own; other columns are ignored, whatever their names; an empty table gives no
+    rows. A text of any length is encoded whole and cut. A sequence holds its pieces without gaps
+    from 0. Pieces of equal length may stand for each other.
     """
     small_batches(docs.sparkSession)
     return pack(materialize(tokenized_pieces(docs, path, capacity), "pieces"), capacity, rounds)

@@ -3,7 +3,8 @@
 A site rule is ``host/path``; it fits the host and its subdomains if the url's path starts with
 its own path, and the longest rule wins (of two as long, the longer host). A url that no site rule
 fits goes to the pattern rules: ``*`` stands for anything, ``^`` for one separator or the end,
-``||`` for the begin of a host label. Each pattern is filed under one token that any url that it
+``||`` for the begin of a host label, ``|`` for the begin or the end of the url; ``$match-case``
+after a pattern keeps its case. ``read_rules`` takes a list of them from a text file. Each pattern is filed under one token that any url that it
 matches must hold, the one that fewest urls hold; a url's tokens fetch the patterns that can
 match, and only those run their regular expressions.
 """
@@ -15,7 +16,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -37,26 +38,38 @@ def parts(url: str | None) -> tuple[str, str]:
 
 @dataclass(frozen=True)
 class Pattern:
+    """A pattern rule. ``begin``: what anchors it ("||", "|" or nothing); ``end``: whether it ends with the url."""
+
     text: str
     allow: bool
     body: str
+    begin: str = ""
+    end: bool = False
+    exact_case: bool = False
 
     @classmethod
     def parse(cls, text: str) -> Pattern:
+        """A rule as it is written; an option other than match-case is an error."""
         allow = text.startswith("@@")
-        return cls(text, allow, text[2:] if allow else text)
+        body, _, options = text.removeprefix("@@").partition("$")
+        if unknown := set(filter(None, options.split(","))) - {"match-case"}:
+            raise ValueError(f"{text}: unknown options {sorted(unknown)}")
+        begin = "||" if body.startswith("||") else "|" if body.startswith("|") else ""
+        body = body[len(begin) :]
+        end = body.endswith("|")
+        body = body.removesuffix("|") if end else body
+        return cls(text, allow, body if options else body.lower(), begin, end, bool(options))
 
     def regex(self) -> str:
-        body, lead = (self.body[2:], r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?") if self.body.startswith("||") else (self.body, "")
-        return lead + re.escape(body).replace(r"\*", ".*").replace(r"\^", r"([^a-z0-9_.%-]|$)")
+        lead = {"||": r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*\.)?", "|": "^", "": ""}[self.begin]
+        return lead + re.escape(self.body).replace(r"\*", ".*").replace(r"\^", r"([^a-zA-Z0-9_.%-]|$)") + ("$" if self.end else "")
 
     def tokens(self) -> list[str]:
         """Tokens that stand alone in any url that matches: bounded on both sides by the pattern itself."""
-        body = self.body[2:] if self.body.startswith("||") else self.body
-        out = []
+        body, out = self.body.lower(), []
         for m in TOKEN.finditer(body):
-            left = body[m.start() - 1] if m.start() else ("|" if self.body.startswith("||") else "*")
-            right = body[m.end()] if m.end() < len(body) else "*"
+            left = body[m.start() - 1] if m.start() else self.begin or "*"
+            right = body[m.end()] if m.end() < len(body) else ("|" if self.end else "*")
             if "*" not in (left, right):
                 out.append(m[0])
         return out
@@ -91,11 +104,13 @@ class UrlFilter:
         return max(fits)[2:]
 
     def pattern(self, url: str | None) -> Pattern | None:
-        """The pattern that decides: an exception before a block, then in the order of their text."""
-        low = (url or "").lower()
+        """The pattern that decides: an exception before a block, then in the order of their text. A null url matches none."""
+        if url is None:
+            return None
+        low = url.lower()
         found = [entry for token in sorted(set(TOKEN.findall(low))) for entry in self.index.get(token, ())] + self.always
         self.ran += len(found)
-        hits = [p for expression, p in found if expression.search(low)]
+        hits = [p for expression, p in found if expression.search(url if p.exact_case else low)]
         return min(hits, key=lambda p: (not p.allow, p.text), default=None)
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, str | None]:
@@ -108,18 +123,28 @@ class UrlFilter:
         return host, path, None, "block" if p is not None and not p.allow else "allow", p.text if p else None
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The pattern rules of a text file, one a line; lines that begin with ``!`` or ``[`` are comments."""
+    lines = spark.read.text(path).where(~F.trim("value").rlike(r"^([!\[]|$)")).select(F.trim("value").alias("value"))
+    return tuple(sorted({r.value for r in lines.collect()}))
+
+
 def token_counts(urls: DataFrame, tokens: list[str], url_col: str = "url") -> dict[str, int]:
     """How many urls hold each token of the rules; as many rows as the rules have tokens."""
-    held = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(url_col), F.lit("([a-z0-9]+)")))).alias("token")).where(F.col("token").isin(tokens))
-    return {r.token: r.n for r in held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()} if tokens else {}
+    if not tokens:
+        return {}
+    held = F.array_intersect(F.regexp_extract_all(F.lower(url_col), F.lit("([a-z0-9]+)")), F.array(*map(F.lit, tokens)))
+    return {r.token: r.n for r in urls.select(F.explode(held).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def filter_urls(pages: DataFrame, site_rules=SITE_RULES, patterns=PATTERN_RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, pattern`` for each row of ``pages``.
 
     A null url and one without ``://`` have an empty host and path and no site rule; a null url
-    matches no pattern and is allowed. Repeated rows and null ids each get their row; other columns
-    are ignored. The rules are the caller's list and travel with the task.
+    matches no pattern and is allowed. Repeated rows and null ids each get their row; urls of any
+    length are read whole; other columns are ignored, whatever their names; an empty table gives no
+    rows. The rules are the caller's list and travel with the task; of site rules that fit alike the
+    longer host wins, of patterns an exception.
     """
     tokens = sorted({t for p in patterns for t in Pattern.parse(p).tokens()})
     counts = token_counts(pages, tokens)
@@ -133,22 +158,25 @@ def filter_urls(pages: DataFrame, site_rules=SITE_RULES, patterns=PATTERN_RULES)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, pattern string")
 
 
-def oracle(site_rules=SITE_RULES, patterns=PATTERN_RULES) -> str:
+#: What the pattern rules of the query say, written in SQL by hand.
+BLOCKED = r"""regexp_matches(low, '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?spam-farm[.]') OR contains(low, '/casino/') OR contains(low, '-casino.')
+    OR regexp_matches(low, '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?ads[.].*([^a-z0-9_.%-])banner([^a-z0-9_.%-]|$)', 's') OR regexp_matches(low, '/tracking-pixel([^a-z0-9_.%-]|$)', 's')
+    OR regexp_matches(low, '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?cheap-pills[.]')"""
+EXCEPTED = r"regexp_matches(low, '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?cheap-pills[.].*/about([^a-z0-9_.%-]|$)', 's')"
+
+
+def oracle() -> str:
     """DuckDB SQL for the query's rows."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rules = ", ".join(f"({quote(r.partition('/')[0])}, {quote(r.partition('/')[1] + r.partition('/')[2])}, {quote(r)}, {quote(v)})" for v, r in site_rules)
-    found = [Pattern.parse(p) for p in patterns]
-    any_of = lambda some: " OR ".join(f"regexp_matches(lower(url), {quote(p.regex())}, 's')" for p in some) or "false"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-WITH r(rhost, rpath, rule, verdict) AS (VALUES {rules}),
-u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+WITH r(rhost, rpath, rule, verdict) AS (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')),
+u AS (SELECT page_id, lower(url) AS low, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 k AS (SELECT p.*, row_number() OVER () AS n FROM p),
 f AS (SELECT n, r.rule, r.verdict, row_number() OVER (PARTITION BY n ORDER BY length(r.rule) DESC, length(rhost) DESC) AS place
       FROM k JOIN r ON (k.host = rhost OR ends_with(k.host, '.' || rhost)) AND starts_with(k.path, rpath))
 SELECT page_id, host, path, f.rule AS rule,
        CASE WHEN f.rule IS NOT NULL THEN f.verdict
-            WHEN coalesce({any_of([p for p in found if p.allow])}, false) THEN 'allow'
-            WHEN coalesce({any_of([p for p in found if not p.allow])}, false) THEN 'block' ELSE 'allow' END AS verdict
+            WHEN coalesce({EXCEPTED}, false) THEN 'allow'
+            WHEN coalesce({BLOCKED}, false) THEN 'block' ELSE 'allow' END AS verdict
 FROM k LEFT JOIN f ON k.n = f.n AND f.place = 1"""

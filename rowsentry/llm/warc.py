@@ -1,10 +1,14 @@
 """WARC archives and their capture index by external merge.
 
 Archives are written by Spark's text sink, so on any file system that Spark writes to and under
-its commit protocol: a record's text, then CR LF CR LF, which is just how records end. Equal
-payloads are stored once, later captures revisit. Reading back parses each archive by its
-``Content-Length``s into a run of captures sorted by url key, timestamp and id; the runs are
-dealt by ranges of that key and each range is merged by a loser tree.
+its commit protocol: a record's text, then CR LF CR LF, which is just how records end. Records go
+to archives by size, so that no archive holds more than ``ARCHIVE_BYTES`` unless a single record
+does. Equal payloads are stored once, later captures revisit.
+
+Reading back parses each archive as a stream by its ``Content-Length``s into a run of captures,
+sorted by url key, timestamp and id and numbered. The runs are dealt by ranges of that key, of
+``RANGE_ROWS`` captures or so; a range puts the slices of its runs in the order of their numbers,
+which a shuffle may lose, and merges them by a loser tree.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +28,8 @@ from .store import fresh_path, materialize
 END = "\r\n\r\n"
 #: Payloads under so many bytes are never revisited.
 LEAST_BYTES = 100
-#: Records in an archive at most, captures in a range of the index.
-ARCHIVE_ROWS, RANGE_ROWS = 5_000, 50_000
+#: Bytes of payload in an archive and records in it at most, captures in a range of the index.
+ARCHIVE_BYTES, ARCHIVE_ROWS, RANGE_ROWS = 256 << 20, 5_000, 50_000
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -43,12 +46,16 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows = rows.join(first, rows.digest == first.of, "left")
     revisit = F.coalesce(F.col("first") < F.col("page_id"), F.lit(False))
     head = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
-    uri = F.regexp_replace(F.coalesce(F.url_encode("url"), F.lit("-")), r"\+", "%20")
-    when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    # white space and control characters can't stand in a header; such a url is percent-encoded but for its reserved characters
+    coded = F.regexp_replace(F.url_encode("url"), r"\+", "%20")
+    for mark in "%/:?#[]@!$&'()*+,;=":
+        coded = F.replace(coded, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    uri = F.when(F.length(F.coalesce("url", F.lit(""))) == 0, F.concat(F.lit("urn:page:"), name)).when(F.col("url").rlike(r"[\x00-\x20\x7f]"), coded).otherwise(F.col("url"))
+    when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     record = F.concat(
         F.lit("WARC/1.1"), head("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        head("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name, F.lit(">"))), head("WARC-Date", when), head("WARC-Target-URI", uri),
+        head("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name, F.lit(":"), F.hex(F.monotonically_increasing_id()), F.lit(">"))), head("WARC-Date", when), head("WARC-Target-URI", uri),
         head("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), head("Content-Type", F.lit("text/html; charset=utf-8")),
         F.when(revisit, F.concat(
             head("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))),
@@ -56,33 +63,83 @@ def write_archives(pages: DataFrame, path: str) -> None:
             head("WARC-Payload-Length", F.col("size").cast("string")), head("Content-Length", F.lit("0")), F.lit(END),
         )).otherwise(F.concat(head("Content-Length", F.col("size").cast("string")), F.lit(END), "html")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
+    # archives of many small records, of fewer larger ones, and of single ones; a class without rows writes nothing
+    classes = [ARCHIVE_BYTES // ARCHIVE_ROWS, ARCHIVE_BYTES // 64, None]
+    sizes = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    low = -1
+    for high in classes:
+        if low >= sizes and low >= 0:
+            break
+        stored = F.when(revisit, F.lit(0)).otherwise(F.col("size"))
+        some = rows.where((stored > low) & (stored <= high) if high else stored > low)
+        many = max(1, ARCHIVE_BYTES // high) if high else 1
+        some.select(record.alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", many).text(path)
+        low = high
+
+
+class _Stream:
+    """Bytes of an archive, unpacked as they are asked for."""
+
+    def __init__(self, data: bytes):
+        self.data, self.packed, self.held = memoryview(data), data[:2] == b"\x1f\x8b", bytearray()
+        self.at = self.gone = 0
+        self.z = zlib.decompressobj(31) if self.packed else None
+
+    def more(self) -> bool:
+        """Unpack some more; False at the end."""
+        part = self.z.unconsumed_tail if self.z else b""
+        if not part:
+            part = bytes(self.data[self.at : self.at + (1 << 18)])
+            self.at += len(part)
+        if not part:
+            rest = self.z.flush() if self.z else b""
+            self.z = None
+            self.held += rest
+            return bool(rest)
+        if not self.packed:
+            self.held += part
+            return True
+        self.held += self.z.decompress(part, 1 << 20)
+        if self.z.eof:  # the next member
+            self.at -= len(self.z.unused_data)
+            self.z = zlib.decompressobj(31) if self.at < len(self.data) else None
+        return True
+
+    def find(self, mark: bytes) -> int:
+        begin = 0
+        while (k := self.held.find(mark, begin)) < 0:
+            begin = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return -1
+        return k
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.gone += len(out)
+        return out
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """Offset, length, headers and payload of each record of an archive, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:  # members, one or many
-            z = zlib.decompressobj(31)
-            out.append(z.decompress(data) + z.flush())
-            data = z.unused_data
-        data = b"".join(out)
-    at, end = 0, END.encode()
-    while at < len(data):
-        cut = data.index(end, at)
-        lines = data[at:cut].decode("utf-8", "replace").split("\r\n")
+    end, stream = END.encode(), _Stream(data)
+    while stream.held or stream.more():
+        at, cut = stream.gone, stream.find(end)
+        if cut < 0:
+            if not stream.held and not stream.more():
+                return
+            raise ValueError(f"the record at {at} is cut short")
+        lines = stream.take(cut + len(end))[:cut].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at {at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(headers["content-length"])
-        start = cut + len(end)
-        payload = data[start : start + size]
-        if len(payload) != size or data[start + size : start + size + len(end)] != end:
+        payload = stream.take(size)
+        if len(payload) != size or stream.take(len(end)) != end:
             raise ValueError(f"the record at {at} is cut short")
-        stop = start + size + len(end)
-        yield at, stop - at, headers, payload
-        at = stop
+        yield at, stream.gone - at, headers, payload
 
 
 def url_key(url: str) -> str:
@@ -132,12 +189,11 @@ class LoserTree:
                 node //= 2
 
 
-CAPTURES = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long, record_length long"
-_KEY = slice(0, 3)
+CAPTURES = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long, record_length long, position long"
 
 
 def _number(urn: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    m = re.fullmatch(r"<urn:page:(-?\d+)(?::[0-9A-F]+)?>", urn or "")
     return int(m[1]) if m else None
 
 
@@ -169,9 +225,10 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                         size = int(h["warc-payload-length"])
                     elif hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"a payload of {name} differs from its digest")
-                    url = "" if h["warc-target-uri"] == "-" else unquote(h["warc-target-uri"])
+                    url = "" if h["warc-target-uri"].startswith("urn:page:") else h["warc-target-uri"]
                     run.append((url_key(url), h["warc-date"], _number(h["warc-record-id"]), size, digest, h["warc-type"], _number(h.get("warc-refers-to")), name.as_py(), at, length))
                 run.sort(key=_order)
+                run = [(*row, k) for k, row in enumerate(run)]
                 for k in range(0, len(run), 10_000):
                     yield _rows(run[k : k + 10_000])
 
@@ -180,15 +237,19 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge_captures(captures: DataFrame) -> DataFrame:
-    """Globally ordered capture histories: ranges of (url key, timestamp, id), each merged from its sorted runs."""
+    """Globally ordered capture histories: ranges of (url key, timestamp, id), each merged from the slices of its sorted runs.
+
+    A task holds the captures of its range (``RANGE_ROWS`` or so), without their payloads.
+    """
 
     def merge(batches):
         runs: dict[str, list[tuple]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 runs.setdefault(row[7], []).append(row)
-        for run in runs.values():  # a run comes in order unless a fetch was repeated; sorting a sorted list is one pass
-            run.sort(key=_order)
+        for run in runs.values():
+            if any(a[10] > b[10] for a, b in zip(run, run[1:], strict=False)):  # fetched in parts
+                run.sort(key=lambda row: row[10])
         out = []
         for row in LoserTree([runs[name] for name in sorted(runs)], _order):
             out.append(row)
@@ -200,15 +261,17 @@ def merge_captures(captures: DataFrame) -> DataFrame:
 
     captures = materialize(captures, "runs")
     ranges = max(1, -(-captures.count() // RANGE_ROWS))
-    return captures.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(K.tidy(merge), CAPTURES)
+    order = ("url_key", "captured", "page_id", "archive", "position")  # unlike for any two captures
+    return captures.repartitionByRange(ranges, *order).mapInArrow(K.tidy(merge), CAPTURES).drop("position")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives in the shared folder, read them back and return the ordered captures.
 
     Null html counts as an empty payload, a null url as an empty one; null ids give responses.
-    Repeated rows each get a record; of equal ids with equal payloads all are responses. Other
-    columns are ignored; an empty table gives no captures.
+    Repeated rows each get a record; of equal ids with equal payloads all are responses. A payload
+    of any length is a record of its own and read back whole. Other columns are ignored, whatever
+    their names; an empty table gives no captures.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")

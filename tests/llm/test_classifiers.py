@@ -112,3 +112,65 @@ def test_without_labels(spark):
     assert {r.predicted for r in quality_fm.score_quality(df, none).collect()} == {1}
     assert {r.predicted for r in toxicity.score_toxicity(df, none).collect()} == {0}
     assert quality_fm.score_quality(df.limit(0), none).count() == 0 and toxicity.score_toxicity(df.limit(0), none).count() == 0
+
+
+def test_training_and_scoring_share_their_words():
+    import pyarrow as pa
+
+    from rowsentry.llm import kernels as K
+
+    texts = ["good\u00a0zounds a1b, zounds!", None, "", "123 ##", "É é\u2003x"]
+    chunk = next(K.chunks(pa.array(texts)))
+    w = toxicity.words_of(chunk)
+    own = [sorted(w.words[k] for k in w.word[w.row == i]) for i in range(5)]
+    assert own == [["ab", "good", "zounds"], [], [], [], ["x", "é"]]
+
+
+def test_softmax_step_against_finite_differences():
+    model = toxicity.SubwordSoftmax.new()
+    words, y = ["zounds", "meadow", "ab"], np.array([1.0, 0.0, 0.0], np.float32)
+    at, bucket = toxicity.bags(words)
+
+    def loss(m):
+        z = m.word_logits(words)
+        return float(np.log1p(np.exp(np.where(y == 1, -z, z))).sum())
+
+    before = loss(model)
+    z = model.word_logits(words)
+    brute = [sum(float(model.vectors[b] @ (model.weights[:, 1] - model.weights[:, 0])) for b in bucket[at == i]) / (at == i).sum() + float(model.bias[1] - model.bias[0]) for i in range(3)]
+    assert z == pytest.approx(brute, rel=1e-4)
+    for _ in range(20):
+        model.step(at, bucket, 3, y, np.ones(3, np.float32), 0.05, np.zeros(toxicity.BUCKETS, np.float32))
+    assert loss(model) < before
+
+
+def test_path_length_against_brute_force():
+    r = np.random.default_rng(4)
+    x = r.random((200, 5))
+    forest = quality_rules.IsolationForest.fit(x, (np.zeros(5), np.ones(5)), trees=7, points=64)
+
+    def walk(tree, row):
+        at = 0
+        while forest.feature[tree, at] >= 0:
+            at = forest.child[tree, at][int(row[forest.feature[tree, at]] >= forest.split[tree, at])]
+        return forest.length[tree, at]
+
+    assert forest.path_length(x) == pytest.approx([np.mean([walk(t, row) for t in range(7)]) for row in x])
+
+
+def test_odd_rows_for_classifiers(spark):
+    rows = [(i, t, "s", 1.0) for i, t in [(1, "a " * 60_000), (2, None), (3, ""), (4, "a b"), (4, "a b"), (4, "other text"), (None, "x")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, held_out double")
+    labels = spark.createDataFrame([(1, 0, 1), (4, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    for f in (quality_fm.score_quality, toxicity.score_toxicity):
+        got = f(df, labels).collect()
+        assert len(got) == 7 and all(0 <= g.score <= 1 and g.predicted == (g.score >= 0.5) for g in got)
+        assert len({g.score for g in got if g.doc_id == 4}) <= 2
+
+
+def test_a_repeated_label_id_stays_bounded(spark):
+    from rowsentry.llm.labelled import sample
+
+    df = spark.range(3000).selectExpr("if(id < 2500, 1, id) AS doc_id", "'t' AS text")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    assert sample(df, labels, "toxic", max_rows=100).count() == 100

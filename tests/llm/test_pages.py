@@ -80,6 +80,41 @@ def test_only_candidates_run():
     assert f.judge("http://site77.example.com/")[3] == "block" and f.ran == 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["||", "|", "ads", "site", "1", "x.", "^", "*", "/", "a-b", "Q"]), min_size=1, max_size=6).map("".join), st.lists(st.sampled_from(["http://", "ads", "site", "1", "x.", ".", "/", "a-b", "?q", "Q", "-"]), max_size=9).map("".join))
+def test_the_index_loses_no_pattern(rule, url):
+    import re
+
+    rules = [rule, *(f"||other{i}." for i in range(50))]
+    f = url_filter.UrlFilter(site_rules=(), patterns=rules)
+    p = url_filter.Pattern.parse(rule)
+    assert (f.judge(url)[3] == "block") == bool(re.search(p.regex(), url.lower(), re.DOTALL))
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("! a comment\n[head]\n\n|http://exact.example/end|\n/Case/$match-case\n||big.\n" + "".join(f"||site{i}.example.\n" for i in range(2000)))
+    rules = url_filter.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert len(rules) == 2003
+    urls = ["http://exact.example/end", "http://exact.example/end2", "http://a/Case/b", "http://a/case/b", "http://site1999.example.org/", "http://site2000.example.org/", "http://x.big.y/" + "z" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {g.page_id: g.verdict for g in url_filter.filter_urls(df, (), rules).collect()}
+    assert [got[i] for i in range(7)] == ["block", "allow", "block", "allow", "block", "allow", "block"]
+    import pytest
+
+    with pytest.raises(ValueError):
+        url_filter.Pattern.parse("||x^$third-party")
+
+
+def test_archives_by_size(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 20)
+    rows = [(i, f"http://h{i}/a b", "s" * (50 + i)) for i in range(40)] + [(100, "http://m/%20x", "m" * 30_000), (101, "http://l/", "l" * 3_000_000), (102, "http://l2/", "k" * 2_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {g.page_id: g for g in warc.archive_pages(df).collect()}
+    assert {i: g.payload_bytes for i, g in got.items()} == {i: len(h) for i, _, h in rows}
+    assert got[0].url_key == "h0)/a%20b" and got[100].url_key == "m)/%20x"
+    assert len({got[i].archive for i in (101, 102)}) == 2
+
+
 def test_filter_table(spark):
     df = spark.createDataFrame([(1, None, 0), (None, "http://x.net/", 1), (2, "http://x.net", 2), (2, "http://spam-farm.example.org/a", 3)], "page_id long, url string, host int")
     got = [(g.page_id, g.host, g.path, g.rule, g.verdict) for g in url_filter.filter_urls(df).collect()]
@@ -88,7 +123,7 @@ def test_filter_table(spark):
 
 
 def test_fingerprints(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "BUCKET_BYTES", 150_000)
+    monkeypatch.setattr(imatch, "RANGE_BYTES", 150_000)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(5)
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
     got = {g.doc_id: g for g in imatch.fingerprint_documents(docs).collect()}

@@ -28,6 +28,14 @@ def test_stages_take_odd_rows(spark):
     docs = spark.createDataFrame([(1, words, "en", "s", 1), (1, words, "en", "s", 1), (None, words, None, None, None), (2, None, "x", "y", None), (3, "", None, None, 0), (4, words + " more", "en", "s", 1)], schema)
     kept = corpus_pipeline.near_copies_stage(spark, docs, "/root/testdata/sf0.001").collect()
     assert sorted((r.doc_id or -1) for r in kept) == [-1, 1, 2, 3]
+    # unlike texts under one id are documents of their own; columns may have any name
+    other = " ".join(f"v{i}" for i in range(40))
+    mixed = docs.union(spark.createDataFrame([(1, other, "en", "s", 1), (5, other + " z", "en", "s", 1), (1, None, "en", "s", 1)], schema))
+    mixed = mixed.withColumnRenamed("source", "of_changes").withColumnRenamed("lang", "key")
+    kept = corpus_pipeline.near_copies_stage(spark, mixed, "/root/testdata/sf0.001")
+    assert kept.columns == mixed.columns
+    assert sorted((r.doc_id or -1, (r.text or "")[:2]) for r in kept.collect()) == [(-1, "w0"), (1, ""), (1, "v0"), (1, "w0"), (2, ""), (3, "")]
+    assert corpus_pipeline.passages_stage(spark, mixed, "/root/testdata/sf0.001").columns == mixed.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
         stage(spark, docs, "/root/testdata/sf0.001").collect()

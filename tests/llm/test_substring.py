@@ -108,3 +108,85 @@ def test_whole_planted_passages_go(spark):
     assert not set(out[101]) & set(long[12:78]) and set(long[:10] + long[80:]) <= set(out[101]) and 100 in got[101].kept_by
     assert set(out[102]) <= set(own[102]) and len(out[102]) >= 56 and {100, 101} <= set(got[102].kept_by)
     assert all(got[i].removed_words == 0 for i in [*range(12), 100])
+
+
+def brute_lines(rows, least, percent=80):
+    """Lines of each document that a similar line of an earlier one, or of the earlier ones' component, stands for."""
+    lines, grams = [], []
+    for doc, text in rows:
+        for line in text.split("\n"):
+            w = line.lower().split()
+            if len(w) >= least:
+                lines.append((doc, len(w)))
+                grams.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, g in enumerate(grams):
+        for j in range(i):
+            if 100 * len(g & grams[j]) >= percent * len(g | grams[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    first = {}
+    for i, (doc, _) in enumerate(lines):
+        first[find(i)] = min(first.get(find(i), doc), doc)
+    gone = {}
+    for i, (doc, n) in enumerate(lines):
+        if first[find(i)] < doc:
+            gone[doc] = gone.get(doc, 0) + n
+    return gone
+
+
+def test_near_copies_of_lines_against_brute_force(spark):
+    r = random.Random(12)
+    vocab = [f"w{k}" for k in range(4000)]
+    base = [r.choices(vocab, k=r.randrange(28, 90)) for _ in range(40)]
+    rows = []
+    for i in range(160):
+        own = [" ".join(r.choices(vocab, k=r.randrange(3, 60))) for _ in range(2)]
+        w = list(r.choice(base))
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append((i, "\n".join([own[0], " ".join(w), own[1]])))
+    want = brute_lines(rows, 25)
+    got = {x.doc_id: x.removed_words for x in D.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert sum(want.values()) > 2000
+    # every removal that Jaccard calls for, but for what banding misses; beyond that only verbatim repeats
+    assert sum(min(got[i], n) for i, n in want.items()) >= 0.97 * sum(want.values())
+    assert sum(got[i] > 0 for i in want) >= 0.97 * len(want)
+
+
+def test_verbatim_repeats_against_brute_force(spark):
+    r = random.Random(13)
+    vocab = [f"v{k}" for k in range(3000)]
+    shared = [r.choices(vocab, k=r.randrange(47, 90)) for _ in range(20)]
+    rows, inside = [], {}
+    for i in range(100):
+        w = r.choices(vocab, k=r.randrange(60, 200))
+        p, k = i % 20, r.randrange(30, 60)
+        rows.append((i, " ".join([*w[:k], *shared[p], *w[k:]])))
+        inside[i] = len(shared[p])
+    got = {x.doc_id: x.removed_words for x in D.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(got[i] == 0 for i in range(20)) and all(inside[i] <= got[i] <= inside[i] + 2 for i in range(20, 100))
+
+
+def test_short_lines_by_parameter_and_odd_rows(spark):
+    r = random.Random(14)
+    line = " ".join(f"s{k}" for k in range(20))
+    rows = [(i, "\n".join([" ".join(f"o{i}x{k}" for k in range(12)), line, f"end{i}"])) for i in range(50)]
+    near = r.choices([f"n{k}" for k in range(900)], k=70)
+    rows += [(None, " ".join(near)), (None, " ".join(near[:69])), (60, " ".join(near)), (60, "u" + " ".join(f"q{k}" for k in range(40))), (61, "h " + " ".join(f"q{k}" for k in range(40)))]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, of_changes int, node string, x_runs int").repartition(3)
+    by_default = {x.doc_id: x.removed_words for x in D.report(df).where("doc_id < 50").collect()}
+    assert set(by_default.values()) == {0}
+    out = D.remove_repeats(df, least_words=20)
+    assert out.columns == df.columns
+    left = [(x.doc_id, x.text) for x in out.collect()]
+    assert sorted(i for i, t in left if i is not None and i < 50 and line in t) == [0]
+    # null ids come last, so the named row keeps the text; what repeats 60's second text goes whole as a similar line
+    assert [t for i, t in left if i is None] == [] and sum(i == 60 for i, _ in left) == 2
+    assert all(i != 61 for i, _ in left)

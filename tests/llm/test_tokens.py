@@ -157,3 +157,62 @@ def test_pack_documents(spark):
             at += length
         assert at <= 2048
     assert packing.pack_documents(df.limit(0), WORD).count() == 0
+
+
+def fewest(lengths, capacity):
+    """Sequences of an optimal packing, by search over subsets."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= lengths[k]:
+                rest = list(rooms)
+                rest[rest.index(r)] -= lengths[k]
+                place(k + 1, rest)
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def check_plan(plan, histogram, capacity):
+    used, times = Counter(), Counter()
+    for length, _, count, first, per, offset in plan.runs:
+        times[length] += count
+        for k in range(count):
+            used[first + k // per] += length
+            assert offset + (k % per + 1) * length <= capacity
+    assert times == Counter(histogram) and max(used.values()) <= capacity and len(used) == plan.bins
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9), st.integers(20, 30))
+def test_plans_against_the_optimum(lengths, capacity):
+    histogram = dict(Counter(lengths))
+    plan = packing.make_plan(histogram, capacity)
+    check_plan(plan, histogram, capacity)
+    assert plan.bound <= fewest(lengths, capacity) <= plan.bins
+    assert plan.bins <= fewest(lengths, capacity) + 1
+
+
+def test_plans_are_never_worse_than_best_fit():
+    import numpy as np
+
+    better = 0
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        x = [r.integers(1, 2048, 3000), np.minimum(r.lognormal(5.5, 1, 3000).astype(int) + 1, 2047), r.integers(400, 900, 3000), r.choice([683, 684, 682, 500, 1000, 1025, 300], 3000)][seed % 4]
+        histogram = dict(Counter(x.tolist()))
+        plan = packing.make_plan(histogram)
+        check_plan(plan, histogram, 2048)
+        alone = packing._rounded(histogram, 2048, np.array(sorted(histogram)), [], 0.0).bins
+        assert plan.bound <= plan.bins <= alone
+        better += plan.bins < alone
+    assert better
