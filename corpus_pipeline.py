@@ -10,17 +10,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rowsentry.llm import quality_fm, quality_rules
-from rowsentry.llm.jaccard_join import jaccard_groups
+from rowsentry.llm.jaccard_join import keep_first
 from rowsentry.llm.packing import pack_documents
 from rowsentry.llm.store import materialize, table
 from rowsentry.llm.substring_dedup import remove_repeats
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, fitted on the labelled rows among ``docs``.
+
+    A null or empty text fails the base rules and goes. Repeated rows and rows of equal ids are
+    judged each by its own text; texts are read whole; an empty table stays empty.
+    """
     return quality_rules.keep_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -28,6 +31,8 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents that the quality classifier scores 0.5 or more.
 
     It is fitted on the whole table: the rules leave hardly a poor document among the labelled ones.
+    Null and empty texts are scored as texts without words, repeated rows each by its own text; an
+    empty table stays empty.
     """
     return quality_fm.keep_documents(docs, table(spark, sf_dir, "labels"), fit_on=table(spark, sf_dir, "documents"))
 
@@ -35,23 +40,28 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id.
 
-    A row without an id can't be named, so it stays. Of rows that share the kept id one stays.
+    A row without an id can't be named, so it stays; texts without words stand for themselves. Of
+    rows that share id and text one stays, and unlike texts under one id are documents of their own.
+    An empty table stays empty.
     """
-    groups = jaccard_groups(docs)
-    first = materialize(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows")), "kept-ids")
-    named = docs.join(first.select("kept").hint("merge"), docs.doc_id == first.kept, "left_semi")
-    if first.where("rows > 1").limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    return keep_first(docs)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one holds."""
+    """Documents without the passages that an earlier one holds; those left without a word go.
+
+    Null, empty and short texts stay as they are, repeated rows get the same text. Of equal ids with
+    unlike texts the smaller hash of the text comes first, null ids come last.
+    """
     return remove_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece with its place in a sequence of at most 2048 tokens."""
+    """A row for each piece with its place in a sequence of at most 2048 tokens.
+
+    A null or empty text is one piece, its end alone; repeated rows are packed each; an empty table
+    gives no rows.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
