@@ -50,13 +50,14 @@ def _contract(batches):
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges(u, v)`` with another one; the label is the component's least node.
 
-    Each task first contracts its own edges to stars. Then each round takes the least label among
+    Each task first contracts its own edges to stars, and then the stars that meet at its nodes, so
+    that a component has few more edges than nodes however many there were. Then each round takes the least label among
     a node's neighbours (combined before the shuffle, so that a hub costs one row a task) and lets
     every node take its label's own label, which halves the remaining paths. Rounds are written to
     the shared folder.
     """
     ends = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    few = ends.mapInArrow(_contract, "u long, v long")
+    few = ends.mapInArrow(_contract, "u long, v long").repartition("u").mapInArrow(_contract, "u long, v long")
     both = few.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
     arcs = materialize(both.distinct(), "arcs")
     labels = materialize(arcs.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
