@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.normalize import merge_operations, normalize, phone_shape, structure_mask
+from ..functions.validate import AREA_CODES
 from ..operators import anomaly, executors, findings, profile, review
 from ..operators.graph import connected_components
 from ..sources.dataset import ROW, Dataset
@@ -166,7 +167,7 @@ _CNPJ = "lpad(cast(c_custkey * 104729 % 1000000000000 AS varchar(14)), 12, '0')"
 _mod = lambda s, ws: f"(CASE WHEN {_SUM(s, ws)} % 11 < 2 THEN 0 ELSE 11 - {_SUM(s, ws)} % 11 END)"
 _derived("cnpj_checksum", f"concat({_CNPJ}, cast({_mod(_CNPJ, _W12)} AS varchar(2)), cast(c_custkey % 10 AS varchar(1)))", _validation("cnpj"), f"regexp_matches(v, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$') OR {_mod('v', _W12)} <> substr(v, 13, 1)::INT OR {_mod('v', _W13)} <> substr(v, 14, 1)::INT")
 _derived("phone_br", "concat(CASE c_custkey % 3 WHEN 0 THEN '+55 ' WHEN 1 THEN '0' ELSE '' END, '(', cast(10 + c_custkey % 90 AS varchar(2)), ') ', CASE c_custkey % 4 WHEN 0 THEN '9' WHEN 1 THEN '' WHEN 2 THEN '8' ELSE '' END, lpad(cast(c_custkey * 37 % 100000000 AS varchar(8)), 8, CASE c_custkey % 2 WHEN 0 THEN '3' ELSE '7' END))", _validation("phone_br"), """NOT coalesce(regexp_full_match(
-  CASE WHEN length(d2) IN (11, 12) AND starts_with(d2, '0') THEN substr(d2, 2) ELSE d2 END, '(1[1-9]|2[12478]|3[1-578]|4[1-9]|5[1345]|6[1-9]|7[134579]|8[1-9]|9[1-9])(9\\d{8}|[2-5]\\d{7})'), false)""")
+  CASE WHEN length(d2) IN (11, 12) AND starts_with(d2, '0') THEN substr(d2, 2) ELSE d2 END, '(""" + "|".join(AREA_CODES) + """)(9\\d{8}|[2-5]\\d{7})'), false)""")
 ORACLES["phone_br"] = ORACLES["phone_br"].replace("FROM (SELECT c_custkey AS row_id,", "FROM (SELECT *, CASE WHEN length(d) IN (12, 13) AND starts_with(d, '55') THEN substr(d, 3) ELSE d END AS d2 FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM (SELECT c_custkey AS row_id,").replace("AS v FROM customer)", "AS v FROM customer)))")
 
 
