@@ -177,7 +177,8 @@ def scan(ds: Dataset, profiles: Sequence[ColumnProfile] = ()) -> tuple[DataFrame
             drafts.append(Draft("type_validation", p.key, f"Check that {p.header} contains a valid email address"))
         if p.confidence >= 0.8 and p.semantic == "phone":
             drafts.append(Draft("type_validation", p.key, f"Check for duplicated phones in {p.header}"))
-    kinds = found.select("category", "column", "baseline").distinct().orderBy("category", "column").limit(1000).collect()
+    # as many as the columns and conditions that were looked at
+    kinds = found.select("category", "column", "baseline").distinct().orderBy("category", "column").collect()
     for r in kinds:
         drafts += draft_of(ds, r.category, r.column, r.baseline)
     return found, list({d.text: d for d in reversed(drafts)}.values())[::-1]

@@ -100,16 +100,21 @@ def run_row_local(ds: Dataset, rules: Sequence[CompiledRule]) -> DataFrame:
 
 def _collected(members: DataFrame, by: Sequence[str], headers: Sequence[str], evidence_limit: int | None) -> DataFrame:
     """Groups as findings: sorted rows and their evidence, of at most ``evidence_limit`` rows if given."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(ROW).alias("row"), "cells")))
-    out = members.groupBy(*by).agg(ordered.alias("m"))
-    shown = F.col("m") if evidence_limit is None else F.slice("m", 1, evidence_limit)
-    return out.select(*by, F.transform("m", lambda x: x["row"]).alias("rows"), F.array(*map(F.lit, headers)).alias("fields"), F.flatten(F.transform(shown, lambda x: x["cells"])).cast(f"array<{EVIDENCE}>").alias("evidence"))
+    # the rows on their own, so that evidence that nobody reads is never gathered
+    shown = F.array_sort(F.collect_list(F.struct(F.col(ROW).alias("row"), "cells")))
+    out = members.groupBy(*by).agg(F.array_sort(F.collect_list(ROW)).alias("rows"), shown.alias("m"))
+    cells = F.col("m") if evidence_limit is None else F.slice("m", 1, evidence_limit)
+    return out.select(*by, "rows", F.array(*map(F.lit, headers)).alias("fields"), F.flatten(F.transform(cells, lambda x: x["cells"])).cast(f"array<{EVIDENCE}>").alias("evidence"))
 
 
 def group_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of ``df`` whose keys occur more than once. The counts are combined before the shuffle, and the rows are then joined to the few keys that repeat."""
-    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    return df.join(twice, list(keys), "left_semi")
+    """The rows of ``df`` whose keys occur more than once. The counts are combined before the shuffle, and the rows are then joined to the few keys that repeat.
+
+    Keys are counted by two hashes of 64 bits; whoever groups the rows does so by the keys themselves.
+    """
+    hashed = df.withColumns({"h1": F.xxhash64(*keys), "h2": F.xxhash64(F.lit("2"), *keys)})
+    twice = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    return hashed.join(twice, ["h1", "h2"], "left_semi").drop("h1", "h2")
 
 
 def _same_key(ds: Dataset, rule: CompiledRule, keyed: list[tuple[str, Column]], kind: str, confidence: str, comparator: str, explanation: str, limit, id_key=None) -> DataFrame:

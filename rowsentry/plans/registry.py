@@ -15,7 +15,9 @@ from ..operators import anomaly, executors, findings, profile, review
 from ..operators.graph import connected_components
 from ..sources.dataset import ROW, Dataset
 from ..sources.export import csv_cells
-from .model import Check, CompiledRule, Interpretation, Matcher, Plan, Predicate, When, severity_of
+from .compiler import compile_rules
+from .language import interpret
+from .model import Check, CompiledRule, Interpretation, Matcher, Plan, Predicate, SourceRule, When, severity_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -194,18 +196,10 @@ walk(node, label) AS (SELECT u, u FROM e UNION SELECT e.v, walk.label FROM walk
 comp AS (SELECT node, min(label) AS label FROM walk GROUP BY node)"""
 
 
-@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS id, 'n' || (s_suppkey % 40) AS a, 'k' || (s_suppkey * 7 % 30) AS b FROM supplier WHERE s_suppkey <= 60),
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS id, 'n' || (s_suppkey % 40) AS a, 'k' || (s_suppkey * 7 % 30) AS b FROM supplier),
 pairs AS (SELECT x.id AS u, y.id AS v FROM s x JOIN s y ON x.id < y.id AND (x.a = y.a OR x.b = y.b))""" + COMPONENTS_SQL + f"\nSELECT {GROUP_SQL.format('node')}, 'DUPLICATE' AS type, 'warning' AS severity FROM comp GROUP BY label")
 def duplicate_or(spark, sf_dir):
     """Rows that share either of two keys, closed transitively."""
-    df = load(spark, sf_dir, "supplier").where("s_suppkey <= 60").select("s_suppkey", F.expr("concat('n', s_suppkey % 40)").alias("a"), F.expr("concat('k', s_suppkey * 7 % 30)").alias("b"))
-    plan = Plan("duplicate", matchers=(Matcher("a"), Matcher("b")), any_of=True)
-    return groups_of(executors.run_rules(Dataset.from_df(df, row="s_suppkey"), [rule(plan)]))
-
-
-@query()
-def duplicate_or_all(spark, sf_dir):
-    """``duplicate_or`` over every supplier; the recursive SQL is too slow there, so tests hold this against brute force."""
     df = load(spark, sf_dir, "supplier").select("s_suppkey", F.expr("concat('n', s_suppkey % 40)").alias("a"), F.expr("concat('k', s_suppkey * 7 % 30)").alias("b"))
     plan = Plan("duplicate", matchers=(Matcher("a"), Matcher("b")), any_of=True)
     return groups_of(executors.run_rules(Dataset.from_df(df, row="s_suppkey"), [rule(plan)]))
@@ -392,16 +386,106 @@ def levenshtein_pairs(spark, sf_dir):
     return pairs.select(F.col("x_s_suppkey").alias("u"), F.col("y_s_suppkey").alias("v"), distance.alias("distance"))
 
 
-@query("""WITH RECURSIVE pairs AS (SELECT s_suppkey AS u, s_suppkey * 2 % 50 AS v FROM supplier WHERE s_suppkey < 50 AND s_suppkey * 2 % 50 <> s_suppkey)""" + COMPONENTS_SQL + " SELECT node, label FROM comp")
+@query("""WITH RECURSIVE pairs AS (SELECT s_suppkey AS u, s_suppkey * 2 % 50 AS v FROM supplier WHERE s_suppkey * 2 % 50 <> s_suppkey)""" + COMPONENTS_SQL + " SELECT node, label FROM comp")
 def components(spark, sf_dir):
-    edges = load(spark, sf_dir, "supplier").where("s_suppkey < 50").select(F.col("s_suppkey").alias("u"), F.expr("s_suppkey * 2 % 50").alias("v"))
-    return connected_components(edges)
+    return connected_components(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), F.expr("s_suppkey * 2 % 50").alias("v")))
 
 
-@query()
-def components_all(spark, sf_dir):
-    """``components`` over every supplier; tests hold this against brute force."""
-    return connected_components(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), F.expr("s_suppkey * 2 % 50").alias("v")))
+@query(f"SELECT {GROUP_SQL.format('p_partkey')}, 'DUPLICATE' AS type, 'warning' AS severity FROM part GROUP BY lower(trim(p_brand)), lower(trim(p_type)) HAVING count(*) > 1")
+def duplicate_and(spark, sf_dir):
+    """Rows that share two exact keys."""
+    plan = Plan("duplicate", matchers=(Matcher("p_brand", ("trim", "lowercase")), Matcher("p_type", ("trim", "lowercase"))))
+    return groups_of(executors.run_rules(parts(spark, sf_dir), [rule(plan)]))
+
+
+@query("""SELECT type, confidence, count(*) AS findings FROM (
+SELECT 'POSSIBLE_DUPLICATE' AS type, 'MEDIUM' AS confidence FROM part GROUP BY p_type, lower(trim(p_name)) HAVING count(*) > 1
+UNION ALL SELECT 'DUPLICATE', 'HIGH' FROM part GROUP BY p_brand, p_type HAVING count(*) > 1) GROUP BY 1, 2""")
+def duplicate_levels(spark, sf_dir):
+    """What a finding is called, and how sure it is, by the matchers of its plan: all exact, or some fuzzy."""
+    plans = [Plan("duplicate", matchers=(Matcher("p_name", ("trim", "lowercase"), "levenshtein", 1.0), Matcher("p_type"))), Plan("duplicate", matchers=(Matcher("p_brand"), Matcher("p_type")))]
+    found = executors.run_rules(parts(spark, sf_dir), [rule(p, f"r{k}") for k, p in enumerate(plans)], evidence_limit=1, pair_limit=None)
+    return found.groupBy("type", "confidence").agg(F.count(F.lit(1)).alias("findings"))
+
+
+_derived("zip4_format", "CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(lpad(cast(c_custkey AS varchar(9)), 5, '0'), '-1234') WHEN 2 THEN lpad(cast(c_custkey AS varchar(9)), 5, '0') ELSE ' 12345-6789 ' END", _format("zip4"), "NOT regexp_full_match(trim(v), '\\d{5}-\\d{4}')")
+_derived("email_format_blank", "CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a@b.cd' ELSE 'a@b' END", _format("email"), "trim(v) <> '' AND NOT regexp_full_match(lower(trim(v)), '[^\\s@]+@[^\\s@]+\\.[^\\s@]{2,}')")
+
+_FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(regexp_split_to_array({}, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+_BASE36 = "ltrim(concat(" + ", ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', ((h // {36**k}) % 36)::INT + 1, 1)" for k in range(6, -1, -1)) + "), '0')"
+
+
+@query(f"SELECT row_id, 'finding-' || {_BASE36} AS id FROM (SELECT o_orderkey AS row_id, {_FNV.format(chr(39) + 'MISSING:rule-1:' + chr(39) + ' || o_orderkey')} AS h FROM orders WHERE o_orderpriority = '5-LOW')")
+def finding_ids(spark, sf_dir):
+    """Ids follow from type, rule and rows."""
+    found = executors.run_rules(orders(spark, sf_dir), [rule(Plan("missing", ("priority",)))])
+    return found.select(F.col("rows")[0].alias("row_id"), "id")
+
+
+_ACCENTS = "concat('  Ção ', {n}, '  É ñ ü')"
+
+
+@query(f"SELECT n_nationkey AS row_id, strip_accents({_ACCENTS.format(n='n_name')}) AS plain, upper({_ACCENTS.format(n='n_name')}) AS upper_case, trim({_ACCENTS.format(n='n_name')}) AS trimmed, regexp_replace({_ACCENTS.format(n='n_name')}, '[^0-9]', '', 'g') AS digits FROM nation")
+def normalization_accents(spark, sf_dir):
+    text = F.expr(_ACCENTS.format(n="n_name"))
+    return load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row_id"), normalize(text, ("remove_accents",)).alias("plain"), normalize(text, ("uppercase",)).alias("upper_case"), normalize(text, ("trim",)).alias("trimmed"), normalize(text, ("digits_only",)).alias("digits"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS id, 'n' || (s_suppkey % 40) AS a, 'k' || (s_suppkey * 7 % 30) AS b FROM supplier),
+pairs AS (SELECT x.id AS u, y.id AS v FROM s x JOIN s y ON x.id < y.id AND (x.a = y.a OR x.b = y.b))""" + COMPONENTS_SQL + """,
+g AS (SELECT min(id) AS first FROM s GROUP BY a HAVING count(*) > 1 UNION ALL SELECT min(id) FROM s GROUP BY b HAVING count(*) > 1)
+SELECT label AS first_row, n_findings, n_rows FROM (SELECT label, count(*) AS n_rows FROM comp GROUP BY 1) JOIN (SELECT label, count(*) AS n_findings FROM g JOIN comp ON node = first GROUP BY 1) USING (label)""")
+def consolidation_shared(spark, sf_dir):
+    """Findings of several rows that share some, closed transitively."""
+    df = load(spark, sf_dir, "supplier").select("s_suppkey", F.expr("concat('n', s_suppkey % 40)").alias("a"), F.expr("concat('k', s_suppkey * 7 % 30)").alias("b"))
+    rules = [business(Check("duplicate_fields", (k,)), k) for k in "ab"]
+    found = findings.consolidate(executors.run_rules(Dataset.from_df(df, row="s_suppkey"), rules))
+    return found.select(F.array_min("rows").alias("first_row"), F.size("ids").cast("long").alias("n_findings"), F.size("rows").cast("long").alias("n_rows"))
+
+
+#: Sentences over the columns Dock, Carrier, Height, Label and Email: status, kind of plan, and its fields.
+SENTENCES = (
+    ("Dock is required", "valid", "required", "Dock"),
+    ("Either Dock or Carrier must have a value", "valid", "required", "Carrier,Dock"),
+    ('When "Carrier" equals "Rail", "Dock" must be populated.', "valid", "required", "Carrier,Dock"),
+    ('"Label" must not end with "-old"', "valid", "value_check", "Label"),
+    ('"Label" must be one of "A", "B"', "valid", "value_check", "Label"),
+    ('"Height" must be between 0.5 and 2', "valid", "value_check", "Height"),
+    ("Height must be a number", "valid", "validation", "Height"),
+    ("Find malformed emails", "valid", "validation", "Email"),
+    ("Email must be a valid email address", "valid", "format", "Email"),
+    ("detect duplicates in Label", "valid", "duplicate_fields", "Label"),
+    ("Label must be unique", "valid", "unique_any", "Label"),
+    ("Dock equals Carrier", "valid", "same_fields", "Carrier,Dock"),
+    ("find repeated records using Label", "valid", "duplicate", "Label"),
+    ("The same Label can't have different Carrier", "valid", "consistency", "Carrier,Label"),
+    ('The worksheet must contain columns "Wharf"', "valid", "columns_exist", "Wharf"),
+    ('"Wharf" is required', "needs_mapping", "", ""),
+    ("Dock must be empty", "unsupported", "", ""),
+    ("Dock must not have a value", "unsupported", "", ""),
+    ("Never report missing Dock", "unsupported", "", ""),
+    ("List rows where Dock is filled", "unsupported", "", ""),
+    ("Dock must not be empty unless Carrier is Rail", "unsupported", "", ""),
+    ("Delete records without Dock", "unsupported", "", ""),
+    ("Carrier must be in the external file", "unsupported", "", ""),
+    ('"Height" must be between 9 and 2.', "unsupported", "", ""),
+    ("Height must be greater than 4", "unsupported", "", ""),
+    ("Everything should be nice.", "unsupported", "", ""),
+)
+_QUOTE = lambda s: "'" + s.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_QUOTE, row)) + ")" for row in SENTENCES) + ") AS t(sentence, status, kind, fields)")
+def rule_language(spark, sf_dir):
+    """What the rule language makes of sentences: whether they run, as which plan, over which columns."""
+    out = []
+    for text, *_ in SENTENCES:
+        it = interpret(SourceRule("r", text), {h: h for h in ("Dock", "Carrier", "Height", "Label", "Email")})
+        plan = compile_rules([it]).rules[0].plan if it.status == "valid" else None
+        kind = "" if plan is None else plan.check.kind if plan.check else plan.kind
+        fields = () if plan is None else plan.check.tokens() if plan.check else [m.key for m in plan.matchers] or plan.keys
+        out.append((text, it.status, kind, ",".join(sorted(fields))))
+    return spark.createDataFrame(out, "sentence string, status string, kind string, fields string")
 
 
 def queries() -> dict:

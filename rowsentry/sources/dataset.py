@@ -63,6 +63,22 @@ def detect_header_row(matrix: Sequence[Sequence], limit: int = 20) -> int:
     return at
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Rows of a read of files with ``_row``: numbered from 2 in the order of the files and of the rows in them, without a sort.
+
+    Rows of a split of a file follow each other in a task, so a split's first number and its place
+    among the splits (a row of the driver for each) make a row's number.
+    """
+    place = df.withColumns({"_file": F.col("_metadata.file_path"), "_from": F.col("_metadata.file_block_start"), "_n": F.monotonically_increasing_id()})
+    splits = place.groupBy("_file", "_from").agg(F.min("_n").alias("first"), F.count(F.lit(1)).alias("rows")).collect()
+    total, starts = 2, []
+    for r in sorted(splits, key=lambda r: (r["_file"], r["_from"])):
+        starts.append((r["_file"], r["_from"], total - r["first"]))
+        total += r["rows"]
+    at = F.broadcast(df.sparkSession.createDataFrame(starts, "_file string, _from long, _shift long"))
+    return place.join(at, ["_file", "_from"]).withColumn(ROW, F.col("_n") + F.col("_shift")).select(*df.columns, ROW)
+
+
 @dataclass
 class Dataset:
     """``df`` has the identity column ``_row`` and one column for each key of ``headers``, in sheet order."""
@@ -85,14 +101,18 @@ class Dataset:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str, **options) -> Dataset:
-        return cls.from_df(spark.read.parquet(path), **options)
+        """Without a key column, rows are numbered from 2 as they stand in the files."""
+        df = spark.read.parquet(path)
+        return cls.from_df(df if options.get("row") is not None or options.get("order") else in_file_order(df), **options)
 
     @classmethod
     def from_csv(cls, spark: SparkSession, path: str, **options) -> Dataset:
-        """All columns as text, under cleaned keys; blank rows go."""
+        """All columns as text, under cleaned keys, rows numbered as they stand in the file; blank rows go."""
         df = spark.read.option("header", True).option("multiLine", True).csv(path)
         named, warnings = name_columns(df.columns)
-        out = cls.from_df(df.toDF(*[k for k, _ in named]), headers=dict(named), **options)
+        if options.get("row") is None and not options.get("order"):
+            df = in_file_order(df)
+        out = cls.from_df(df.toDF(*[k for k, _ in named], *[c for c in df.columns if c == ROW]), headers=dict(named), **options)
         out.warnings = warnings
         return out.without_blank_rows()
 

@@ -298,3 +298,15 @@ def test_review_helpers(spark, tmp_path):
     assert again.rules == "a\nb" and again.history[0]["findings"] == 2 and store.list() == [p.id]
     with pytest.raises(ValueError):
         store.load("../x")
+
+
+def test_rows_are_numbered_as_they_stand_in_files(spark, tmp_path):
+    from rowsentry.sources.dataset import Dataset
+
+    (tmp_path / "a.csv").write_text("Name,Zip\nzeta,9\nalpha,1\nmid,5\n")
+    ds = Dataset.from_csv(spark, str(tmp_path / "a.csv"))
+    assert [(r["_row"], r.name) for r in ds.df.orderBy("_row").collect()] == [(2, "zeta"), (3, "alpha"), (4, "mid")]
+    spark.range(1000, 0, -1, 4).selectExpr("id AS v").write.parquet(str(tmp_path / "p"))
+    ds = Dataset.from_parquet(spark, str(tmp_path / "p"))
+    assert [r.v for r in ds.df.orderBy("_row").collect()] == list(range(1000, 0, -1))
+    assert sorted(r["_row"] for r in ds.df.where("v % 7 = 0").select("_row").collect()) == [1002 - v for v in range(994, 0, -7)]
