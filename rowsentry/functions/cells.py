@@ -5,12 +5,15 @@ White space is ECMAScript's, wider than Spark's ``trim`` and Java's ``\\s``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed value: the white space class, for use within brackets.
 WS = r"\t\n\x0B\f\r    -     　﻿"
+WS_CHARS = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{WS}]", c))
 
 
 def cell_text(col: Column, kind: T.DataType) -> Column:
@@ -27,11 +30,12 @@ def cell_text(col: Column, kind: T.DataType) -> Column:
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def collapse_ws(text: Column) -> Column:
-    return trim_ws(F.regexp_replace(text, f"[{WS}]+", " "))
+    """Runs of white space as one space. Single spaces, most of it, are left as they are."""
+    return F.trim(F.regexp_replace(text, f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))
 
 
 def is_blank(text: Column) -> Column:
