@@ -34,8 +34,8 @@ def trim_ws(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    """Runs of white space as one space. Single spaces, most of it, are left as they are."""
-    return F.trim(F.regexp_replace(text, f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))
+    """Runs of white space as one space."""
+    return F.trim(F.regexp_replace(F.translate(text, WS_CHARS, " " * len(WS_CHARS)), " {2,}", " "))
 
 
 def is_blank(text: Column) -> Column:
