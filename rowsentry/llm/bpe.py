@@ -351,7 +351,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def whole(codec, ids):
         return ids.tolist(), codec.spellings.join(ids).decode("utf-8", "replace")
 
-    return _mapped(docs, path, whole, "doc_id long, ids array<int>, decoded string")
+    return mapped(docs, loaded, path, whole, "doc_id long, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -365,10 +365,11 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
             decoded = decoded.decode("utf-8", "replace").encode()
         return ids.size, hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-    return _mapped(docs, path, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs, loaded, path, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _mapped(docs: DataFrame, path: str, result, schema: str) -> DataFrame:
+def mapped(docs: DataFrame, load, path: str, result, schema: str) -> DataFrame:
+    """A row of ``schema`` for each of ``docs``: its id and what ``result`` makes of the ids of its text."""
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     types = [kinds[c.split()[1]] for c in schema.split(", ")][1:]
@@ -376,7 +377,7 @@ def _mapped(docs: DataFrame, path: str, result, schema: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        codec = loaded(path)
+        codec = load(path)
         for batch in batches:
             for k in range(0, batch.num_rows, STEP):
                 some = batch.slice(k, STEP)

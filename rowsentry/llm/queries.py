@@ -1,4 +1,4 @@
-"""The ten queries of this subpackage, each over its whole table with production parameters."""
+"""The queries of this subpackage, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from .imatch import fingerprint_documents
 from .jaccard_join import ORACLE as JACCARD_ORACLE
 from .jaccard_join import jaccard_groups
 from .packing import pack_documents
+from .piece_bpe import digest_documents as digest_pieces
 from .quality_fm import score_quality
 from .quality_rules import quality_rules
 from .store import table
@@ -61,6 +62,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
