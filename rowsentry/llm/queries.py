@@ -9,6 +9,8 @@ from .bpe import digest_documents
 from .imatch import fingerprint_documents
 from .jaccard_join import ORACLE as JACCARD_ORACLE
 from .jaccard_join import jaccard_groups
+from .merkle import ORACLE as MERKLE_ORACLE
+from .merkle import manifest
 from .packing import pack_documents
 from .piece_bpe import digest_documents as digest_pieces
 from .quality_fm import score_quality
@@ -62,6 +64,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -71,4 +77,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": JACCARD_ORACLE, "op6_warc": WARC_ORACLE, "op7_url_filter": url_oracle()}
+    return {"op1_ngram_jaccard": JACCARD_ORACLE, "op6_warc": WARC_ORACLE, "op7_url_filter": url_oracle(), "op11_merkle": MERKLE_ORACLE}
