@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digest_documents
+from .hard_negatives import ORACLE as NEGATIVES_ORACLE
+from .hard_negatives import mine
 from .imatch import fingerprint_documents
 from .jaccard_join import ORACLE as JACCARD_ORACLE
 from .jaccard_join import jaccard_groups
@@ -72,9 +74,13 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": JACCARD_ORACLE, "op6_warc": WARC_ORACLE, "op7_url_filter": url_oracle(), "op11_merkle": MERKLE_ORACLE}
+    return {"op1_ngram_jaccard": JACCARD_ORACLE, "op6_warc": WARC_ORACLE, "op7_url_filter": url_oracle(), "op11_merkle": MERKLE_ORACLE, "op13_hard_negatives": NEGATIVES_ORACLE}
