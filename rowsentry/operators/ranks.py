@@ -20,7 +20,7 @@ RANGE_ROWS, MOST_RANGES = 1 << 15, 20_000
 _SHIFT = 33
 
 
-def numbered(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), at: str = "_at", of: str = "_of", range_rows: int = RANGE_ROWS) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), at: str = "_at", of: str = "_of", range_rows: int | None = None) -> DataFrame:
     """``df`` with the place of each row, from 0, in ``order`` among the rows of equal ``by``, and their number.
 
     Rows that ``order`` doesn't tell apart follow each other in any order, once and for all: the result
@@ -30,7 +30,7 @@ def numbered(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), at:
     spark = df.sparkSession
     kept = materialize(df.withColumn("_tie", F.monotonically_increasing_id()), "unnumbered")
     total = kept.count()
-    ranges = max(1, math.ceil(total / max(range_rows, total / MOST_RANGES)))
+    ranges = max(1, math.ceil(total / max(range_rows or RANGE_ROWS, total / MOST_RANGES)))
     keys = [*(F.col(c).asc_nulls_first() for c in by), *order, F.col("_tie")]
     ranged = materialize(kept.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_n", F.monotonically_increasing_id()), "ranges")
     discard(kept)
