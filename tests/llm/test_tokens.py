@@ -5,14 +5,16 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rowsentry.llm import bpe, packing
+from rowsentry.llm import bpe, packing, piece_bpe
 from rowsentry.llm import kernels as K
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -216,3 +218,73 @@ def test_plans_are_never_worse_than_best_fit():
         assert plan.bound <= plan.bins <= alone
         better += plan.bins < alone
     assert better
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+MARKS = ["▁a ▁", " ▁ ▁▁x", "<s> </s> <0x0A> <unk>", "a\0b", "日\ud7ff😀", "\ufffd", " ", "   ", " " * 90 + "x", "ab" * 400, "x\n y"]
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return piece_bpe.PieceBpe(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abcdeinrst  \n\t'é日1.,<>▁😀\0\xa0"), max_size=90))
+def test_pieces_equal_the_library(pieces, text):
+    codec, library = pieces
+    ids = codec.encode(text)
+    assert ids == library.encode(text)
+    assert codec.decode(ids) == library.decode(ids) == codec.spelling(np.array(ids, np.int64)).decode()
+    assert codec.repaired == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 261), st.integers(0, 31999), st.sampled_from([0, 1, 2, 259, 28705, 3 + 0xE6, 3 + 0x97, 3 + 0xA5])), max_size=9))
+def test_pieces_decode_any_ids(pieces, ids):
+    codec, library = pieces
+    assert codec.decode(ids) == library.decode(ids)
+
+
+def test_pieces_on_odd_texts_and_cache_limits(pieces, monkeypatch):
+    codec, library = pieces
+    monkeypatch.setattr(codec.numbers, "limit", 8)
+    monkeypatch.setattr(piece_bpe, "ROWS", 5)
+    r = random.Random(1)
+    texts = ODD + MARKS + ["".join(r.choices("abcdefg \n'é1▁", k=60)) for _ in range(300)]
+    assert [x.tolist() for x in codec.encode_column(pa.array(texts))] == [library.encode(t) for t in texts]
+
+
+def test_agendas_of_rows_and_heaps_agree(pieces):
+    codec, _ = pieces
+    r = random.Random(6)
+    spans = [" " * r.randrange(1, 4) + "".join(r.choices("abehtinr日x", k=r.randrange(64))) for _ in range(400)]
+    flat, count = codec.encode_spans(spans)
+    heaps = [codec.merge_long(codec.symbol[[ord(c) for c in s]].tolist()) for s in spans]
+    want, n = zip(*(codec._spelt_in_bytes(np.array(h), np.array([len(h)])) for h in heaps))
+    assert flat.tolist() == [i for w in want for i in w.tolist()] and count.tolist() == [int(x[0]) for x in n]
+
+
+def test_the_library_corrects_a_wrong_merge(pieces):
+    codec = piece_bpe.PieceBpe(PIECES)
+    codec.place = codec.place[::-1].copy()
+    want = pieces[1].encode("the merging goes wrong here")
+    assert codec.encode("the merging goes wrong here") == want and codec.repaired
+    codec = piece_bpe.PieceBpe(PIECES, check=False)
+    codec.place = codec.place[::-1].copy()
+    assert codec.encode("the merging goes wrong here") != want
+
+
+def test_piece_digests(spark, pieces):
+    library = pieces[1]
+    rows = [(i, t) for i, t in enumerate(ODD + MARKS)] + [(None, "n"), (5, "twice"), (5, "twice"), (99, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string")
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "")
+        want.append((i if i is not None else -1, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    got = piece_bpe.digest_documents(docs, PIECES).collect()
+    assert sorted((g.doc_id if g.doc_id is not None else -1, g.n_tokens, g.ids_sha256, g.decoded_sha256) for g in got) == sorted(want)
+    assert piece_bpe.digest_documents(docs.limit(0), PIECES).count() == 0
+    one = piece_bpe.encode_documents(docs.where("doc_id = 5 AND text = 'twice'").limit(1), PIECES).first()
+    assert one.decoded == "twice" and one.ids == library.encode("twice")
