@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,9 +53,59 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+#: Texts of more characters are compared one pair at a time; pairs that are compared together.
+WIDE, TOGETHER = 64, 4096
+
+
+def jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``jaro_winkler_text`` of many pairs: all pairs take each step of the matching together."""
+    out = np.empty(len(a))
+    size = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    for k in np.flatnonzero(size > WIDE).tolist():
+        out[k] = jaro_winkler_text(a[k], b[k])
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] <= WIDE]
+    for k in range(0, order.size, TOGETHER):
+        part = order[k : k + TOGETHER]
+        out[part] = _together([a[i] for i in part.tolist()], [b[i] for i in part.tolist()])
+    return out
+
+
+def _letters(texts: list[str], blank: int) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array(list(map(len, texts)), np.int64)
+    grid = np.full((len(texts), max(1, int(size.max(initial=0)))), blank, np.int64)
+    grid[np.arange(grid.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return grid, size
+
+
+def _together(a: list[str], b: list[str]) -> np.ndarray:
+    (x, la), (y, lb) = _letters(a, -1), _letters(b, -2)
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    free, mine = y >= 0, np.zeros(x.shape, bool)
+    widest = int(reach.max(initial=0))
+    for i in range(x.shape[1]):
+        hit = np.zeros(len(a), bool)
+        for j in range(max(0, i - widest), min(y.shape[1], i + widest + 1)):
+            ok = free[:, j] & ~hit & (y[:, j] == x[:, i]) & (reach >= abs(i - j))
+            free[:, j] ^= ok
+            hit |= ok
+        mine[:, i] = hit
+    m = mine.sum(1)
+    theirs = (y >= 0) & ~free
+    front = lambda grid, taken: np.take_along_axis(grid, np.argsort(~taken, axis=1, kind="stable"), 1)
+    both = min(x.shape[1], y.shape[1])
+    swapped = ((front(x, mine)[:, :both] != front(y, theirs)[:, :both]) & (np.arange(both) < m[:, None])).sum(1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = (m / la + m / lb + (m - swapped) / m) / 3
+    head = min(4, both)
+    prefix = np.cumprod(x[:, :head] == y[:, :head], axis=1).sum(1)
+    found = np.where(m > 0, jaro + prefix * 0.1 * (1 - jaro), 0.0)
+    return np.where([p == q for p, q in zip(a, b, strict=True)], 1.0, found)
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_text(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(jaro_winkler_many(a.fillna("").tolist(), b.fillna("").tolist()), dtype="float64")
 
 
 def jaro_winkler_bound(a: Column, b: Column) -> Column:

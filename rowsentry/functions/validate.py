@@ -107,6 +107,35 @@ def is_valid(validator: str, text: Column) -> Column:
     return is_blank(text) | VALIDATORS[validator](text)
 
 
+#: What is said of a cell that passes.
+PASSED = {
+    "required": "A value is present.",
+    "email": "The email format is valid.",
+    "cpf": "The CPF checksum is valid.",
+    "cnpj": "The CNPJ checksum is valid.",
+    "phone_br": "The phone contains a valid Brazilian DDD and subscriber number.",
+    "number": "The value is numeric.",
+    "date": "The value is a valid date.",
+}
+SKIPPED = "The optional value is empty, so format validation was skipped."
+
+
+def validation(validator: str, text: Column) -> Column:
+    """``struct(valid, normalized, reason)`` of a cell: the text that was looked at, and what is said of it.
+
+    A date that passes is shown as an instant in UTC.
+    """
+    plain, good = trim_ws(text), is_valid(validator, text)
+    shown = {
+        "email": lambda: F.lower(plain), "cpf": lambda: identifier(text), "cnpj": lambda: identifier(text), "phone_br": lambda: phone_br(text),
+        "number": lambda: F.regexp_replace(plain, "^([^,]*),", "$1."),
+        "date": lambda: F.coalesce(F.date_format(F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in DATE_FORMATS]), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), plain),
+    }.get(validator, lambda: plain)()
+    said = F.when(good, PASSED[validator]).otherwise(REASONS[validator])
+    blank = is_blank(text) & F.lit(validator != "required")
+    return F.struct(good.alias("valid"), F.when(blank, "").otherwise(shown).alias("normalized"), F.when(blank, SKIPPED).otherwise(said).alias("reason"))
+
+
 def matches_format(name: str, text: Column) -> Column:
     """Dataset formats: a blank email passes, a blank state or ZIP doesn't."""
     if name == "email":

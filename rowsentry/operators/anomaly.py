@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cells import trim_ws
 from ..functions.normalize import structure_mask
 from ..sources.dataset import ROW, Dataset
-from .profile import ColumnProfile
+from .profile import ColumnProfile, column_counts
+from .selection import exact_median
 
 BASELINE = "struct<median:double,mad:double,low:double,high:double,dominant:string,coverage:double,correlated:string,condition:string>"
 COLUMNS = ("category", "column", "row", "value", "severity", "confidence", "score", "baseline")
@@ -40,17 +42,18 @@ def round_half_up(x, places: int = 2):
 
 
 def mad_outliers(ds: Dataset, key: str) -> DataFrame:
-    """Numbers whose modified z-score reaches 3.5; above 5 an error, above 8 critical."""
+    """Numbers whose modified z-score reaches 3.5; above 5 an error, above 8 critical. Median and spread are found at once, exactly."""
     number = ds.number(key) if not isinstance(ds.kind(key), T.StringType) else None
     if number is None:
         number = F.lit(None).cast("double")
     if ds.tagged(key):
         number = F.when(F.col(key)["t"] == "number", F.col(key)["n"])
     df = ds.df.select(ROW, number.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    center = df.agg(F.median("x").alias("med"), F.count("x").alias("n"))
-    spread = df.crossJoin(F.broadcast(center)).groupBy("med", "n").agg(F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"))  # one row
-    z = MAD_SCALE * F.abs(F.col("x") - F.col("med")) / F.col("mad")
-    out = df.crossJoin(F.broadcast(spread)).where((F.col("n") >= MAD_LEAST) & (F.col("mad") > 0)).withColumn("z", z).where(F.col("z") >= MAD_CUT)
+    med, n = exact_median(df)
+    mad = exact_median(df.select(F.abs(F.col("x") - med).alias("x")))[0] if n >= MAD_LEAST else 0.0
+    # without a spread nothing stands out
+    out = df.where(F.lit(bool(mad))).withColumns({"med": F.lit(med or 0.0), "mad": F.lit(mad or 1.0)})
+    out = out.withColumn("z", MAD_SCALE * F.abs(F.col("x") - F.col("med")) / F.col("mad")).where(F.col("z") >= MAD_CUT)
     reach = MAD_CUT * F.col("mad") / MAD_SCALE
     return _anomaly(
         out, "NUMERIC_OUTLIER", key, F.col("x").cast("string"), F.when(F.col("z") > 8, "critical").when(F.col("z") > 5, "error").otherwise("warning"), F.when(F.col("z") > 5, "HIGH").otherwise("MEDIUM"),
@@ -123,10 +126,8 @@ def primary_keys(ds: Dataset) -> DataFrame:
     like = [k for k in ds.keys if re.search(r"id$|code|codigo|number|sku|cpf|cnpj", ds.headers[k], re.IGNORECASE)]
     if not like:
         return ds.df.sparkSession.createDataFrame([], "column string, n long")
-    value = {k: F.when(~ds.missing(k), F.lower(F.trim(ds.text(k)))) for k in like}
-    wide = ds.df.agg(*[F.count(value[k]).alias(f"{k}__n") for k in like], *[F.countDistinct(value[k]).alias(f"{k}__u") for k in like])
-    each = F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"{k}__n").alias("n"), F.col(f"{k}__u").alias("u")) for k in like])
-    return wide.select(F.explode(each).alias("c")).select("c.*").where("n >= 10 AND n = u").select("column", "n")
+    found = column_counts(ds, like, lambda text: F.lower(trim_ws(text)))
+    return found.where("non_empty >= 10 AND non_empty = unique_values").select("column", F.col("non_empty").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -200,3 +201,15 @@ def draft_of(ds: Dataset, category: str, column: str, base) -> list[Draft]:
 
 def anomaly_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("anomalies"))
+
+
+#: What an anomaly may be, and how grave.
+CATEGORIES = ("NUMERIC_OUTLIER", "FORMAT_DEVIATION", "DATA_TYPE_INCONSISTENCY", "ATYPICAL_MISSING", "SEMANTIC_PATTERN_BREAK")
+GRAVITIES = ("critical", "error", "warning", "info")
+
+
+def summary_by(found: DataFrame, column: str) -> DataFrame:
+    """How many anomalies there are of each ``category`` or of each ``severity``, those without any as well."""
+    kinds = found.sparkSession.createDataFrame([(k,) for k in (CATEGORIES if column == "category" else GRAVITIES)], f"{column} string")
+    counts = found.groupBy(column).agg(F.count(F.lit(1)).alias("anomalies"))
+    return kinds.join(F.broadcast(counts), column, "left").select(column, F.coalesce("anomalies", F.lit(0)).alias("anomalies"))

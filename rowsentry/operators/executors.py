@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import similarity as sim
 from ..functions.cells import trim_ws
@@ -22,7 +21,10 @@ from ..plans.model import Check, CompiledRule, Plan, When
 from ..sources.dataset import ROW, Dataset
 from ..sources.shared import materialize
 from .findings import EVIDENCE, SCHEMA, evidence, finish
+from .fuzzy_join import Field, similar_pairs
 from .graph import connected_components
+from .long_form import Bounded, LongFindings, collect_bounded, long_findings
+from .ranks import numbered, running_sum
 
 PAIR_LIMIT, WEIGHTED_LIMIT, ONE_BLOCK = 2_000_000, 5_000_000, 5_000
 #: Business checks that look at one row at a time.
@@ -98,8 +100,14 @@ def run_row_local(ds: Dataset, rules: Sequence[CompiledRule]) -> DataFrame:
     )
 
 
-def _collected(members: DataFrame, by: Sequence[str], headers: Sequence[str], evidence_limit: int | None) -> DataFrame:
-    """Groups as findings: sorted rows and their evidence, of at most ``evidence_limit`` rows if given."""
+def _collected(members: DataFrame, by: Sequence[str], headers: Sequence[str], evidence_limit: int | Bounded | None) -> DataFrame:
+    """Groups as findings: sorted rows and their evidence, of at most ``evidence_limit`` rows if given.
+
+    With a ``Bounded`` limit a group's row doesn't hold all its rows either; see ``long_form``.
+    """
+    if isinstance(evidence_limit, Bounded):
+        out = collect_bounded(members, by, evidence_limit)
+        return out.select(*by, "group", "n_rows", "rows", F.array(*map(F.lit, headers)).alias("fields"), F.flatten(F.transform("m", lambda x: x["cells"])).cast(f"array<{EVIDENCE}>").alias("evidence"))
     # the rows on their own, so that evidence that nobody reads is never gathered
     shown = F.array_sort(F.collect_list(F.struct(F.col(ROW).alias("row"), "cells")))
     out = members.groupBy(*by).agg(F.array_sort(F.collect_list(ROW)).alias("rows"), shown.alias("m"))
@@ -166,28 +174,27 @@ def _stars(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(first, list(keys)).select(F.col(ROW).alias("u"), "v").where("u <> v")
 
 
-def _blocked(ds: Dataset, plan: Plan) -> tuple[DataFrame, list[str]]:
-    """Rows with their matchers' values and the block within which they are compared: equal exact values, or one block for
-    few rows, or the first letter and a quarter of the length of the first fuzzy value."""
+def _values(ds: Dataset, plan: Plan) -> tuple[DataFrame, list[str], list[str]]:
+    """Rows with their matchers' values, without those that lack an exact one; the names of all and of the exact ones."""
     names = [f"m{i}" for i in range(len(plan.matchers))]
-    df = materialize(ds.df.select(ROW, *[normalize(ds.text(m.key), m.operations).alias(n) for n, m in zip(names, plan.matchers, strict=True)]), "fuzzy")
     exact = [n for n, m in zip(names, plan.matchers, strict=True) if not m.algorithm]
+    df = materialize(ds.df.select(ROW, *[normalize(ds.text(m.key), m.operations).alias(n) for n, m in zip(names, plan.matchers, strict=True)]), "fuzzy")
+    return df.where(reduce(lambda a, b: a & b, [F.length(n) > 0 for n in exact], F.lit(True))), names, exact
+
+
+def _blocked(ds: Dataset, plan: Plan) -> tuple[DataFrame, list[str]]:
+    """Rows with their matchers' values and the block within which a capped plan compares them: equal exact values, or one
+    block for few rows, or the first letter and a quarter of the length of the first fuzzy value."""
+    df, names, exact = _values(ds, plan)
     if exact:
-        return df.where(reduce(lambda a, b: a & b, [F.length(n) > 0 for n in exact])).withColumn("block", F.concat_ws("\u0000", *exact)), names
+        return df.withColumn("block", F.concat_ws("\u0000", *exact)), names
     lead = names[next(i for i, m in enumerate(plan.matchers) if m.algorithm)]
     few = df.count() <= ONE_BLOCK
     return df.withColumn("block", F.lit("all") if few else F.concat_ws(":", F.lower(F.substring(lead, 1, 1)), F.floor(F.length(lead) / 4).cast("string"))), names
 
 
-def _matching(df: DataFrame, plan: Plan, names: list[str], pair_limit: int | None) -> DataFrame:
-    """Pairs of rows of ``df`` within a block that match, the columns of both sides under ``l_`` and ``r_``."""
-    # words are split once a row, not once a pair
-    df = df.withColumns({f"w_{n}": sim.word_set(F.col(n)) for n, m in zip(names, plan.matchers, strict=True) if m.algorithm == "token_jaccard"})
-    left, right = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side in "lr")
-    pairs = left.join(right, (F.col("l_block") == F.col("r_block")) & (F.col(f"l_{ROW}") < F.col(f"r_{ROW}")))
-    if pair_limit is not None:
-        i, j, n = F.col("l_at").cast("long"), F.col("r_at").cast("long"), F.col("l_n")
-        pairs = pairs.where(F.col("l_before") + i * (2 * n - i - 1) / 2 + (j - i) <= pair_limit)
+def _matches(pairs: DataFrame, plan: Plan, names: list[str]) -> DataFrame:
+    """Of pairs of rows (columns under ``l_`` and ``r_``) those that a fuzzy plan matches; cheap bounds come first."""
     tests, bounds = [], []
     for n, m in zip(names, plan.matchers, strict=True):
         a, b = F.col(f"l_{n}"), F.col(f"r_{n}")
@@ -204,20 +211,55 @@ def _matching(df: DataFrame, plan: Plan, names: list[str], pair_limit: int | Non
     return pairs.where(reduce(join, bounds)).where(reduce(join, tests))
 
 
+def _with_words(df: DataFrame, plan: Plan, names: list[str]) -> DataFrame:
+    """Words are split once a row, not once a pair."""
+    return df.withColumns({f"w_{n}": sim.word_set(F.col(n)) for n, m in zip(names, plan.matchers, strict=True) if m.algorithm == "token_jaccard"})
+
+
+def _capped(df: DataFrame, plan: Plan, names: list[str], pair_limit: int) -> DataFrame:
+    """Pairs of rows within a block that match, of the first ``pair_limit`` pairs in the order of blocks and rows.
+
+    A row whose first pair is beyond the limit doesn't enter the join, so no more pairs are made than
+    the limit and one row's partners.
+    """
+    df = _with_words(df, plan, names)
+    i, j, n = F.col("l_at").cast("long"), F.col("r_at").cast("long"), F.col("l_n")
+    before = F.col("l_before") + i * (2 * n - i - 1) / 2
+    left, right = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side in "lr")
+    pairs = left.where(before < pair_limit).join(right, (F.col("l_block") == F.col("r_block")) & (F.col("l_at") < F.col("r_at")))
+    return _matches(pairs.where(before + (j - i) <= pair_limit), plan, names)
+
+
+def _all_matching(df: DataFrame, plan: Plan, names: list[str]) -> DataFrame:
+    """All pairs of rows of ``df`` that match, ``(u, v)``: within equal exact values, else of all rows.
+
+    Signatures find the candidates: of one fuzzy matcher after the other where all must match, of each alone where any may.
+    """
+    df = _with_words(df, plan, names)
+    exact = [n for n, m in zip(names, plan.matchers, strict=True) if not m.algorithm]
+    fields = sorted((Field(n, m.algorithm, m.threshold) for n, m in zip(names, plan.matchers, strict=True) if m.algorithm), key=lambda f: -f.threshold)
+    accept = lambda pairs: _matches(pairs, plan, names).select(F.col(f"l_{ROW}").alias("u"), F.col(f"r_{ROW}").alias("v"))
+    if not plan.any_of:
+        return similar_pairs(df, fields, accept, exact)
+    if exact:  # whoever shares the exact values matches by them
+        return similar_pairs(df, [], accept, exact)
+    return reduce(DataFrame.union, [similar_pairs(df.where(F.length(f.column) > 0), [f], accept) for f in fields]).distinct()
+
+
 def duplicate_classes(ds: Dataset, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """A fuzzy plan over classes of rows with the same values, so that each pair of values is compared once.
 
     Returns the rows with the first row of their class, ``(_row, first)``, and the pairs of classes that match,
-    ``(u, v, rows_u, rows_v)``. Rows of one class match each other.
+    ``(u, v, rows_u, rows_v)``. Rows of one class match each other. All matching pairs are found, of any number of rows.
     """
-    df, names = _blocked(ds, plan)
+    df, names, _ = _values(ds, plan)
     filled = reduce((lambda a, b: a | b) if plan.any_of else (lambda a, b: a & b), [F.length(n) > 0 for n in names])
     df = df.where(filled)
-    classes = materialize(df.groupBy("block", *names).agg(F.min(ROW).alias(ROW), F.count(F.lit(1)).alias("rows")), "classes")
-    pairs = _matching(classes, plan, names, None)
-    pairs = pairs.select(F.col(f"l_{ROW}").alias("u"), F.col(f"r_{ROW}").alias("v"), F.col("l_rows").alias("rows_u"), F.col("r_rows").alias("rows_v"))
-    members = df.join(classes.select("block", *names, F.col(ROW).alias("first")), ["block", *names]).select(ROW, "first")
-    return members, pairs
+    classes = materialize(df.groupBy(*names).agg(F.min(ROW).alias(ROW), F.count(F.lit(1)).alias("rows")), "classes")
+    pairs = _all_matching(classes.drop("rows"), plan, names)
+    rows = lambda side: classes.select(F.col(ROW).alias(side), F.col("rows").alias(f"rows_{side}"))
+    members = df.join(classes.select(*names, F.col(ROW).alias("first")), names).select(ROW, "first")
+    return members, pairs.join(rows("u"), "u").join(rows("v"), "v")
 
 
 def duplicate_edges(ds: Dataset, plan: Plan, pair_limit: int | None = PAIR_LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -237,12 +279,12 @@ def duplicate_edges(ds: Dataset, plan: Plan, pair_limit: int | None = PAIR_LIMIT
         members, pairs = duplicate_classes(ds, plan)
         return pairs.select("u", "v").union(members.where(F.col(ROW) != F.col("first")).select(F.col(ROW), "first")), none_cut
     df, names = _blocked(ds, plan)
-    stats = df.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
-    before = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2).over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    stats = materialize(stats.withColumn("before", before.cast("long")), "blocks")
-    cut = stats.agg((F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)) > pair_limit).alias("cut"))
-    df = df.join(stats.select("block", "n", "before"), "block").withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy(ROW)) - 1)
-    edges = _matching(df, plan, names, pair_limit).select(F.col(f"l_{ROW}").alias("u"), F.col(f"r_{ROW}").alias("v"))
+    stats = df.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first")).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+    stats, total = running_sum(stats, [F.col("first")], "pairs", "before")
+    cut = ds.df.sparkSession.range(1).select(F.lit(total > pair_limit).alias("cut"))
+    reached = stats.where(F.col("before") < pair_limit).select("block", "n", "before")
+    df = numbered(df.join(reached, "block"), [F.col(ROW)], by=["block"], at="at", of="rows").drop("rows")
+    edges = _capped(df, plan, names, pair_limit).select(F.col(f"l_{ROW}").alias("u"), F.col(f"r_{ROW}").alias("v"))
     return edges, cut
 
 
@@ -251,8 +293,14 @@ def duplicate(ds: Dataset, rule: CompiledRule, limit=None, pair_limit: int | Non
     fuzzy = [m for m in plan.matchers if m.algorithm]
     edges, cut = duplicate_edges(ds, plan, pair_limit)
     labels = connected_components(edges)
-    cells = F.array(*[evidence(ds, m.key, normalize(ds.text(m.key), m.operations), m.algorithm or "equals") for m in plan.matchers])
-    members = ds.df.select(ROW, cells.alias("cells")).join(labels, F.col(ROW) == F.col("node")).select(ROW, "label", "cells")
+    # a component's label is its first row, with which each row is compared once
+    values = {f"m{i}": normalize(ds.text(m.key), m.operations) for i, m in enumerate(plan.matchers)}
+    first = ds.df.join(labels.where("node = label"), F.col(ROW) == F.col("node")).select(F.col("label").alias("head"), *[v.alias(f"h_{n}") for n, v in values.items()])
+    members = ds.df.withColumns(values).join(labels, F.col(ROW) == F.col("node")).join(materialize(first, "heads"), F.col("label") == F.col("head"))
+    scores = {n: sim.similarity(m.algorithm, F.col(f"h_{n}"), F.col(n)) if m.algorithm else F.lit(1.0) for n, m in zip(values, plan.matchers, strict=True)}
+    members = members.withColumns({f"s_{n}": s for n, s in scores.items()})
+    cells = F.array(*[evidence(ds, m.key, F.col(n), m.algorithm or "equals", F.col(f"s_{n}")) for n, m in zip(values, plan.matchers, strict=True)])
+    members = members.select(ROW, "label", cells.alias("cells"))
     groups = _collected(members, ["label"], [ds.headers[m.key] for m in plan.matchers], limit)
     level = "HIGH" if not fuzzy else "LOW" if len(fuzzy) == len(plan.matchers) else "MEDIUM"
     said = f"Rows match on {', '.join(ds.headers[m.key] for m in plan.matchers)}."
@@ -261,39 +309,104 @@ def duplicate(ds: Dataset, rule: CompiledRule, limit=None, pair_limit: int | Non
     return finish(groups, rule, "POSSIBLE_DUPLICATE" if fuzzy else "DUPLICATE", level, said)
 
 
-def weighted_edges(ds: Dataset, check: Check, fields: dict[str, str], pair_limit: int | None = WEIGHTED_LIMIT) -> DataFrame:
-    """``(u, v, score, exact)`` of pairs with equal exact fields, or a weighted Jaro-Winkler sum at the threshold.
+def _weighted_bounds(check: Check) -> list[list[tuple[str, float]]]:
+    """Thresholds of single fields that a pair at the weighted threshold must meet: all of one list, of one list at least.
+
+    A field can't be worth less than the threshold without the full weights of the others. Where that says little of each
+    field, at least one field has the threshold's share of all weights.
+    """
+    whole = sum(w for _, w in check.weights)
+    each = [(t, (check.threshold - whole + w) / w) for t, w in check.weights if w > 0]
+    strong = sorted((x for x in each if x[1] > 0.82), key=lambda x: -x[1])
+    return [strong] if strong else [[(t, check.threshold / whole)] for t, _ in each]
+
+
+def weighted_classes(ds: Dataset, check: Check, fields: dict[str, str], pair_limit: int | None = WEIGHTED_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Rows with the first row of their class of equal values, ``(_row, first, rows)``, and linked classes, ``(u, v, score, exact)``.
 
-    A pair's sum can't exceed the sum of its bounds, so only pairs whose bounds reach the threshold are scored.
+    Classes are linked by equal exact fields (score 1), as stars around the first class, or by a weighted Jaro-Winkler
+    sum at the threshold. Signatures of the fields find the candidates, so no pairs are made that no field bears out.
     """
     if pair_limit is not None:
         n = ds.df.count()
         if n * (n - 1) // 2 > pair_limit:
             raise PairLimitError(f"{n * (n - 1) // 2:,} pairs exceed the limit of {pair_limit:,}; no partial result has been made.")
     tokens = list(dict.fromkeys([*check.exact_fields, *(t for t, _ in check.weights)]))
-    df = materialize(ds.df.select(ROW, *[business_value(ds.text(fields[t]), t).alias(f"w{i}") for i, t in enumerate(tokens)]), "weighted")
     col = {t: f"w{i}" for i, t in enumerate(tokens)}
-    left, right = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side in "lr")
-    both = lambda t: (F.length(f"l_{col[t]}") > 0) & (F.length(f"r_{col[t]}") > 0)
-    equal = reduce(lambda a, b: a & b, [both(t) & (F.col(f"l_{col[t]}") == F.col(f"r_{col[t]}")) for t in check.exact_fields], F.lit(bool(check.exact_fields)))
-    whole = reduce(lambda a, b: a & b, [both(t) for t, _ in check.weights], F.lit(bool(check.weights)))
+    df = materialize(ds.df.select(ROW, *[business_value(ds.text(fields[t]), t).alias(c) for t, c in col.items()]), "weighted")
+    classes = materialize(df.groupBy(*col.values()).agg(F.min(ROW).alias(ROW), F.count(F.lit(1)).alias("rows")), "classes")
+    members = df.join(classes.withColumnRenamed(ROW, "first"), list(col.values())).select(ROW, "first", "rows")
+    none = ds.df.sparkSession.createDataFrame([], "u long, v long, score double, exact boolean")
+    exact = [col[t] for t in check.exact_fields]
+    stars = none
+    if exact:
+        stars = _stars(classes.where(reduce(lambda a, b: a & b, [F.length(c) > 0 for c in exact])), exact).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
+    if not check.weights:
+        return members, stars
+    filled = classes.drop("rows").where(reduce(lambda a, b: a & b, [F.length(col[t]) > 0 for t, _ in check.weights]))
+    equal = reduce(lambda a, b: a & b, [(F.length(f"l_{c}") > 0) & (F.col(f"l_{c}") == F.col(f"r_{c}")) for c in exact], F.lit(bool(exact)))
     total = lambda f: reduce(lambda a, b: a + b, [f(F.col(f"l_{col[t]}"), F.col(f"r_{col[t]}")) * w for t, w in check.weights], F.lit(0.0))
-    pairs = left.join(right, F.col(f"l_{ROW}") < F.col(f"r_{ROW}"))
-    pairs = pairs.withColumn("exact", equal).where(F.col("exact") | (whole & (total(sim.jaro_winkler_bound) + 1e-9 >= check.threshold)))
-    pairs = pairs.withColumn("score", F.when(F.col("exact"), 1.0).otherwise(total(sim.jaro_winkler)))
-    return pairs.where(F.col("exact") | (F.col("score") + 2.220446049250313e-16 >= check.threshold)).select(F.col(f"l_{ROW}").alias("u"), F.col(f"r_{ROW}").alias("v"), "score", "exact")
+
+    def accept(pairs: DataFrame) -> DataFrame:
+        some = pairs.where(~equal & (total(sim.jaro_winkler_bound) + 1e-9 >= check.threshold)).withColumn("score", total(sim.jaro_winkler))
+        return some.where(F.col("score") + 2.220446049250313e-16 >= check.threshold).select(F.col(f"l_{ROW}").alias("u"), F.col(f"r_{ROW}").alias("v"), "score", F.lit(False).alias("exact"))
+
+    found = [similar_pairs(filled, [Field(col[t], "jaro_winkler", least) for t, least in bounds], accept) for bounds in _weighted_bounds(check)]
+    weighted = found[0] if len(found) == 1 else reduce(DataFrame.union, found).dropDuplicates(["u", "v"])
+    return members, stars.union(materialize(weighted, "weighted-edges"))
+
+
+def _within(classes: DataFrame, check: Check) -> DataFrame:
+    """How the rows of one class are linked, ``(first, score, exact)``: by their exact fields, else by the full weights."""
+    exact, whole = F.lit(bool(check.exact_fields)), F.lit(bool(check.weights))
+    for i, t in enumerate(dict.fromkeys([*check.exact_fields, *(t for t, _ in check.weights)])):
+        exact = exact & (F.length(f"w{i}") > 0) if t in check.exact_fields else exact
+        whole = whole & (F.length(f"w{i}") > 0) if t in dict(check.weights) else whole
+    full = float(sum(w for _, w in check.weights))
+    return classes.where(exact | (whole & F.lit(full + 2.220446049250313e-16 >= check.threshold))).select(F.col(ROW).alias("first"), F.when(exact, 1.0).otherwise(full).alias("score"), exact.alias("exact"))
+
+
+def weighted_edges(ds: Dataset, check: Check, fields: dict[str, str], pair_limit: int | None = WEIGHTED_LIMIT) -> DataFrame:
+    """``(u, v, score, exact)`` of all pairs of rows with equal exact fields, or a weighted Jaro-Winkler sum at the threshold.
+
+    This lists every pair, so it grows with the square of a group; ``weighted_duplicate`` closes groups without it.
+    """
+    members, links = weighted_classes(ds, check, fields, pair_limit)
+    tokens = list(dict.fromkeys([*check.exact_fields, *(t for t, _ in check.weights)]))
+    values = ds.df.select(ROW, *[business_value(ds.text(fields[t]), t).alias(f"w{i}") for i, t in enumerate(tokens)])
+    exact = [f"w{i}" for i, t in enumerate(tokens) if t in check.exact_fields]
+    parts = []
+    if exact:
+        keyed = values.where(reduce(lambda a, b: a & b, [F.length(c) > 0 for c in exact])).select(ROW, F.struct(*exact).alias("k"))
+        left, right = keyed.withColumnRenamed(ROW, "u"), keyed.withColumnRenamed(ROW, "v")
+        parts.append(left.join(right, "k").where("u < v").select("u", "v", F.lit(1.0).alias("score"), F.lit(True).alias("exact")))
+    inner = _within(values.join(members.select(F.col("first").alias(ROW)).distinct(), ROW), check).where("NOT exact")
+    rows = members.select(F.col(ROW).alias("row"), "first")
+    same = inner.join(rows.withColumnRenamed("row", "u"), "first").join(rows.withColumnRenamed("row", "v"), "first").where("u < v").select("u", "v", "score", "exact")
+    ends = lambda side: rows.select(F.col("row").alias(f"{side}_row"), F.col("first").alias(side))
+    apart = links.where("NOT exact").join(ends("u"), "u").join(ends("v"), "v")
+    parts += [same, apart.select(F.least("u_row", "v_row").alias("u"), F.greatest("u_row", "v_row").alias("v"), "score", "exact")]
+    return reduce(DataFrame.union, parts)
 
 
 def weighted_duplicate(ds: Dataset, rule: CompiledRule, limit=None, pair_limit: int | None = WEIGHTED_LIMIT) -> DataFrame:
     check, fields = rule.plan.check, rule.plan.fields
-    edges = materialize(weighted_edges(ds, check, fields, pair_limit), "weighted-edges")
-    labels = connected_components(edges.select("u", "v"))
-    ends = edges.select(F.col("u").alias("node"), "score", "exact").union(edges.select("v", "score", "exact"))
-    touched = ends.groupBy("node").agg(F.min("score").alias("score"), F.max(F.col("exact").cast("int")).alias("by_exact"), F.max((~F.col("exact")).cast("int")).alias("by_weight"))
-    members = ds.df.join(labels.join(touched.withColumnRenamed("node", "of"), F.col("node") == F.col("of")), F.col(ROW) == F.col("node"))
+    members, edges = weighted_classes(ds, check, fields, pair_limit)
+    members = materialize(members, "members")
+    tokens = list(dict.fromkeys([*check.exact_fields, *(t for t, _ in check.weights)]))
+    values = ds.df.select(ROW, *[business_value(ds.text(fields[t]), t).alias(f"w{i}") for i, t in enumerate(tokens)])
+    repeated = members.where("rows > 1").select(F.col("first").alias(ROW)).distinct()
+    inner = materialize(_within(values.join(repeated, ROW, "left_semi"), check), "within")
+    labels = connected_components(edges.select("u", "v").union(inner.select(F.col("first").alias("u"), "first")))
+    own = edges.select(F.col("u").alias("first"), "score", "exact").union(edges.select("v", "score", "exact")).union(inner)
+    touched = own.groupBy("first").agg(F.min("score").alias("score"), F.max(F.col("exact").cast("int")).alias("by_exact"), F.max((~F.col("exact")).cast("int")).alias("by_weight"))
+    # a class that is linked to no other stands for itself, if its rows are linked to each other
+    rows = members.join(touched, "first").join(labels.withColumnRenamed("node", "first"), "first", "left")
+    rows = rows.select(F.col(ROW).alias("row"), F.coalesce("label", "first").alias("label"), "score", "by_exact", "by_weight")
+    members = ds.df.join(rows, F.col(ROW) == F.col("row"))
     cells = []
     weighted = [t for t, _ in check.weights]
-    for t in dict.fromkeys([*check.exact_fields, *weighted]):
+    for t in tokens:
         hit = reduce(lambda a, b: a | b, [c for c, on in ((F.col("by_exact") == 1, t in check.exact_fields), (F.col("by_weight") == 1, t in weighted)) if on])
         cells.append(F.when(hit, evidence(ds, fields[t], business_value(ds.text(fields[t]), t), "weighted_duplicate", F.col("score"))))
     members = members.select(ROW, "label", F.filter(F.array(*cells), lambda e: e.isNotNull()).alias("cells"))
@@ -310,6 +423,13 @@ def columns_exist(ds: Dataset, rule: CompiledRule) -> DataFrame:
     return ds.df.sparkSession.createDataFrame(rows, SCHEMA)
 
 
+def findings_in_long_form(ds: Dataset, rule: CompiledRule, evidence: int = 50) -> LongFindings:
+    """A grouping rule's findings with rows of bounded size, whatever share of the table a key has."""
+    kind = rule.plan.kind if rule.plan.kind != "business" else rule.plan.check.kind
+    execute = GROUPING.get(kind) or {"uniqueness": uniqueness, "consistency": consistency, "duplicate": duplicate}[kind]
+    return long_findings(ds, rule, execute, evidence)
+
+
 GROUPING = {"unique_any": unique_any, "duplicate_fields": duplicate_fields, "weighted_duplicate": weighted_duplicate}
 
 

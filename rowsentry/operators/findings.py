@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.model import SEVERITIES
 from ..sources.dataset import ROW, Dataset
 from .graph import connected_components
+from .long_form import page_of
+from .ranks import numbered
 
 EVIDENCE = "struct<row:bigint,column_key:string,column_header:string,original:string,normalized:string,comparator:string,score:double>"
 SCHEMA = f"id string, rule_id string, type string, severity string, confidence string, scope string, rows array<bigint>, fields array<string>, evidence array<{EVIDENCE}>, explanation string, priority string, action string"
@@ -36,10 +38,11 @@ def evidence(ds: Dataset, key: str, normalized: Column, comparator: str, score:
 def finish(df: DataFrame, rule, kind: str, confidence: str, explanation: str, scope: str = "rows", id_key: str | None = None) -> DataFrame:
     """Findings from ``rows, fields, evidence`` of a rule's groups."""
     it = rule.interpretation
+    more = [F.lit(id_key or rule.id).alias("id_key"), "group", "n_rows"] if "n_rows" in df.columns else []
     return df.select(
         finding_id(F.lit(kind), F.lit(id_key or rule.id), F.col("rows")).alias("id"), F.lit(rule.id).alias("rule_id"), F.lit(kind).alias("type"), F.lit(it.severity).alias("severity"),
         F.lit(confidence).alias("confidence"), F.lit(scope).alias("scope"), "rows", "fields", "evidence", F.lit(explanation).alias("explanation"),
-        F.lit(it.priority).cast("string").alias("priority"), F.lit(it.action or DEFAULT_ACTION).alias("action"),
+        F.lit(it.priority).cast("string").alias("priority"), F.lit(it.action or DEFAULT_ACTION).alias("action"), *more,
     )
 
 
@@ -101,12 +104,17 @@ def action_items(findings: DataFrame) -> DataFrame:
 
 
 def source_rows(ds: Dataset, findings: DataFrame, finding: str, offset: int = 0, limit: int = 50) -> DataFrame:
-    """A page of the rows of a finding: the first two columns and the affected ones, in sheet order."""
-    hit = findings.where(F.col("id") == finding).select("rows", "fields").first()
+    """A page of the rows of a finding: the first two columns and the affected ones, in sheet order.
+
+    Rows are numbered on the cluster and the page is read by places; the driver sees the names of fields only.
+    """
+    found = findings.where(F.col("id") == finding)
+    hit = found.select("id", "fields", F.array_distinct(F.transform("evidence", lambda e: e["column_key"])).alias("keys")).first()
     if hit is None:
         raise KeyError(finding)
-    wanted = set(ds.keys[:2]) | {k for k in ds.keys if ds.headers[k] in hit.fields or k in hit.fields}
-    return ds.df.where(F.col(ROW).isin(hit.rows)).select(ROW, *[k for k in ds.keys if k in wanted]).orderBy(ROW).offset(offset).limit(limit)
+    wanted = set(ds.keys[:2]) | {k for k in ds.keys if ds.headers[k] in hit.fields or k in hit.fields or k in hit["keys"]}
+    index = numbered(found.select("id", F.explode(F.array_distinct("rows")).alias("row")), [F.col("row")], at="place", of="n_rows")
+    return page_of(ds, index, finding, [k for k in ds.keys if k in wanted], offset, limit)
 
 
 def cell_affected(finding_fields: Column, finding_evidence: Column, row: Column, header: str, key: str) -> Column:

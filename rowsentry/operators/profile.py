@@ -1,21 +1,26 @@
 """Column profiles and semantic types.
 
-Counts of all columns come from one aggregate; ordered samples from one bounded job. Semantic
-types are inferred on the driver from at most 100 values a column.
+All columns are unpivoted once to hashes of their values with the first row of each; what a column
+counts follows from these. The first rows of all columns come from one bounded job. Semantic types
+are inferred on the driver from at most 100 values a column.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.cells import trim_ws
 from ..functions.normalize import field_label, phone_shape
 from ..functions.validate import AREA_CODES
 from ..sources.dataset import ROW, Dataset
+from ..sources.shared import discard, materialize
 
 #: The header words that name a semantic type, English and Portuguese.
 ALIASES = {
@@ -51,20 +56,58 @@ class ColumnProfile:
         return self.missing / max(self.missing + self.non_empty, 1)
 
 
-def column_counts(ds: Dataset) -> DataFrame:
-    """One row per column: non-empty and missing cells, distinct texts, and the cell types met; one pass over the table."""
-    aggs = []
-    for k in ds.keys:
-        text = F.when(~ds.missing(k), ds.text(k))
-        aggs += [F.count(text).alias(f"{k}__n"), F.countDistinct(text).alias(f"{k}__u"), F.array_sort(F.collect_set(ds.tag(k))).alias(f"{k}__t")]
-    wide = ds.df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
-    each = [F.struct(F.lit(k).alias("column"), F.col(f"{k}__n").alias("non_empty"), (F.col("_rows") - F.col(f"{k}__n")).alias("missing"), F.col(f"{k}__u").alias("unique_values"), F.col(f"{k}__t").alias("types")) for k in ds.keys]
-    return wide.select(F.explode(F.array(*each)).alias("c")).select("c.*").withColumn("missing_rate", F.col("missing") / F.greatest(F.col("missing") + F.col("non_empty"), F.lit(1))).withColumn("uniqueness_ratio", F.col("unique_values") / F.greatest("non_empty", F.lit(1)))
+#: The cell types, each a bit of a mask.
+TAGS = ("boolean", "date", "number", "text")
+
+
+def column_values(ds: Dataset, keys: Sequence[str] | None = None, by: Callable[[Column], Column] = trim_ws) -> DataFrame:
+    """A row for each distinct value of each column, ``(c, h1, h2, n, first, tags)``: two hashes of it, its rows, the first of them.
+
+    Missing cells of a column are one row without hashes. Only hashes are shuffled, combined before that; values
+    are told apart by 128 bits.
+    """
+    each = []
+    for c, k in enumerate(keys or ds.keys):
+        text = F.when(~ds.missing(k), by(ds.text(k)))
+        tag = F.coalesce(*[F.when(ds.tag(k) == t, F.lit(1 << b)) for b, t in enumerate(TAGS)], F.lit(0))
+        each.append(F.struct(F.lit(c).alias("c"), F.when(text.isNotNull(), F.xxhash64(text)).alias("h1"), F.when(text.isNotNull(), F.xxhash64(F.lit("2"), text)).alias("h2"), tag.alias("tag")))
+    long = ds.df.select(ROW, F.explode(F.array(*each)).alias("v")).select(ROW, "v.*")
+    return long.groupBy("c", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"), F.bit_or("tag").alias("tags"))
+
+
+def _counts(ds: Dataset, values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    there = F.col("h1").isNotNull()
+    found = values.groupBy("c").agg(
+        F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("non_empty"), F.coalesce(F.sum(F.when(~there, F.col("n"))), F.lit(0)).alias("missing"),
+        F.count_if(there).alias("unique_values"), F.bit_or("tags").alias("tags"),
+    )
+    columns = ds.df.sparkSession.createDataFrame(list(enumerate(keys)), "c int, column string")
+    found = columns.join(F.broadcast(found), "c", "left").fillna(0, ["non_empty", "missing", "unique_values", "tags"])
+    types = F.filter(F.array(*[F.when(F.col("tags").bitwiseAND(1 << b) > 0, t) for b, t in enumerate(TAGS)]), lambda t: t.isNotNull())
+    found = found.select("column", "non_empty", "missing", "unique_values", types.alias("types"))
+    return found.withColumn("missing_rate", F.col("missing") / F.greatest(F.col("missing") + F.col("non_empty"), F.lit(1))).withColumn("uniqueness_ratio", F.col("unique_values") / F.greatest("non_empty", F.lit(1)))
+
+
+def column_counts(ds: Dataset, keys: Sequence[str] | None = None, by: Callable[[Column], Column] = trim_ws) -> DataFrame:
+    """One row per column: non-empty and missing cells, distinct trimmed texts, and the cell types met; one shuffle of values for any number of columns."""
+    keys = list(keys or ds.keys)
+    return _counts(ds, column_values(ds, keys, by), keys)
+
+
+def first_cells(ds: Dataset, most: int, keys: Sequence[str] | None = None) -> DataFrame:
+    """The first ``most`` non-empty texts of each column in row order, ``(column, place, _row, value)``.
+
+    A task passes on no more than that many of a column.
+    """
+    each = [F.struct(F.lit(k).alias("column"), F.when(~ds.missing(k), ds.text(k)).alias("value")) for k in keys or ds.keys]
+    long = ds.df.select(ROW, F.explode(F.array(*each)).alias("v")).select(ROW, "v.*").where(F.col("value").isNotNull())
+    place = F.row_number().over(Window.partitionBy("column").orderBy(ROW))
+    return long.withColumn("place", place).where(F.col("place") <= most).select("column", "place", ROW, "value")
 
 
 def samples(ds: Dataset, key: str, limit: int) -> list[str]:
     """The first non-empty texts of a column in row order."""
-    return [r.v for r in ds.df.where(~ds.missing(key)).select(ROW, ds.text(key).alias("v")).orderBy(ROW).limit(limit).collect()]
+    return [r.value for r in first_cells(ds, limit, [key]).orderBy("place").collect()]
 
 
 def _check_digits(d: str, weights: list[int]) -> int:
@@ -123,22 +166,35 @@ def select_semantic(candidates: list[tuple[str, float]]) -> tuple[str, float]:
     return (best if sure else "unknown"), score
 
 
+def _examples(ds: Dataset, values: DataFrame) -> dict[str, list[str]]:
+    """The first distinct trimmed texts of each column: their rows from the hashes, the texts from these few rows."""
+    place = F.row_number().over(Window.partitionBy("c").orderBy("first"))
+    rows = values.where(F.col("h1").isNotNull()).withColumn("place", place).where(F.col("place") <= EXAMPLES).select("c", "place", "first")
+    cells = F.array(*[trim_ws(ds.text(k)) for k in ds.keys])
+    found = ds.df.join(F.broadcast(rows), F.col(ROW) == F.col("first")).select("c", "place", F.element_at(cells, F.col("c") + 1).alias("value"))  # EXAMPLES rows a column
+    out: dict[str, list[str]] = {}
+    for r in found.orderBy("c", "place").collect():
+        out.setdefault(ds.keys[r.c], []).append(r.value)
+    return out
+
+
 def profile(ds: Dataset) -> list[ColumnProfile]:
     """Profiles of all columns; also sets the dataset's semantic types."""
-    counts = {r.column: r for r in column_counts(ds).collect()}
+    values = materialize(column_values(ds), "values")
+    counts = {r.column: r for r in _counts(ds, values, ds.keys).collect()}
+    shown, firsts = _examples(ds, values), {}
+    for r in first_cells(ds, VARIANT_SAMPLE).orderBy("column", "place").collect():
+        firsts.setdefault(r.column, []).append(r.value)
+    discard(values)
     out = []
     for k in ds.keys:
-        c, first = counts[k], samples(ds, k, VARIANT_SAMPLE)
+        c, first = counts[k], firsts.get(k, [])
         kinds = list(c.types)
         data_type = "empty" if not c.non_empty else kinds[0] if len(kinds) == 1 else "mixed"
-        shapes = [re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", v.strip())) for v in first]
+        shapes = [re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", v)) for v in first]
         candidates = semantic_candidates(ds.headers[k], first)
         semantic, confidence = select_semantic(candidates)
-        examples = list(dict.fromkeys(first))
-        if len(examples) < EXAMPLES and c.unique_values > len(examples):
-            rows = ds.df.where(~ds.missing(k)).groupBy(ds.text(k).alias("v")).agg(F.min(ROW).alias("r")).orderBy("r").limit(EXAMPLES).collect()
-            examples = [r.v for r in rows]
-        out.append(ColumnProfile(k, ds.headers[k], data_type, c.non_empty, c.missing, c.unique_values, examples[:EXAMPLES], list(dict.fromkeys(shapes))[:VARIANTS], candidates, semantic, confidence))
+        out.append(ColumnProfile(k, ds.headers[k], data_type, c.non_empty, c.missing, c.unique_values, shown.get(k, []), list(dict.fromkeys(shapes))[:VARIANTS], candidates, semantic, confidence))
         ds.semantic[k] = semantic
     if out and not any(p.non_empty for p in out):
         ds.warnings.append("The dataset has no rows.")
@@ -147,6 +203,13 @@ def profile(ds: Dataset) -> list[ColumnProfile]:
     return out
 
 
+def first_formats(ds: Dataset, sample: int = VARIANT_SAMPLE, most: int = VARIANTS) -> DataFrame:
+    """The first ``most`` distinct shapes among the first ``sample`` non-empty cells of each column, ``(column, place, shape)``."""
+    shapes = first_cells(ds, sample).groupBy("column", phone_shape(F.col("value")).alias("shape")).agg(F.min("place").alias("at"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("at"))
+    return shapes.withColumn("place", place).where(F.col("place") <= most).select("column", "place", "shape")
+
+
 def format_variants(ds: Dataset, key: str) -> DataFrame:
     """Shapes of all values of a column with their counts and first rows."""
     return ds.df.where(~ds.missing(key)).groupBy(phone_shape(ds.text(key)).alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row"))

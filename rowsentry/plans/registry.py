@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.normalize import merge_operations, normalize, phone_shape, structure_mask
-from ..functions.validate import AREA_CODES
+from ..functions.validate import AREA_CODES, validation
 from ..operators import anomaly, executors, findings, profile, review
 from ..operators.graph import connected_components
+from ..operators.ranks import numbered
 from ..sources.dataset import ROW, Dataset
 from ..sources.export import csv_cells
+from ..sources.shared import materialize
 from .compiler import compile_rules
 from .language import interpret
 from .model import Check, CompiledRule, Interpretation, Matcher, Plan, Predicate, SourceRule, When, severity_of
@@ -443,49 +445,169 @@ def consolidation_shared(spark, sf_dir):
     return found.select(F.array_min("rows").alias("first_row"), F.size("ids").cast("long").alias("n_findings"), F.size("rows").cast("long").alias("n_rows"))
 
 
-#: Sentences over the columns Dock, Carrier, Height, Label and Email: status, kind of plan, and its fields.
-SENTENCES = (
-    ("Dock is required", "valid", "required", "Dock"),
-    ("Either Dock or Carrier must have a value", "valid", "required", "Carrier,Dock"),
-    ('When "Carrier" equals "Rail", "Dock" must be populated.', "valid", "required", "Carrier,Dock"),
-    ('"Label" must not end with "-old"', "valid", "value_check", "Label"),
-    ('"Label" must be one of "A", "B"', "valid", "value_check", "Label"),
-    ('"Height" must be between 0.5 and 2', "valid", "value_check", "Height"),
-    ("Height must be a number", "valid", "validation", "Height"),
-    ("Find malformed emails", "valid", "validation", "Email"),
-    ("Email must be a valid email address", "valid", "format", "Email"),
-    ("detect duplicates in Label", "valid", "duplicate_fields", "Label"),
-    ("Label must be unique", "valid", "unique_any", "Label"),
-    ("Dock equals Carrier", "valid", "same_fields", "Carrier,Dock"),
-    ("find repeated records using Label", "valid", "duplicate", "Label"),
-    ("The same Label can't have different Carrier", "valid", "consistency", "Carrier,Label"),
-    ('The worksheet must contain columns "Wharf"', "valid", "columns_exist", "Wharf"),
-    ('"Wharf" is required', "needs_mapping", "", ""),
-    ("Dock must be empty", "unsupported", "", ""),
-    ("Dock must not have a value", "unsupported", "", ""),
-    ("Never report missing Dock", "unsupported", "", ""),
-    ("List rows where Dock is filled", "unsupported", "", ""),
-    ("Dock must not be empty unless Carrier is Rail", "unsupported", "", ""),
-    ("Delete records without Dock", "unsupported", "", ""),
-    ("Carrier must be in the external file", "unsupported", "", ""),
-    ('"Height" must be between 9 and 2.', "unsupported", "", ""),
-    ("Height must be greater than 4", "unsupported", "", ""),
-    ("Everything should be nice.", "unsupported", "", ""),
-)
-_QUOTE = lambda s: "'" + s.replace("'", "''") + "'"
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_QUOTE, row)) + ")" for row in SENTENCES) + ") AS t(sentence, status, kind, fields)")
+@query("""WITH c AS (SELECT trim(c_name) AS name, min(c_custkey) AS id, count(*) AS n FROM customer GROUP BY 1)
+SELECT x.id AS u, y.id AS v, x.n AS rows_u, y.n AS rows_v FROM c x JOIN c y ON x.id < y.id WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.94""")
+def fuzzy_all_rows(spark, sf_dir):
+    """All pairs of similar names of a whole table, without an exact matcher beside them."""
+    ds = Dataset.from_df(load(spark, sf_dir, "customer"), row="c_custkey")
+    return executors.duplicate_classes(ds, Plan("duplicate", matchers=(Matcher("c_name", ("trim",), "levenshtein", 0.94),)))[1]
+
+
+@query(f"""WITH RECURSIVE c AS ({_CLASSES}), pairs AS (SELECT x.id AS u, y.id AS v FROM c x JOIN c y ON x.p_type = y.p_type AND x.id < y.id
+WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.6)""" + COMPONENTS_SQL + """,
+g AS (SELECT c.id, c.name, c.p_type, coalesce(comp.label, c.id) AS head FROM c LEFT JOIN comp ON node = id WHERE comp.label IS NOT NULL OR c.n > 1)
+SELECT p_partkey AS row_id, g.head AS first_row, round(1 - levenshtein(h.name, g.name) / greatest(length(h.name), length(g.name))::DOUBLE, 9) AS score
+FROM part p JOIN g ON g.name = lower(trim(p.p_name)) AND g.p_type = p.p_type JOIN c h ON h.id = g.head""")
+def duplicate_scores(spark, sf_dir):
+    """How similar each row of a group is to the group's first row."""
+    plan = Plan("duplicate", matchers=(Matcher("p_name", ("trim", "lowercase"), "levenshtein", 0.6), Matcher("p_type")))
+    found = executors.duplicate(parts(spark, sf_dir), rule(plan), pair_limit=None)
+    each = found.select(F.array_min("rows").alias("first_row"), F.explode("evidence").alias("e")).where("e.column_key = 'p_name'")
+    return each.select(F.col("e.row").alias("row_id"), "first_row", F.round("e.score", 9).alias("score"))
+
+
+_STATUS = business(Check("duplicate_fields", ("o_orderstatus",)))
+_STATUS_ID = "'DUPLICATE:rule-1:o_orderstatus:' || string_agg(o_orderkey, ',' ORDER BY o_orderkey)"
+
+
+@query(f"SELECT 'finding-' || {_BASE36} AS id, n_rows, first_row, shown FROM (SELECT {_FNV.format(_STATUS_ID)} AS h, count(*) AS n_rows, min(o_orderkey) AS first_row, least(count(*), 50) AS shown FROM orders GROUP BY o_orderstatus HAVING count(*) > 1)")
+def long_findings(spark, sf_dir):
+    """Groups that hold a large share of all rows: bounded heads, with the ids of all rows."""
+    found = executors.findings_in_long_form(orders(spark, sf_dir), _STATUS)
+    return found.heads.select("id", "n_rows", F.array_min("rows").alias("first_row"), F.size("rows").cast("long").alias("shown"))
+
+
+@query("""SELECT o_orderstatus AS status, o_orderkey AS row_id, place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS place FROM orders)
+WHERE place BETWEEN 100 AND 149""")
+def finding_page(spark, sf_dir):
+    """The page of each group's rows that begins at place 100."""
+    ds = orders(spark, sf_dir)
+    index = executors.findings_in_long_form(ds, _STATUS).index()
+    page = index.where(F.col("place").between(100, 149)).select("place", F.col("row").alias("row_id"))
+    return page.join(ds.df.select(F.col(ROW).alias("row_id"), F.col("o_orderstatus").alias("status")), "row_id")
+
+
+_FIRST = "SELECT c_custkey AS r, '{c}' AS column_name, cast({c} AS VARCHAR) AS v FROM customer"
+
+
+@query(f"""WITH l AS ({" UNION ALL ".join(_FIRST.format(c=c) for c in ("c_name", "c_mktsegment"))}),
+f AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY r) AS place FROM l QUALIFY place <= 250),
+s AS (SELECT column_name, regexp_replace(regexp_replace(v, '[A-Za-z]', 'A', 'g'), '[0-9]', '9', 'g') AS shape, min(place) AS first FROM f GROUP BY 1, 2)
+SELECT column_name, row_number() OVER (PARTITION BY column_name ORDER BY first) AS place, shape FROM s QUALIFY place <= 12""")
+def first_formats(spark, sf_dir):
+    """The shapes among the first 250 cells of each column."""
+    df = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias(ROW), "c_name", "c_mktsegment")
+    return profile.first_formats(Dataset.from_df(df)).withColumnRenamed("column", "column_name")
+
+
+_CELLS = "SELECT p_partkey AS row_id, CASE WHEN p_partkey % 20 = 3 THEN p_name ELSE cast(p_size AS VARCHAR) END AS v, p_partkey % 20 = 3 AS odd FROM part"
+
+
+@query(f"SELECT row_id, v AS value FROM ({_CELLS}), (SELECT count(*) AS n, count_if(odd) AS bad FROM ({_CELLS})) WHERE odd AND n >= 5 AND (n - bad) / n >= 0.85")
+def type_votes(spark, sf_dir):
+    """Texts in a column of numbers, as a worksheet may have them."""
+    odd = F.col("p_partkey") % 20 == 3
+    cell = F.struct(F.when(odd, "text").otherwise("number").alias("t"), F.when(odd, F.col("p_name")).alias("s"), F.when(~odd, F.col("p_size").cast("double")).alias("n"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("timestamp").alias("d"))
+    ds = Dataset.from_df(load(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias(ROW), cell.alias("size")))
+    return anomaly.type_inconsistencies(ds, "size").select(F.col("row").alias("row_id"), "value")
+
+
+@query(f"""WITH l AS (SELECT status, 'p' AS k, trim(priority) = '' AS gone FROM {_GAPS} UNION ALL SELECT status, 'c', trim(customer) = '' FROM {_GAPS}),
+a AS (SELECT k, count_if(gone) AS blank FROM l GROUP BY k HAVING count(*) >= 10 AND blank BETWEEN 1 AND 25 AND (count(*) - blank) / count(*) >= 0.95),
+b AS (SELECT status, k, count_if(gone) AS blank FROM l GROUP BY 1, 2 HAVING count(*) >= 5 AND blank BETWEEN 1 AND 5 AND (count(*) - blank) / count(*) >= 0.85)
+SELECT s AS severity, CASE s WHEN 'warning' THEN (SELECT coalesce(sum(blank), 0) FROM a) WHEN 'error' THEN (SELECT coalesce(sum(blank), 0) FROM b) ELSE 0 END::BIGINT AS anomalies FROM (VALUES ('critical'), ('error'), ('warning'), ('info')) t(s)""")
+def anomaly_severities(spark, sf_dir):
+    ds = _with_gaps(spark, sf_dir)
+    return anomaly.summary_by(anomaly.atypical_blanks(ds, ["priority", "customer"]).unionByName(anomaly.status_dependencies(ds, ["priority", "customer"])), "severity")
+
+
+_MAIL = "CASE c_custkey % 4 WHEN 0 THEN concat(' User', c_custkey, '@Example.com ') WHEN 1 THEN '' WHEN 2 THEN concat(c_name, '@x') ELSE 'a b@c.de' END"
+
+
+@query(f"""SELECT row_id, 'email' AS validator, v = '' OR regexp_full_match(t, '[^\\s@]+@[^\\s@]+\\.[^\\s@]{{2,}}') AS valid, t AS normalized,
+CASE WHEN v = '' THEN 'The optional value is empty, so format validation was skipped.' WHEN regexp_full_match(t, '[^\\s@]+@[^\\s@]+\\.[^\\s@]{{2,}}') THEN 'The email format is valid.' ELSE 'The email address is not valid.' END AS reason
+FROM (SELECT c_custkey AS row_id, {_MAIL} AS v, lower(trim({_MAIL})) AS t FROM customer)
+UNION ALL SELECT row_id, 'number', regexp_full_match(t, '-?[0-9]+\\.[0-9]+'), t, CASE WHEN regexp_full_match(t, '-?[0-9]+\\.[0-9]+') THEN 'The value is numeric.' ELSE 'The value is not a number.' END
+FROM (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN concat('x', c_custkey, '.5') ELSE concat(c_custkey, '.25') END AS t FROM customer)""")
+def validation_results(spark, sf_dir):
+    """What validators say of each cell: whether it passes, the text that they looked at, and why."""
+    df = load(spark, sf_dir, "customer")
+    mail, number = F.expr(_MAIL), F.expr("CASE WHEN c_custkey % 3 = 0 THEN concat('x', c_custkey, '.5') ELSE concat(c_custkey, ',25') END")
+    each = [df.select(F.col("c_custkey").alias("row_id"), F.lit(name).alias("validator"), validation(name, text).alias("r")) for name, text in (("email", mail), ("number", number))]
+    return each[0].union(each[1]).select("row_id", "validator", "r.*")
+
+
+@query(f"WITH {_HITS} SELECT row_id, rule_id, row_number() OVER (ORDER BY CASE rule_id WHEN 'r1' THEN 1 WHEN 'r3' THEN 2 ELSE 3 END, row_id) - 1 AS place FROM hits")
+def findings_by_impact(spark, sf_dir):
+    """Findings in the order in which they are shown: impact, severity, first row."""
+    found = findings.impact(_suite(spark, sf_dir))
+    placed = numbered(found, [F.desc("impact_rank"), findings.severity_rank(), F.array_min("rows"), F.col("rule_id"), F.col("id")], at="place")
+    return placed.select(F.col("rows")[0].alias("row_id"), "rule_id", "place")
+
+
+@query(f"WITH {_HITS} SELECT row_id, rule_id, CASE rule_id WHEN 'r1' THEN 'priority' WHEN 'r2' THEN 'customer' ELSE 'o_totalprice' END AS column_key, CAST(row_id AS VARCHAR) AS shown_as, rule_id = 'r3' AS price_hit FROM hits")
+def evidence_lines(spark, sf_dir):
+    """Each piece of evidence with the row's label, and whether it affects the price."""
+    found = _suite(spark, sf_dir)
+    lines = findings.evidence_by_row(found).select("id", F.col("row").alias("row_id"), "column_key")
+    heads = found.select("id", "rule_id", findings.location(F.col("rows")).alias("shown_as"), findings.cell_affected(F.col("fields"), F.col("evidence"), F.col("rows")[0], "o_totalprice", "o_totalprice").alias("price_hit"))
+    return lines.join(heads, "id").drop("id")
+
+
+@query(f"WITH {_HITS} SELECT row_id AS first_row, count(*) AS n_findings FROM hits GROUP BY row_id HAVING count_if(rule_id = 'r3') > 0")
+def filtered_groups(spark, sf_dir):
+    """Review groups with a finding that passes a filter stay whole."""
+    found = materialize(_suite(spark, sf_dir), "suite")
+    groups = findings.consolidate(found)
+    return findings.filter_groups(groups, found, types=["INVALID"]).select(F.array_min("rows").alias("first_row"), F.size("ids").cast("long").alias("n_findings"))
+
+
+_QUOTED = "concat(s_name, ', ', chr(34), 'x', chr(34))"
+
+
+@query(f"""SELECT s_suppkey AS row_id, concat(s_suppkey, ',', CASE WHEN s_suppkey % 3 = 0 THEN concat(chr(34), replace({_QUOTED}, chr(34), concat(chr(34), chr(34))), chr(34)) ELSE s_name END, ',',
+CASE WHEN s_suppkey % 4 = 1 THEN concat(chr(39), '=') ELSE 'n' END, s_nationkey) AS line FROM supplier WHERE s_suppkey % 5 <> 2""")
+def corrected_lines(spark, sf_dir):
+    """Lines of the corrected file: deleted rows go, cells are quoted and guarded."""
+    df = load(spark, sf_dir, "supplier").select("s_suppkey", F.expr(f"CASE WHEN s_suppkey % 3 = 0 THEN {_QUOTED} ELSE s_name END").alias("name"), F.expr("concat(CASE WHEN s_suppkey % 4 = 1 THEN '=' ELSE 'n' END, s_nationkey)").alias("nation"))
+    ds = Dataset.from_df(df, row="s_suppkey")
+    gone = ds.df.where("s_suppkey % 5 = 2").select(ROW)
+    cells = csv_cells(ds)
+    return ds.df.join(gone, ROW, "left_anti").select(F.col(ROW).alias("row_id"), F.concat_ws(",", *[cells[k] for k in ds.keys]).alias("line"))
+
+
+@query("SELECT c_custkey AS row_id FROM customer WHERE c_custkey % 6 <> 0")
+def blank_rows(spark, sf_dir):
+    """Rows whose cells are all blank go."""
+    df = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias(ROW), F.expr("CASE WHEN c_custkey % 6 = 0 THEN ' \t' WHEN c_custkey % 6 = 1 THEN NULL ELSE c_name END").alias("name"), F.expr("CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 6 = 2 THEN '' ELSE c_mktsegment END").alias("segment"))
+    return Dataset.from_df(df).without_blank_rows().df.select(F.col(ROW).alias("row_id"))
+
+
+@query("SELECT 'worksheet' AS scope, 'MISSING' AS type, 2::BIGINT AS findings UNION ALL SELECT 'rows', 'MISSING', count(*) FROM orders WHERE o_orderpriority = '5-LOW'")
+def columns_and_cells(spark, sf_dir):
+    """Columns that a table should have and hasn't are findings beside those of its cells."""
+    rules = [rule(Plan("business", check=Check("columns_exist", ("o_orderkey", "Wharf", "Dock"))), "r1"), rule(Plan("missing", ("priority",)), "r2")]
+    return executors.run_rules(orders(spark, sf_dir), rules).groupBy("scope", "type").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query("""WITH t AS (SELECT p_type, min(p_size) + 5 AS low, max(p_size) - 5 AS high FROM part GROUP BY 1), w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part),
+ends AS (SELECT min(p_brand) AS b FROM part UNION SELECT max(p_brand) FROM part)
+SELECT p_partkey AS row_id, 'If "p_type" is "' || p_type || '", "p_size" must be between ' || low || ' and ' || high || '.' AS sentence FROM part JOIN t USING (p_type) WHERE p_size NOT BETWEEN low AND high
+UNION ALL SELECT p_partkey, '"p_name" must not start with "' || word || '".' FROM part JOIN w ON starts_with(p_name, word)
+UNION ALL SELECT p_partkey, '"p_brand" must be one of ' || (SELECT string_agg('"' || b || '"', ', ' ORDER BY b) FROM ends) || '.' FROM part WHERE p_brand NOT IN (SELECT b FROM ends)""")
 def rule_language(spark, sf_dir):
-    """What the rule language makes of sentences: whether they run, as which plan, over which columns."""
-    out = []
-    for text, *_ in SENTENCES:
-        it = interpret(SourceRule("r", text), {h: h for h in ("Dock", "Carrier", "Height", "Label", "Email")})
-        plan = compile_rules([it]).rules[0].plan if it.status == "valid" else None
-        kind = "" if plan is None else plan.check.kind if plan.check else plan.kind
-        fields = () if plan is None else plan.check.tokens() if plan.check else [m.key for m in plan.matchers] or plan.keys
-        out.append((text, it.status, kind, ",".join(sorted(fields))))
-    return spark.createDataFrame(out, "sentence string, status string, kind string, fields string")
+    """Sentences that a table's own values make up, read, compiled and run over the whole table: the rows that each flags."""
+    df = load(spark, sf_dir, "part")
+    ds = Dataset.from_df(df, row="p_partkey")
+    # a sentence for each type and each first word: as many as the catalogue has
+    said = [f'If "p_type" is "{r.p_type}", "p_size" must be between {r.low + 5} and {r.high - 5}.' for r in df.groupBy("p_type").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high")).collect()]
+    said += [f'"p_name" must not start with "{r.word}".' for r in df.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word")).distinct().collect()]
+    ends = df.agg(F.min("p_brand"), F.max("p_brand")).first()
+    said.append('"p_brand" must be one of ' + ", ".join(f'"{b}"' for b in sorted(set(ends))) + ".")
+    plans = {text: compile_rules([interpret(SourceRule(f"r{k}", text), ds.headers)]) for k, text in enumerate(said)}
+    found = executors.run_rules(ds, [r for c in plans.values() for r in c.rules])
+    names = F.create_map(*[F.lit(x) for text, c in plans.items() for r in c.rules for x in (r.id, text)])
+    return found.select(F.explode("rows").alias("row_id"), names[F.col("rule_id")].alias("sentence"))
 
 
 def queries() -> dict:

@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.cells import cell_text, is_blank, trim_ws
 from ..functions.normalize import business_value
@@ -88,14 +87,20 @@ class Dataset:
     name: str = "data"
     semantic: dict[str, str] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    #: What the source's files were when it was loaded, and where they are; see ``versions``.
+    version: object = None
+    paths: list[str] = field(default_factory=list)
 
     @classmethod
     def from_df(cls, df: DataFrame, row: str | Column | None = None, headers: dict[str, str] | None = None, name: str = "data", order: Sequence[str] = ()) -> Dataset:
-        """``row``: a key column with unique integers. Without one, rows are numbered from 2 in the order of ``order`` (all columns, if not given), which sorts the whole table."""
+        """``row``: a key column with unique integers. Without one, rows are numbered from 2 in the order of ``order`` (all columns, if not given): a sort by ranges, written once."""
         if row is not None:
             df = df.withColumn(ROW, (F.col(row) if isinstance(row, str) else row).cast("long"))
         elif ROW not in df.columns:
-            df = df.withColumn(ROW, F.row_number().over(Window.orderBy(*(order or df.columns))) + 1)
+            from ..operators.ranks import numbered
+
+            placed = numbered(df, [F.col(c) if isinstance(c, str) else c for c in (order or df.columns)], at=ROW, of="_of")
+            df = placed.drop("_of").withColumn(ROW, F.col(ROW) + 2)
         columns = [c for c in df.columns if c != ROW]
         return cls(df, {c: (headers or {}).get(c, c) for c in columns}, name)
 
@@ -168,4 +173,4 @@ class Dataset:
         alive = F.lit(False)
         for key in self.keys:
             alive = alive | ~self.missing(key)
-        return Dataset(self.df.where(alive), self.headers, self.name, self.semantic, self.warnings)
+        return Dataset(self.df.where(alive), self.headers, self.name, self.semantic, self.warnings, self.version, self.paths)

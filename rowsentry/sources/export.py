@@ -105,25 +105,20 @@ def check_export(ds: Dataset, findings: DataFrame, rows: DataFrame, source: str
 
 def reviewed_workbook(ds: Dataset, findings: DataFrame, accepted: DataFrame, path: str, warnings: Sequence[str] = (), source: str | None = None) -> str:
     """The reviewed rows as a workbook, affected cells marked; with sheets for worksheet issues and notes."""
-    from .xlsx import WorkbookError, write_workbook
+    from .xlsx import WorkbookError, encoded_rows, write_workbook
 
     check_export(ds, findings, accepted, source, path)
     if too_long_for_excel(ds).limit(1).count():
         raise WorkbookError("A text is longer than a cell can hold.")
     rows = reviewed_rows(ds, findings, accepted)
-    out = rows.select(*[ds.text(k).alias(k) for k in ds.keys], *rows.columns[len(ds.keys) :]).orderBy(rows.columns[-2])
-    marked: set[tuple[int, int]] = set()
-
-    def lines():
-        for i, r in enumerate(out.toLocalIterator()):
-            marked.update((i, ds.keys.index(k)) for k in r.affected_columns)
-            yield list(r)[:-1]
-
-    body = list(lines())
-    sheets = {"Reviewed": ([*ds.headers.values(), *out.columns[len(ds.keys) : -1]], body)}
+    more = rows.columns[len(ds.keys) : -1]
+    out = rows.select(*[ds.text(k).alias(k) for k in ds.keys], *more, "affected_columns")
+    # rows come one partition at a time, encoded on the executors
+    body = (r.xml for r in encoded_rows(out, more[-1], [*ds.keys, *more], [more[-1]], F.col("affected_columns")).orderBy("place").toLocalIterator())
+    sheets = {"Reviewed": ([*ds.headers.values(), *more], body)}
     issues = [list(r) for r in worksheet_issues(findings).collect()]
     if issues:
         sheets["Worksheet issues"] = (["Type", "Severity", "Columns", "Issue", "Action"], issues)
     if warnings:
         sheets["Analysis notes"] = (["Note"], [[w] for w in dict.fromkeys(warnings)])
-    return write_workbook(path, sheets, {"Reviewed": marked})
+    return write_workbook(path, sheets)

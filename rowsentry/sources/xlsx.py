@@ -1,25 +1,34 @@
-"""Workbooks by the standard library: a worksheet in, reviewed rows out.
+"""Workbooks: a worksheet in as a data source of Spark, reviewed rows out.
 
-A workbook is one file of at most 300 MB that one process reads; its rows become a DataFrame of
-tagged cells, in slices, so that everything after the scan is distributed.
+A worksheet is one XML part in a zip. Its tasks each take a range of the part's bytes: they inflate
+up to it, which is quick, and parse the rows that begin in it, which is not. So no process holds a
+sheet, and the driver sees the first rows only. The file must be on a path that all executors see.
 """
 
 from __future__ import annotations
 
-import io
 import os
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from functools import cached_property
+from itertools import chain
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.cells import trim_ws
+from ..operators.ranks import numbered
 from .dataset import ROW, TAGGED, Dataset, detect_header_row, name_columns
 from .export import EXCEL_TEXT
+from .shared import materialize
+from .versions import Manifest
 
 #: What a workbook may hold.
 MOST_BYTES, MOST_ROWS, MOST_COLUMNS = 300 << 20, 1_100_000, 16_500
@@ -58,8 +67,14 @@ class Workbook:
         for s in book.iter(f"{_MAIN}sheet"):
             target = rels[s.get(f"{_REL}id")]
             self.sheets[s.get("name")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        self.strings = self._strings()
-        self.dates, self.padded = self._styles()
+
+    @cached_property
+    def strings(self) -> list[str]:
+        return self._strings()
+
+    @cached_property
+    def styles(self) -> tuple[set[int], dict[int, int]]:
+        return self._styles()
 
     def _strings(self) -> list[str]:
         if "xl/sharedStrings.xml" not in self.zip.namelist():
@@ -98,34 +113,128 @@ class Workbook:
         if kind == "d":
             return datetime.fromisoformat(v.text.replace("Z", "+00:00"))
         number = float(v.text)
-        if style in self.dates:
+        dates, padded = self.styles
+        if style in dates:
             return _EPOCH + timedelta(days=number)
-        width = self.padded.get(style, 0)
+        width = padded.get(style, 0)
         if width and number == int(number) and len(str(int(number))) < width:
             return str(int(number)).zfill(width)  # leading zeros are part of the value
         return number
 
-    def rows(self, sheet: str) -> Iterator[tuple[int, list]]:
-        """Row numbers and cells of a sheet, trailing empty cells cut."""
+    def size(self, sheet: str) -> int:
+        """Bytes of a sheet's XML."""
+        return self.zip.getinfo(self.sheets[sheet]).file_size
+
+    def numbered(self, sheet: str) -> bool:
+        """Whether rows tell their numbers; else they can only be counted from the first on."""
+        with self.zip.open(self.sheets[sheet]) as f:
+            found = _ROW_TAG.search(head := f.read(HEAD))
+            return found is None or b" r=" in head[found.start() : head.find(b">", found.start())]
+
+    def rows(self, sheet: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, list]]:
+        """Row numbers and cells of the rows that begin in a range of the sheet's bytes, trailing empty cells cut."""
         with self.zip.open(self.sheets[sheet]) as f:
+            root = re.search(rb"<(\w+:)?worksheet\b[^>]*>", f.read(HEAD))
+            if root is None:
+                raise WorkbookError("The sheet is not a worksheet.")
+            parser = ET.XMLPullParser(["end"])
+            parser.feed(root[0])
+            f.seek(start)
             last = 0
-            for _, el in ET.iterparse(f):
-                if el.tag != f"{_MAIN}row":
-                    continue
-                cells: list = []
-                for i, c in enumerate(el):
-                    at = _column(c.get("r")) if c.get("r") else i
-                    if at >= MOST_COLUMNS:
-                        raise WorkbookError("The sheet has too many columns.")
-                    cells += [None] * (at + 1 - len(cells))
-                    cells[at] = self._value(c)
-                while cells and (cells[-1] is None or cells[-1] == ""):
-                    cells.pop()
-                last = number = int(el.get("r", last + 1))
-                if number > MOST_ROWS:
-                    raise WorkbookError("The sheet has too many rows.")
-                yield number, cells
-                el.clear()
+            for piece in _from_row_to_row(f, start, self.size(sheet) if end is None else end):
+                parser.feed(piece)
+                for _, el in parser.read_events():
+                    if el.tag == f"{_MAIN}row":
+                        last = number = int(el.get("r", last + 1))
+                        if number > MOST_ROWS:
+                            raise WorkbookError("The sheet has too many rows.")
+                        yield number, self._cells(el)
+                        el.clear()
+
+    def _cells(self, row: ET.Element) -> list:
+        cells: list = []
+        for i, c in enumerate(row):
+            at = _column(c.get("r")) if c.get("r") else i
+            if at >= MOST_COLUMNS:
+                raise WorkbookError("The sheet has too many columns.")
+            cells += [None] * (at + 1 - len(cells))
+            cells[at] = self._value(c)
+        while cells and (cells[-1] is None or cells[-1] == ""):
+            cells.pop()
+        return cells
+
+
+_ROW_TAG, _END_TAG = re.compile(rb"<(?:\w+:)?row[\s>/]"), re.compile(rb"</(?:\w+:)?sheetData>")
+#: Bytes in which a sheet's root and first row are looked for, that are read at once, and of a task's range.
+HEAD, READ, RANGE = 1 << 16, 1 << 20, 16 << 20
+
+
+def _from_row_to_row(f, start: int, end: int) -> Iterator[bytes]:
+    """What a sheet holds from the first row that begins in a range up to the first that begins behind it.
+
+    ``f`` stands at ``start``. A tag that lies across two reads is found with the later one.
+    """
+    held, at, inside = b"", start, False
+    while True:
+        new = f.read(READ)
+        held += new
+        if not inside:
+            first = _ROW_TAG.search(held)
+            if first is None or at + first.start() >= end:
+                if not new or at + len(held) >= end + 16:
+                    return
+                keep = min(len(held), 16)
+                at, held = at + len(held) - keep, held[len(held) - keep :]
+                continue
+            at, held, inside = at + first.start(), held[first.start() :], True
+        stop = _ROW_TAG.search(held, max(0, end - at)) if at + len(held) > end else None
+        if stop is not None and at + stop.start() < end:
+            stop = None
+        last = _END_TAG.search(held)
+        cuts = [m.start() for m in (stop, last) if m is not None]
+        if cuts or not new:
+            yield held[: min(cuts)] if cuts else held
+            return
+        keep = min(len(held), 16)
+        yield held[: len(held) - keep]
+        at, held = at + len(held) - keep, held[len(held) - keep :]
+
+
+class WorkbookSource(DataSource):
+    """``spark.read.format("workbook").option("sheet", name).load(path)``: ``_row`` and tagged ``cells`` of each row."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook"
+
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField(ROW, T.LongType()), T.StructField("cells", T.ArrayType(TAGGED))])
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return WorkbookReader(self.options["path"], self.options.get("sheet"), int(self.options.get("range", RANGE)))
+
+
+@dataclass
+class Range(InputPartition):
+    start: int
+    end: int
+
+
+class WorkbookReader(DataSourceReader):
+    def __init__(self, path: str, sheet: str | None, size: int):
+        self.path, self.sheet, self.size = path, sheet, size
+
+    def partitions(self) -> list[Range]:
+        book = Workbook(self.path)
+        sheet = self.sheet or next(iter(book.sheets))
+        total = book.size(sheet)
+        step = self.size if book.numbered(sheet) else max(total, 1)
+        return [Range(k, min(k + step, total)) for k in range(0, max(total, 1), step)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        book = Workbook(self.path)
+        for number, cells in book.rows(self.sheet or next(iter(book.sheets)), partition.start, partition.end):
+            yield number, [tag(v) for v in cells]
 
 
 def tag(value) -> tuple | None:
@@ -140,6 +249,11 @@ def tag(value) -> tuple | None:
     return ("text", str(value), None, None, None)
 
 
+def untag(cell):
+    """The value of a tagged cell."""
+    return None if cell is None else {"number": cell.n, "boolean": cell.b, "date": cell.d}.get(cell.t, cell.s)
+
+
 def from_records(spark: SparkSession, headers: Sequence, rows: Sequence[tuple[int, Sequence]], name: str = "data") -> Dataset:
     """A dataset of tagged cells from (row number, cells)."""
     named, warnings = name_columns(headers)
@@ -155,24 +269,36 @@ def from_records(spark: SparkSession, headers: Sequence, rows: Sequence[tuple[in
     return Dataset(df, dict(named), name, warnings=warnings)
 
 
-def read_dataset(spark: SparkSession, path: str, sheet: str | None = None) -> Dataset:
-    """A worksheet (the first, if none is named) as a dataset; rows without a value go."""
-    book = Workbook(path)
-    sheet = sheet or next(iter(book.sheets))
-    every = list(book.rows(sheet))
-    if not every:
+def read_dataset(spark: SparkSession, path: str, sheet: str | None = None, size: int = RANGE) -> Dataset:
+    """A worksheet (the first, if none is named) as a dataset; rows without a value go.
+
+    The sheet is parsed once, on the executors, and kept in the shared folder.
+    """
+    sheet = sheet or next(iter(Workbook(path).sheets))
+    spark.dataSource.register(WorkbookSource)
+    rows = materialize(spark.read.format("workbook").option("sheet", sheet).option("range", str(size)).load(path), "sheet")
+    first = rows.orderBy(ROW).limit(20).collect()
+    if not first:
         return from_records(spark, [], [], sheet)
-    head = detect_header_row([cells for _, cells in every])
-    width = max(len(c) for _, c in every[head - 1 :])
-    headers = [*every[head - 1][1], *[None] * width][:width]
-    body = [(n, c) for n, c in every[head:] if any(v is not None and str(v).strip() for v in c)]
-    return from_records(spark, headers, body, sheet)
+    plain = [[untag(c) for c in r.cells] for r in first]
+    head = detect_header_row(plain)
+    at = first[head - 1][ROW]
+    width = rows.where(F.col(ROW) >= at).agg(F.max(F.size("cells"))).first()[0]
+    named, warnings = name_columns([*plain[head - 1], *[None] * width][:width])
+    filled = F.exists("cells", lambda c: c["t"].isNotNull() & ((c["t"] != "text") | (F.length(trim_ws(c["s"])) > 0)))
+    body = rows.where((F.col(ROW) > at) & filled).select(ROW, *[F.get("cells", F.lit(i)).alias(k) for i, (k, _) in enumerate(named)])
+    out = Dataset(body, dict(named), sheet, warnings=warnings)
+    out.version = Manifest.of_paths(spark, [os.path.abspath(path)])
+    return out
 
 
 def write_workbook(path: str, sheets: dict[str, tuple[Sequence[str], Iterator[Sequence]]], marked: dict[str, set[tuple[int, int]]] | None = None) -> str:
-    """Write sheets (headers and rows); ``marked`` cells (row, column from 0) get a red fill. The file appears whole or not at all."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    """Write sheets (headers and rows); ``marked`` cells (row, column from 0) get a red fill. The file appears whole or not at all.
+
+    Rows stream into the file one after the other; a text among them is a row that has been encoded before (see ``encoded_rows``).
+    """
+    part = f"{path}.part"
+    with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
         names = list(sheets)
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
         z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>')
@@ -186,19 +312,34 @@ def write_workbook(path: str, sheets: dict[str, tuple[Sequence[str], Iterator[Se
             red = (marked or {}).get(name, set())
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
                 f.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'.encode())
-                for r, row in enumerate([headers, *rows] if isinstance(rows, list) else _chain(headers, rows)):
-                    f.write(("<row>" + "".join(_cell(v, (r - 1, c) in red) for c, v in enumerate(row)) + "</row>").encode())
+                for r, row in enumerate(chain([headers], rows)):
+                    f.write((row if isinstance(row, str) else f'<row r="{r + 1}">' + "".join(_cell(v, (r - 1, c) in red) for c, v in enumerate(row)) + "</row>").encode())
                 f.write(b"</sheetData></worksheet>")
-    part = f"{path}.part"
-    with open(part, "wb") as f:
-        f.write(out.getvalue())
     os.replace(part, path)
     return path
 
 
-def _chain(headers, rows):
-    yield headers
-    yield from rows
+def encoded_rows(df: DataFrame, order: str, columns: Sequence[str], numbers: Sequence[str] = (), red: Column | None = None) -> DataFrame:
+    """The rows of a sheet, in order, each as its XML: ``place, xml``. ``red``: the array of columns whose cells are marked.
+
+    Cells are text except those of ``numbers``. The XML is made on the executors; the first row is the header's.
+    """
+    placed = numbered(df, [F.col(order)], at="place", of="_of").drop("_of")
+
+    def cell(name: str) -> Column:
+        style = F.when(F.array_contains(red, name), ' s="1"').otherwise("") if red is not None else F.lit("")
+        text = F.col(name).cast("string")
+        if name in numbers:
+            full = F.concat(F.lit("<c"), style, F.lit("><v>"), text, F.lit("</v></c>"))
+        else:
+            plain = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
+            for raw, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+                plain = F.replace(plain, F.lit(raw), F.lit(shown))
+            full = F.concat(F.lit('<c t="inlineStr"'), style, F.lit('><is><t xml:space="preserve">'), plain, F.lit("</t></is></c>"))
+        return F.when(text.isNull(), F.concat(F.lit("<c"), style, F.lit("/>"))).otherwise(full)
+
+    xml = F.concat(F.lit('<row r="'), (F.col("place") + 2).cast("string"), F.lit('">'), *map(cell, columns), F.lit("</row>"))
+    return placed.select("place", xml.alias("xml"))
 
 
 def _cell(v, red: bool) -> str:
