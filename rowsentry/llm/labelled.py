@@ -24,8 +24,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, where: Column | None
     if where is not None:
         ids = ids.where(where)
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    ids = held.join(ids, "doc_id").where(F.col("rows") <= max_rows)
+    # only rows with a label are counted; copies of one id meet as counts
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(ids, "doc_id")
+    ids = rows.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") <= max_rows)
     chosen, total = [], 0
     for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect():
         if total + r["rows"] <= max_rows:

@@ -19,11 +19,12 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import fresh_path, materialize
+from .store import discard, fresh_path, materialize
 
 END = "\r\n\r\n"
 #: Payloads under so many bytes are never revisited.
@@ -192,6 +193,10 @@ class LoserTree:
 CAPTURES = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long, record_length long, position long"
 
 
+#: A place within a range is so many bits, the range above them.
+_SHIFT = 33
+
+
 def _number(urn: str | None) -> int | None:
     m = re.fullmatch(r"<urn:page:(-?\d+)(?::[0-9A-F]+)?>", urn or "")
     return int(m[1]) if m else None
@@ -239,8 +244,10 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 def merge_captures(captures: DataFrame) -> DataFrame:
     """Globally ordered capture histories: ranges of (url key, timestamp, id), each merged from the slices of its sorted runs.
 
-    A task holds the captures of its range (``RANGE_ROWS`` or so), without their payloads.
+    A task holds the captures of its range (``RANGE_ROWS`` or so), without their payloads. ``place`` is
+    a capture's place, from 0, in the history of all.
     """
+    spark = captures.sparkSession
 
     def merge(batches):
         runs: dict[str, list[tuple]] = {}
@@ -250,9 +257,10 @@ def merge_captures(captures: DataFrame) -> DataFrame:
         for run in runs.values():
             if any(a[10] > b[10] for a, b in zip(run, run[1:], strict=False)):  # fetched in parts
                 run.sort(key=lambda row: row[10])
-        out = []
+        out, place = [], TaskContext.get().partitionId() << _SHIFT
         for row in LoserTree([runs[name] for name in sorted(runs)], _order):
-            out.append(row)
+            out.append((*row[:10], place))
+            place += 1
             if len(out) == 10_000:
                 yield _rows(out)
                 out = []
@@ -262,7 +270,15 @@ def merge_captures(captures: DataFrame) -> DataFrame:
     captures = materialize(captures, "runs")
     ranges = max(1, -(-captures.count() // RANGE_ROWS))
     order = ("url_key", "captured", "page_id", "archive", "position")  # unlike for any two captures
-    return captures.repartitionByRange(ranges, *order).mapInArrow(K.tidy(merge), CAPTURES).drop("position")
+    merged = materialize(captures.repartitionByRange(ranges, *order).mapInArrow(K.tidy(merge), CAPTURES), "merged")
+    discard(captures)
+    part, before, shifts = F.shiftright("position", _SHIFT), 0, []
+    for r in sorted(merged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each range
+        shifts.append((r.part, before))
+        before += r.n
+    shifts = F.broadcast(spark.createDataFrame(shifts, "part long, shift long"))
+    place = F.col("position").bitwiseAND(F.lit((1 << _SHIFT) - 1)) + F.col("shift")
+    return merged.withColumn("part", part).join(shifts, "part").withColumn("place", place).drop("part", "shift", "position")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -279,10 +295,16 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     return merge_captures(read_captures(spark, path))
 
 
+#: DuckDB SQL for the query's rows, with the index key, the timestamp and the place in the order of both.
 ORACLE = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+WITH p AS (SELECT page_id, lower(url) AS low, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  strftime(to_timestamp(1704067200 + page_id % 1000000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first,
+  regexp_extract(low, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_replace(low, '^[a-z][a-z0-9+.-]*://[^/?#]*', '') AS rest FROM p),
+k AS (SELECT *, array_to_string(list_reverse(string_split(regexp_replace(regexp_replace(host, '^www[.]', ''), ':[0-9]+$', ''), '.')), ',') || ')'
+  || CASE WHEN split_part(rest, '#', 1) = '' THEN '/' ELSE split_part(rest, '#', 1) END AS url_key FROM m)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
-FROM m"""
+       CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to,
+       url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS place
+FROM k"""

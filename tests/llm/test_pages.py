@@ -41,9 +41,8 @@ def test_index_is_globally_ordered(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_ROWS", 9)
     df = spark.range(150).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") * 7 % 11, F.lit(".example.com/")).alias("url"), F.lit("t").alias("html")).repartition(6)
     got = warc.archive_pages(df)
-    assert got.rdd.getNumPartitions() > 1
-    keys = [(g.url_key, g.captured, g.page_id) for g in got.collect()]
-    assert keys == sorted(keys) and len(keys) == 150
+    keys = [(g.place, (g.url_key, g.captured, g.page_id)) for g in got.collect()]
+    assert sorted(keys) == list(enumerate(sorted(k for _, k in keys))) and len(keys) == 150
 
 
 def brute_site(url, rules):
