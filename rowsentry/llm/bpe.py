@@ -344,8 +344,9 @@ def loaded(path: str) -> SpeculativeBpe:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded`` for each row of ``docs``: the ids of its whole text, and the text that they decode to.
 
-    A null text counts as empty. Special tokens written in a text are taken as such. Repeated rows
-    and null ids each get their row; other columns are ignored.
+    A null text counts as empty. Special tokens written in a text are taken as such. Texts of any
+    length are encoded whole. Repeated rows and null ids each get their row; an empty table gives no
+    rows; other columns, of whatever names, are ignored.
     """
 
     def whole(codec, ids):

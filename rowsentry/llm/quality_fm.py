@@ -123,7 +123,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
     Rows whose crc32 of the id modulo 3 is 1 are held out of the fit; a null id is never held out.
     Null and empty texts are scored as texts without words. Without labels all scores are the same
-    and the documents count as good. Repeated rows each get their row; other columns are ignored.
+    and the documents count as good. Texts of any length are read whole; repeated rows each get their
+    row, equal texts the same score; an empty table gives no rows; other columns are ignored.
     """
     machine = fit(docs, labels, max_rows)
 

@@ -244,7 +244,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     Rows whose crc32 of the id modulo 5 is 0 are held out of the fit; a null id is never held out.
     Null and empty texts and texts without letters get a score next to 0. Without labels of both
     kinds every document does. Texts of any length are read whole. Repeated rows each get their
-    row, equal texts the same score; other columns are ignored, whatever their names.
+    row, equal texts the same score; an empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
     model = fit(docs, labels, max_rows)
     scores = np.zeros(BUCKETS, np.float32) if model is None else model.gram_scores().astype(np.float32)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[a-z0-9]+")
+#: Options stand behind the last "$" of a rule: names with hyphens, with or without a value.
+OPTIONS = re.compile(r"\$(~?[a-z][a-z-]*(?:=[^,/]*)?(?:,~?[a-z][a-z-]*(?:=[^,/]*)?)*)$")
 #: Site rules of the query, as its contract gives them.
 SITE_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Pattern rules in their usual form; "@@" marks an exception, which outranks a block.
@@ -51,7 +53,9 @@ class Pattern:
     def parse(cls, text: str) -> Pattern:
         """A rule as it is written; an option other than match-case is an error."""
         allow = text.startswith("@@")
-        body, _, options = text.removeprefix("@@").partition("$")
+        body, options = text.removeprefix("@@"), ""
+        if found := OPTIONS.search(body):  # any other "$" is a character of the url
+            body, options = body[: found.start()], found[1]
         if unknown := set(filter(None, options.split(","))) - {"match-case"}:
             raise ValueError(f"{text}: unknown options {sorted(unknown)}")
         begin = "||" if body.startswith("||") else "|" if body.startswith("|") else ""
