@@ -70,6 +70,16 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("type").agg(F.count(F.lit(1)).alias("findings"), F.sum(F.size("rows")).alias("affected"))
 
 
+#: The counter of each type; any other type is a rule's violation.
+COUNTERS = {"DUPLICATE": "duplicate_groups", "POSSIBLE_DUPLICATE": "possible_duplicate_groups", "INVALID": "invalid_values", "MISSING": "missing_values", "INCONSISTENT": "consistency_violations", "UNIQUENESS_VIOLATION": "uniqueness_violations"}
+
+
+def counters(findings: DataFrame) -> DataFrame:
+    """One row: all findings and those of each type, ``rule_violations`` being those of no type of their own."""
+    kinds = [F.count_if(F.col("type") == kind).alias(name) for kind, name in COUNTERS.items()]
+    return findings.agg(F.count(F.lit(1)).alias("total_findings"), *kinds, F.count_if(~F.col("type").isin(*COUNTERS)).alias("rule_violations"))
+
+
 def grouped(findings: DataFrame) -> DataFrame:
     """By type and rule: how many, the highest rank, and how many distinct rows."""
     ranked = triage_rank(findings)

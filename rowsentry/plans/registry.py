@@ -326,6 +326,15 @@ def finding_summary(spark, sf_dir):
     return findings.summary(_suite(spark, sf_dir))
 
 
+@query(f"""WITH {_HITS} SELECT count(*) AS total_findings, 0::BIGINT AS duplicate_groups, 0::BIGINT AS possible_duplicate_groups, count_if(type = 'INVALID') AS invalid_values,
+count_if(type = 'MISSING') AS missing_values, 0::BIGINT AS consistency_violations, 0::BIGINT AS uniqueness_violations, count_if(type NOT IN ('INVALID', 'MISSING')) AS rule_violations
+FROM (SELECT type FROM hits UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'RULE_VIOLATION' ELSE 'NORMALIZATION_CONFLICT' END FROM orders WHERE o_orderstatus = 'P')""")
+def finding_counters(spark, sf_dir):
+    """Counters of a run; types without a counter of their own are rule violations."""
+    more = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'RULE_VIOLATION' ELSE 'NORMALIZATION_CONFLICT' END").alias("type"))
+    return findings.counters(_suite(spark, sf_dir).select("type").union(more))
+
+
 @query(f"WITH {_HITS} SELECT row_id, count(*) AS n_items, string_agg(rule_id, ',' ORDER BY rank, rule_id) AS rules FROM hits GROUP BY 1")
 def action_items(spark, sf_dir):
     return findings.action_items(_suite(spark, sf_dir)).select(F.col("row").alias("row_id"), F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda i: i["rule_id"]), ",").alias("rules"))

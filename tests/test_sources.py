@@ -139,3 +139,25 @@ def test_the_gate_on_executors(spark):
         raise OSError("no such model")
 
     assert not ClusterGate(spark, broken).review(its[0]).approved
+
+
+def test_a_project_and_its_source(spark, tmp_path):
+    from rowsentry.sources.projects import Project, ProjectStore
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(5).write.parquet(path)
+    store = ProjectStore(str(tmp_path / "projects"))
+    project = Project("One", mappings={"a": "b"}, configurations={"rule-1-a": {"priority": "high", "reference": {"sheet": "x"}}})
+    store.save(project)
+    held = Sessions(spark, lambda p: Dataset.from_parquet(spark, p, row="id"))
+    assert store.open(project, held) is None
+    store.attach(project, path)
+    assert project.mappings == {} and project.configurations == {"rule-1-a": {"priority": "high"}}
+    again = store.load(project.id)
+    assert again.dataset == path and store.open(again, held).df.count() == 5
+    again.mappings = {"a": "id"}
+    assert store.attach(again, path, "S").mappings == {"a": "id"} and store.load(project.id).sheet == "S"
+    spark.range(2).write.mode("append").parquet(path)
+    assert store.open(again, held).df.count() == 7
+    with pytest.raises(limits.InputError):
+        store.save(Project(" "))
