@@ -158,13 +158,17 @@ def similar_pairs(values: DataFrame, fields: Sequence[Field], accept: Callable[[
         hot = None
         if k < len(stages):
             n = [side.groupBy("key").agg(F.count(F.lit(1)).alias(f"n{i}")) for i, side in enumerate(sides)]
-            hot = materialize(n[0].join(n[1], "key").where(F.col("n0").cast("double") * F.col("n1") > PAIRS).select("key"), "hot-keys")
+            many = F.col("n0").cast("double") * F.col("n1")
+            # both sides are the same rows at first
+            pairs = n[0].join(n[1], "key") if sides[0] is not sides[1] else n[0].withColumn("n1", F.col("n0"))
+            if (pairs.agg(F.max(many)).first()[0] or 0) > PAIRS:
+                hot = materialize(pairs.where(many > PAIRS).select("key"), "hot-keys")
         cold = sides if hot is None else [side.join(hot, "key", "left_anti") for side in sides]
         left, right = (side.select(*[F.col(c).alias(f"{p}_{c}") for c in ("key", "size", *columns)]) for p, side in zip("lr", cold, strict=True))
         once = (F.col("l_size") < F.col("r_size")) | (F.col(f"l_{ROW}") < F.col(f"r_{ROW}"))
         pairs = left.join(right, (F.col("l_key") == F.col("r_key")) & (F.col(f"l_{ROW}") != F.col(f"r_{ROW}")) & once)
         found.append(accept(pairs))
-        if hot is None or hot.isEmpty():
+        if hot is None:
             break
         sides = [materialize(stages[k](side.join(hot, "key", "left_semi").select(*columns, *state), left), "entries") for side, left in zip(sides, (True, False), strict=True)]
     out = found[0]

@@ -2,7 +2,7 @@
 
 Each pass counts the values below, at and between two pivots that an approximate percentile puts
 close around the wanted ranks; what is left between them is a small part of what was left before.
-A task holds counters and a sketch, never the values; the driver gets the last few thousand.
+A task holds counters and a sketch, never the values; the driver gets the last ``HELD`` at most.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Values that may be left at the end; counters of the sketch, whose error is that part of the values looked at.
-HELD, ACCURACY = 4096, 2000
+HELD, ACCURACY = 1 << 16, 2000
 
 
-def order_statistics(values: DataFrame, ranks: Sequence[int], column: str = "x", held: int | None = None) -> dict[int, float]:
-    """The values (doubles, no null, no NaN) at ranks from 0 in ascending order; ranks must be below their number."""
+def order_statistics(values: DataFrame, ranks: Sequence[int], column: str = "x", held: int | None = None, n: int | None = None) -> dict[int, float]:
+    """The values (doubles, no null, no NaN) at ranks from 0 in ascending order, of ``n`` values if their number is known."""
     out: dict[int, float] = {}
     held = HELD if held is None else held
-    n = values.count()
+    n = values.count() if n is None else n
     todo = [(-math.inf, math.inf, 0, n, sorted(set(ranks)))] if ranks else []
     while todo:
         low, high, below, inside, wanted = todo.pop()
@@ -52,5 +52,5 @@ def exact_median(values: DataFrame, column: str = "x", held: int | None = None)
     n = values.count()
     if not n:
         return None, 0
-    found = order_statistics(values, [(n - 1) // 2, n // 2], column, held)
+    found = order_statistics(values, [(n - 1) // 2, n // 2], column, held, n)
     return (found[(n - 1) // 2] + found[n // 2]) / 2, n

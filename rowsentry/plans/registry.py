@@ -15,7 +15,7 @@ from ..operators import anomaly, executors, findings, profile, review
 from ..operators.graph import connected_components
 from ..operators.ranks import numbered
 from ..sources.dataset import ROW, Dataset
-from ..sources.export import csv_cells
+from ..sources.export import csv_cells, reviewed_rows, too_long_for_excel, worksheet_issues
 from ..sources.shared import materialize
 from .compiler import compile_rules
 from .language import interpret
@@ -619,6 +619,81 @@ def rule_language(spark, sf_dir):
     return found.select(F.explode("rows").alias("row_id"), names[F.col("rule_id")].alias("sentence"))
 
 
+@query("""WITH c AS (SELECT p_partkey AS id, p_type AS block, lower(trim(p_name)) AS name FROM part),
+b AS (SELECT block, count(*) AS n, min(id) AS first FROM c GROUP BY 1), o AS (SELECT *, coalesce(sum(n * (n - 1) // 2) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+p AS (SELECT c.*, row_number() OVER (PARTITION BY block ORDER BY id) - 1 AS i, n, before FROM c JOIN o USING (block))
+SELECT x.id AS u, y.id AS v FROM p x JOIN p y ON x.block = y.block AND x.i < y.i
+WHERE x.before + x.i * (2 * x.n - x.i - 1) // 2 + (y.i - x.i) <= 5000 AND 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.6""")
+def capped_pairs(spark, sf_dir):
+    """Similar pairs among the first 5 000 in the order of blocks and rows."""
+    plan = Plan("duplicate", matchers=(Matcher("p_name", ("trim", "lowercase"), "levenshtein", 0.6), Matcher("p_type")))
+    return executors.duplicate_edges(parts(spark, sf_dir), plan, 5000)[0]
+
+
+@query("""WITH l AS (SELECT c_custkey AS r, 'c_mktsegment' AS column_name, trim(c_mktsegment) AS v FROM customer UNION ALL SELECT c_custkey, 'c_nationkey', c_nationkey::VARCHAR FROM customer),
+f AS (SELECT column_name, v, min(r) AS first FROM l GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY min(r)) <= 5)
+SELECT column_name, string_agg(v, '|' ORDER BY first) AS examples, CASE column_name WHEN 'c_nationkey' THEN 'number' ELSE 'text' END AS data_type FROM f GROUP BY 1""")
+def column_examples(spark, sf_dir):
+    """The first distinct values of each column and its type, as a profile shows them."""
+    df = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias(ROW), "c_mktsegment", "c_nationkey")
+    found = [(p.key, "|".join(p.examples), p.data_type) for p in profile.profile(Dataset.from_df(df))]
+    return spark.createDataFrame(found, "column_name string, examples string, data_type string")
+
+
+@query("""SELECT n_nationkey AS row_id, concat('fi ', n_name, ' 12 ABC') AS plain FROM nation""")
+def unicode_forms(spark, sf_dir):
+    """Ligatures and full-width signs in their plain forms."""
+    text = F.concat(F.lit("ﬁ "), F.col("n_name"), F.lit(" １２ ＡＢＣ"))
+    return load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row_id"), normalize(text, ("unicode",)).alias("plain"))
+
+
+@query(f"""WITH {_HITS}, i AS (SELECT row_id, string_agg(rule_id, ',' ORDER BY rank, rule_id) AS rules, min(rank) AS least,
+string_agg(CASE rule_id WHEN 'r1' THEN 'priority' WHEN 'r2' THEN 'customer' ELSE 'o_totalprice' END, ',') AS touched FROM hits GROUP BY 1)
+SELECT o_orderkey AS row_id, CASE least WHEN 1 THEN 'high' WHEN 3 THEN 'medium' WHEN 5 THEN 'low' END AS priority,
+(contains(touched, 'priority'))::INT + (contains(touched, 'customer'))::INT + (contains(touched, 'o_totalprice'))::INT AS n_marked
+FROM orders LEFT JOIN i ON row_id = o_orderkey WHERE row_id IS NULL OR o_orderkey % 3 = 0""")
+def reviewed_lines(spark, sf_dir):
+    """Clean rows and accepted ones, with the highest priority of their findings (the table has a column of that name) and the number of marked cells."""
+    ds = orders(spark, sf_dir)
+    accepted = ds.df.where("o_orderkey % 3 = 0").select(ROW)
+    rows = reviewed_rows(ds, _suite(spark, sf_dir), accepted)
+    return rows.select(F.col("Source row").alias("row_id"), F.col("Priority (review 1)").alias("priority"), F.coalesce(F.size("affected_columns"), F.lit(0)).alias("n_marked"))
+
+
+@query("SELECT doc_id AS row_id, length(text) AS n FROM documents WHERE length(text) > 32767")
+def long_cells(spark, sf_dir):
+    """Texts that a spreadsheet's cell can't hold."""
+    ds = Dataset.from_df(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"), row="doc_id")
+    return too_long_for_excel(ds).select(F.col(ROW).alias("row_id"), "n")
+
+
+@query("""SELECT 'MISSING' AS type, 'warning' AS severity, c AS columns, (SELECT count(*) FROM orders) AS table_rows FROM (VALUES ('Dock'), ('Wharf')) t(c)""")
+def sheet_issues(spark, sf_dir):
+    """Findings about the table as a whole, beside its rows."""
+    ds = orders(spark, sf_dir)
+    found = executors.run_rules(ds, [rule(Plan("business", check=Check("columns_exist", ("o_orderkey", "Wharf", "Dock"))), "r1"), rule(Plan("missing", ("priority",)), "r2")])
+    return worksheet_issues(found).select("type", "severity", "columns").crossJoin(ds.df.agg(F.count(F.lit(1)).alias("table_rows")))  # two lines and one
+
+
+@query(f"""WITH m AS (SELECT median(value) AS med FROM events), s AS (SELECT med, (SELECT median(abs(value - med)) FROM events, m) AS mad FROM m)
+SELECT k AS category, CASE k WHEN 'NUMERIC_OUTLIER' THEN (SELECT count(*) FROM events, s WHERE mad > 0 AND 0.6745 * abs(value - med) / mad >= 3.5) ELSE 0 END AS anomalies
+FROM (VALUES ('NUMERIC_OUTLIER'), ('FORMAT_DEVIATION'), ('DATA_TYPE_INCONSISTENCY'), ('ATYPICAL_MISSING'), ('SEMANTIC_PATTERN_BREAK')) t(k)""")
+def anomaly_categories(spark, sf_dir):
+    """A whole scan, counted by category."""
+    df = load(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias(ROW), "value")
+    return anomaly.summary_by(anomaly.scan(Dataset.from_df(df))[0], "category")
+
+
+@query("SELECT o_orderkey AS row_id, 'r1' AS rule_id FROM orders WHERE o_orderkey % 4 = 1 UNION ALL SELECT o_orderkey, 'r2' FROM orders WHERE o_orderkey % 4 = 1 AND o_orderstatus = 'F'")
+def decided(spark, sf_dir):
+    """Rows that a review excludes, and those of them that hold a status; decisions of other analyses don't count."""
+    decisions = load(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 4 < 2, "a1").otherwise("a0").alias("analysis"), F.col("o_orderkey").cast("long").alias(ROW), F.when(F.col("o_orderkey") % 2 == 1, "delete").otherwise("accept").alias("decision"))
+    gone = findings.decided_rows(decisions, "a1", "delete")
+    ds = orders(spark, sf_dir)
+    held = ds.df.where("o_orderstatus = 'F'").join(gone, ROW, "left_semi").select(F.col(ROW).alias("row_id"), F.lit("r2").alias("rule_id"))
+    return gone.select(F.col(ROW).alias("row_id"), F.lit("r1").alias("rule_id")).union(held)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
