@@ -650,7 +650,7 @@ def unicode_forms(spark, sf_dir):
 @query(f"""WITH {_HITS}, i AS (SELECT row_id, string_agg(rule_id, ',' ORDER BY rank, rule_id) AS rules, min(rank) AS least,
 string_agg(CASE rule_id WHEN 'r1' THEN 'priority' WHEN 'r2' THEN 'customer' ELSE 'o_totalprice' END, ',') AS touched FROM hits GROUP BY 1)
 SELECT o_orderkey AS row_id, CASE least WHEN 1 THEN 'high' WHEN 3 THEN 'medium' WHEN 5 THEN 'low' END AS priority,
-(contains(touched, 'priority'))::INT + (contains(touched, 'customer'))::INT + (contains(touched, 'o_totalprice'))::INT AS n_marked
+coalesce(contains(touched, 'priority')::INT + contains(touched, 'customer')::INT + contains(touched, 'o_totalprice')::INT, 0) AS n_marked
 FROM orders LEFT JOIN i ON row_id = o_orderkey WHERE row_id IS NULL OR o_orderkey % 3 = 0""")
 def reviewed_lines(spark, sf_dir):
     """Clean rows and accepted ones, with the highest priority of their findings (the table has a column of that name) and the number of marked cells."""
