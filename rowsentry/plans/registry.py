@@ -178,7 +178,7 @@ ORACLES["phone_br"] = ORACLES["phone_br"].replace("FROM (SELECT c_custkey AS row
 @query(f"SELECT {GROUP_SQL.format('doc_id')}, 'UNIQUENESS_VIOLATION' AS type, 'warning' AS severity FROM documents GROUP BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) HAVING count(*) > 1")
 def uniqueness_normalized(spark, sf_dir):
     ds = Dataset.from_df(load(spark, sf_dir, "documents"), row="doc_id")
-    return groups_of(executors.run_rules(ds, [rule(Plan("uniqueness", ("text",), (("lowercase", "normalize_whitespace"),)))], evidence_limit=1))
+    return groups_of(executors.run_rules(ds, [rule(Plan("uniqueness", ("text",), (("lowercase", "normalize_whitespace"),)))], evidence_limit=0))
 
 
 @query(f"""SELECT {GROUP_SQL.format('p_partkey')}, 'UNIQUENESS_VIOLATION' AS type, 'warning' AS severity FROM

@@ -96,3 +96,11 @@ def test_scores_against_the_first_row(spark):
     found = executors.duplicate(ds, rule(Plan("duplicate", matchers=(Matcher("v", (), "levenshtein", 0.9), Matcher("k")))), pair_limit=None).collect()
     assert [f.rows for f in found] == [[2, 5, 9]]
     assert {(e.row, e.column_key): round(e.score, 6) for e in found[0].evidence} == {(2, "v"): 1.0, (5, "v"): 0.9, (9, "v"): 0.9, (2, "k"): 1.0, (5, "k"): 1.0, (9, "k"): 1.0}
+
+
+def test_groups_without_evidence(spark):
+    rows = [(i, "same" if i % 3 else f"v{i}", "k") for i in range(40)] + [(99, "", "k")]
+    ds = Dataset.from_df(spark.createDataFrame(rows, "id long, v string, k string").withColumnRenamed("id", "_row"))
+    check = rule(Plan("business", check=Check("duplicate_fields", ("v", "k")), fields={"v": "v", "k": "k"}))
+    whole, bare = (executors.run_rules(ds, [check], evidence_limit=n).collect() for n in (None, 0))
+    assert [f.asDict() | {"evidence": 0} for f in whole] == [f.asDict() | {"evidence": 0} for f in bare] and bare[0].evidence == [] and whole[0].evidence
