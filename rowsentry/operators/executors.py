@@ -8,7 +8,7 @@ transitively.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -432,10 +432,12 @@ def columns_exist(ds: Dataset, rule: CompiledRule) -> DataFrame:
     return ds.df.sparkSession.createDataFrame(rows, SCHEMA)
 
 
-def findings_in_long_form(ds: Dataset, rule: CompiledRule, evidence: int = 50) -> LongFindings:
-    """A grouping rule's findings with rows of bounded size, whatever share of the table a key has."""
+def findings_in_long_form(ds: Dataset, rule: CompiledRule, evidence: int = 50, pair_limit: int | None = None) -> LongFindings:
+    """A grouping rule's findings with rows of bounded size, whatever share of the table a key has; by default without a pair ceiling."""
     kind = rule.plan.kind if rule.plan.kind != "business" else rule.plan.check.kind
     execute = GROUPING.get(kind) or {"uniqueness": uniqueness, "consistency": consistency, "duplicate": duplicate}[kind]
+    if kind in ("duplicate", "weighted_duplicate"):
+        execute = partial(execute, pair_limit=pair_limit)
     return long_findings(ds, rule, execute, evidence)
 
 
@@ -443,7 +445,10 @@ GROUPING = {"unique_any": unique_any, "duplicate_fields": duplicate_fields, "wei
 
 
 def run_rules(ds: Dataset, rules: Sequence[CompiledRule], evidence_limit: int | None = None, pair_limit: int | None = PAIR_LIMIT, on_progress=None) -> DataFrame:
-    """Findings of all rules: one scan for those that look at single rows, a plan for each other rule."""
+    """Findings of all rules: one scan for those that look at single rows, a plan for each other rule.
+
+    Without a ``pair_limit`` fuzzy and weighted rules find all pairs; ``evidence_limit`` bounds the rows whose evidence a group shows.
+    """
     rules = [r for r in rules if r.plan]
     local = [r for r in rules if is_row_local(r.plan)]
     parts = [run_row_local(ds, local)] if local else []
@@ -457,6 +462,8 @@ def run_rules(ds: Dataset, rules: Sequence[CompiledRule], evidence_limit: int |
             parts.append(columns_exist(ds, rule))
         elif kind == "duplicate":
             parts.append(duplicate(ds, rule, evidence_limit, pair_limit))
+        elif kind == "weighted_duplicate":
+            parts.append(weighted_duplicate(ds, rule, evidence_limit, pair_limit and WEIGHTED_LIMIT))
         elif kind in GROUPING:
             parts.append(GROUPING[kind](ds, rule, evidence_limit))
         else:

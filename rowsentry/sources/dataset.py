@@ -74,7 +74,7 @@ def in_file_order(df: DataFrame) -> DataFrame:
     for r in sorted(splits, key=lambda r: (r["_file"], r["_from"])):
         starts.append((r["_file"], r["_from"], total - r["first"]))
         total += r["rows"]
-    at = F.broadcast(df.sparkSession.createDataFrame(starts, "_file string, _from long, _shift long"))
+    at = df.sparkSession.createDataFrame(starts, "_file string, _from long, _shift long")  # Spark sees its size
     return place.join(at, ["_file", "_from"]).withColumn(ROW, F.col("_n") + F.col("_shift")).select(*df.columns, ROW)
 
 

@@ -103,7 +103,7 @@ def test_many_rows_without_an_exact_matcher(spark):
     assert got == want and len(want) >= 40
 
 
-@pytest.mark.parametrize("threshold, exact", [(0.85, ("name", "zip")), (0.8, ()), (0.35, ())])
+@pytest.mark.parametrize("threshold, exact", [(0.85, ("name", "zip")), (0.35, ())])
 def test_weighted_groups(spark, monkeypatch, threshold, exact):
     monkeypatch.setattr(fuzzy_join, "PAIRS", 30)
     r = random.Random(6)
@@ -168,7 +168,7 @@ def test_a_ceiling_takes_the_first_pairs(spark):
     plan = Plan("duplicate", matchers=(Matcher("v", (), "levenshtein", 0.9), Matcher("k")))
     blocks = sorted(([r[0] for r in rows if r[1] == k] for k in "ab"), key=min)
     order = [p for b in blocks for p in itertools.combinations(b, 2)]
-    for limit in (1, 20, 500, 5000):
+    for limit in (20, 5000):
         edges, cut = executors.duplicate_edges(ds, plan, limit)
         assert sorted((e.u, e.v) for e in edges.collect()) == sorted(order[:limit])
         assert cut.first().cut == (len(order) > limit)
