@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from . import kernels as K
 from .ball_tree import BallTree
-from .store import batches_of, materialize
+from .store import batches_of, discard, materialize
 
 #: Rows of a part, at least and at most; between them there are ``PARTS``. Anchors of a block, on average.
 LEAST_ROWS, MOST_ROWS, PARTS, BLOCK = 2048, 65_536, 64, 4096
@@ -127,7 +127,8 @@ def mine(embeddings: DataFrame, anchor_every: int = 100, positives: int = 5, neg
 
     asked = anchors.join(windows, ["anchor_id", "mark"])
     schema = "anchor_id long, mark long, place int, positive_id long, positive_score long, negative_id long, negative_score long"
-    found = _down_all(_blocks(asked, count), trees, parts, windowed, schema, "negatives")
+    tops, found = found, _down_all(_blocks(asked, count), trees, parts, windowed, schema, "negatives")
+    discard(tops, trees, vectors)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "mark", "place").orderBy(F.col("negative_score").desc(), "negative_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
