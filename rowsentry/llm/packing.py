@@ -4,9 +4,10 @@ A configuration is a multiset of lengths that fits a sequence; the program cover
 with as few as it can. It is solved by multiplicative weights: each round's weights are prices, a
 knapsack dynamic program finds the best value at them, which gives a lower bound by duality, and
 for every length the best configuration that holds it; those near the best value are used a
-little, and the weights of what they cover fall. The fractional answer, or a share of it, is
-rounded down to whole sequences and best fit places the rest, in groups of equal sequences; the
-fewest sequences win, so the answer is never worse than best fit alone. The plan depends on the
+little, and the weights of what they cover fall. The fractional answer is rounded down to whole
+sequences of its fullest configurations, what that leaves is solved and rounded again, a few
+times, and best fit places the rest, in groups of equal sequences; best fit alone wins if it needs
+fewer, so the answer is never worse. The plan depends on the
 histogram alone (at most ``capacity`` rows), never on the number of documents, and says for each
 length which ranks go where.
 """
@@ -33,8 +34,8 @@ from .spans import SpanNumbers
 from .store import materialize, small_batches
 
 CAPACITY = 2048
-#: Rounds of the multiplicative weights, and shares of the fractional answer that are tried.
-ROUNDS, SHARES = 160, (1.0, 0.98, 0.95, 0.9, 0.8, 0.6, 0.3, 0.0)
+#: Rounds of the multiplicative weights in all passes, and the share of a sequence that a pass's configurations may leave free.
+ROUNDS, FREE = 200, (0.0005, 0.0005, 0.0005, 0.0005, 0.0005, 0.001, 0.002, 0.004)
 #: Cached words of a worker; a full cache is emptied.
 CACHED = 800_000
 
@@ -47,7 +48,7 @@ class Plan:
     runs: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)
     used: dict[int, int] = field(default_factory=dict)
     bins: int = 0
-    #: No packing needs fewer sequences; and the share of the fractional answer that was rounded.
+    #: No packing needs fewer sequences; and the share of the sequences that the program made.
     bound: int = 0
     share: float = 0.0
 
@@ -122,41 +123,65 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, round
 
 
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """The best rounding of the fractional answer: of all of it, or of a share that leaves best fit more to place."""
-    lengths = np.array(sorted(n for n, c in histogram.items() if c > 0 and n < capacity), np.int64)
-    cover, bound = configurations(lengths, np.array([histogram[n] for n in lengths.tolist()]), capacity, rounds) if len(lengths) else ([], 0.0)
-    plans = []
-    for share in SHARES:
-        plans.append(_rounded(histogram, capacity, lengths, cover, share))
-        plans[-1].bound = math.ceil(bound - 1e-6) + histogram.get(capacity, 0)
-        plans[-1].share = share
-    return min(plans, key=lambda p: p.bins)
-
-
-def _rounded(histogram: dict[int, int], capacity: int, lengths: np.ndarray, cover: list[tuple[dict[int, int], float]], share: float) -> Plan:
-    plan = Plan(capacity)
-    left = {n: c for n, c in histogram.items() if c > 0}
-    room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-
-    def spare(size: int, first: int, count: int) -> None:
-        if size and count:
-            room[size].append((first, count))
-
-    if capacity in left:
-        plan.place(capacity, left[capacity], 0, 1, 0)
-        plan.bins += left.pop(capacity)
-    for config, x in sorted(cover, key=lambda c: -sum(lengths[k] * a for k, a in c[0].items())):
-        times = min(int(x * share + 1e-9), *(left[int(lengths[k])] // a for k, a in config.items()))
-        if not times:
-            continue
-        offset = 0
-        for k, a in sorted(config.items(), reverse=True):
-            n = int(lengths[k])
-            plan.place(n, times * a, plan.bins, a, offset)
-            left[n] -= times * a
-            offset += n * a
-        spare(capacity - offset, plan.bins, times)
-        plan.bins += times
+    """The better one of best fit alone and of rounding the program in passes."""
+    alone = _finish(Plan(capacity), {n: c for n, c in histogram.items() if c > 0}, _rooms(capacity))
+    plan = _in_passes(histogram, capacity, rounds)
+    alone.bound = plan.bound
+    return min(plan, alone, key=lambda p: p.bins)
+
+
+def _in_passes(histogram: dict[int, int], capacity: int, rounds: int) -> Plan:
+    """Solve the program, take whole sequences of its fullest configurations, solve it anew for what is left; best fit places the rest.
+
+    A pass takes configurations that leave no more than its share of a sequence free, so what one
+    rounding leaves over is covered by the next and not by chance.
+    """
+    plan, left, room = Plan(capacity), {n: c for n, c in histogram.items() if c > 0}, _rooms(capacity)
+    whole = left.pop(capacity, 0)
+    if whole:
+        plan.place(capacity, whole, 0, 1, 0)
+        plan.bins += whole
+    for k, free in enumerate(FREE):
+        lengths = np.array(sorted(n for n, c in left.items() if c), np.int64)
+        if not lengths.size:
+            break
+        cover, bound = configurations(lengths, np.array([left[n] for n in lengths.tolist()]), capacity, max(1, rounds // len(FREE)))
+        if not k:
+            plan.bound = math.ceil(bound - 1e-6) + whole
+        before = plan.bins
+        for config, x in sorted(cover, key=lambda c: -sum(lengths[k] * a for k, a in c[0].items())):
+            size = sum(int(lengths[k]) * a for k, a in config.items())
+            times = min(int(x + 1e-9), *(left[int(lengths[k])] // a for k, a in config.items()))
+            if size >= capacity * (1 - free) and times:
+                offset = 0
+                for i, a in sorted(config.items(), reverse=True):
+                    n = int(lengths[i])
+                    plan.place(n, times * a, plan.bins, a, offset)
+                    left[n] -= times * a
+                    offset += n * a
+                _spare(room, capacity - offset, plan.bins, times)
+                plan.bins += times
+        if plan.bins == before:
+            break
+    plan.share = plan.bins
+    plan = _finish(plan, left, room)
+    plan.share = plan.share / plan.bins if plan.bins else 0.0
+    return plan
+
+
+def _rooms(capacity: int) -> list[list[tuple[int, int]]]:
+    """Groups of equal sequences, first and how many, by the room that they have left."""
+    return [[] for _ in range(capacity + 1)]
+
+
+def _spare(room: list[list[tuple[int, int]]], size: int, first: int, count: int) -> None:
+    if size and count:
+        room[size].append((first, count))
+
+
+def _finish(plan: Plan, left: dict[int, int], room: list[list[tuple[int, int]]]) -> Plan:
+    """Best fit for what is left: longest first, each into the group with the least room that holds it."""
+    capacity = plan.capacity
     for n in sorted(left, reverse=True):
         while left[n]:
             size = next((s for s in range(n, capacity + 1) if room[s]), None)
@@ -165,10 +190,10 @@ def _rounded(histogram: dict[int, int], capacity: int, lengths: np.ndarray, cove
                 bins, rest = divmod(left[n], per)
                 if bins:
                     plan.place(n, bins * per, plan.bins, per, 0)
-                    spare(capacity - per * n, plan.bins, bins)
+                    _spare(room, capacity - per * n, plan.bins, bins)
                 if rest:
                     plan.place(n, rest, plan.bins + bins, rest, 0)
-                    spare(capacity - rest * n, plan.bins + bins, 1)
+                    _spare(room, capacity - rest * n, plan.bins + bins, 1)
                 plan.bins += bins + (rest > 0)
                 left[n] = 0
             else:
@@ -176,8 +201,8 @@ def _rounded(histogram: dict[int, int], capacity: int, lengths: np.ndarray, cove
                 take = min(count, left[n])
                 plan.place(n, take, first, 1, capacity - size)
                 left[n] -= take
-                spare(size - n, first, take)
-                spare(size, first + take, count - take)
+                _spare(room, size - n, first, take)
+                _spare(room, size, first + take, count - take)
     return plan
 
 

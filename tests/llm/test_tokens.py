@@ -214,7 +214,7 @@ def test_plans_are_never_worse_than_best_fit():
         histogram = dict(Counter(x.tolist()))
         plan = packing.make_plan(histogram)
         check_plan(plan, histogram, 2048)
-        alone = packing._rounded(histogram, 2048, np.array(sorted(histogram)), [], 0.0).bins
+        alone = packing._finish(packing.Plan(2048), dict(histogram), packing._rooms(2048)).bins
         assert plan.bound <= plan.bins <= alone
         better += plan.bins < alone
     assert better
@@ -288,3 +288,16 @@ def test_piece_digests(spark, pieces):
     assert piece_bpe.digest_documents(docs.limit(0), PIECES).count() == 0
     one = piece_bpe.encode_documents(docs.where("doc_id = 5 AND text = 'twice'").limit(1), PIECES).first()
     assert one.decoded == "twice" and one.ids == library.encode("twice")
+
+
+def test_passes_of_the_program_close_the_gap():
+    r = np.random.default_rng(1)
+    histogram = dict(Counter(r.integers(300, 1026, 20_000).tolist()))
+    plan = packing.make_plan(histogram)
+    check_plan(plan, histogram, 2048)
+    alone = packing._finish(packing.Plan(2048), dict(histogram), packing._rooms(2048)).bins
+    assert plan.share > 0.8 and plan.bins <= 1.005 * plan.bound and plan.bins < 0.97 * alone
+    mixed = dict(Counter(np.minimum(r.lognormal(6.2, 0.8, 300_000).astype(int) + 1, 2048).tolist()))
+    plan = packing.make_plan(mixed)
+    alone = packing._finish(packing.Plan(2048), dict(mixed), packing._rooms(2048)).bins
+    assert plan.share > 0.5 and plan.bound <= plan.bins < alone and plan.bins <= 1.0005 * plan.bound
