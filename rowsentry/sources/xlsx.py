@@ -288,7 +288,7 @@ def read_dataset(spark: SparkSession, path: str, sheet: str | None = None, size:
     filled = F.exists("cells", lambda c: c["t"].isNotNull() & ((c["t"] != "text") | (F.length(trim_ws(c["s"])) > 0)))
     body = rows.where((F.col(ROW) > at) & filled).select(ROW, *[F.get("cells", F.lit(i)).alias(k) for i, (k, _) in enumerate(named)])
     out = Dataset(body, dict(named), sheet, warnings=warnings)
-    out.version = Manifest.of_paths(spark, [os.path.abspath(path)])
+    out.version = Manifest.of_paths(spark, [f"file://{os.path.abspath(path)}"])
     return out
 
 
