@@ -23,6 +23,8 @@ from ..sources.shared import materialize
 
 #: Pairs under one key that are compared without refining it.
 PAIRS = 1 << 16
+#: Pairs under one key that one task compares, and the most tasks for a key.
+TASK_PAIRS, MOST_PARTS = 1 << 24, 1 << 10
 #: How often a text is cut anew where many share its segments.
 ROUNDS = 4
 #: Common prefixes of Jaro-Winkler: so many first letters are part of the key, and the bonus of so many is granted.
@@ -155,15 +157,21 @@ def similar_pairs(values: DataFrame, fields: Sequence[Field], accept: Callable[[
         sides = [materialize(stages[0](side, left), "entries") for side, left in zip(sides, (True, False), strict=True)]
         stages = stages[1:]
     for k in range(len(stages) + 1):
-        hot = None
-        if k < len(stages):
-            n = [side.groupBy("key").agg(F.count(F.lit(1)).alias(f"n{i}")) for i, side in enumerate(sides)]
-            many = F.col("n0").cast("double") * F.col("n1")
-            # both sides are the same rows at first
-            pairs = n[0].join(n[1], "key") if sides[0] is not sides[1] else n[0].withColumn("n1", F.col("n0"))
-            if (pairs.agg(F.max(many)).first()[0] or 0) > PAIRS:
-                hot = materialize(pairs.where(many > PAIRS).select("key"), "hot-keys")
-        cold = sides if hot is None else [side.join(hot, "key", "left_anti") for side in sides]
+        n = [side.groupBy("key").agg(F.count(F.lit(1)).alias(f"n{i}")) for i, side in enumerate(sides)]
+        many = F.col("n0").cast("double") * F.col("n1")
+        # both sides are the same rows at first
+        met = n[0].join(n[1], "key") if sides[0] is not sides[1] else n[0].withColumn("n1", F.col("n0"))
+        worst = met.agg(F.max(many)).first()[0] or 0
+        hot, cold = None, sides
+        if k < len(stages) and worst > PAIRS:
+            hot = materialize(met.where(many > PAIRS).select("key"), "hot-keys")
+            cold = [side.join(hot, "key", "left_anti") for side in sides]
+        elif worst > TASK_PAIRS:  # nothing refines these keys any more: their left rows are dealt to several tasks
+            parts = F.least(F.floor(many / TASK_PAIRS) + 1, F.lit(MOST_PARTS)).cast("int")
+            dealt = materialize(met.where(many > TASK_PAIRS).select("key", parts.alias("parts")), "dealt-keys")
+            own, other = (side.join(dealt, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))) for side in sides)
+            salted = (own.withColumn("salt", F.pmod(F.xxhash64(ROW), F.col("parts")).cast("int")), other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+            cold = [side.withColumn("key", F.xxhash64("key", "salt")) for side in salted]
         left, right = (side.select(*[F.col(c).alias(f"{p}_{c}") for c in ("key", "size", *columns)]) for p, side in zip("lr", cold, strict=True))
         once = (F.col("l_size") < F.col("r_size")) | (F.col(f"l_{ROW}") < F.col(f"r_{ROW}"))
         pairs = left.join(right, (F.col("l_key") == F.col("r_key")) & (F.col(f"l_{ROW}") != F.col(f"r_{ROW}")) & once)

@@ -58,6 +58,7 @@ CASES = [
 @pytest.mark.parametrize("matchers, any_of", CASES)
 def test_no_similar_pair_is_lost(spark, monkeypatch, values, matchers, any_of):
     monkeypatch.setattr(fuzzy_join, "PAIRS", 40)
+    monkeypatch.setattr(fuzzy_join, "TASK_PAIRS", 90)
     ds = Dataset.from_df(spark.createDataFrame(values, "id long, v string, w string, k string"), row="id")
     plan = Plan("duplicate", matchers=tuple(Matcher(k, (), m, t) if m else Matcher(k) for k, m, t in matchers), any_of=any_of)
     members, pairs = executors.duplicate_classes(ds, plan)
