@@ -310,3 +310,16 @@ def test_rows_are_numbered_as_they_stand_in_files(spark, tmp_path):
     ds = Dataset.from_parquet(spark, str(tmp_path / "p"))
     assert [r.v for r in ds.df.orderBy("_row").collect()] == list(range(1000, 0, -1))
     assert sorted(r["_row"] for r in ds.df.where("v % 7 = 0").select("_row").collect()) == [1002 - v for v in range(994, 0, -7)]
+
+
+def sharing_an_id(spark):
+    """Findings of rows 1, 2 and 2, the first two with one id, as 32-bit ids have it among many."""
+    one = lambda id, kind, row, field: (id, "r", kind, "error", "HIGH", "rows", [row], [field], [(row, field, field, "x", "x", "c", None)], "", None, "")
+    return spark.createDataFrame([one("finding-a", "MISSING", 1, "p"), one("finding-a", "MISSING", 2, "q"), one("finding-b", "INVALID", 2, "q")], findings.SCHEMA)
+
+
+def test_findings_that_share_an_id_are_grouped_apart(spark):
+    groups = {tuple(g.rows): g for g in findings.consolidate(sharing_an_id(spark)).collect()}
+    assert {rows: g.ids for rows, g in groups.items()} == {(1,): ["finding-a"], (2,): ["finding-a", "finding-b"]}
+    same_row = sharing_an_id(spark).withColumn("rows", F.array(F.lit(7).cast("long")))
+    assert [g.ids for g in findings.consolidate(same_row).collect()] == [["finding-a", "finding-a", "finding-b"]]
