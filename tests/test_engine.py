@@ -323,3 +323,9 @@ def test_findings_that_share_an_id_are_grouped_apart(spark):
     assert {rows: g.ids for rows, g in groups.items()} == {(1,): ["finding-a"], (2,): ["finding-a", "finding-b"]}
     same_row = sharing_an_id(spark).withColumn("rows", F.array(F.lit(7).cast("long")))
     assert [g.ids for g in findings.consolidate(same_row).collect()] == [["finding-a", "finding-a", "finding-b"]]
+
+
+def test_evidence_of_findings_that_share_an_id(spark):
+    found = sharing_an_id(spark)
+    lines = findings.evidence_by_row(found).join(found.select(findings.identity().alias("key"), "fields"), "key")
+    assert sorted((r.row, *r.fields) for r in lines.collect()) == [(1, "p"), (2, "q"), (2, "q")]
