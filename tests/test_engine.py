@@ -329,3 +329,12 @@ def test_evidence_of_findings_that_share_an_id(spark):
     found = sharing_an_id(spark)
     lines = findings.evidence_by_row(found).join(found.select(findings.identity().alias("key"), "fields"), "key")
     assert sorted((r.row, *r.fields) for r in lines.collect()) == [(1, "p"), (2, "q"), (2, "q")]
+
+
+def test_groups_are_filtered_by_findings_and_not_by_ids(spark):
+    found = sharing_an_id(spark)
+    groups = findings.consolidate(found)
+    assert [g.rows for g in findings.filter_groups(groups, found, types=["INVALID"]).collect()] == [[2]]
+    alone = found.where("type = 'INVALID' OR rows[0] = 2").withColumn("id", F.lit("finding-a"))
+    both = findings.consolidate(found.withColumn("id", F.lit("finding-a")))
+    assert [g.rows for g in findings.filter_groups(both, alone, types=["INVALID"]).collect()] == [[2]]
