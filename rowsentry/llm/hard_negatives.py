@@ -59,11 +59,17 @@ def build_trees(vectors: DataFrame, parts: int, width: int, copies: int) -> Data
     return materialize(vectors.withColumn("part", part).groupBy("part").applyInArrow(K.tidy_group(build), schema), "trees")
 
 
+def _dealt(blocks: DataFrame, trees: DataFrame, parts: int) -> DataFrame:
+    """Each block of anchors beside each part's tree. Spark takes the blocks for as small as they are before they are
+    repeated for the parts, so it has to be told that neither side goes through the driver."""
+    each = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return each.hint("merge").join(trees, "part").select("anchors", *_TREE)
+
+
 def _down_all(blocks: DataFrame, trees: DataFrame, parts: int, search, schema: str, tag: str) -> DataFrame:
     """What ``search`` finds for each block of anchors in each part's tree."""
-    dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     with batches_of(blocks.sparkSession, AT_ONCE):
-        return materialize(dealt.join(trees, "part").select("anchors", *_TREE).mapInArrow(K.tidy(search), schema), tag)
+        return materialize(_dealt(blocks, trees, parts).mapInArrow(K.tidy(search), schema), tag)
 
 
 def _blocks(anchors: DataFrame, count: int) -> DataFrame:

@@ -97,3 +97,11 @@ def test_balls_are_passed_over():
     kth = np.array([np.sort(tops[2][tops[0] == a])[0] for a in range(20)])
     need = ((middle + reach)[:, leaves] >= kth[:, None]).mean()
     assert need < 0.2
+
+
+def test_blocks_and_trees_stay_off_the_driver(spark):
+    blocks = spark.createDataFrame([([(1, 2, 3, [1, 2])],)], "anchors array<struct<anchor_id:long,mark:long,label:long,q:array<long>>>")
+    trees = spark.createDataFrame([(0, *[b"x"] * len(hard_negatives._TREE))], "part long, " + ", ".join(f"{n} binary" for n in hard_negatives._TREE))
+    dealt = hard_negatives._dealt(blocks, trees, 1)
+    assert dealt.count() == 1
+    assert "Broadcast" not in dealt._jdf.queryExecution().executedPlan().toString()
