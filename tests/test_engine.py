@@ -338,3 +338,12 @@ def test_groups_are_filtered_by_findings_and_not_by_ids(spark):
     alone = found.where("type = 'INVALID' OR rows[0] = 2").withColumn("id", F.lit("finding-a"))
     both = findings.consolidate(found.withColumn("id", F.lit("finding-a")))
     assert [g.rows for g in findings.filter_groups(both, alone, types=["INVALID"]).collect()] == [[2]]
+
+
+def test_checksums_look_for_their_digits_once(spark):
+    texts = ["529.982.247-25", "52998224725", "529.982.247-24", "111.111.111-11", "11.222.333/0001-81", "11222333000180", "", "x", "1" * 30, "12345678901234567890", "0" * 14, "00000000191"]
+    assert values(spark, texts, validate.valid_cpf) == [True, True, *[False] * 9, True]
+    assert values(spark, texts, validate.valid_cnpj) == [*[False] * 4, True, *[False] * 7]
+    for valid in (validate.valid_cpf, validate.valid_cnpj):
+        plan = spark.range(1).select(valid(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace") < 10
