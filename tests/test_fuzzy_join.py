@@ -173,3 +173,18 @@ def test_a_ceiling_takes_the_first_pairs(spark):
         edges, cut = executors.duplicate_edges(ds, plan, limit)
         assert sorted((e.u, e.v) for e in edges.collect()) == sorted(order[:limit])
         assert cut.first().cut == (len(order) > limit)
+
+
+def test_a_column_with_few_values_settles_which_classes_meet(spark, monkeypatch):
+    from rowsentry.functions.similarity import jaro_winkler_text
+    from rowsentry.operators import executors
+
+    monkeypatch.setattr(executors, "TASK_PAIRS", 7)
+    monkeypatch.setattr(executors, "LEAST_TASKS", 3)
+    zones = ("z1", "z11", "z12", "harbour", "q")
+    rows = [(k, f"supplier#{k:04d}", zones[k * k % 5]) for k in range(40)]
+    classes = spark.createDataFrame(rows, "_row long, w0 string, w1 string")
+    pairs, total = executors._pairs_by_values(classes, "w1", 0.875)
+    got = [(p.l__row, p.r__row) for p in pairs.collect()]
+    wanted = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and jaro_winkler_text(x[2], y[2]) >= 0.875}
+    assert len(got) == len(set(got)) and set(got) == wanted and len(got) <= total
