@@ -188,3 +188,32 @@ def test_a_column_with_few_values_settles_which_classes_meet(spark, monkeypatch)
     got = [(p.l__row, p.r__row) for p in pairs.collect()]
     wanted = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and jaro_winkler_text(x[2], y[2]) >= 0.875}
     assert len(got) == len(set(got)) and set(got) == wanted and len(got) <= total
+
+
+def test_texts_with_one_beginning_meet_their_neighbours_alone(spark, monkeypatch):
+    """A crowded segment is refined by the place of the edit, so hardly a pair is compared in vain; none is lost."""
+    monkeypatch.setattr(fuzzy_join, "PAIRS", 100)
+    rows = [(k, f"Customer#{k:09d}" + ("x" if k % 50 == 0 else "")) for k in range(3000)]
+    df = spark.createDataFrame(rows, "_row long, v string")
+    seen = []
+
+    def accept(pairs):
+        seen.append(pairs.count())
+        return pairs.where(sim.levenshtein_at_least(F.col("l_v"), F.col("r_v"), 0.94)).select(F.col("l__row").alias("u"), F.col("r__row").alias("v"))
+
+    got = {(p.u, p.v) for p in fuzzy_join.similar_pairs(df, [fuzzy_join.Field("v", "levenshtein", 0.94)], accept).collect()}
+    want = set()
+    for k, a in rows:
+        near = {a[:i] + c + a[j:] for i in range(len(a) + 1) for j in (i, i + 1) for c in ["", *"0123456789x"]}
+        want |= {(k, j) for j in range(k + 1, 3000) if rows[j][1] in near} if k < 60 else set()
+    assert {p for p in got if p[0] < 60} == want and want
+    assert sum(seen) <= 2 * len(got)
+
+
+def test_a_banded_distance_decides_like_the_whole_one(spark):
+    r = random.Random(4)
+    rows = [("".join(r.choices("abé", k=r.randrange(9))), "".join(r.choices("abé", k=r.randrange(9)))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for t in (0.0, 0.5, 0.75, 1.0):
+        got = df.select(sim.levenshtein_at_least(F.col("a"), F.col("b"), t).alias("x")).collect()
+        assert [g.x for g in got] == [levenshtein(a, b) >= t for a, b in rows]
