@@ -217,3 +217,18 @@ def test_a_banded_distance_decides_like_the_whole_one(spark):
     for t in (0.0, 0.5, 0.75, 1.0):
         got = df.select(sim.levenshtein_at_least(F.col("a"), F.col("b"), t).alias("x")).collect()
         assert [g.x for g in got] == [levenshtein(a, b) >= t for a, b in rows]
+
+
+def test_pairs_within_keys_are_dealt_to_even_cells(spark, monkeypatch):
+    """Each pair once, whatever its key's size, and no task has a whole large key."""
+    monkeypatch.setattr(fuzzy_join, "CELL_ROWS", 20)
+    rows = [(k, "g" if k % 10 else "h", k) for k in range(300)] + [(900, None, 1), (901, None, 2)]
+    pairs = fuzzy_join.pairs_within(spark.createDataFrame(rows, "_row long, g string, x int"), ["g"])
+    got = [(p.l__row, p.r__row) for p in pairs.collect()]
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] and a[1] == b[1]}
+    assert len(got) == len(want) and set(got) == want
+    sizes = [x["count"] for x in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < len(want) / 4
+    texts = [(1, "g", "ab😀😀c"), (2, "g", "ab😀😀"), (3, "g", "ab😀😁c"), (4, "h", "ab"), (5, "h", "ab"), (6, "i", ""), (7, "i", "x"), (8, "j", None)]
+    cut = fuzzy_join.without_shared_beginning(spark.createDataFrame(texts, "_row long, g string, v string"), "v", ["g"])
+    assert {x["_row"]: x.v for x in cut.collect()} == {1: "😀c", 2: "😀", 3: "😁c", 4: "", 5: "", 6: "", 7: "x", 8: None}
