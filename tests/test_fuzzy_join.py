@@ -232,3 +232,15 @@ def test_pairs_within_keys_are_dealt_to_even_cells(spark, monkeypatch):
     texts = [(1, "g", "ab😀😀c"), (2, "g", "ab😀😀"), (3, "g", "ab😀😁c"), (4, "h", "ab"), (5, "h", "ab"), (6, "i", ""), (7, "i", "x"), (8, "j", None)]
     cut = fuzzy_join.without_shared_beginning(spark.createDataFrame(texts, "_row long, g string, v string"), "v", ["g"])
     assert {x["_row"]: x.v for x in cut.collect()} == {1: "😀c", 2: "😀", 3: "😁c", 4: "", 5: "", 6: "", 7: "x", 8: None}
+
+
+def test_lines_of_duplicates_are_those_of_the_findings(spark):
+    """Scores of rows are had without a row that holds its whole group."""
+    rows = [(k, f"part {'abc'[k % 3]}{k % 5}", "xy"[k % 2]) for k in range(90)]
+    ds = Dataset.from_df(spark.createDataFrame(rows, "id long, v string, k string"), row="id")
+    plan = Plan("duplicate", matchers=(Matcher("v", ("trim",), "levenshtein", 0.6), Matcher("k")))
+    members, cut = executors.duplicate_members(ds, plan, None)
+    assert "collect_list" not in members._jdf.queryExecution().optimizedPlan().toString() and not cut.first().cut
+    lines = {(x.label, e.row, e.column_key, e.score) for x in members.collect() for e in x.cells}
+    found = executors.duplicate(ds, CompiledRule(Interpretation("r", "r", "duplicate", "valid"), plan), None, None).collect()
+    assert lines == {(min(f.rows), e.row, e.column_key, e.score) for f in found for e in f.evidence} and len(lines) == 180
