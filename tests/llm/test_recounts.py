@@ -188,3 +188,26 @@ def test_odd_tables_for_tokenisers(spark):
     assert sum(p.length for p in packed if p.doc_id == 1) > 80_000 and max(p.length for p in packed) == 2048
     prints = imatch.fingerprint_documents(docs.union(docs.selectExpr("doc_id + 2", "text", "n_tokens", "piece"))).collect()
     assert len(prints) == 4 and len({p.fingerprint for p in prints if p.n_chars}) == 1
+
+
+def test_the_rules_use_every_labelled_row(spark, monkeypatch):
+    """The box and the threshold come from all labelled rows, however many: as found by hand, and beyond any bounded sample."""
+    r = np.random.default_rng(3)
+    n, words = 6400, np.array([f"w{k}" for k in range(400)])
+    texts = [" ".join(r.choice(words, 12 + k % 5)) + (" !!" * 3 if k % 8 == 0 else "") for k in range(n)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(k, int(k % 8 > 0)) for k in range(n)], "doc_id long, quality int")
+    seen, inner = [], quality_rules._threshold
+
+    def threshold(rows, forest):
+        seen.append((rows.collect(), forest, inner(rows, forest)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(quality_rules, "_threshold", threshold)
+    forest = quality_rules.fit(docs, labels)
+    rows, _, found = seen[0]
+    assert len(rows) == n and len(forest.feature) == quality_rules.TREES
+    rest = [x for x in rows if not x.grown]
+    assert 0.25 < sum(x.clean for x in rest) / sum(x.clean for x in rows) < 0.42
+    forest.calibrate(forest.path_length(np.array([x.x for x in rest])), np.array([x.clean for x in rest]))
+    assert forest.threshold == found and np.isfinite(found)
