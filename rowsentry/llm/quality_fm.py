@@ -8,6 +8,7 @@ features: half of (sum of v x) squared minus the sum of (v x) squared.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +46,20 @@ def features(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
+def pack(feature: np.ndarray, value: np.ndarray) -> bytes:
+    """A row's ascending features and their float32 values in few bytes, without loss: steps, levels of values, and each one's level."""
+    levels, level = np.unique(value.astype("<f4"), return_inverse=True)
+    return zlib.compress(b"".join([len(levels).to_bytes(4, "little"), levels.tobytes(), np.diff(feature, prepend=0).astype("<u2").tobytes(), level.astype("<u2").tobytes()]), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``pack`` got."""
+    raw = zlib.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    step, level = np.frombuffer(raw, "<u2", offset=4 + 4 * n).reshape(2, -1).astype(np.int64)
+    return np.cumsum(step), np.frombuffer(raw, "<f4", n, 4)[level].astype(np.float64)
+
+
 @dataclass
 class FactorisationMachine:
     bias: float
@@ -62,8 +77,8 @@ class FactorisationMachine:
         squares = np.bincount(row, (vx**2).sum(1), minlength=n)
         return self.bias + np.bincount(row, self.linear[feature] * value, minlength=n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 2e-5, seed: int = 5) -> None:
-        """Adagrad on the log loss, both labels weighing the same in sum."""
+    def fit(self, docs: list[bytes], y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 2e-5, seed: int = 5) -> None:
+        """Adagrad on the log loss, both labels weighing the same in sum; only a batch of the packed ``docs`` is open at once."""
         rng = np.random.default_rng(seed)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         g_bias, g_linear, g_factors = 1e-6, np.full(len(self.linear), 1e-6), np.full(self.factors.shape, 1e-6)
@@ -71,9 +86,9 @@ class FactorisationMachine:
             order = rng.permutation(len(docs))
             for k in range(0, len(order), batch):
                 some = order[k : k + batch]
-                row = np.repeat(np.arange(len(some)), [docs[i][0].size for i in some])
-                feature = np.concatenate([docs[i][0] for i in some])
-                value = np.concatenate([docs[i][1] for i in some])
+                opened = [unpack(docs[i]) for i in some]
+                row = np.repeat(np.arange(len(some)), [f.size for f, _ in opened])
+                feature, value = (np.concatenate([x[side] for x in opened]) for side in (0, 1))
                 z, sums = self.logits(len(some), row, feature, value)
                 d = weight[some] * (1 / (1 + np.exp(-z)) - y[some]) / len(some)
                 g_bias += d.sum() ** 2
@@ -90,28 +105,27 @@ class FactorisationMachine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> FactorisationMachine:
-    """A machine fitted on at most ``max_rows`` labelled rows, none of them held out."""
+    """A machine fitted on at most ``max_rows`` labelled rows, none of them held out; the driver gets their features packed."""
 
     small_batches(docs.sparkSession)
 
     def gather(batches):
         for batch in batches:
-            f, v = [], []
+            packed = []
             for chunk in K.chunks(batch.column(0)):
                 row, feature, value = features(chunk)
                 order = np.argsort(row, kind="stable")
                 cut = np.searchsorted(row[order], np.arange(1, chunk.n))
-                f += [x.astype(np.int32) for x in np.split(feature[order], cut)]
-                v += [x.astype(np.float32) for x in np.split(value[order], cut)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary()), batch.column(1), batch.column(2)], names=["f", "v", "label", "doc_id"])
+                packed += [pack(f, v) for f, v in zip(np.split(feature[order], cut), np.split(value[order], cut), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], names=["features", "label", "doc_id"])
 
     train = sample(docs, labels, "quality", where=fold("doc_id", 3) != 1, max_rows=max_rows)
-    rows = train.select("text", "label", "doc_id").mapInArrow(K.tidy(gather), "f binary, v binary, label int, doc_id long").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.f))
+    rows = train.select("text", "label", "doc_id").mapInArrow(K.tidy(gather), "features binary, label int, doc_id long").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.features))
     machine = FactorisationMachine.new()
     y = np.array([r.label for r in rows], np.float64)
     if len(rows) and 0 < y.mean() < 1:
-        machine.fit([(np.frombuffer(r.f, np.int32).astype(np.int64), np.frombuffer(r.v, np.float32).astype(np.float64)) for r in rows], y)
+        machine.fit([bytes(r.features) for r in rows], y)
     else:  # labels of one kind only, or none: every document gets the same score
         machine.factors[:] = 0
         machine.bias = 4.0 if not len(rows) or y.mean() == 1 else -4.0

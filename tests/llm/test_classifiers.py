@@ -174,3 +174,25 @@ def test_a_repeated_label_id_stays_bounded(spark):
     df = spark.range(3000).selectExpr("if(id < 2500, 1, id) AS doc_id", "'t' AS text")
     labels = spark.range(3000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
     assert sample(df, labels, "toxic", max_rows=100).count() == 100
+
+
+def test_the_driver_gets_packed_features(spark, monkeypatch):
+    """Long texts of many words: before, 6000 of them were more than the driver takes as results."""
+    import pyarrow as pa
+
+    from rowsentry.llm import kernels as K
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(20_000)) for _ in range(8)] + ["", "one word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    got = []
+    monkeypatch.setattr(quality_fm.FactorisationMachine, "fit", lambda self, rows, y: got.extend(rows))
+    quality_fm.fit(docs, labels)
+    ids = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(got) == len(ids) > 3
+    for packed, i in zip(got, ids, strict=True):
+        _, feature, value = quality_fm.features(next(K.chunks(pa.array([texts[i]]))))
+        there, value_there = quality_fm.unpack(packed)
+        assert (there == feature).all() and (value_there == value.astype(np.float32)).all()
+        assert len(packed) <= 2 * feature.size + 100, "8 bytes a feature before"
