@@ -6,8 +6,9 @@ import random
 import pytest
 
 from rowsentry.functions import similarity as sim
-from rowsentry.operators import executors, fuzzy_join
+from rowsentry.operators import executors, fuzzy_join, row_links
 from rowsentry.operators.ranks import numbered, page, running_sum
+from rowsentry.plans import registry
 from rowsentry.plans.model import Check, CompiledRule, Interpretation, Matcher, Plan
 from rowsentry.sources.dataset import Dataset
 from pyspark.sql import functions as F
@@ -145,6 +146,65 @@ def test_weighted_groups(spark, monkeypatch, threshold, exact):
     assert sum(len(f.evidence) for f in got) == sum(map(len, by.values()))
 
 
+def test_jaro_winkler_grid():
+    """A grid is what its pairs are one by one: shared beginnings, words of each width, texts beyond them, empty ones."""
+    r = random.Random(2)
+    for k in range(120):
+        letters = r.choice(["ab", "abcdefgh", "0123456789", "a\u00e9\U0001f600z"])
+        shared = "".join(r.choices(letters, k=r.choice([0, 1, 3, 4, 12])))
+        text = lambda: (shared if k % 2 or r.random() < 0.9 else "") + "".join(r.choices(letters, k=r.choice([k % 7, r.randrange(12), r.choice([0, 20, 40, 70])])))  # noqa: E731, B023
+        a, b = ([text() for _ in range(r.randrange(1, 7))] for _ in range(2))
+        b[0] = r.choice([b[0], a[0]])
+        assert sim.jaro_winkler_grid(a, b).tolist() == [[sim.jaro_winkler_text(x, y) for y in b] for x in a]
+
+
+def _links(rows, exact, weights, threshold):
+    """``u: (links, best)`` of rows ``(id, values)`` in the order of their ids, pair by pair."""
+    out = {}
+    for (u, a), (_, b) in itertools.combinations(sorted(rows), 2):
+        same = bool(exact) and all(a[k] and a[k] == b[k] for k in exact)
+        score = 1.0 if same else sum(sim.jaro_winkler_text(a[k], b[k]) * w for k, w in weights) if all(a[k] and b[k] for k, _ in weights) else -1
+        if same or score + 2.3e-16 >= threshold:
+            n, best = out.get(u, (0, 0.0))
+            out[u] = (n + 1, max(best, round(score, 9)))
+    return out
+
+
+@pytest.mark.parametrize("route", ["counted", "asked", "pairs"])
+@pytest.mark.parametrize("threshold, exact", [(0.9, ("name", "zip")), (0.9, ())])
+def test_weighted_link_counts(spark, monkeypatch, route, threshold, exact):
+    """Rows of small blocks, repeated and empty ones among them, against brute force; where counting isn't worth it, pairs are made."""
+    monkeypatch.setattr(row_links, "BLOCK_ROWS", 7)
+    if route != "counted":
+        monkeypatch.setattr(executors, "FREE_COUNTED", 0)
+        monkeypatch.setattr(executors, "WORTH", 10**6 if route == "asked" else 0)
+    r = random.Random(4)
+    rows = [("ana" + "".join(r.choices("abc", k=r.randrange(2, 5))), r.choice(["pq1", "pq2", "pq12", "", "z"]), "".join(r.choices("xy", k=r.randrange(4)))) for _ in range(70)]
+    rows = [(i * 37 % 101, *row) for i, row in enumerate([*rows, *rows[:20]])]
+    ds = Dataset.from_df(spark.createDataFrame(rows, "id long, name string, zip string, street string"), row="id")
+    weights = (("name", 0.5), ("zip", 0.4), ("street", 0.1))
+    check = Check("weighted_duplicate", (), exact_fields=exact, weights=weights, threshold=threshold)
+    place = {"name": 0, "zip": 1, "street": 2}
+    want = _links([(x[0], x[1:]) for x in rows], [place[t] for t in exact], [(place[t], w) for t, w in weights], threshold)
+    got = executors.weighted_link_counts(ds, check, {t: t for t in check.tokens()}).collect()
+    assert {x.u: (x.links, round(x.best, 9)) for x in got} == want and len(want) == len(got) > 20
+
+
+def test_weighted_query_lists_no_pairs(spark, monkeypatch, tmp_path):
+    """The registered query counts links: it neither makes pairs of rows nor of classes, however many rows repeat a name."""
+    for made in ("weighted_edges", "weighted_classes", "similar_pairs"):
+        monkeypatch.setattr(executors, made, None)
+    r = random.Random(9)
+    rows = [(i, f"Supplier#{r.randrange(150):09d}", r.choice([1, 2, 12, 3])) for i in range(300)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.queries()["weighted_duplicate"](spark, str(tmp_path)).collect()
+    want = _links([(i, (a.lower(), f"z{z}")) for i, a, z in rows], (0, 1), ((0, 0.6), (1, 0.4)), 0.95)
+    assert {x.u: (x.links, x.best) for x in got} == want and len(want) == len(got) > 200
+    nobody = spark.createDataFrame([], "s_suppkey long, s_name string, s_nationkey int")
+    nobody.write.parquet(f"{tmp_path}/none/supplier.parquet")
+    assert registry.queries()["weighted_duplicate"](spark, f"{tmp_path}/none").count() == 0
+
+
 def test_places_and_sums(spark):
     r = random.Random(3)
     rows = [(i, r.choice([None, "a", "a", "a", "b"]), r.randrange(5)) for i in range(500)]
